@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import decontaminate, langid, licenses, mixing
+from quillon.llm import decontaminate, langid, licenses, minhash, mixing
 from quillon.llm.common import crc_bucket, table
 
 
@@ -19,6 +19,10 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=2)
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -29,7 +33,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_language_id, op6_license_scan, op9_mix_sources, op10_decontaminate)}
+    return {f.__name__: f for f in (op2_language_id, op6_license_scan, op8_near_duplicates, op9_mix_sources, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
