@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import decontaminate, langid, licenses, minhash, mixing
+from quillon.llm import decontaminate, langid, licenses, minhash, mixing, suffix_dedup
 from quillon.llm.common import crc_bucket, table
 
 
@@ -15,6 +15,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model, keep=["doc_id", "held_out"])
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -33,7 +37,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_language_id, op6_license_scan, op8_near_duplicates, op9_mix_sources, op10_decontaminate)}
+    return {f.__name__: f for f in (op2_language_id, op4_suffix_dedup, op6_license_scan, op8_near_duplicates, op9_mix_sources, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
