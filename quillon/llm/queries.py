@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import decontaminate, langid, licenses, minhash, mixing, suffix_dedup
+from quillon.llm import decontaminate, langid, licenses, minhash, mixing, multi_index, suffix_dedup
 from quillon.llm.common import crc_bucket, table
 
 
@@ -23,6 +23,10 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op7_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=2)
 
@@ -37,7 +41,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_language_id, op4_suffix_dedup, op6_license_scan, op8_near_duplicates, op9_mix_sources, op10_decontaminate)}
+    return {f.__name__: f for f in (op2_language_id, op4_suffix_dedup, op6_license_scan, op7_embedding_near_duplicates, op8_near_duplicates, op9_mix_sources, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
