@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import decontaminate, langid, licenses, minhash, mixing, multi_index, suffix_dedup
+from quillon.llm import chat, decontaminate, langid, licenses, minhash, mixing, multi_index, suffix_dedup, token_counts
 from quillon.llm.common import crc_bucket, table
 
 
@@ -15,10 +15,18 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model, keep=["doc_id", "held_out"])
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -41,8 +49,8 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_language_id, op4_suffix_dedup, op6_license_scan, op7_embedding_near_duplicates, op8_near_duplicates, op9_mix_sources, op10_decontaminate)}
+    return {f.__name__: f for f in (op2_language_id, op3_token_counts, op4_suffix_dedup, op5_chat_format, op6_license_scan, op7_embedding_near_duplicates, op8_near_duplicates, op9_mix_sources, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mix_sources": mixing.SQL, "op10_decontaminate": decontaminate.SQL}
+    return {"op5_chat_format": chat.SQL, "op9_mix_sources": mixing.SQL, "op10_decontaminate": decontaminate.SQL}
