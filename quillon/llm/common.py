@@ -85,3 +85,26 @@ def unvarint(b: bytes) -> np.ndarray:
     out = np.zeros((raw.shape[1], 8), np.uint8)
     out[:, :planes] = raw.T
     return out.view(np.uint64).ravel()
+
+
+def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[object, list[dict]]]:
+    """(key, rows) of stretches of rows with equal keys, of few and heavy rows."""
+    at, rows = None, []
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1).to_pylist()[0]
+            if rows and row[key] != at:
+                yield at, rows
+                rows = []
+            at = row[key]
+            rows.append(row)
+    if rows:
+        yield at, rows
+
+
+def bounded_batches(spark: SparkSession, mb: int = 32) -> None:
+    """Arrow batches of about so many MB at most, whatever the rows hold; a session that set a bound keeps it."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name)
+    if now in ("-1", "-1b", "2147483647", "2147483647b"):
+        spark.conf.set(name, str(mb << 20))

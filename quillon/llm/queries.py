@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import chat, decontaminate, langid, licenses, minhash, mixing, multi_index, suffix_dedup, token_counts
+from quillon.llm import chat, decontaminate, katz, langid, licenses, minhash, mixing, multi_index, suffix_dedup, token_counts
 from quillon.llm.common import crc_bucket, table
 
 
+def op1_katz_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (crc_bucket("doc_id", 7) != 2).alias("train"))
+    return katz.score(docs).select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (crc_bucket("doc_id", 3) == 1).alias("held_out"))
     model = langid.fit(docs.filter(~F.col("held_out")))
@@ -49,7 +54,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_language_id, op3_token_counts, op4_suffix_dedup, op5_chat_format, op6_license_scan, op7_embedding_near_duplicates, op8_near_duplicates, op9_mix_sources, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_katz_score, op2_language_id, op3_token_counts, op4_suffix_dedup, op5_chat_format, op6_license_scan, op7_embedding_near_duplicates, op8_near_duplicates, op9_mix_sources, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
