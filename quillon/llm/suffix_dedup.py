@@ -174,8 +174,8 @@ RANGES = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
 RANGES_DDL = "array<struct<lo: int, hi: int>>"
 
 
-def dedup(docs: DataFrame, length: int = 400, gram: int = 32, keep: list[str] | None = None, most: int = 2000, bytes_out: bool = False) -> DataFrame:
-    """The columns keep of docs (all: None), n_bytes, n_removed, n_spans, kept_sha256; with bytes_out also kept (the remaining bytes)."""
+def dedup(docs: DataFrame, length: int = 400, gram: int = 32, keep: list[str] | None = None, most: int = 2000, out: str = "") -> DataFrame:
+    """The columns keep of docs (all: None), n_bytes, n_removed, n_spans, kept_sha256; and kept, the remaining bytes (out "bytes") or their text without broken characters ("text")."""
     keep = docs.columns if keep is None else keep
     keyed = docs.withColumn("_key", F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("?")), F.lit(":"), F.coalesce("text", F.lit(""))).cast("binary"))))
 
@@ -222,10 +222,10 @@ def dedup(docs: DataFrame, length: int = 400, gram: int = 32, keep: list[str] |
     hit = of.select("_key", F.explode(F.transform(spans, lambda x: F.struct((x["lo"] + F.col("s0")).alias("lo"), (x["hi"] + F.col("s0")).alias("hi")))).alias("r"))
     hit = hit.distinct().groupBy("_key").agg(F.collect_list("r").alias("_hit"))
 
-    fields = "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * bytes_out
+    fields = "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + {"": "", "bytes": ", kept binary", "text": ", kept string"}[out]
 
     def finish(batch: pa.RecordBatch) -> list[pa.Array]:
-        out = []
+        rows = []
         for t, r in zip(batch.column("text").to_pylist(), batch.column("_hit").to_pylist(), strict=True):
             raw = (t or "").encode()
             parts, end, at, removed, spans = [], -1, 0, 0, 0
@@ -243,11 +243,11 @@ def dedup(docs: DataFrame, length: int = 400, gram: int = 32, keep: list[str] |
                 at = end
             parts.append(raw[at:])
             kept = b"".join(parts)
-            out.append((len(raw), removed, spans, hashlib.sha256(kept).hexdigest(), kept)[: 4 + bytes_out])
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-        return [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=False)]
+            rows.append((len(raw), removed, spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if out == "text" else kept))
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string() if out == "text" else pa.binary())[: 4 + bool(out)]
+        return [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=False)]
 
-    joined = keyed.select(*dict.fromkeys([*keep, "text", "_key"])).join(hit, "_key", "left").withColumn("_hit", F.col("_hit"))
+    joined = keyed.select(*dict.fromkeys([*keep, "text", "_key"])).join(hit, "_key", "left")
     return _append_hit(joined, fields, finish, keep)
 
 

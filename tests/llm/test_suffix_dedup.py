@@ -5,7 +5,7 @@ from collections import Counter
 from quillon.llm import suffix_dedup
 
 
-def brute(rows, length):
+def brute_kept(rows, length):
     seen = Counter(b[i : i + length] for _, b in rows for i in range(len(b) - length + 1))
     out = []
     for i, b in rows:
@@ -15,8 +15,12 @@ def brute(rows, length):
                 gone[s : s + length] = b"\1" * length
         spans = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
         kept = bytes(c for c, g in zip(b, gone, strict=True) if not g)
-        out.append((i, len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
-    return sorted(out, key=str)
+        out.append((i, len(b), sum(gone), spans, kept))
+    return out
+
+
+def brute(rows, length):
+    return sorted(((*r[:4], hashlib.sha256(r[4]).hexdigest()) for r in brute_kept(rows, length)), key=str)
 
 
 def texts(seed):
