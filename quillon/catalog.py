@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from quillon.plans import retrieval, system, texts  # noqa: F401  (they register themselves)
+
 
 def queries() -> dict:
-    return {}
+    return dict(retrieval.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(retrieval.SQL)
