@@ -2,6 +2,8 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
+
 from quillon.llm import suffix_dedup
 
 
@@ -69,7 +71,10 @@ def test_empty_table_and_clashing_columns(spark):
 def test_column_construction_sorts_suffixes():
     r = random.Random(9)
     docs = [bytes(r.choice(b"ab") for _ in range(r.randrange(5, 40))) for _ in range(12)]
-    c = suffix_dedup.Columns(docs)
+    rows = np.zeros((12, 40), np.uint16)
+    for row, d in zip(rows, docs, strict=True):
+        row[40 - len(d) :] = np.frombuffer(d, np.uint8).astype(np.uint16) + 1
+    c = suffix_dedup.Columns(rows)
     order = [docs[o][len(docs[o]) - s :] for o, s in zip(c.owner.tolist(), c.size.tolist(), strict=True)]
     assert order == sorted(order)
     for x, y, l in zip(order, order[1:], c.lcp[1:].tolist(), strict=False):
