@@ -87,5 +87,5 @@ rel AS (SELECT query_id, doc_id, 1.0 + (doc_id % 2) AS rel FROM s WHERE same),
 hits AS (SELECT r.query_id, k, count(rel) AS hits, sum(coalesce(rel, 0) / log2(rank + 1)) AS dcg FROM runs r LEFT JOIN rel USING (query_id, doc_id), ks WHERE rank <= k GROUP BY ALL),
 ideal AS (SELECT query_id, k, sum(rel / log2(r + 1)) AS idcg FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, doc_id) AS r FROM rel), ks WHERE r <= k GROUP BY ALL),
 total AS (SELECT query_id, count(*) AS relevant FROM rel GROUP BY ALL), first AS (SELECT r.query_id, min(rank) AS first FROM runs r JOIN rel USING (query_id, doc_id) GROUP BY ALL),
-m AS (SELECT query_id, k, coalesce(hits / k, 0) AS precision, coalesce(hits / relevant, 0) AS recall, CASE WHEN hits > 0 THEN 1.0 ELSE 0.0 END AS hit, coalesce(dcg / idcg, 0) AS ndcg, coalesce(1.0 / first, 0) AS rr
+m AS (SELECT query_id, k, coalesce(hits / k, 0) AS precision, coalesce(hits / relevant, 0) AS recall, CASE WHEN hits > 0 THEN 1.0::DOUBLE ELSE 0.0 END AS hit, coalesce(dcg / idcg, 0) AS ndcg, coalesce(1.0 / first, 0) AS rr
   FROM qs CROSS JOIN ks LEFT JOIN hits USING (query_id, k) LEFT JOIN ideal USING (query_id, k) LEFT JOIN total USING (query_id) LEFT JOIN first USING (query_id))"""
