@@ -4,14 +4,17 @@ A text is cut into regions by minimisers: all ``length``-byte windows whose
 smallest ``gram``-byte hash stands at the same place.  Equal windows have the same
 minimiser at the same offset, so they meet in the same bucket, and only buckets
 with two regions or more can hold a repeat.  Regions with equal bytes are counted
-(pre-aggregated) and stand for each other.  The distinct regions of a bucket are
-the documents of a column-wise multi-document construction: each round inserts
-one more symbol of every region, from the ends, and updates the collection's
-Burrows-Wheeler transform and its longest common prefixes in one sequential
-sweep; windows whose common prefix with a neighbour reaches ``length`` repeat.
-Collections are bounded by ``most`` regions, so their sequential files are arrays;
-a bucket with more distinct regions is decided by counting its windows by
-128-bit hash, pre-aggregated, exactly as well.
+(pre-aggregated) and stand for each other.  The windows
+of a region are dealt into chunks by the minimiser's offset; the windows of a
+chunk share a core, so equal windows meet again by core, and chunks with equal
+bytes stand for each other once more.  The distinct chunks are the documents of a
+column-wise multi-document construction, the shared core standing as one symbol:
+each round inserts one more symbol of every document, from the ends, and updates
+the collection's Burrows-Wheeler transform and its longest common prefixes in one
+sequential sweep; windows whose common prefix with a neighbour spans a window
+repeat.  Collections hold ``batch`` documents and a bucket's last, ``most`` at the
+most beyond, so the sequential files of the method are arrays; a bucket with more than ``most`` distinct regions is decided by
+counting its windows by 128-bit hash, pre-aggregated, exactly as well.
 
 Null and empty texts: no bytes, nothing removed.  Texts shorter than length: kept
 whole.  Repeated rows: every row counts as a document of its own.  Null ids: rows
@@ -90,15 +93,14 @@ def regions(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
 
 
 class Columns:
-    """Burrows-Wheeler transform and longest common prefixes of many texts, grown by one symbol of each text a round."""
-
-    def __init__(self, texts: list[bytes]):
-        m = len(texts)
-        self.lens = np.array([len(t) for t in texts])
-        rows = np.zeros((m, int(self.lens.max())), np.uint16)  # right-aligned symbols, 1 to 256; 0: none
-        for i, t in enumerate(texts):
-            rows[i, rows.shape[1] - len(t) :] = np.frombuffer(t, np.uint8).astype(np.uint16) + 1
-        self.rows = rows
+    """Burrows-Wheeler transform and longest common prefixes of many texts, grown by one symbol of each text a round.
+
+    rows: a text's symbols (from 1), right-aligned, after zeros.
+    """
+
+    def __init__(self, rows: np.ndarray):
+        m = len(rows)
+        self.rows, self.lens = rows, (rows > 0).sum(1)
         self.bwt = np.zeros(m, np.uint16)  # of the empty suffixes, text by text
         self.lcp = np.zeros(m, np.int32)  # with the suffix before
         self.owner = np.arange(m, dtype=np.int32)  # text of each suffix
@@ -211,10 +213,10 @@ def dedup(docs: DataFrame, length: int = 400, gram: int = 32, keep: list[str] |
                 out = []
                 for t, want in zip(piece.column("text").to_pylist(), piece.column("_asked").to_pylist(), strict=True):
                     raw = t.encode()
-                    out += [(x["bucket"], x["content"], x["copies"], x["kinds"], raw[x["s0"] : x["s0"] + x["n"] + length - 1]) for x in want]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["bucket", "content", "copies", "kinds", "region"])
+                    out += [(x["bucket"], x["content"], x["copies"], x["kinds"], x["a"], raw[x["s0"] : x["s0"] + x["n"] + length - 1]) for x in want]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["bucket", "content", "copies", "kinds", "a", "region"])
 
-    fetched = checkpoint(keyed.select("_key", "text").join(asked, "_key").dropDuplicates(["_key"]).select("text", "_asked").mapInArrow(fetch, "bucket long, content binary, copies long, kinds long, region binary"))
+    fetched = checkpoint(keyed.select("_key", "text").join(asked, "_key").dropDuplicates(["_key"]).select("text", "_asked").mapInArrow(fetch, "bucket long, content binary, copies long, kinds long, a int, region binary"))
     marks = _constructed(fetched.filter(F.col("kinds") <= most), length, most).unionByName(_counted(fetched.filter(F.col("kinds") > most), length))
 
     of = found.join(marks, ["bucket", "content"], "left")
@@ -266,29 +268,77 @@ def _append_hit(joined: DataFrame, fields: str, finish, keep: list[str]) -> Data
 
 
 def _constructed(fetched: DataFrame, length: int, most: int) -> DataFrame:
-    """bucket, content, marks: repeated windows of each region, by the column-wise construction over whole buckets."""
+    """bucket, content, marks: repeated windows of each region that stands once, by the column-wise construction over chunks of equal core."""
+    chunk = max(1, length // 6)
+    core = length - chunk + 1
 
-    def build(rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
-        starts = Columns([r[2] for r in rows]).repeats(length)
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([[{"lo": a, "hi": b} for a, b in ranges(s)] for s in starts], RANGES)], names=["bucket", "content", "marks"])
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = xxhash.xxh3_128_digest
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                out = []
+                for bucket, content, copies, a, r in zip(*(batch.column(c).slice(at, 2000).to_pylist() for c in ("bucket", "content", "copies", "a", "region")), strict=True):
+                    last = len(r) - length
+                    i = 0
+                    while i <= last:
+                        q = (a - i) // chunk  # the windows i to j have the minimiser at offsets of one chunk
+                        j = min(last, a - q * chunk)
+                        c = a - q * chunk
+                        out.append((key(r[c : c + core], seed=q), bucket, content, copies, i, r[i:c], r[c + core : j + length]))
+                        i = j + 1
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["core", "bucket", "content", "copies", "first", "left", "right"])
+
+    def build(groups: list[list[tuple]]) -> Iterator[tuple[int, bytes, int, int]]:
+        """(bucket, content, first and last repeated window) of groups of equal core."""
+        open_: list[tuple[int, bytes, bytes, list[tuple]]] = []
+        for g, members in enumerate(groups):
+            same: dict[tuple[bytes, bytes], list[tuple]] = {}
+            for m in members:
+                same.setdefault((m[5], m[6]), []).append(m)
+            for (left, right), ms in same.items():
+                if sum(m[3] for m in ms) > 1:
+                    last = len(left) + len(right) + 1 - chunk
+                    yield from ((m[1], m[2], m[4], m[4] + last) for m in ms if m[3] == 1)
+            if len(same) > 1:
+                open_ += [(g, *k, ms) for k, ms in same.items()]
+        if not open_:
+            return
+        rows = np.zeros((len(open_), max(len(x) + len(y) for _, x, y, _ in open_) + 1), np.uint16)
+        for row, (g, left, right, _) in zip(rows, open_, strict=True):
+            row[len(row) - len(right) :] = np.frombuffer(right, np.uint8).astype(np.uint16) + 1
+            row[len(row) - len(right) - 1] = 257 + g
+            row[len(row) - len(right) - 1 - len(left) : len(row) - len(right) - 1] = np.frombuffer(left, np.uint8).astype(np.uint16) + 1
+        for (*_, ms), starts in zip(open_, Columns(rows).repeats(chunk), strict=True):
+            if len(ms) == 1 and ms[0][3] == 1:
+                yield from ((ms[0][1], ms[0][2], ms[0][4] + i, ms[0][4] + j) for i, j in ranges(starts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, bytes, bytes]] = []  # whole buckets
-        now: list[tuple[int, bytes, bytes]] = []  # the bucket at hand
+        held: list[list[tuple]] = []  # complete groups of two members or more
+        now: list[tuple] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            out = list(zip(*build(held), strict=True)) or [(), (), (), ()]
+            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32())], names=["bucket", "content", "lo", "hi"])
+
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "content", "region")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("core", "bucket", "content", "copies", "first", "left", "right")), strict=True):
                 if now and now[0][0] != row[0]:
-                    if held and len(held) + len(now) > most:
-                        yield build(held)
-                        held = []
-                    held += now
+                    if len(now) > 1:
+                        held.append(now)
+                        size += len(now)
                     now = []
+                    if size > most:
+                        yield flush()
+                        held, size = [], 0
                 now.append(row)
-        for part in ([held, now] if len(held) + len(now) > most else [held + now]):
-            if part:
-                yield build(part)
+        if len(now) > 1:
+            held.append(now)
+        yield flush()
 
-    return fetched.repartition("bucket").sortWithinPartitions("bucket").select("bucket", "content", "region").mapInArrow(run, f"bucket long, content binary, marks {RANGES_DDL}")
+    dealt = fetched.mapInArrow(deal, "core binary, bucket long, content binary, copies long, first int, left binary, right binary")
+    found = dealt.repartition("core").sortWithinPartitions("core").mapInArrow(run, "bucket long, content binary, lo int, hi int")
+    return found.groupBy("bucket", "content").agg(F.collect_list(F.struct("lo", "hi")).alias("marks"))
 
 
 def _counted(fetched: DataFrame, length: int) -> DataFrame:
