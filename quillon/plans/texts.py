@@ -188,3 +188,12 @@ def query_hash(spark, sf_dir):
 @query("SELECT sha256(text) AS content_hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1")
 def file_dedup(spark, sf_dir):
     return store.dedup(table(spark, sf_dir, "documents"), "text", "doc_id")
+
+
+@query()
+def embed_documents(spark, sf_dir):
+    """Unit vectors of all documents by the default embedder; null for texts without words."""
+    from quillon.functions import models
+
+    d = table(spark, sf_dir, "documents").select("doc_id", models.embed(F.col("text")).alias("v"))
+    return d.select("doc_id", F.size("v").alias("dim"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x), 4).alias("norm"))

@@ -81,3 +81,23 @@ def test_fixed_windows_end_and_cover(text, most, data):
     out = chunking.fixed(text, most, overlap)
     assert all(len(c) <= most for c in out)
     assert sum(len(c.replace(" ", "").replace("\n", "")) for c in out) >= len(text.replace(" ", "").replace("\n", ""))
+
+
+def test_models(spark):
+    from quillon.functions import models
+
+    df = spark.createDataFrame([("un deux", "x"), ("un deux", "yy"), (None, "z")], "a string, b string")
+    v = [r.v for r in df.select(models.embed(F.col("a")).alias("v")).collect()]
+    assert v[0] == v[1] and v[2] is None and abs(sum(x * x for x in v[0]) - 1) < 1e-6
+
+    def fails():
+        def score(pairs):
+            raise RuntimeError
+
+        return score
+
+    def lengths():
+        return lambda pairs: [float(len(b)) for _, b in pairs]
+
+    for load, want in ((fails, [0.5] * 3), (lengths, [1.0, 2.0, 1.0])):
+        assert [r.s for r in df.select(models.pair_score(F.col("a"), F.col("b"), load, F.lit(0.5)).alias("s")).collect()] == want
