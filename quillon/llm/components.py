@@ -13,17 +13,21 @@ from pyspark.sql import functions as F
 from quillon.llm.common import checkpoint
 
 
-def components(links: DataFrame) -> DataFrame:
-    """id, component (smallest id reachable) of the ids that have a link; links: a, b.  Null ends and loops are no links."""
+def components(links: DataFrame, links_a_task: int = 200_000) -> DataFrame:
+    """id, component (smallest id reachable) of the ids that have a link; links: a, b.  Null ends and loops are no links.
+
+    A table of few links is kept in few partitions, one for links_a_task of them.
+    """
     edges = checkpoint(links.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     seen = _mark(edges)
     while seen[0]:
-        edges = checkpoint(_small(_large(edges)))
+        k = -(-seen[0] // links_a_task)
+        edges = checkpoint(_small(_large(edges.coalesce(k)).coalesce(k)).coalesce(k))
         now = _mark(edges)
         if now == seen:
             break
         seen = now
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -35,7 +39,7 @@ def _large(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the node's smallest neighbour."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small(edges: DataFrame) -> DataFrame:

@@ -7,8 +7,7 @@ regions whole, larger ones by depth, each class with its neighbours by longest
 common prefix.  A candidate whose signatures agree enough is confirmed on the
 full shingle sets; first one smaller partner for each class, then whatever lies
 across the components found.  Large regions that still hold several components
-are compared across components by whole signatures, so their neighbour lists
-lose nothing.
+are compared across components, block by block, so their neighbour lists lose nothing.
 
 Null texts and texts without words: an empty set, linked with nothing, a component
 of their own.  Fewer words than a shingle has: the whole sequence is one.  Null
@@ -28,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.llm import text as tx
-from quillon.llm.common import append, checkpoint
+from quillon.llm.common import append, checkpoint, runs
 from quillon.llm.components import components
 
 
@@ -98,11 +97,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
 
     best = pairs.withColumn("r", F.row_number().over(W.partitionBy("b").orderBy(F.desc("agree"), "a"))).filter("r = 1").select("a", "b")
     links = checkpoint(_confirm(best, sets, percent))
-    comps = components(links)
-    links = checkpoint(links.union(_confirm(_across(pairs, comps), sets, percent)))
     comps = checkpoint(components(links))
-    links = links.union(_confirm(_regions_across(regions, comps, sig, n, percent / 100 - slack), sets, percent))
-    comps = components(links)
+    across = _confirm(_across(pairs, comps), sets, percent).union(_regions_across(regions, comps, sig, sets, n, percent, percent / 100 - slack))
+    comps = components(links.union(across))
 
     of_class = classes.join(comps, F.col("rep") == F.col("id"), "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", "n_shingles", "set_key").join(of_class, "set_key", "left")
@@ -224,44 +221,56 @@ def _across(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     return both.filter(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b")
 
 
-def _regions_across(regions: DataFrame, comps: DataFrame, sig: DataFrame, n: int, least: float) -> DataFrame:
-    """Pairs of large regions that lie across components and whose signatures agree."""
+def _regions_across(regions: DataFrame, comps: DataFrame, sig: DataFrame, sets: DataFrame, n: int, percent: int, least: float) -> DataFrame:
+    """Links across the components of large regions, enough to join what they join.
+
+    A region's members meet in one task, block by block; pairs whose signatures
+    agree, that share no earlier region and that no link found here has joined yet
+    are confirmed on the full sets there, so no pair but a joining link leaves.
+    """
     of = regions.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = of.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("region")
-    rows = of.join(mixed, "region", "left_semi").join(sig, "id").select("region", "component", "id", "sig")
-
-    def cross(ids: np.ndarray, comp: np.ndarray, sigs: np.ndarray) -> Iterator[pa.RecordBatch]:
-        order = np.argsort(comp, kind="stable")
-        ids, comp, sigs = ids[order], comp[order], sigs[order]
+    open_ = of.join(mixed, "region", "left_semi")
+    every = open_.groupBy("id", "component").agg(F.collect_set("region").alias("regions"))
+    rows = every.join(sig, "id").join(sets, "id").select(F.explode("regions").alias("region"), "regions", "component", "id", "sig", "shingles")
+
+    def cross(region: int, members: list[dict]) -> tuple[list[int], list[int]]:
+        members.sort(key=lambda r: r["component"])
+        comp = np.array([r["component"] for r in members])
+        sigs = np.frombuffer(b"".join(r["sig"] for r in members), np.uint32).reshape(-1, n)
+        full = [np.frombuffer(r["shingles"], np.uint64) for r in members]
+        shared = [set(r["regions"]) for r in members]
         ends = np.searchsorted(comp, comp, side="right")
-        for i in range(len(ids)):
-            for at in range(int(ends[i]), len(ids), 65536):  # those of later components, in blocks
-                ok = at + np.flatnonzero((sigs[at : at + 65536] == sigs[i]).sum(1) >= least * n)
-                if len(ok):
-                    a, b = np.minimum(ids[i], ids[ok]), np.maximum(ids[i], ids[ok])
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        at = None
-
-        def flush():
-            t = pa.Table.from_batches(held)
-            s = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(-1, n)
-            return cross(t.column("id").to_numpy(), t.column("component").to_numpy(), s)
+        root: dict[int, int] = {}
 
-        for batch in batches:
-            r = batch.column("region").to_numpy()
-            edge = [0, *(np.flatnonzero(r[1:] != r[:-1]) + 1).tolist(), len(r)]
-            for i, j in zip(edge[:-1], edge[1:], strict=True):
-                if i == j:
-                    continue
-                if held and r[i] != at:
-                    yield from flush()
-                    held = []
-                at = r[i]
-                held.append(batch.slice(i, j - i))
-        if held:
-            yield from flush()
+        def up(c: int) -> int:
+            while root.setdefault(c, c) != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
 
-    return rows.repartition("region").sortWithinPartitions("region").mapInArrow(runs, "a long, b long").distinct()
+        left, right = [], []
+        for i in range(len(members)):
+            for at in range(int(ends[i]), len(members), 4096):  # those of later components, in blocks
+                ok = at + np.flatnonzero((sigs[at : at + 4096] == sigs[i]).sum(1) >= least * n)
+                ok = [j for j in ok.tolist() if up(int(comp[i])) != up(int(comp[j])) and min(shared[i] & shared[j]) == region]
+                if not ok:
+                    continue
+                sizes = np.array([len(full[j]) for j in ok])
+                them = np.concatenate([full[j] for j in ok])
+                p = np.minimum(np.searchsorted(full[i], them), len(full[i]) - 1)
+                both = np.add.reduceat((full[i][p] == them).astype(np.int64), np.cumsum(sizes) - sizes)
+                for j in np.array(ok)[100 * both >= percent * (len(full[i]) + sizes - both)].tolist():
+                    x, y = up(int(comp[i])), up(int(comp[j]))
+                    if x != y:
+                        root[y] = x
+                        left.append(min(members[i]["id"], members[j]["id"]))
+                        right.append(max(members[i]["id"], members[j]["id"]))
+        return left, right
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for region, members in runs(batches, "region"):
+            a, b = cross(region, members)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return rows.repartition("region").sortWithinPartitions("region").mapInArrow(join, "a long, b long")
