@@ -134,7 +134,7 @@ def _count_words(blocks: DataFrame, parts: int, k: int) -> DataFrame:
 
 
 def _pairs(blocks: DataFrame, counts: DataFrame, uni: Unigram, hot: np.ndarray, word_parts: int, parts: int) -> DataFrame:
-    """Of each block a row (part null) with what is known of its documents, and for each part its pairs."""
+    """For each block and part its pairs, and of each block a row with ids and what is known of its documents, dealt to some part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, rows in runs(batches, "block"):
@@ -161,7 +161,7 @@ def _pairs(blocks: DataFrame, counts: DataFrame, uni: Unigram, hot: np.ndarray,
             toks, seen = np.diff(np.append(at, len(key))), np.add.reduceat(mark.astype(np.int64), at)
             pair = key[at]
             w2, w1, to = pair % len(u), pair // len(u) % len(names), pair // len(u) // len(names)
-            out = [(None, pack(train), varint(n), pack(known), pack(base), None, None)]
+            out = [(block % parts, pack(train), varint(n), pack(known), pack(base), None, None)]
             for p in np.unique(to).tolist():
                 i, j = np.searchsorted(to, [p, p + 1])
                 s, e = at[i], at[j] if j < len(at) else len(key)
@@ -190,10 +190,21 @@ def unpack_two(b: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _evaluate(pairs: DataFrame, uni: Unigram, hot: np.ndarray, hot_count: np.ndarray, parts: int, k: int) -> DataFrame:
-    """For each block and part, sums per document without discounts: of log10(r / c(h)) of seen pairs, of log10 P(w) of unseen ones, numbers of pairs seen 1 to k times, and the sums of contexts with unseen pairs.  For each part a row (block null) of its totals."""
+    """For each block and part, sums per document without discounts: of log10(r / c(h)) of seen pairs, of log10 P(w) of unseen ones, numbers of pairs seen 1 to k times, and the sums of contexts with unseen pairs.  For each part a row (block null) of its totals.  Rows about documents (with ids) pass."""
+    columns = ["block", "ids", *"abcdefgh"]
+
+    def table(out: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*out, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.list_(pa.int64())), *(pa.array(x, pa.binary()) for x in cols[2:])], names=columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, rows in runs(batches, "part"):
+        for _, rows in runs(batches, "part"):
+            info = [(r["block"], r["ids"], *(r[x] for x in "abcd"), None, None, None, None) for r in rows if r["ids"] is not None]
+            if info:
+                yield table(info)
+            rows = [r for r in rows if r["ids"] is None]
+            if not rows:
+                continue
             ctx = [np.repeat(unpack(r["a"], np.uint64), unvarint(r["b"]).astype(np.int64)) for r in rows]
             cut = np.cumsum([0, *map(len, ctx)])
             w1, w2 = np.concatenate(ctx), np.concatenate([unpack(r["c"], np.uint64) for r in rows])
@@ -230,18 +241,16 @@ def _evaluate(pairs: DataFrame, uni: Unigram, hot: np.ndarray, hot_count: np.nda
                 left = np.flatnonzero((r == 0) & ((den[ctx_of[g]] > 1) | (c[ctx_of[g]] > 0) | is_hot[ctx_of[g]]))
                 used, place = np.unique(ctx_of[g[left]], return_inverse=True)
                 state = (varint(np.where(is_hot[used], where[used] + 1, 0)), varint(den[used]), varint(c[used]), varint(m[used].ravel()), pack(mass[used]))
-                out.append((row["block"], pack_two(docs, hist), pack(sums), pack_two(d[left], place), *state))
+                out.append((row["block"], None, pack_two(docs, hist), pack(sums), pack_two(d[left], place), *state))
             n = np.bincount(np.minimum(r_of, k + 2), minlength=k + 3)[1 : k + 2]
             hots = np.flatnonzero(is_hot)
-            out.append((None, varint(n), varint(where[hots]), varint(m[hots].ravel()), pack(mass[hots]), None, None, None, None))
-            cols = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(x, pa.binary()) for x in cols[1:])], names=["block", *"abcdefgh"])
+            out.append((None, None, varint(n), varint(where[hots]), varint(m[hots].ravel()), pack(mass[hots]), None, None, None, None))
+            yield table(out)
 
-    some = pairs.filter("part is not null").select("part", "block", *"abcdef")
-    return some.repartition(parts, "part").sortWithinPartitions("part", "block").mapInArrow(run, "block long, a binary, b binary, c binary, d binary, e binary, f binary, g binary, h binary")
+    return pairs.repartition(parts, "part").sortWithinPartitions("part", "block").mapInArrow(run, "block long, ids array<long>, a binary, b binary, c binary, d binary, e binary, f binary, g binary, h binary")
 
 
-def score(docs: DataFrame, k: int = 5, block_bytes: int = 16 << 20, pairs_a_part: int = 3_000_000) -> DataFrame:
+def score(docs: DataFrame, k: int = 5, block_bytes: int = 8 << 20, tokens_a_part: int = 1_500_000) -> DataFrame:
     """doc_id, train, n_tokens, n_known, train_tokens, base_score, score of each row of docs (doc_id long, text, train boolean: learn from it)."""
     bounded_batches(docs.sparkSession)
     word_parts = partitions(docs)
@@ -262,8 +271,8 @@ def score(docs: DataFrame, k: int = 5, block_bytes: int = 16 << 20, pairs_a_part
     order = np.argsort(names[keep])
     hot, hot_count = names[keep][order], often[keep][order]
 
-    parts = max(word_parts, -(-total // pairs_a_part))
-    pairs = checkpoint(_pairs(blocks, counts, uni, hot, word_parts, parts))
+    parts = max(word_parts, -(-total // tokens_a_part))
+    pairs = _pairs(blocks, counts, uni, hot, word_parts, parts)
     sums = checkpoint(_evaluate(pairs, uni, hot, hot_count, parts, k))
     n, hot_m, hot_mass = np.zeros(k + 1, np.int64), np.zeros((len(hot), k), np.int64), np.zeros(len(hot))
     for r in sums.filter("block is null").select(*"abcd").toLocalIterator():
@@ -295,8 +304,6 @@ def score(docs: DataFrame, k: int = 5, block_bytes: int = 16 << 20, pairs_a_part
                 out[docs_.astype(np.int64)] += x
             yield pa.RecordBatch.from_arrays([pa.array(first["ids"], pa.int64()), pa.array(unpack(first["a"], np.bool_)), pa.array(lens), pa.array(known.astype(np.int64)), pa.array(np.full(len(lens), total, np.int64)), pa.array(base), pa.array(out)], names=["doc_id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    none = [F.lit(None).cast("binary").alias(x) for x in "efgh"]
-    left = pairs.filter("part is null").select("block", F.lit(0).alias("kind"), "ids", *"abcd", *none)
-    right = sums.filter("block is not null").select("block", F.lit(1).alias("kind"), F.lit(None).cast("array<long>").alias("ids"), *"abcdefgh")
-    both = left.union(right).repartition(partitions(docs), "block").sortWithinPartitions("block", "kind")
+    both = sums.filter("block is not null").withColumn("kind", F.when(F.col("ids").isNotNull(), 0).otherwise(1))
+    both = both.repartition(partitions(docs), "block").sortWithinPartitions("block", "kind")
     return both.mapInArrow(finish, "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

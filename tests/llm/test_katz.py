@@ -43,7 +43,7 @@ class Brute:
         if not c:
             return self.p1(w)
         total = sum(c.values())
-        den = total + 1 if total * katz.HOT >= self.n and h != "</s>" or min(c.values()) > self.k else total
+        den = total + 1 if total * katz.HOT >= self.n or min(c.values()) > self.k else total
         if c[w]:
             return self.disc(self.d2, c[w]) / den
         left = 1 - sum(self.disc(self.d2, x) for x in c.values() if x) / den
@@ -66,7 +66,7 @@ def corpus(n, vocab, seed):
 def test_scores_equal_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(katz, "HOT", hot)
     rows = corpus(200, 300, 4)
-    got = {r.doc_id: r for r in katz.score(spark.createDataFrame(rows, "doc_id long, text string, train boolean"), block_bytes=4000, pairs_a_part=500).collect()}
+    got = {r.doc_id: r for r in katz.score(spark.createDataFrame(rows, "doc_id long, text string, train boolean"), block_bytes=4000, tokens_a_part=500).collect()}
     b = Brute(rows, 5)
     assert len(got) == len(rows)
     for i, t, train in rows:
