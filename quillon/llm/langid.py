@@ -18,7 +18,6 @@ rows: each counts and is predicted.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -28,12 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import text as tx
-from quillon.llm.common import append
+from quillon.llm.common import append, checkpoint
 
 # Bytes of words: a-z after lower-casing, and all of non-ASCII.
 LETTERS = tx.ALNUM.copy()
 LETTERS[0x30:0x3A] = False
-ASCII_LETTER = re.compile(r"[A-Za-z]")
+# So many languages' row counts are broadcast; more are joined by a shuffle.
+MANY = 10_000
 
 
 def letter_words(texts: pa.Array) -> tx.Words:
@@ -75,7 +75,9 @@ class Model(NamedTuple):
 def fit(rows: DataFrame, max_rows: int = 2000, min_count: int = 3, longest: int = 5, penalty: float = 1.5, seed: int = 7) -> Model:
     """rows: doc_id, text, lang to learn from; null ones are left out.  Draws at most about max_rows a language by hash."""
     rows = rows.filter("text is not null and lang is not null").select("doc_id", "text", "lang")
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n_rows"))
+    sizes = checkpoint(rows.groupBy("lang").agg(F.count("*").alias("n_rows")))
+    if sizes.count() <= MANY:  # a row of two numbers for each language: no text is shuffled by language
+        sizes = F.broadcast(sizes)
     draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
     sample = rows.join(sizes, "lang").filter(draw < F.lit(float(max_rows)) / F.col("n_rows")).select("lang", "text")
 
