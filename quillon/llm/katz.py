@@ -39,7 +39,8 @@ from pyspark.sql import functions as F
 from quillon.llm import text as tx
 from quillon.llm.common import bounded_batches, checkpoint, pack, partitions, runs, unpack, unvarint, varint
 
-END, BEGIN = np.uint64(1), np.uint64(2)
+END = np.uint64(1)  # hash of the end
+UNSEEN, BEGIN, IDS = 0, 1, 2  # ids: of all unseen words, of the begin, and the first of words
 HOT = 2000  # contexts with 1/HOT of all tokens are dealt by pairs; there are HOT at most
 
 
@@ -76,7 +77,7 @@ class Unigram:
         return np.log10((c.astype(np.float64) + 1) / (self.total + self.kinds + 1))
 
 
-def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
+def _blocks(docs: DataFrame, block_bytes: int, parts: int) -> DataFrame:
     """A row for each block: ids, training marks, lengths, words as indexes, distinct words (by part, then hash) and their training counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,6 +93,10 @@ def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
                 at[ends] = False
                 toks[at], toks[ends] = h, END
                 u, inv = np.unique(toks, return_inverse=True)
+                order = np.argsort(u % np.uint64(parts), kind="stable")
+                place = np.empty(len(u), np.int64)
+                place[order] = np.arange(len(u))
+                u, inv = u[order], place[inv]
                 train = np.asarray(piece.column("train")).astype(bool)
                 seen = np.bincount(inv[np.repeat(train, n + 1)], minlength=len(u))
                 yield pa.RecordBatch.from_arrays(
@@ -104,17 +109,18 @@ def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
 
 
 def _count_words(blocks: DataFrame, parts: int, k: int) -> DataFrame:
-    """For each block and part the training counts of its words; for each part a row (block null) with its totals."""
+    """For each block and part the training counts and ids of its words; for each part a row (block null) with its totals.
+
+    Ids are small for frequent words: a word's rank by count within its part, times parts, plus the part.
+    """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, u, seen in zip(*(batch.column(c).to_pylist() for c in ("block", "u", "seen")), strict=True):
                 u, seen = unpack(u, np.uint64), unvarint(seen)
-                part = (u % np.uint64(parts)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                cut = np.searchsorted(part[order], np.arange(parts + 1))
+                cut = np.searchsorted((u % np.uint64(parts)).astype(np.int64), np.arange(parts + 1))
                 some = [p for p in range(parts) if cut[p] < cut[p + 1]]
-                rows = [order[cut[p] : cut[p + 1]] for p in some]
+                rows = [slice(cut[p], cut[p + 1]) for p in some]
                 yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([block] * len(some), pa.int64()), pa.array([pack(u[r]) for r in rows], pa.binary()), pa.array([varint(seen[r]) for r in rows], pa.binary())], names=["part", "block", "a", "b"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,37 +129,39 @@ def _count_words(blocks: DataFrame, parts: int, k: int) -> DataFrame:
             u, inv = np.unique(np.concatenate(words), return_inverse=True)
             c = np.bincount(inv, weights=np.concatenate([unvarint(r["b"]) for r in rows])).astype(np.int64)
             total, cut = int(c.sum()), np.cumsum([0, *map(len, words)])
-            out = [varint(c[inv[i:j]]) for i, j in zip(cut[:-1], cut[1:], strict=True)]
+            ids = np.empty(len(u), np.int64)
+            ids[np.lexsort((u, -c))] = np.arange(len(u))
+            ids = np.where(c > 0, ids * parts + part + IDS, UNSEEN)
+            out = [(varint(c[inv[i:j]]), varint(ids[inv[i:j]])) for i, j in zip(cut[:-1], cut[1:], strict=True)]
             n = np.bincount(np.minimum(c, k + 2), minlength=k + 3)[1 : k + 2]
-            hot = np.flatnonzero(c * HOT >= max(total, 1))
-            stats = pack(np.concatenate(([total, int((c > 0).sum())], n, u[hot].view(np.int64), c[hot])).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array([part] * (len(out) + 1), pa.int32()), pa.array([*(r["block"] for r in rows), None], pa.int64()), pa.array([*out, stats], pa.binary())], names=["part", "block", "a"])
+            hot = np.flatnonzero((c * HOT >= max(total, 1)) & (c > 0))
+            stats = pack(np.concatenate(([total, int((c > 0).sum()), int(c[u == END].sum())], n, ids[hot], c[hot])).astype(np.int64))
+            a, b = zip(*out, (stats, None), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array([part] * len(a), pa.int32()), pa.array([*(r["block"] for r in rows), None], pa.int64()), pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["part", "block", "a", "b"])
 
     dealt = blocks.select("block", "u", "seen").mapInArrow(deal, "part int, block long, a binary, b binary")
-    return dealt.repartition(parts, "part").sortWithinPartitions("part", "block").mapInArrow(count, "part int, block long, a binary")
+    return dealt.repartition(parts, "part").sortWithinPartitions("part", "block").mapInArrow(count, "part int, block long, a binary, b binary")
 
 
-def _pairs(blocks: DataFrame, counts: DataFrame, uni: Unigram, hot: np.ndarray, word_parts: int, parts: int) -> DataFrame:
+def _pairs(blocks: DataFrame, counts: DataFrame, uni: Unigram, hot: np.ndarray, parts: int) -> DataFrame:
     """For each block and part its pairs, and of each block a row with ids and what is known of its documents, dealt to some part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, rows in runs(batches, "block"):
             first = rows[0]
-            u, train, n = unpack(first["u"], np.uint64), unpack(first["train"], np.bool_), unvarint(first["lens"]).astype(np.int64)
+            train, n = unpack(first["train"], np.bool_), unvarint(first["lens"]).astype(np.int64)
             word = unvarint(first["toks"]).astype(np.int64)
-            c = np.zeros(len(u), np.int64)
-            part = (u % np.uint64(word_parts)).astype(np.int64)
-            c[np.argsort(part, kind="stable")] = np.concatenate([unvarint(r["a"]) for r in rows[1:]])
+            c, u = (np.concatenate([unvarint(r[x]) for r in rows[1:]]).astype(t) for x, t in (("a", np.int64), ("b", np.uint64)))
             doc = np.repeat(np.arange(len(n)), n)
             known = np.bincount(doc, weights=c[word] > 0, minlength=len(n))
             base = np.bincount(doc, weights=uni.base(c[word]), minlength=len(n))
             head = np.concatenate(([0], np.cumsum(n)[:-1]))
-            names = np.append(u, BEGIN)
+            names = np.append(u, np.uint64(BEGIN))
             ctx = np.empty(len(word), np.int64)
             ctx[1:] = word[:-1]
             ctx[head] = len(u)
-            is_hot = np.isin(names, hot)
-            to = np.where(is_hot[ctx], tx.mix(names[ctx] * np.uint64(3) + u[word]), tx.mix(names[ctx])) % np.uint64(parts)
+            spread = np.isin(names, hot) | (names == UNSEEN)
+            to = np.where(spread[ctx], tx.mix(names[ctx] * np.uint64(3) + u[word]), tx.mix(names[ctx])) % np.uint64(parts)
             key = (to.astype(np.int64) * len(names) + ctx) * len(u) + word
             order = np.argsort(key, kind="stable")
             key, doc, mark = key[order], doc[order], train[doc[order]]
@@ -167,14 +175,14 @@ def _pairs(blocks: DataFrame, counts: DataFrame, uni: Unigram, hot: np.ndarray,
                 s, e = at[i], at[j] if j < len(at) else len(key)
                 a = w1[i:j]
                 runs_at = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
-                out.append((p, pack(names[a[runs_at]]), varint(np.diff(np.append(runs_at, j - i))), pack(u[w2[i:j]]), varint(c[w2[i:j]]), varint(seen[i:j]) , pack_two(toks[i:j], doc[s:e])))
+                out.append((p, varint(names[a[runs_at]]), varint(np.diff(np.append(runs_at, j - i))), varint(u[w2[i:j]]), varint(c[w2[i:j]]), varint(seen[i:j]), pack_two(toks[i:j], doc[s:e])))
             ids = [first["ids"], *[None] * (len(out) - 1)]
             cols = list(zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array([block] * len(out), pa.int64()), pa.array(ids, pa.list_(pa.int64())), pa.array(cols[0], pa.int32()), *(pa.array(x, pa.binary()) for x in cols[1:])], names=["block", "ids", "part", "a", "b", "c", "d", "e", "f"])
 
-    left = blocks.select("block", F.lit(-1).alias("part"), "ids", "train", "lens", "toks", "u", F.lit(None).cast("binary").alias("a"))
+    left = blocks.select("block", F.lit(-1).alias("part"), "ids", "train", "lens", "toks", *(F.lit(None).cast("binary").alias(x) for x in "ab"))
     none = F.lit(None)
-    right = counts.filter("block is not null").select("block", "part", none.cast("array<long>").alias("ids"), *(none.cast("binary").alias(x) for x in ("train", "lens", "toks", "u")), "a")
+    right = counts.filter("block is not null").select("block", "part", none.cast("array<long>").alias("ids"), *(none.cast("binary").alias(x) for x in ("train", "lens", "toks")), "a", "b")
     both = left.union(right).repartition(partitions(blocks), "block").sortWithinPartitions("block", "part")
     return both.mapInArrow(run, "block long, ids array<long>, part int, a binary, b binary, c binary, d binary, e binary, f binary")
 
@@ -205,9 +213,9 @@ def _evaluate(pairs: DataFrame, uni: Unigram, hot: np.ndarray, hot_count: np.nda
             rows = [r for r in rows if r["ids"] is None]
             if not rows:
                 continue
-            ctx = [np.repeat(unpack(r["a"], np.uint64), unvarint(r["b"]).astype(np.int64)) for r in rows]
+            ctx = [np.repeat(unvarint(r["a"]), unvarint(r["b"]).astype(np.int64)) for r in rows]
             cut = np.cumsum([0, *map(len, ctx)])
-            w1, w2 = np.concatenate(ctx), np.concatenate([unpack(r["c"], np.uint64) for r in rows])
+            w1, w2 = np.concatenate(ctx), np.concatenate([unvarint(r["c"]) for r in rows])
             p = uni.p(np.concatenate([unvarint(r["d"]) for r in rows]))
             seen = np.concatenate([unvarint(r["e"]) for r in rows]).astype(np.int64)
             del ctx
@@ -250,29 +258,28 @@ def _evaluate(pairs: DataFrame, uni: Unigram, hot: np.ndarray, hot_count: np.nda
     return pairs.repartition(parts, "part").sortWithinPartitions("part", "block").mapInArrow(run, "block long, ids array<long>, a binary, b binary, c binary, d binary, e binary, f binary, g binary, h binary")
 
 
-def score(docs: DataFrame, k: int = 5, block_bytes: int = 8 << 20, tokens_a_part: int = 1_500_000) -> DataFrame:
+def score(docs: DataFrame, k: int = 5, block_bytes: int = 8 << 20, tokens_a_part: int = 3_000_000) -> DataFrame:
     """doc_id, train, n_tokens, n_known, train_tokens, base_score, score of each row of docs (doc_id long, text, train boolean: learn from it)."""
     bounded_batches(docs.sparkSession)
     word_parts = partitions(docs)
-    blocks = checkpoint(_blocks(docs, block_bytes))
+    blocks = checkpoint(_blocks(docs, block_bytes, word_parts))
     counts = checkpoint(_count_words(blocks, word_parts, k))
     stats = [unpack(r.a, np.int64) for r in counts.filter("block is null").select("a").toLocalIterator()]
     total, kinds = sum(int(s[0]) for s in stats), sum(int(s[1]) for s in stats)
-    uni = Unigram(total, kinds, sum((s[2 : k + 3] for s in stats), np.zeros(k + 1, np.int64)), k)
+    uni = Unigram(total, kinds, sum((s[3 : k + 4] for s in stats), np.zeros(k + 1, np.int64)), k)
     names, often = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for s in stats:
-        x = s[k + 3 :]
+        x = s[k + 4 :]
         names.append(x[: len(x) // 2].view(np.uint64))
         often.append(x[len(x) // 2 :])
     names, often = np.concatenate(names), np.concatenate(often)
-    ends = int(often[names == END].sum())  # as many texts begin as end
-    names, often = np.append(names[names != END], BEGIN), np.append(often[names != END], ends)
+    names, often = np.append(names, np.uint64(BEGIN)), np.append(often, sum(int(s[2]) for s in stats))  # as many texts begin as end
     keep = (often * HOT >= max(total, 1)) & (often > 0)
     order = np.argsort(names[keep])
     hot, hot_count = names[keep][order], often[keep][order]
 
     parts = max(word_parts, -(-total // tokens_a_part))
-    pairs = _pairs(blocks, counts, uni, hot, word_parts, parts)
+    pairs = _pairs(blocks, counts, uni, hot, parts)
     sums = checkpoint(_evaluate(pairs, uni, hot, hot_count, parts, k))
     n, hot_m, hot_mass = np.zeros(k + 1, np.int64), np.zeros((len(hot), k), np.int64), np.zeros(len(hot))
     for r in sums.filter("block is null").select(*"abcd").toLocalIterator():
