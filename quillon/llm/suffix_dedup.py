@@ -176,7 +176,7 @@ RANGES = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
 RANGES_DDL = "array<struct<lo: int, hi: int>>"
 
 
-def dedup(docs: DataFrame, length: int = 400, gram: int = 32, keep: list[str] | None = None, most: int = 2000, out: str = "") -> DataFrame:
+def dedup(docs: DataFrame, length: int = 400, gram: int = 32, keep: list[str] | None = None, most: int = 20_000, batch: int = 2000, out: str = "") -> DataFrame:
     """The columns keep of docs (all: None), n_bytes, n_removed, n_spans, kept_sha256; and kept, the remaining bytes (out "bytes") or their text without broken characters ("text")."""
     keep = docs.columns if keep is None else keep
     keyed = docs.withColumn("_key", F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("?")), F.lit(":"), F.coalesce("text", F.lit(""))).cast("binary"))))
@@ -217,11 +217,13 @@ def dedup(docs: DataFrame, length: int = 400, gram: int = 32, keep: list[str] |
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["bucket", "content", "copies", "kinds", "a", "region"])
 
     fetched = checkpoint(keyed.select("_key", "text").join(asked, "_key").dropDuplicates(["_key"]).select("text", "_asked").mapInArrow(fetch, "bucket long, content binary, copies long, kinds long, a int, region binary"))
-    marks = _constructed(fetched.filter(F.col("kinds") <= most), length, most).unionByName(_counted(fetched.filter(F.col("kinds") > most), length))
+    marks = _constructed(fetched.filter(F.col("kinds") <= most), length, batch).unionByName(_counted(fetched.filter(F.col("kinds") > most), length))
 
-    of = found.join(marks, ["bucket", "content"], "left")
-    spans = F.when(F.col("copies") > 1, F.array(F.struct(F.lit(0).alias("lo"), (F.col("n") - 1).alias("hi")))).otherwise(F.coalesce("marks", F.array().cast(RANGES_DDL)))
-    hit = of.select("_key", F.explode(F.transform(spans, lambda x: F.struct((x["lo"] + F.col("s0")).alias("lo"), (x["hi"] + F.col("s0")).alias("hi")))).alias("r"))
+    # a region that stands more than once repeats whole; only single ones, unique by content, meet the marks
+    whole_ = found.filter("copies > 1").select("_key", F.col("s0").alias("lo"), (F.col("s0") + F.col("n") - 1).alias("hi"))
+    single = found.filter("copies = 1").join(marks, ["bucket", "content"]).select("_key", "s0", F.explode("marks").alias("m"))
+    single = single.select("_key", (F.col("m.lo") + F.col("s0")).alias("lo"), (F.col("m.hi") + F.col("s0")).alias("hi"))
+    hit = whole_.union(single).select("_key", F.struct("lo", "hi").alias("r"))
     hit = hit.distinct().groupBy("_key").agg(F.collect_list("r").alias("_hit"))
 
     fields = "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + {"": "", "bytes": ", kept binary", "text": ", kept string"}[out]
@@ -267,7 +269,7 @@ def _append_hit(joined: DataFrame, fields: str, finish, keep: list[str]) -> Data
     return joined.select(*dict.fromkeys([*keep, "text", "_hit"])).mapInArrow(run, schema)
 
 
-def _constructed(fetched: DataFrame, length: int, most: int) -> DataFrame:
+def _constructed(fetched: DataFrame, length: int, batch_: int) -> DataFrame:
     """bucket, content, marks: repeated windows of each region that stands once, by the column-wise construction over chunks of equal core."""
     chunk = max(1, length // 6)
     core = length - chunk + 1
@@ -328,7 +330,7 @@ def _constructed(fetched: DataFrame, length: int, most: int) -> DataFrame:
                         held.append(now)
                         size += len(now)
                     now = []
-                    if size > most:
+                    if size > batch_:
                         yield flush()
                         held, size = [], 0
                 now.append(row)
