@@ -281,6 +281,7 @@ def score(docs: DataFrame, k: int = 5, block_bytes: int = 8 << 20, tokens_a_part
     parts = max(word_parts, -(-total // tokens_a_part))
     pairs = _pairs(blocks, counts, uni, hot, parts)
     sums = checkpoint(_evaluate(pairs, uni, hot, hot_count, parts, k))
+    del blocks, counts, pairs  # their files go with them
     n, hot_m, hot_mass = np.zeros(k + 1, np.int64), np.zeros((len(hot), k), np.int64), np.zeros(len(hot))
     for r in sums.filter("block is null").select(*"abcd").toLocalIterator():
         n += unvarint(r.a).astype(np.int64)

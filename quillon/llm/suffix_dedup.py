@@ -203,6 +203,7 @@ def dedup(docs: DataFrame, length: int = 400, gram: int = 32, keep: list[str] |
     kinds = kinds.withColumn("all", F.sum("copies").over(whole)).withColumn("kinds", F.count("*").over(whole)).withColumn("ones", F.min("copies").over(whole) == 1)
     kinds = checkpoint(kinds.filter("all > 1").select("bucket", "content", "copies", "kinds", (F.col("ones") & (F.col("kinds") > 1)).alias("open")))
     found = checkpoint(places.join(kinds, ["bucket", "content"]))
+    del packed, places, kinds  # their files go with them
 
     some = found.filter("open").dropDuplicates(["bucket", "content"])
     asked = some.groupBy("_key").agg(F.collect_list(F.struct("bucket", "content", "s0", "n", "a", "copies", "kinds")).alias("_asked"))
