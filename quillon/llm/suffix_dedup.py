@@ -218,7 +218,8 @@ def dedup(docs: DataFrame, length: int = 400, gram: int = 32, keep: list[str] |
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["bucket", "content", "copies", "kinds", "a", "region"])
 
     fetched = checkpoint(keyed.select("_key", "text").join(asked, "_key").dropDuplicates(["_key"]).select("text", "_asked").mapInArrow(fetch, "bucket long, content binary, copies long, kinds long, a int, region binary"))
-    marks = _constructed(fetched.filter(F.col("kinds") <= most), length, batch).unionByName(_counted(fetched.filter(F.col("kinds") > most), length))
+    marks = checkpoint(_constructed(fetched.filter(F.col("kinds") <= most), length, batch).unionByName(_counted(fetched.filter(F.col("kinds") > most), length)))
+    del fetched
 
     # a region that stands more than once repeats whole; only single ones, unique by content, meet the marks
     whole_ = found.filter("copies > 1").select("_key", F.col("s0").alias("lo"), (F.col("s0") + F.col("n") - 1).alias("hi"))
