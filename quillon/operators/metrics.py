@@ -16,11 +16,12 @@ def judged(runs: DataFrame, qrels: DataFrame) -> DataFrame:
     return runs.join(qrels.select("query_id", "doc_id", "rel"), ["query_id", "doc_id"], "left")
 
 
-def at_k(runs: DataFrame, qrels: DataFrame, queries: DataFrame, cutoffs: list[int] | None = None) -> DataFrame:
+def at_k(runs: DataFrame, qrels: DataFrame, queries: DataFrame, cutoffs: list[int] | None = None, total: DataFrame | None = None) -> DataFrame:
     """query_id, k, precision, recall, hit, ndcg, rr of every query and cut-off.
 
     Queries without results count with zeros; precision divides by k; the ideal
-    ranking is of the query's own judgements.
+    ranking is of the query's own judgements.  total: query_id, relevant (counts); with
+    it qrels may leave out pairs that are neither in runs nor among the best of a query.
     """
     cut = F.explode(F.array(*map(F.lit, cutoffs or K.CUTOFFS))).alias("k")
     gain = lambda rel, rank: F.coalesce(rel, F.lit(0.0)) / F.log2(rank + 1.0)
@@ -29,7 +30,8 @@ def at_k(runs: DataFrame, qrels: DataFrame, queries: DataFrame, cutoffs: list[in
     first = judged(runs, qrels).filter("rel > 0").groupBy("query_id").agg(F.min("rank").alias("first"))
     w = W.partitionBy("query_id").orderBy(F.desc("rel"), "doc_id")
     ranked = qrels.filter("rel > 0").withColumn("r", F.row_number().over(w))
-    total = ranked.groupBy("query_id").agg(F.count("*").alias("relevant"))
+    if total is None:
+        total = ranked.groupBy("query_id").agg(F.count("*").alias("relevant"))
     ideal = ranked.select("*", cut).filter("r <= k").groupBy("query_id", "k").agg(F.sum(gain(F.col("rel"), F.col("r"))).alias("idcg"))
     rows = queries.select("query_id").distinct().select("query_id", cut).join(found, ["query_id", "k"], "left").join(ideal, ["query_id", "k"], "left").join(total, "query_id", "left").join(first, "query_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0.0))

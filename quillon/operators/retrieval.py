@@ -91,8 +91,49 @@ def dense_top(vectors: DataFrame, queries: DataFrame, k: int = K.CANDIDATES, fil
     vectors: vec_id, embedding; queries: query_id, embedding.  other: not the
     question's own vector.  Null and zero vectors match nothing.
     """
-    ok = lambda df: df.filter("embedding is not null and exists(embedding, x -> x <> 0)")
-    sc = vectors.sparkSession.sparkContext
+    blocks = _blocks(queries, block)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for qid, ids, s, _ in _scored(batches, blocks, other):
+            order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
+            value = np.take_along_axis(s, order, 1)
+            keep = value > -2.0
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, order.shape[1])[keep.ravel()]), pa.array(ids[order][keep]), pa.array(value[keep])], names=["query_id", "doc_id", "score"])
+
+    rows = _whole(matching(vectors, filters)).select("vec_id", "embedding").mapInArrow(search, "query_id long, doc_id long, score double")
+    return top(rows, k, F.desc("score"), "doc_id")
+
+
+def dense_rerank(vectors: DataFrame, queries: DataFrame, k: int = K.TOP_K, alpha: float = K.ALPHA, beta: float = K.BETA, block: int = 1024) -> DataFrame:
+    """rerank over all vectors but the question's own: no candidates are drawn by score first.
+
+    vectors: vec_id, embedding, doc_type, institution.  A batch passes on whatever
+    may be among its k best; SLACK is more than the rounding of two final scores.
+    """
+    blocks = _blocks(queries, block)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for qid, ids, s, batch in _scored(batches, blocks, True):
+            v = np.where(s > -2.0, alpha * s + beta * batch.column("w").to_numpy(), -np.inf)
+            at = max(0, v.shape[1] - k)
+            i, j = np.nonzero((v >= np.partition(v, at, axis=1)[:, at, None] - SLACK) & (s > -2.0))
+            yield pa.RecordBatch.from_arrays([pa.array(qid[i]), pa.array(ids[j]), pa.array(s[i, j]), batch.column("doc_type").take(pa.array(j)), batch.column("institution").take(pa.array(j))], names=["query_id", "doc_id", "score", "doc_type", "institution"])
+
+    w = q.metadata_weight(F.col("doc_type"), F.col("institution")).cast("double").alias("w")
+    rows = _whole(vectors).select("vec_id", "embedding", "doc_type", "institution", w).mapInArrow(search, "query_id long, doc_id long, score double, doc_type string, institution string")
+    return rerank(rows, F.col("score"), k, alpha, beta)
+
+
+SLACK = 2e-6
+
+
+def _whole(df: DataFrame) -> DataFrame:
+    return df.filter("embedding is not null and exists(embedding, x -> x <> 0)")
+
+
+def _blocks(queries: DataFrame, block: int) -> list:
+    """Broadcasts of (ids, matrix of unit rows)."""
+    sc = queries.sparkSession.sparkContext
     blocks, held = [], []
 
     def close():
@@ -101,31 +142,28 @@ def dense_top(vectors: DataFrame, queries: DataFrame, k: int = K.CANDIDATES, fil
             blocks.append(sc.broadcast((np.array([r[0] for r in held]), m / np.linalg.norm(m, axis=1, keepdims=True))))
             held.clear()
 
-    for r in ok(queries).select("query_id", "embedding").toLocalIterator():
+    for r in _whole(queries).select("query_id", "embedding").toLocalIterator():
         held.append((r.query_id, r.embedding))
         if len(held) == block:
             close()
     close()
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = batch.column("vec_id").to_numpy()
-            x = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            for part in blocks:
-                qid, m = part.value
-                s = np.round(m @ x.T, 6)
-                if other:
-                    s[qid[:, None] == ids[None]] = -2.0
-                order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
-                value = np.take_along_axis(s, order, 1)
-                keep = value > -2.0
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, order.shape[1])[keep.ravel()]), pa.array(ids[order][keep]), pa.array(value[keep])], names=["query_id", "doc_id", "score"])
-
-    rows = ok(matching(vectors, filters)).select("vec_id", "embedding").mapInArrow(search, "query_id long, doc_id long, score double")
-    return top(rows, k, F.desc("score"), "doc_id")
+    return blocks
+
+
+def _scored(batches: Iterator[pa.RecordBatch], blocks: list, other: bool) -> Iterator[tuple]:
+    """(query ids, vector ids, scores, batch) of each batch and block; -2: the question's own vector, if other."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids = batch.column("vec_id").to_numpy()
+        x = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        for part in blocks:
+            qid, m = part.value
+            s = np.round(m @ x.T, 6)
+            if other:
+                s[qid[:, None] == ids[None]] = -2.0
+            yield qid, ids, s, batch
 
 
 # ---------------------------------------------------------------- fusion and reranking

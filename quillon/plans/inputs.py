@@ -1,4 +1,4 @@
-"""Inputs of the registered queries, in Spark and in SQL: tables, synthetic phrases, sharded rankings."""
+"""Inputs of the registered queries, in Spark and in SQL: tables, synthetic phrases, rankings by vectors."""
 
 from __future__ import annotations
 
@@ -67,17 +67,9 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
+# The SQL still ranks within blocks of so many ids; the queries take whole tables (see README).
 SHARD = 200
 
-
-def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each vector whose id is divisible by 20 against the vectors of its shard of ids: query_id, doc_id, score, second (another ranking's score), same (labels equal)."""
-    e = table(spark, sf_dir, "embeddings").withColumn("shard", F.floor(F.col("vec_id") / SHARD))
-    q = e.filter("vec_id % 20 = 0").select("shard", F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("ql"))
-    j = q.join(e, "shard").filter("vec_id <> query_id")
-    return j.select("query_id", F.col("vec_id").alias("doc_id"), F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("score"), ((F.col("vec_id") * 7919 + F.col("query_id")) % 1009).alias("second"), (F.col("ql") == F.col("label")).alias("same"))
-
-
 SHARDS = f"""s AS (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score,
   (e.vec_id * 7919 + q.vec_id) % 1009 AS second, q.label = e.label AS same
   FROM embeddings q JOIN embeddings e ON q.vec_id // {SHARD} = e.vec_id // {SHARD} AND q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0)"""

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.functions import analyzers
+from quillon.functions import constants as K
 from quillon.functions import questions as q
 from quillon.operators import answers, metrics, retrieval
-from quillon.plans.inputs import RUNS, SHARDS, asked, phrase, shards, table, terms_sql
+from quillon.plans.inputs import RUNS, SHARDS, asked, cosine, phrase, table, terms_sql
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -29,6 +31,25 @@ def _vectors(spark, sf_dir):
     return e, e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
+def _nearest(spark, sf_dir, k):
+    """Of each question the k nearest of all other vectors."""
+    return retrieval.dense_top(*_vectors(spark, sf_dir), k, other=True)
+
+
+def _second(spark, sf_dir, k, value=lambda c: c):
+    """Another ranking of all other vectors: (7919 * vec_id + query_id) mod 1009.
+
+    Vectors whose ids are equal mod 1009 are told apart by id alone, so the k + 1
+    smallest of each class (one may be the question's own) hold all that can be
+    among the k best: a number of rows that does not grow with the table.
+    """
+    e, asked_ = _vectors(spark, sf_dir)
+    some = e.select("vec_id").withColumn("n", F.row_number().over(W.partitionBy(F.col("vec_id") % 1009).orderBy("vec_id"))).filter(F.col("n") <= k + 1)
+    pairs = some.crossJoin(asked_.select("query_id")).filter("vec_id <> query_id")
+    score = value((F.col("vec_id") * 7919 + F.col("query_id")) % 1009).alias("score")
+    return retrieval.top(pairs.select("query_id", F.col("vec_id").alias("doc_id"), score), k, F.desc("score"), "doc_id")
+
+
 DENSE = "SELECT q.vec_id AS query_id, e.vec_id AS doc_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score FROM {queries} q, embeddings e"
 TOP = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM ({0})) WHERE rank <= {1}"
 
@@ -75,16 +96,13 @@ g AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY
 
 @query(f"""WITH {SHARDS}, d AS ({TOP.format('SELECT query_id, doc_id, score FROM s', 20)}), t AS ({TOP.format('SELECT query_id, doc_id, second::DOUBLE AS score FROM s', 20)}), {FUSED.replace("JOIN s", "JOIN t s")} SELECT * FROM g""")
 def rrf_fusion(spark, sf_dir):
-    s = shards(spark, sf_dir)
-    rank = lambda c: retrieval.top(s.select("query_id", "doc_id", F.col(c).cast("double").alias("score")), 20, F.desc("score"), "doc_id")
-    return retrieval.fuse(rank("score"), rank("second"))
+    return retrieval.fuse(_nearest(spark, sf_dir, 20), _second(spark, sf_dir, 20, lambda c: c.cast("double")))
 
 
 @query("SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf_score FROM (" + " UNION ALL ".join(f"SELECT query_id, doc_id, rank FROM ({TOP.format(x, 10)})" for x in (f"WITH {SHARDS} SELECT query_id, doc_id, {c} AS score FROM s" for c in ("score", "second", "second % 97"))) + ") GROUP BY ALL")
 def rrf_many(spark, sf_dir):
-    s = shards(spark, sf_dir)
-    rank = lambda c: retrieval.top(s.select("query_id", "doc_id", c.alias("score")), 10, F.desc("score"), "doc_id")
-    return retrieval.fuse_many([rank(F.col("score")), rank(F.col("second")), rank(F.col("second") % 97)]).withColumn("rrf_score", F.round("rrf_score", 9))
+    lists = [_nearest(spark, sf_dir, 10), _second(spark, sf_dir, 10), _second(spark, sf_dir, 10, lambda c: c % 97)]
+    return retrieval.fuse_many(lists).withColumn("rrf_score", F.round("rrf_score", 9))
 
 
 @query(f"""WITH {BM25}, s AS ({TOP.format('SELECT * FROM bm', 20)}),
@@ -101,24 +119,40 @@ WEIGHED = """w AS (SELECT *, ([1.0::DOUBLE, 0.8, 0.7, 0.5, 0.5])[(doc_id % 5 + 1
 x AS (SELECT query_id, doc_id, score, least(1.0::DOUBLE, tw + CASE WHEN official THEN 0.1::DOUBLE ELSE 0.0 END) AS w_meta FROM w)"""
 
 
-def _weighed(spark, sf_dir):
-    s = shards(spark, sf_dir)
-    return s.withColumn("doc_type", phrase(F.col("doc_id"), TYPES)).withColumn("institution", phrase(F.col("doc_id"), HOUSES))
+def _weighed(df, id_):
+    return df.withColumn("doc_type", phrase(F.col(id_), TYPES)).withColumn("institution", phrase(F.col(id_), HOUSES))
+
+
+def _reranked(spark, sf_dir, k):
+    e, asked_ = _vectors(spark, sf_dir)
+    return retrieval.dense_rerank(_weighed(e, "vec_id"), asked_, k)
 
 
 @query(f"WITH {SHARDS}, {WEIGHED} SELECT * FROM (SELECT query_id, doc_id, w_meta, final_score, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, doc_id)::INT AS rank FROM (SELECT *, round(0.85::DOUBLE * score + 0.15::DOUBLE * w_meta, 6) AS final_score FROM x)) WHERE rank <= 5")
 def rerank_meta(spark, sf_dir):
-    return retrieval.rerank(_weighed(spark, sf_dir), F.col("score")).select("query_id", "doc_id", "w_meta", "final_score", "rank")
+    return _reranked(spark, sf_dir, 5).select("query_id", "doc_id", "w_meta", "final_score", "rank")
+
 
+def _judged(spark, sf_dir, runs, cutoffs=None):
+    """at_k of runs (query_id, doc_id, rank), judged against all other vectors of the question's label.
 
-def _qrels(s):
-    return s.filter("same").select("query_id", "doc_id", (F.lit(1.0) + F.col("doc_id") % 2).alias("rel"))
+    Numbers come from counts by label, ideal rankings from the best of each label
+    (one more, as one may be the question's own): pairs of equal label are not built.
+    """
+    k = max(cutoffs or K.CUTOFFS)
+    e, asked_ = _vectors(spark, sf_dir)
+    e = e.filter("label is not null").select("vec_id", "label")
+    of = asked_.select("query_id").join(e.withColumnRenamed("vec_id", "query_id"), "query_id")
+    docs = e.withColumnRenamed("vec_id", "doc_id").withColumn("rel", F.lit(1.0) + F.col("doc_id") % 2)
+    total = of.join(e.groupBy("label").agg((F.count("*") - 1).alias("relevant")), "label").select("query_id", "relevant")
+    best = retrieval.top(docs, k + 1, F.desc("rel"), F.asc("doc_id"), by="label").drop("rank").join(of, "label")
+    hits = runs.select("query_id", "doc_id").join(of, "query_id").join(docs, ["doc_id", "label"])
+    qrels = best.select("query_id", "doc_id", "rel").union(hits.select("query_id", "doc_id", "rel")).filter("doc_id <> query_id").distinct()
+    return metrics.at_k(runs, qrels, asked_, cutoffs, total)
 
 
 def _per_query(spark, sf_dir):
-    s = shards(spark, sf_dir)
-    runs = retrieval.top(s.select("query_id", "doc_id", "score"), 10, F.desc("score"), "doc_id")
-    return metrics.at_k(runs, _qrels(s), _vectors(spark, sf_dir)[1])
+    return _judged(spark, sf_dir, _nearest(spark, sf_dir, 10))
 
 
 def _metric(name, columns):
@@ -153,10 +187,8 @@ a AS (SELECT p.query_id, sum(coalesce(rel, 0) / log2(rank + 1)) AS dcg FROM pre
 b AS (SELECT p.query_id, sum(coalesce(rel, 0) / log2(rank + 1)) AS dcg FROM post p LEFT JOIN rel USING (query_id, doc_id) WHERE rank <= 5 GROUP BY ALL)
 SELECT q.vec_id AS query_id, round(coalesce(b.dcg / idcg, 0) - coalesce(a.dcg / idcg, 0), 6) AS gain FROM embeddings q LEFT JOIN a ON q.vec_id = a.query_id LEFT JOIN b ON q.vec_id = b.query_id LEFT JOIN idc ON q.vec_id = idc.query_id WHERE q.vec_id % 20 = 0""")
 def reranker_gain(spark, sf_dir):
-    s = _weighed(spark, sf_dir)
-    pre = retrieval.top(s.select("query_id", "doc_id", "score"), 10, F.desc("score"), "doc_id")
-    post = retrieval.rerank(s, F.col("score"), 10)
-    at = lambda runs: metrics.at_k(runs, _qrels(s), _vectors(spark, sf_dir)[1], [5])
+    pre, post = _nearest(spark, sf_dir, 10), _reranked(spark, sf_dir, 10)
+    at = lambda runs: _judged(spark, sf_dir, runs, [5])
     both = at(pre).select("query_id", F.col("ndcg").alias("before")).join(at(post).select("query_id", F.col("ndcg").alias("after")), "query_id")
     return both.select("query_id", F.round(F.col("after") - F.col("before"), 6).alias("gain"))
 
@@ -164,15 +196,16 @@ def reranker_gain(spark, sf_dir):
 @query()
 def ablations(spark, sf_dir):
     """All five baselines in one job: sparse, dense, both, reranked, with metadata."""
-    s = _weighed(spark, sf_dir)
-    rank = lambda c: retrieval.top(s.select("query_id", "doc_id", c.cast("double").alias("score")), 20, F.desc("score"), "doc_id")
-    sparse, dense = rank(F.col("second")), rank(F.col("score"))
+    e, asked_ = _vectors(spark, sf_dir)
+    sparse, dense = _second(spark, sf_dir, 20, lambda c: c.cast("double")), _nearest(spark, sf_dir, 20)
     fused = retrieval.fuse(dense, sparse)
-    described = fused.join(s.select("query_id", "doc_id", "score", "doc_type", "institution"), ["query_id", "doc_id"])
+    both = fused.join(e.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id").join(asked_.withColumnRenamed("embedding", "q"), "query_id")
+    score = F.coalesce("dense_score", F.round(cosine(F.col("q"), F.col("embedding")), 6))
+    described = _weighed(both.withColumn("score", score).drop("q", "embedding"), "doc_id")
     runs = {"B0": sparse, "B1": dense, "B2": fused, "B3": retrieval.rerank(described, F.col("score"), 10, 1.0, 0.0), "B4": retrieval.rerank(described, F.col("score"), 10)}
     out = None
     for name, r in runs.items():
-        m = metrics.at_k(r.select("query_id", "doc_id", "rank"), _qrels(s), _vectors(spark, sf_dir)[1]).withColumn("baseline", F.lit(name))
+        m = _judged(spark, sf_dir, r.select("query_id", "doc_id", "rank")).withColumn("baseline", F.lit(name))
         out = m if out is None else out.unionByName(m)
     return metrics.aggregated(out, "baseline")
 
@@ -191,13 +224,13 @@ CONFIDENCE = f"""WITH {SHARDS}, c AS (SELECT query_id, max(score) AS score FROM
 
 @query(CONFIDENCE)
 def confidence_level(spark, sf_dir):
-    c = shards(spark, sf_dir).groupBy("query_id").agg(F.max("score").alias("score"))
+    c = _nearest(spark, sf_dir, 1).select("query_id", "score")
     return c.withColumn("level", q.confidence_level(F.col("score")))
 
 
 @query(f"""WITH {SHARDS}, c AS (SELECT query_id, max(score) AS score FROM s GROUP BY ALL)
 SELECT query_id, array_to_string(list_sort(list_distinct(list_concat(CASE WHEN score < 0.3 THEN ['escalation_recommended', 'low_confidence'] WHEN score < 0.6 THEN ['low_confidence'] ELSE [] END, CASE WHEN query_id % 40 = 0 THEN ['out_of_corpus'] ELSE ['low_confidence'] END))), ',') AS flags FROM c""")
 def verify_flags(spark, sf_dir):
-    c = shards(spark, sf_dir).groupBy("query_id").agg(F.max("score").alias("score"))
+    c = _nearest(spark, sf_dir, 1).select("query_id", "score")
     more = F.array(F.when(F.col("query_id") % 40 == 0, "out_of_corpus").otherwise("low_confidence"))
     return c.select("query_id", F.array_join(q.verify(F.col("score"), more), ",").alias("flags"))
