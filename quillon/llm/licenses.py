@@ -1,11 +1,12 @@
 """License scanning with a positional rare-token index, in DataFrame functions only.
 
 Templates are short licence notices.  Their rare words (those of few templates)
-make an inverted index with positions.  Each file looks up its highest-IDF
-licence words (IDF over all files); every occurrence votes, through the postings,
-for the place at which the template would begin in the file; a template whose
-rare words agree on one place is verified by its mandatory key phrase standing
-at its expected words.  Phrases of the base list are found wherever their words
+make an inverted index with positions.  For each template whose key phrase stands
+in it a file looks up the highest-IDF words that it shares with the template (IDF
+over all files), so that notices of one file take no words from each other; every
+occurrence votes, through the postings, for the place at which the template would
+begin in the file; a template whose rare words agree on one place is verified by
+its mandatory key phrase standing at its expected words.  Phrases of the base list are found wherever their words
 stand consecutively.
 
 Null or empty text: no words, no labels, score 0.  Repeated files: each is
@@ -87,7 +88,7 @@ def _begins(words: Column, template: int) -> Column:
 def scan(docs: DataFrame, rarest: int = 8, agree: float = 0.6) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    rarest: so many of a file's licence words, those of the highest IDF, are looked up.
+    rarest: so many of a file's words, those of the highest IDF, are looked up for each template.
     agree: share of those of a template's rare words that the file's look-up can hit which must agree on a place.
     score: the largest such share, 1 at a base phrase, 0 without labels.
     """
@@ -111,11 +112,14 @@ def scan(docs: DataFrame, rarest: int = 8, agree: float = 0.6) -> DataFrame:
     hit = table.filter("size(hits) > 0 and size(keys) > 0").select("row", "keys", F.explode("hits").alias("h")).select("row", "keys", "h.at", "h.word")
     words = table.filter("size(hits) > 0").select("row", F.explode(F.array_distinct(F.col("hits.word"))).alias("word"))
     df = words.groupBy("word").agg(F.count("*").alias("df"))  # as many rows as the index has words
-    ranked = words.join(F.broadcast(df), "word").withColumn("rank", F.row_number().over(W.partitionBy("row").orderBy("df", "word"))).filter(F.col("rank") <= rarest).select("row", "word")
     post = F.broadcast(spark.createDataFrame(postings, "word string, template int, position int"))
+    known = F.broadcast(spark.createDataFrame(sorted({(w, k) for w, k, _ in postings}), "word string, template int"))
+    keyed = table.filter("size(hits) > 0 and size(keys) > 0").select("row", F.col("keys.template").alias("keyed"), F.explode(F.array_distinct(F.col("hits.word"))).alias("word"))
+    shared = keyed.join(F.broadcast(df), "word").join(known, "word").filter(F.array_contains("keyed", F.col("template")))
+    ranked = shared.withColumn("rank", F.row_number().over(W.partitionBy("row", "template").orderBy("df", "word"))).filter(F.col("rank") <= rarest).select("row", "template", "word")
     votes = (
         hit.join(ranked, ["row", "word"])
-        .join(post, "word")
+        .join(post, ["word", "template"])
         .withColumn("begin", F.col("at") - F.col("position"))
         .filter(F.exists("keys", lambda k: (k["template"] == F.col("template")) & F.array_contains(k["begin"], F.col("begin"))))
         .groupBy("row", "template", "begin")

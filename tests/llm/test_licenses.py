@@ -39,3 +39,14 @@ def test_empty_table_repeats_and_clashing_columns(spark):
     assert licenses.scan(spark.createDataFrame([], schema)).collect() == []
     got = licenses.scan(spark.createDataFrame([(1, "MIT License", "x", 1, "k")] * 2 + [(None, None, None, None, None)], schema)).collect()
     assert sorted((r.doc_id or 0, r.n_base) for r in got) == [(0, 0), (1, 1), (1, 1)]
+
+
+def test_notices_of_one_file_are_all_found(spark):
+    notices = licenses.TEMPLATES
+    pairs = [(a, b) for a in range(len(notices)) for b in range(len(notices)) if a != b]
+    rows = [(i, f"{notices[a][2]} -- {notices[b][2]}") for i, (a, b) in enumerate(pairs)]
+    rows.append((len(pairs), " ... ".join(n for _, _, n in notices)))
+    got = {r.doc_id: set(r.labels.split(",")) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (a, b) in enumerate(pairs):
+        assert {notices[a][0], notices[b][0]} <= got[i]
+    assert got[len(pairs)] >= {label for label, _, _ in notices}
