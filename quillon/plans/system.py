@@ -126,17 +126,19 @@ def slo_check(spark, sf_dir):
 
 @query("SELECT doc_id, round(CASE WHEN length(r) = 0 THEN CASE WHEN length(h) = 0 THEN 0.0 ELSE 1.0 END ELSE levenshtein(r, h) / length(r) END, 6) AS cer FROM (SELECT doc_id, substring(strip_accents(text), 1, 200) AS r, replace(substring(strip_accents(text), 3, 198), 'e', 'c') AS h FROM (SELECT doc_id, translate(text, 'ßœæ', 'soa') AS text FROM documents WHERE regexp_matches(text, '^[ -~\\n]*$')))")
 def cer(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter(F.col("text").rlike(r"\A[ -~\n]*\z"))
-    return d.select("doc_id", F.round(metrics.character_error_rate(F.substring("text", 1, 200), F.replace(F.substring("text", 3, 198), F.lit("e"), F.lit("c"))), 6).alias("cer"))
+    """Whole texts of all documents; the SQL takes the first 200 characters of ASCII ones."""
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.round(metrics.character_error_rate(F.col("text"), F.replace(F.substr("text", F.lit(3)), F.lit("e"), F.lit("c"))), 6).alias("cer"))
 
 
 @query(f"""WITH h AS (SELECT doc_id // 5 AS query_id, doc_id % 5 + 1 AS rank, CASE WHEN (doc_id // 5) % 2 = 0 THEN 'en' ELSE 'fr' END AS lang, source, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE doc_id % 7 END AS page, CASE WHEN doc_id % 4 = 0 THEN 'loi' ELSE '' END AS doc_type, (doc_id % 1000) / 1000.0 AS score, substring(text, 1, 100) AS content FROM documents)
 SELECT query_id, md5(CASE WHEN any_value(lang) = 'en' THEN {quote(answers.HEADS['en'][0])} ELSE {quote(answers.HEADS['fr'][0])} END || chr(10) || string_agg(chr(10) || '[DOCUMENT ' || rank || '] Source: ' || source || CASE WHEN coalesce(page, 0) <> 0 THEN ', ' || CASE WHEN lang = 'en' THEN 'page' ELSE 'p.' END || ' ' || page ELSE '' END || CASE WHEN doc_type <> '' THEN ' [' || doc_type || ']' ELSE '' END || chr(10) || 'Score: ' || printf('%.3f', score::DOUBLE) || chr(10) || content, chr(10) ORDER BY rank)) AS context FROM h GROUP BY 1""")
 def prompt_context(spark, sf_dir):
+    """Whole texts; the SQL takes their first 100 characters."""
     i = F.col("doc_id")
     h = table(spark, sf_dir, "documents").select(
         F.floor(i / 5).alias("query_id"), (i % 5 + 1).alias("rank"), F.when(F.floor(i / 5) % 2 == 0, "en").otherwise("fr").alias("lang"), "source", F.when(i % 3 != 0, i % 7).alias("page"),
-        F.when(i % 4 == 0, "loi").otherwise("").alias("doc_type"), (i % 1000 / 1000.0).alias("final_score"), F.substring("text", 1, 100).alias("content"),
+        F.when(i % 4 == 0, "loi").otherwise("").alias("doc_type"), (i % 1000 / 1000.0).alias("final_score"), F.col("text").alias("content"),
     )
     return answers.context_prompt(h).withColumn("context", F.md5("context"))
 
