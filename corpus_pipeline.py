@@ -7,6 +7,7 @@ kept; all but the last return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.llm import decontaminate, langid, minhash, mixing, suffix_dedup
@@ -14,6 +15,7 @@ from quillon.llm.common import checkpoint, table
 
 LEAST_POSTERIOR = 0.3  # under this share no language is told from the others
 PASSAGE_BYTES = 250  # some forty words
+ROW = "_row"  # key of a row within a stage
 HIT_WORDS = 50  # longer benchmark passages go whatever their share
 
 
@@ -25,9 +27,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the document with the smallest id stays."""
-    gone = minhash.near_duplicates(docs).filter("doc_id is not null and not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8) one row stays: that of the smallest id, null ids last.
+
+    Rows, not ids, are grouped, so repeated and null ids count like others.  Row
+    keys need docs that read the same each time: the pipeline checkpoints them.
+    """
+    keyed = docs.withColumn(ROW, F.monotonically_increasing_id())
+    found = minhash.near_duplicates(keyed.select(F.col(ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(ROW), "component_id")
+    first = W.partitionBy("component_id").orderBy(F.asc_nulls_last("doc_id"), ROW)
+    gone = found.join(keyed.select(ROW, "doc_id"), ROW).withColumn("n", F.row_number().over(first)).filter("n > 1").select(ROW)
+    return keyed.join(gone, ROW, "left_anti").select(docs.columns)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

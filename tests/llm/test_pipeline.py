@@ -61,3 +61,17 @@ def test_stages_equal_brute_force(spark, tmp_path):
     want = test_mixing.brute([(r.doc_id, r.text, r.source) for r in clean])
     assert {r.doc_id: (r.size, r.taken) for r in mixed} == {i: x for i, x in want.items() if x[1]}
     assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect())) == sorted(map(tuple, mixed))
+
+
+def test_one_row_of_each_group_stays_whatever_its_id(spark, tmp_path):
+    r = random.Random(9)
+    texts = [" ".join("".join(r.choices("abcdefgh", k=6)) for _ in range(60)) for _ in range(4)]
+    ids = [(7, 0), (7, 0), (None, 1), (None, 1), (None, 2), (5, 2), (9, 2), (3, 3), (3, 0)]  # id 3: two texts
+    rows = [(i, texts[t], "en", "a", len(texts[t])) for i, t in ids]
+    path = f"{tmp_path}/d.parquet"
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(path)
+    near = corpus_pipeline.checkpoint(corpus_pipeline.near_dedup(spark, spark.read.parquet(path), str(tmp_path)))
+    want = sorted([(3, texts[0]), (0, texts[1]), (5, texts[2]), (3, texts[3])])
+    assert sorted((x.doc_id or 0, x.text) for x in near.collect()) == want
+    left = corpus_pipeline.suffix_array_dedup(spark, near, str(tmp_path))
+    assert sorted((x.doc_id or 0, x.text) for x in left.collect()) == want
