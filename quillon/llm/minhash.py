@@ -1,10 +1,10 @@
-"""Near-duplicate detection with a MinHash LSH forest.
+"""Near-duplicate detection with MinHash LSH in trees of fixed depth.
 
 Documents with equal shingle sets form a class, and classes are compared.  A
 class has a MinHash signature; each tree sorts the classes by another stretch of
 it.  Regions that share the first ``head`` values of a tree are candidates: small
-regions whole, larger ones by depth, each class with its neighbours by longest
-common prefix.  A candidate whose signatures agree enough is confirmed on the
+regions whole, larger ones each class with its neighbours in the order of the one
+value beyond the head (depth is fixed, no region is split further).  A candidate whose signatures agree enough is confirmed on the
 full shingle sets; first one smaller partner for each class, then whatever lies
 across the components found.  Large regions that still hold several components
 are compared across components, block by block, so their neighbour lists lose nothing.
