@@ -45,7 +45,7 @@ def crc_bucket(column: str, m: int) -> F.Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % m
 
 
-def append(df: DataFrame, fields: str, make: Callable[[pa.RecordBatch], list[pa.Array]], keep: list[str], column: str = "text", limit: int = 8 << 20) -> DataFrame:
+def append(df: DataFrame, fields: str, make: Callable[[pa.RecordBatch], list[pa.Array]], keep: list[str], column: str = "text", limit: int = tx.PIECE) -> DataFrame:
     """mapInArrow: of each row the columns keep and what make adds (fields, as DDL); make gets pieces of about limit bytes of text.
 
     An input column with the name of an added one gives way to it.

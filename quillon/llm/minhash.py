@@ -82,7 +82,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
         sig = signatures(h, first, n, seed)
         return [pa.array(np.diff(first).astype(np.int64)), pa.array(_set_key(h, first), pa.binary()), pa.array([r.tobytes() for r in sig], pa.binary())]
 
-    signed = checkpoint(append(docs, "n_shingles long, set_key binary, sig binary", sign, ["doc_id"], limit=4 << 20))
+    signed = checkpoint(append(docs, "n_shingles long, set_key binary, sig binary", sign, ["doc_id"]))
     whole = signed.filter("set_key is not null and doc_id is not null")
     classes = checkpoint(whole.groupBy("set_key").agg(F.min("doc_id").alias("rep")))
     reps = whole.join(classes.select(F.col("rep").alias("doc_id"), "set_key"), ["doc_id", "set_key"], "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "n_shingles", "sig")

@@ -57,6 +57,14 @@ def regions(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
     n = len(data)
     if n < length:
         return np.zeros(0, REGION), np.zeros(len(offsets), np.int64)
+    if n > 2 * tx.PIECE and len(offsets) == 2:  # a very long text: windows that start in one piece after another; a region may end at a border
+        parts = []
+        for at in range(0, n - length + 1, tx.PIECE):
+            part = regions(data[at : at + tx.PIECE + length - 1], np.array([0, min(tx.PIECE + length - 1, n - at)]), length, gram)[0]
+            part["s0"] += np.uint32(at)
+            parts.append(part)
+        out = np.concatenate(parts)
+        return out, np.array([0, len(out)])
     with np.errstate(over="ignore"):
         full = gram_hashes(data, gram)
     packed = (full >> np.uint64(32) << np.uint64(32)) | np.arange(len(full), dtype=np.uint64)

@@ -25,16 +25,19 @@ LOWER[0x41:0x5B] += 0x20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _SEED = np.random.default_rng(20240117).integers(1, 1 << 63, 256, dtype=np.uint64)
+PIECE = 1 << 20  # bytes of text that are worked on at once, as far as texts are shorter
 _powers: dict[str, np.ndarray] = {}
 
 
 def _power_table(name: str, base: int, n: int) -> np.ndarray:
+    """At least n powers of base; tables of more than two pieces are not kept."""
     have = _powers.get(name)
     if have is None or len(have) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        have = np.full(size, base, dtype=np.uint64)
+        have = np.full(max(n, 2 * PIECE) if n > PIECE else 1 << max(16, int(n - 1).bit_length()), base, dtype=np.uint64)
         have[0] = 1
-        _powers[name] = have = np.multiply.accumulate(have)
+        have = np.multiply.accumulate(have)
+        if len(have) <= 2 * PIECE:
+            _powers[name] = have
     return have
 
 
@@ -91,10 +94,18 @@ def words(texts: pa.Array, inside: np.ndarray = SPACES) -> Words:
 
 
 def spans_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[start:end] for many spans."""
+    """64-bit hashes of data[start:end] for many spans; long data is gone through by pieces."""
     n = len(data)
     if not len(start):
         return np.zeros(0, np.uint64)
+    if n > 2 * PIECE and int(start.max()) >= PIECE:
+        out = np.empty(len(start), np.uint64)
+        piece = start // PIECE
+        for p in np.unique(piece):
+            of = np.flatnonzero(piece == p)
+            a, b = int(start[of].min()), int(end[of].max())
+            out[of] = spans_hash(data[a:b], start[of] - a, end[of] - a)
+        return out
     inv, pw = _power_table("inv", _INVERSE, n + 1), _power_table("pw", _BASE, n + 1)
     s = np.zeros(n + 1, np.uint64)
     np.cumsum(_SEED[data] * inv[:n], out=s[1:])
@@ -105,7 +116,7 @@ def word_hashes(w: Words) -> np.ndarray:
     return spans_hash(w.data, w.start, w.end)
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 8 << 20):
+def slices(batch: pa.RecordBatch, column: str, limit: int = PIECE):
     """Cuts a batch so that a piece has about limit bytes of text, one row at least: bounded memory for very long texts."""
     a = batch.column(column)
     lens = np.asarray(pc.fill_null(pc.binary_length(a), 0)).astype(np.int64)
