@@ -1,34 +1,41 @@
-"""Katz backoff language model: Good-Turing bigrams over unigrams, counted and evaluated in partitioned tables.
+"""Katz backoff language model of any order: Good-Turing discounted n-gram counts, counted and evaluated in partitioned tables.
 
-P(w | h) = d_r r / c(h)            for a pair seen r times in training,
-           alpha(h) P(w)           otherwise; alpha(h) = 1 where h is unseen,
+P(w | h) = d_r r / den(h)          for an n-gram seen r times in training,
+           alpha(h) P(w | h')      otherwise, h' being h without its first word;
+                                   alpha(h) = 1 where h is unseen,
 P(w)     = d_c c / N               for a word seen c times, and the mass that the
                                    discounts leave (if none, of one event more),
                                    for all unseen words together.
-alpha(h) is exactly (1 - sum over seen P(w | h)) / (1 - sum over seen P(w)).  A
-context whose discounts leave no mass, and any that holds 1/HOT of all tokens,
-counts one more, unseen, event.  A text is its words (A-Z lower-cased) and an end;
-the first word's context is a begin.
+den(h) is c(h), and one more where no word after h was seen 1 to k times, so that
+the discounts leave no mass.  alpha(h) is exactly
+(1 - sum over seen P(w | h)) / (1 - sum over seen P(w | h')).  Each order has its own
+discounts.  A text is its words (A-Z lower-cased) and an end; before it stand begins.
 
 How it runs: texts are cut into blocks of some MB; a block knows its distinct
 words once and the rest as indexes into them.  Words go to partitions by hash,
-where they are counted, and blocks get the counts back.  Pairs, distinct in a
-block before they move, go to partitions by context (those of hot contexts by both words, so no
-partition gets a hot word alone), with the count of the second word.  There all of
-a context's pairs meet: what its normaliser needs are sums (c, the numbers of pairs
-seen 1 to k times, the sum of P over seen words), so discounts, known only when all
-partitions have been counted, are applied afterwards to those sums.  Partitions
-return sums per document, never tokens.  Words are identified by 64-bit hashes.
+where they are counted, and blocks get the counts and small ids back.  Then one
+loop over the orders: a block sends its n-grams, distinct, to partitions by
+context (those of hot contexts by n-gram, so no partition gets a hot context alone),
+with the count of the n-gram without its first word.  All of a context's n-grams
+meet there; the block gets back how often each was seen in training, and of
+contexts after which it has an unseen word the sums that make alpha.  An n-gram
+whose context was never seen is not sent.  At last each block evaluates the
+recursion for all its tokens, order upon order.  Words are identified by 64-bit
+hashes, contexts by hashes of their words' ids, n-grams by both.
+
+Tables of earlier orders are written once and read again for each later one, so disk
+grows with the distinct n-grams of one order at a time.
 
 Null and empty texts: the end alone.  No training texts: every word is unseen and
-has probability 1, score 0.  Repeated rows: each is learned from and scored.  Null
-ids: rows like others.  Very long texts: whole; a block holds one at least.  No
-rows: no rows.  Other columns are ignored.
+has probability 1, score 0.  Null training marks: not learned from.  Repeated rows:
+each is learned from and scored.  Null ids: rows like others.  Very long texts:
+whole; a block holds one at least.  No rows: no rows.  Other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +44,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import text as tx
-from quillon.llm.common import bounded_batches, checkpoint, pack, partitions, runs, unpack, unvarint, varint
+from quillon.llm.common import checkpoint, pack, partitions, runs, unpack, unvarint, varint
 
 END = np.uint64(1)  # hash of the end
 UNSEEN, BEGIN, IDS = 0, 1, 2  # ids: of all unseen words, of the begin, and the first of words
-HOT = 2000  # contexts with 1/HOT of all tokens are dealt by pairs; there are HOT at most
+HOT = 2000  # contexts with 1/HOT of all tokens are dealt by whole n-grams; there are HOT at most
 
 
 def discounts(n: np.ndarray, k: int) -> np.ndarray:
@@ -58,6 +65,11 @@ def discounts(n: np.ndarray, k: int) -> np.ndarray:
     return half
 
 
+def discounted(d: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Counts less their discounts."""
+    return np.append(np.append(1.0, d), 1.0)[np.minimum(c, len(d) + 1)] * c
+
+
 class Unigram:
     def __init__(self, total: int, kinds: int, n: np.ndarray, k: int):
         self.total, self.kinds, self.d = total, kinds, discounts(n, k)
@@ -70,15 +82,25 @@ class Unigram:
         c = c.astype(np.int64)
         if not self.total:
             return np.ones(len(c))
-        d = np.append(np.append(1.0, self.d), 1.0)[np.minimum(c, len(self.d) + 1)]
-        return np.where(c > 0, d * c / self.den, self.unseen)
+        return np.where(c > 0, discounted(self.d, c) / self.den, self.unseen)
 
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c.astype(np.float64) + 1) / (self.total + self.kinds + 1))
 
 
+KINDS = "block long, level int, part int, ids array<long>, a binary, b binary, c binary, d binary, e binary, f binary, g binary"
+NAMES = [x.split()[0] for x in KINDS.split(", ")]
+
+
+def _table(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows (block, level, part, ids, up to seven binaries) as a batch of KINDS."""
+    cols = list(zip(*((*r, *[None] * (len(NAMES) - len(r))) for r in rows), strict=True)) or [()] * len(NAMES)
+    types = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), *[pa.binary()] * 7)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=NAMES)
+
+
 def _blocks(docs: DataFrame, block_bytes: int, parts: int) -> DataFrame:
-    """A row for each block: ids, training marks, lengths, words as indexes, distinct words (by part, then hash) and their training counts."""
+    """A row of level 0 for each block: ids, training marks, lengths, words as indexes, distinct words (by part, then hash) and their training counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number = TaskContext.get().partitionId(), 0
@@ -99,29 +121,24 @@ def _blocks(docs: DataFrame, block_bytes: int, parts: int) -> DataFrame:
                 u, inv = u[order], place[inv]
                 train = np.asarray(piece.column("train")).astype(bool)
                 seen = np.bincount(inv[np.repeat(train, n + 1)], minlength=len(u))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([(task << 32) | number]), pa.array([piece.column("doc_id").to_pylist()], pa.list_(pa.int64())), *(pa.array([x], pa.binary()) for x in (pack(train), varint(n + 1), varint(inv), pack(u), varint(seen)))],
-                    names=["block", "ids", "train", "lens", "toks", "u", "seen"],
-                )
+                yield _table([((task << 32) | number, 0, None, piece.column("doc_id").to_pylist(), pack(train), varint(n + 1), varint(inv), pack(u), varint(seen))])
                 number += 1
 
-    return docs.select("doc_id", "text", "train").mapInArrow(run, "block long, ids array<long>, train binary, lens binary, toks binary, u binary, seen binary")
+    return docs.mapInArrow(run, KINDS)
 
 
 def _count_words(blocks: DataFrame, parts: int, k: int) -> DataFrame:
-    """For each block and part the training counts and ids of its words; for each part a row (block null) with its totals.
+    """Rows of level 1, for each block and part the training counts and ids of its words, and for each part a row (block null) of its totals.
 
     Ids are small for frequent words: a word's rank by count within its part, times parts, plus the part.
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, u, seen in zip(*(batch.column(c).to_pylist() for c in ("block", "u", "seen")), strict=True):
+            for block, u, seen in zip(*(batch.column(c).to_pylist() for c in ("block", "d", "e")), strict=True):
                 u, seen = unpack(u, np.uint64), unvarint(seen)
-                cut = np.searchsorted((u % np.uint64(parts)).astype(np.int64), np.arange(parts + 1))
-                some = [p for p in range(parts) if cut[p] < cut[p + 1]]
-                rows = [slice(cut[p], cut[p + 1]) for p in some]
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([block] * len(some), pa.int64()), pa.array([pack(u[r]) for r in rows], pa.binary()), pa.array([varint(seen[r]) for r in rows], pa.binary())], names=["part", "block", "a", "b"])
+                cut = np.searchsorted((u % np.uint64(parts)).astype(np.int64), np.arange(parts + 1)).tolist()
+                yield _table([(block, 1, p, None, pack(u[i:j]), varint(seen[i:j])) for p, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if i < j])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, rows in runs(batches, "part"):
@@ -132,186 +149,265 @@ def _count_words(blocks: DataFrame, parts: int, k: int) -> DataFrame:
             ids = np.empty(len(u), np.int64)
             ids[np.lexsort((u, -c))] = np.arange(len(u))
             ids = np.where(c > 0, ids * parts + part + IDS, UNSEEN)
-            out = [(varint(c[inv[i:j]]), varint(ids[inv[i:j]])) for i, j in zip(cut[:-1], cut[1:], strict=True)]
+            out = [(r["block"], 1, part, None, varint(c[inv[i:j]]), varint(ids[inv[i:j]])) for r, i, j in zip(rows, cut[:-1], cut[1:], strict=True)]
             n = np.bincount(np.minimum(c, k + 2), minlength=k + 3)[1 : k + 2]
             hot = np.flatnonzero((c * HOT >= max(total, 1)) & (c > 0))
-            stats = pack(np.concatenate(([total, int((c > 0).sum()), int(c[u == END].sum())], n, ids[hot], c[hot])).astype(np.int64))
-            a, b = zip(*out, (stats, None), strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array([part] * len(a), pa.int32()), pa.array([*(r["block"] for r in rows), None], pa.int64()), pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["part", "block", "a", "b"])
-
-    dealt = blocks.select("block", "u", "seen").mapInArrow(deal, "part int, block long, a binary, b binary")
-    return dealt.repartition(parts, "part").sortWithinPartitions("part", "block").mapInArrow(count, "part int, block long, a binary, b binary")
-
-
-def _pairs(blocks: DataFrame, counts: DataFrame, uni: Unigram, hot: np.ndarray, parts: int) -> DataFrame:
-    """For each block and part its pairs, and of each block a row with ids and what is known of its documents, dealt to some part."""
+            stats = np.concatenate(([total, int((c > 0).sum()), int(c[u == END].sum())], n, ids[hot], c[hot])).astype(np.int64)
+            yield _table([*out, (None, 1, part, None, pack(stats))])
+
+    dealt = blocks.select("block", "d", "e").mapInArrow(deal, KINDS)
+    return dealt.repartition(parts, "part").sortWithinPartitions("part", "block").mapInArrow(count, KINDS)
+
+
+def chain(columns: list[np.ndarray]) -> np.ndarray:
+    """64-bit hashes of the words (ids, first to last) of many contexts."""
+    h = np.full(len(columns[0]), 0x2545F4914F6CDD1D, np.uint64)
+    for c in columns:
+        h = tx.mix(h * np.uint64(0xD6E8FEB86659FD93) + c.astype(np.uint64) + np.uint64(1))
+    return h
+
+
+def deal_keys(context: np.ndarray, word: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Keys of n-grams: those of a context share their upper bits, and so a part; of a hot context none but equal n-grams do."""
+    gram = tx.mix(context * np.uint64(3) + word.astype(np.uint64))
+    low = np.uint64((1 << 24) - 1)
+    return np.where(np.isin(context, hot), gram, (context & ~low) | (gram & low)) if len(hot) else (context & ~low) | (gram & low)
+
+
+def ordered(key: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of n-grams by key, and by word where keys of different words are equal; where a new one begins."""
+    by = np.argsort(key)
+    k, w = key[by], word[by]
+    if ((k[1:] == k[:-1]) & (w[1:] != w[:-1])).any():
+        again = np.lexsort((w, k))
+        by, k, w = by[again], k[again], w[again]
+    new = np.ones(len(by), bool)
+    new[1:] = (k[1:] != k[:-1]) | (w[1:] != w[:-1])
+    return by, new
+
+
+class Order(NamedTuple):
+    """What is known of the n-grams of one order, and small: discounts and hot contexts (at most HOT)."""
+
+    d: np.ndarray
+    hot: np.ndarray  # sorted hashes of the contexts that are dealt by whole n-grams
+    seen: np.ndarray  # of each, how many n-grams were seen 1 to k times
+    mass: np.ndarray  # and the sum over its seen words of lower counts, discounted
+
+
+class Texts:
+    """The tokens of one block: words, and the counts of the n-grams that end at each, order by order."""
+
+    def __init__(self, rows: list[dict], uni: Unigram, texts: int):
+        first = next(r for r in rows if r["level"] == 0)
+        self.ids, self.train = first["ids"], unpack(first["a"], np.bool_)
+        self.n = unvarint(first["b"]).astype(np.int64)
+        word = unvarint(first["c"]).astype(np.int64)
+        counts = [r for r in rows if r["level"] == 1]
+        count, name = (np.concatenate([unvarint(r[x]) for r in counts]).astype(np.int64) for x in "ab")
+        self.word, self.count = name[word], count[word]
+        self.doc = np.repeat(np.arange(len(self.n)), self.n)
+        self.place = np.arange(len(word)) - np.repeat(np.cumsum(self.n) - self.n, self.n)
+        self.den = np.full(len(word), uni.den)
+        self.texts, self.uni = texts, uni
+
+    def columns(self, order: int, at: np.ndarray) -> list[np.ndarray]:
+        """The context's words of the tokens at, first to last; begins stand before a text."""
+        return [np.where(self.place[at] >= j, self.word[at - j], BEGIN) for j in range(order - 1, 0, -1)]
+
+    def climb(self, order: int, hot: np.ndarray, parts: int) -> None:
+        """Finds the distinct n-grams of an order whose contexts were seen, sorted by key."""
+        self.before = np.where(self.place > 0, np.roll(self.count, 1), self.texts)  # the context's count
+        at = np.flatnonzero(self.before > 0)
+        key = deal_keys(chain(self.columns(order, at)), self.word[at], hot)
+        by, new = ordered(key, self.word[at])
+        key, self.at = key[by], at[by]
+        self.gram = np.cumsum(new) - 1  # of the tokens at
+        self.first = np.flatnonzero(new)
+        lead = self.at[self.first]
+        self.context = self.columns(order, lead)
+        part = ((key[self.first] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+        self.cut = np.searchsorted(part, np.arange(parts + 1))
+        edge = np.ones(len(lead), bool)
+        edge[1:] = part[1:] != part[:-1]
+        for c in self.context:
+            edge[1:] |= c[1:] != c[:-1]
+        self.edge = edge  # where another context begins
+
+    def messages(self, block: int, order: int) -> Iterator[tuple]:
+        """To each part: its contexts' words, how many words follow each, those words, their lower counts and training counts."""
+        lead = self.at[self.first]
+        seen = np.add.reduceat(self.train[self.doc[self.at]].astype(np.int64), self.first) if len(lead) else np.zeros(0, np.int64)
+        for p in np.flatnonzero(np.diff(self.cut)).tolist():
+            i, j = self.cut[p], self.cut[p + 1]
+            head = np.flatnonzero(self.edge[i:j])
+            words = np.concatenate([c[i:j][head] for c in self.context])
+            yield block, order, p, None, varint(words), varint(np.diff(np.append(head, j - i))), varint(self.word[lead[i:j]]), varint(self.count[lead[i:j]]), varint(seen[i:j])
+
+    def take(self, rows: list[dict], order: int, known: Order, k: int) -> np.ndarray:
+        """Takes the parts' answers for the n-grams found; returns log10 of the backoff weight of each token whose n-gram was not seen but whose context was, else 0."""
+        spare = (1 - known.d) * np.arange(1, k + 1)
+        grams, tokens = len(self.first), len(self.word)
+        r, extra = np.zeros(grams, np.int64), np.zeros(grams, np.int64)
+        m, mass = np.zeros((grams, k)), np.zeros(grams)
+        for row in rows:
+            i, j = self.cut[row["part"]], self.cut[row["part"] + 1]
+            r[i:j] = unvarint(row["a"])
+            head = i + np.flatnonzero(self.edge[i:j])
+            size = np.diff(np.append(head, j))
+            of = np.repeat(np.arange(len(head)), size)
+            full = np.zeros(len(head), np.int64)
+            full[unvarint(row["b"]).astype(np.int64)] = 1
+            extra[i:j] = full[of]
+            which = unvarint(row["c"]).astype(np.int64)
+            mm, ss = np.zeros((len(head), k)), np.zeros(len(head))
+            mm[which], ss[which] = unvarint(row["d"]).astype(np.int64).reshape(-1, k), unpack(row["e"], np.float64)
+            m[i:j], mass[i:j] = mm[of], ss[of]
+        if len(known.hot):
+            h = chain(self.context)
+            where = np.minimum(np.searchsorted(known.hot, h), len(known.hot) - 1)
+            is_hot = known.hot[where] == h
+            m[is_hot], mass[is_hot] = known.seen[where[is_hot]], known.mass[where[is_hot]]
+            extra[is_hot] = ~known.seen[where[is_hot]].astype(bool).any(1)
+        lower = self.den
+        self.count, self.den = np.zeros(tokens, np.int64), self.before.copy()
+        self.count[self.at] = r[self.gram]
+        self.den[self.at] += extra[self.gram]
+        alpha = np.zeros(tokens)
+        open_ = r[self.gram] == 0
+        t, g = self.at[open_], self.gram[open_]
+        den = self.den[t]
+        alpha[t] = np.log10((den - self.before[t] + m[g] @ spare) / den / (1 - mass[g] / lower[t]))
+        return alpha
+
+
+def _ngrams(blocks: DataFrame, order: int, uni: Unigram, texts: int, known: list[Order], hot: np.ndarray, parts: list[int], k: int) -> DataFrame:
+    """Counts the n-grams of one order: answers for each block and part, and rows (block null) of totals.
+
+    blocks: rows of all lower orders.  An answer has the training count of each
+    n-gram, the contexts with one event more, and for contexts with an unseen word
+    the number of words seen 1 to k times and the sum of their discounted lower
+    counts.
+    """
+    below = known[-1].d if known else uni.d
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, rows in runs(batches, "block"):
-            first = rows[0]
-            train, n = unpack(first["train"], np.bool_), unvarint(first["lens"]).astype(np.int64)
-            word = unvarint(first["toks"]).astype(np.int64)
-            c, u = (np.concatenate([unvarint(r[x]) for r in rows[1:]]).astype(t) for x, t in (("a", np.int64), ("b", np.uint64)))
-            doc = np.repeat(np.arange(len(n)), n)
-            known = np.bincount(doc, weights=c[word] > 0, minlength=len(n))
-            base = np.bincount(doc, weights=uni.base(c[word]), minlength=len(n))
-            head = np.concatenate(([0], np.cumsum(n)[:-1]))
-            names = np.append(u, np.uint64(BEGIN))
-            ctx = np.empty(len(word), np.int64)
-            ctx[1:] = word[:-1]
-            ctx[head] = len(u)
-            spread = np.isin(names, hot) | (names == UNSEEN)
-            to = np.where(spread[ctx], tx.mix(names[ctx] * np.uint64(3) + u[word]), tx.mix(names[ctx])) % np.uint64(parts)
-            key = (to.astype(np.int64) * len(names) + ctx) * len(u) + word
-            order = np.argsort(key, kind="stable")
-            key, doc, mark = key[order], doc[order], train[doc[order]]
-            at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            toks, seen = np.diff(np.append(at, len(key))), np.add.reduceat(mark.astype(np.int64), at)
-            pair = key[at]
-            w2, w1, to = pair % len(u), pair // len(u) % len(names), pair // len(u) // len(names)
-            out = [(block % parts, pack(train), varint(n), pack(known), pack(base), None, None)]
-            for p in np.unique(to).tolist():
-                i, j = np.searchsorted(to, [p, p + 1])
-                s, e = at[i], at[j] if j < len(at) else len(key)
-                a = w1[i:j]
-                runs_at = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
-                out.append((p, varint(names[a[runs_at]]), varint(np.diff(np.append(runs_at, j - i))), varint(u[w2[i:j]]), varint(c[w2[i:j]]), varint(seen[i:j]), pack_two(toks[i:j], doc[s:e])))
-            ids = [first["ids"], *[None] * (len(out) - 1)]
-            cols = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array([block] * len(out), pa.int64()), pa.array(ids, pa.list_(pa.int64())), pa.array(cols[0], pa.int32()), *(pa.array(x, pa.binary()) for x in cols[1:])], names=["block", "ids", "part", "a", "b", "c", "d", "e", "f"])
-
-    left = blocks.select("block", F.lit(-1).alias("part"), "ids", "train", "lens", "toks", *(F.lit(None).cast("binary").alias(x) for x in "ab"))
-    none = F.lit(None)
-    right = counts.filter("block is not null").select("block", "part", none.cast("array<long>").alias("ids"), *(none.cast("binary").alias(x) for x in ("train", "lens", "toks")), "a", "b")
-    both = left.union(right).repartition(partitions(blocks), "block").sortWithinPartitions("block", "part")
-    return both.mapInArrow(run, "block long, ids array<long>, part int, a binary, b binary, c binary, d binary, e binary, f binary")
-
-
-def pack_two(x: np.ndarray, y: np.ndarray) -> bytes:
-    a, b = varint(x), varint(y)
-    return len(a).to_bytes(4, "little") + a + b
-
-
-def unpack_two(b: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = int.from_bytes(b[:4], "little")
-    return unvarint(b[4 : 4 + n]), unvarint(b[4 + n :])
-
-
-def _evaluate(pairs: DataFrame, uni: Unigram, hot: np.ndarray, hot_count: np.ndarray, parts: int, k: int) -> DataFrame:
-    """For each block and part, sums per document without discounts: of log10(r / c(h)) of seen pairs, of log10 P(w) of unseen ones, numbers of pairs seen 1 to k times, and the sums of contexts with unseen pairs.  For each part a row (block null) of its totals.  Rows about documents (with ids) pass."""
-    columns = ["block", "ids", *"abcdefgh"]
-
-    def table(out: list[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*out, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.list_(pa.int64())), *(pa.array(x, pa.binary()) for x in cols[2:])], names=columns)
+            t = _restored(rows, uni, texts, known, parts, k)[0]
+            t.climb(order, hot, parts[-1])
+            yield _table(list(t.messages(block, order)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in runs(batches, "part"):
-            info = [(r["block"], r["ids"], *(r[x] for x in "abcd"), None, None, None, None) for r in rows if r["ids"] is not None]
-            if info:
-                yield table(info)
-            rows = [r for r in rows if r["ids"] is None]
-            if not rows:
-                continue
-            ctx = [np.repeat(unvarint(r["a"]), unvarint(r["b"]).astype(np.int64)) for r in rows]
-            cut = np.cumsum([0, *map(len, ctx)])
-            w1, w2 = np.concatenate(ctx), np.concatenate([unvarint(r["c"]) for r in rows])
-            p = uni.p(np.concatenate([unvarint(r["d"]) for r in rows]))
-            seen = np.concatenate([unvarint(r["e"]) for r in rows]).astype(np.int64)
-            del ctx
-            order = np.lexsort((w2, w1))
-            a, b = w1[order], w2[order]
-            new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in runs(batches, "part"):
+            runs_of = [unvarint(r["b"]).astype(np.int64) for r in rows]
+            columns = [np.concatenate(x) for x in zip(*(unvarint(r["a"]).reshape(order - 1, -1) for r in rows), strict=True)]
+            heads = chain(columns)
+            context = np.repeat(heads, np.concatenate(runs_of))
+            word, lower, seen = (np.concatenate([unvarint(r[x]) for r in rows]).astype(np.int64) for x in "cde")
+            key = deal_keys(context, word, hot)
+            by, new = ordered(key, word)
             at = np.flatnonzero(new)
-            r_of, p_of = np.add.reduceat(seen[order], at), p[order][at]  # of distinct pairs
-            group = np.empty(len(order), np.int64)
-            group[order] = np.cumsum(new) - 1
-            head = np.flatnonzero(np.concatenate(([True], a[at][1:] != a[at][:-1])))
-            names = a[at][head]
-            ctx_of = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(at))))
-            c = np.add.reduceat(r_of, head)
-            m = np.stack([np.add.reduceat((r_of == r).astype(np.int64), head) for r in range(1, k + 1)], 1)
-            mass = np.add.reduceat(np.where(r_of > 0, p_of, 0.0), head)
-            where = np.minimum(np.searchsorted(hot, names), max(len(hot) - 1, 0))
-            is_hot = hot[where] == names if len(hot) else np.zeros(len(names), bool)
-            den = np.where(is_hot, hot_count[where] + 1 if len(hot) else 0, np.where(m.any(1), c, c + 1))
-            with np.errstate(divide="ignore", invalid="ignore"):
-                value = np.where(r_of > 0, np.log10(np.maximum(r_of, 1) / np.maximum(den[ctx_of], 1)), np.log10(p_of))
-            out = []
-            for i, j, row in zip(cut[:-1], cut[1:], rows, strict=True):
-                toks, doc = unpack_two(row["f"])
-                g = np.repeat(group[i:j], toks.astype(np.int64))
-                docs, d = np.unique(doc, return_inverse=True)
-                r = r_of[g]
-                sums = np.bincount(d, weights=value[g], minlength=len(docs))
-                low = (r > 0) & (r <= k)
-                hist = np.bincount(d[low] * k + r[low] - 1, minlength=len(docs) * k)
-                left = np.flatnonzero((r == 0) & ((den[ctx_of[g]] > 1) | (c[ctx_of[g]] > 0) | is_hot[ctx_of[g]]))
-                used, place = np.unique(ctx_of[g[left]], return_inverse=True)
-                state = (varint(np.where(is_hot[used], where[used] + 1, 0)), varint(den[used]), varint(c[used]), varint(m[used].ravel()), pack(mass[used]))
-                out.append((row["block"], None, pack_two(docs, hist), pack(sums), pack_two(d[left], place), *state))
-            n = np.bincount(np.minimum(r_of, k + 2), minlength=k + 3)[1 : k + 2]
-            hots = np.flatnonzero(is_hot)
-            out.append((None, None, varint(n), varint(where[hots]), varint(m[hots].ravel()), pack(mass[hots]), None, None, None, None))
-            yield table(out)
-
-    return pairs.repartition(parts, "part").sortWithinPartitions("part", "block").mapInArrow(run, "block long, ids array<long>, a binary, b binary, c binary, d binary, e binary, f binary, g binary, h binary")
-
-
-def score(docs: DataFrame, k: int = 5, block_bytes: int = 8 << 20, tokens_a_part: int = 3_000_000) -> DataFrame:
+            r, low = np.add.reduceat(seen[by], at), lower[by][at]  # of distinct n-grams
+            gram = np.empty(len(by), np.int64)
+            gram[by] = np.cumsum(new) - 1
+            names, ctx = np.unique(context[by][at], return_inverse=True)
+            some = r > 0
+            few = some & (r <= k)
+            m = np.bincount(ctx[few] * k + r[few] - 1, minlength=len(names) * k).reshape(-1, k)
+            mass = np.bincount(ctx[some], weights=discounted(below, low[some]), minlength=len(names))
+            is_hot = np.isin(names, hot)
+            extra = ~m.any(1) & ~is_hot
+            out, i, i_head = [], 0, 0
+            place = np.searchsorted(names, heads)
+            for row, size in zip(rows, runs_of, strict=True):
+                j, j_head = i + int(size.sum()), i_head + len(size)
+                mine, own = r[gram[i:j]], place[i_head:j_head]
+                unseen = np.add.reduceat(mine == 0, np.cumsum(size) - size) > 0
+                which = np.flatnonzero(unseen & ~is_hot[own])
+                out.append((row["block"], order, part, None, varint(mine), varint(np.flatnonzero(extra[own])), varint(which), varint(m[own[which]].ravel()), pack(mass[own[which]])))
+                i, i_head = j, j_head
+            n = np.bincount(np.minimum(r, k + 2), minlength=k + 3)[1 : k + 2]
+            spread = np.flatnonzero(is_hot)
+            often = np.flatnonzero((r * HOT >= max(uni.total, 1)) & some)
+            deeper = chain([*(np.repeat(c, np.concatenate(runs_of))[by][at][often] for c in columns), word[by][at][often]]) if len(often) else np.zeros(0, np.uint64)
+            yield _table([*out, (None, order, part, None, varint(n), varint(np.searchsorted(hot, names[spread])), varint(m[spread].ravel()), pack(mass[spread]), pack(deeper))])
+
+    near = blocks.repartition(partitions(blocks), "block").sortWithinPartitions("block", "level", "part").mapInArrow(send, KINDS)
+    return near.repartition(parts[-1], "part").sortWithinPartitions("part", "block").mapInArrow(count, KINDS)
+
+
+def _restored(rows: list[dict], uni: Unigram, texts: int, known: list[Order], parts: list[int], k: int) -> tuple[Texts, list[tuple]]:
+    """A block's tokens with what all counted orders say of them, and for each order (counts, denominators, backoff weights) by token."""
+    t, said = Texts(rows, uni, texts), []
+    for order, (o, p) in enumerate(zip(known, parts, strict=False), 2):
+        t.climb(order, o.hot, p)
+        alpha = t.take([r for r in rows if r["level"] == order], order, o, k)
+        said.append((t.count, t.den, t.before, alpha))
+    return t, said
+
+
+def _totals(answers: DataFrame, hot: np.ndarray, k: int) -> tuple[Order, np.ndarray]:
+    """What the parts' totals add up to, and the hot contexts of the next order.  Sums are made by the executors; k + 1 numbers for each hot context come back."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n, at, m, mass in zip(*(batch.column(c).to_pylist() for c in "abcd"), strict=True):
+                at = unvarint(at).astype(np.int64)
+                where = np.concatenate((np.full(k + 1, -1), np.repeat(at, k), at))
+                which = np.concatenate((np.arange(k + 1), np.tile(np.arange(k), len(at)), np.full(len(at), k)))
+                value = np.concatenate((unvarint(n), unvarint(m), unpack(mass, np.float64))).astype(np.float64)
+                yield pa.RecordBatch.from_arrays([pa.array(where), pa.array(which), pa.array(value)], names=["at", "which", "value"])
+
+    totals = answers.filter("block is null")
+    n, seen, mass = np.zeros(k + 1, np.int64), np.zeros((len(hot), k)), np.zeros(len(hot))
+    for r in totals.select(*"abcd").mapInArrow(spread, "at long, which long, value double").groupBy("at", "which").agg(F.sum("value").alias("value")).collect():
+        if r["at"] < 0:
+            n[r.which] = int(r.value)
+        elif r.which < k:
+            seen[r["at"], r.which] = r.value
+        else:
+            mass[r["at"]] = r.value
+    deeper = [unpack(r.e, np.uint64) for r in totals.select("e").toLocalIterator()]  # HOT of them at most, over all parts
+    return Order(discounts(n, k), hot, seen, mass), np.unique(np.concatenate([np.zeros(0, np.uint64), *deeper]))
+
+
+def score(docs: DataFrame, order: int = 3, k: int = 5, block_bytes: int = 8 << 20, tokens_a_part: int = 2_000_000) -> DataFrame:
     """doc_id, train, n_tokens, n_known, train_tokens, base_score, score of each row of docs (doc_id long, text, train boolean: learn from it)."""
-    bounded_batches(docs.sparkSession)
+    docs = docs.select("doc_id", "text", F.coalesce("train", F.lit(False)).alias("train"))
     word_parts = partitions(docs)
     blocks = checkpoint(_blocks(docs, block_bytes, word_parts))
     counts = checkpoint(_count_words(blocks, word_parts, k))
     stats = [unpack(r.a, np.int64) for r in counts.filter("block is null").select("a").toLocalIterator()]
-    total, kinds = sum(int(s[0]) for s in stats), sum(int(s[1]) for s in stats)
+    total, kinds, texts = (sum(int(s[i]) for s in stats) for i in range(3))  # as many texts begin as end
     uni = Unigram(total, kinds, sum((s[3 : k + 4] for s in stats), np.zeros(k + 1, np.int64)), k)
-    names, often = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for s in stats:
-        x = s[k + 4 :]
-        names.append(x[: len(x) // 2].view(np.uint64))
-        often.append(x[len(x) // 2 :])
-    names, often = np.concatenate(names), np.concatenate(often)
-    names, often = np.append(names, np.uint64(BEGIN)), np.append(often, sum(int(s[2]) for s in stats))  # as many texts begin as end
-    keep = (often * HOT >= max(total, 1)) & (often > 0)
-    order = np.argsort(names[keep])
-    hot, hot_count = names[keep][order], often[keep][order]
-
-    parts = max(word_parts, -(-total // tokens_a_part))
-    pairs = _pairs(blocks, counts, uni, hot, parts)
-    sums = checkpoint(_evaluate(pairs, uni, hot, hot_count, parts, k))
-    del blocks, counts, pairs  # their files go with them
-    n, hot_m, hot_mass = np.zeros(k + 1, np.int64), np.zeros((len(hot), k), np.int64), np.zeros(len(hot))
-    for r in sums.filter("block is null").select(*"abcd").toLocalIterator():
-        n += unvarint(r.a).astype(np.int64)
-        at = unvarint(r.b).astype(np.int64)
-        np.add.at(hot_m, at, unvarint(r.c).astype(np.int64).reshape(-1, k))
-        np.add.at(hot_mass, at, unpack(r.d, np.float64))
-    d = discounts(n, k)
-    spare = (1 - d) * np.arange(1, k + 1)
-    hot_alpha = np.log10((1 + hot_m @ spare) / (hot_count + 1) / (1 - hot_mass)) if len(hot) else np.zeros(0)
-    log_d = np.log10(d)
+    often = np.concatenate([np.zeros((2, 0), np.int64), *(s[k + 4 :].reshape(2, -1) for s in stats)], 1)
+    hot = chain([np.append(often[0][often[1] * HOT >= max(total, 1)], BEGIN)])
+    begins = [chain([np.array([BEGIN])] * n) for n in range(2, order)]  # of higher orders
+
+    rows = blocks.select(*NAMES[:4], *"abc", *(F.lit(None).cast("binary").alias(x) for x in "defg")).union(counts.filter("block is not null"))
+    known: list[Order] = []
+    parts: list[int] = []
+    for level in range(2, order + 1):
+        parts.append(max(word_parts, -(-total // tokens_a_part)))
+        hot = np.sort(hot)
+        answers = checkpoint(_ngrams(rows, level, uni, texts, known, hot, parts, k))
+        o, deeper = _totals(answers, hot, k)
+        known.append(o)
+        rows = rows.union(answers.filter("block is not null"))
+        hot = np.concatenate([deeper, *begins[level - 2 : level - 1]])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in runs(batches, "block"):
-            first = rows[0]
-            lens, known, base = unvarint(first["b"]).astype(np.int64), unpack(first["c"], np.float64), unpack(first["d"], np.float64)
-            out = np.zeros(len(lens))
-            for r in rows[1:]:
-                docs_, hist = unpack_two(r["a"])
-                x = unpack(r["b"], np.float64) + hist.astype(np.float64).reshape(-1, k) @ log_d
-                who, place = unpack_two(r["c"])
-                which, den, c = (unvarint(r[x]).astype(np.int64) for x in "def")
-                m, mass = unvarint(r["g"]).astype(np.float64).reshape(-1, k), unpack(r["h"], np.float64)
-                alpha = np.zeros(len(den))
-                cold = (which == 0) & (c > 0)
-                alpha[cold] = np.log10((den[cold] - c[cold] + m[cold] @ spare) / den[cold] / (1 - mass[cold]))
-                alpha[which > 0] = hot_alpha[which[which > 0] - 1]
-                x += np.bincount(who.astype(np.int64), weights=alpha[place.astype(np.int64)], minlength=len(docs_))
-                out[docs_.astype(np.int64)] += x
-            yield pa.RecordBatch.from_arrays([pa.array(first["ids"], pa.int64()), pa.array(unpack(first["a"], np.bool_)), pa.array(lens), pa.array(known.astype(np.int64)), pa.array(np.full(len(lens), total, np.int64)), pa.array(base), pa.array(out)], names=["doc_id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    both = sums.filter("block is not null").withColumn("kind", F.when(F.col("ids").isNotNull(), 0).otherwise(1))
-    both = both.repartition(partitions(docs), "block").sortWithinPartitions("block", "kind")
+        for _, held in runs(batches, "block"):
+            t = Texts(held, uni, texts)
+            found, base, p = t.count > 0, uni.base(t.count), np.log10(uni.p(t.count))
+            t, said = _restored(held, uni, texts, known, parts, k)
+            for o, (r, den, before, alpha) in zip(known, said, strict=True):  # from the words up to the whole order
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    p = np.where(r > 0, np.log10(discounted(o.d, r) / den), np.where(before > 0, alpha + p, p))
+            docs_ = len(t.n)
+            known_ = np.bincount(t.doc, weights=found, minlength=docs_).astype(np.int64)
+            sums = (np.bincount(t.doc, weights=x, minlength=docs_) for x in (base, p))
+            yield pa.RecordBatch.from_arrays([pa.array(t.ids, pa.int64()), pa.array(t.train), pa.array(t.n), pa.array(known_), pa.array(np.full(docs_, total, np.int64)), *map(pa.array, sums)], names=["doc_id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    both = rows.repartition(partitions(docs), "block").sortWithinPartitions("block", "level", "part")
     return both.mapInArrow(finish, "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

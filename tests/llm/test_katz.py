@@ -16,42 +16,42 @@ def words(t):
 class Brute:
     """The same model by dictionaries."""
 
-    def __init__(self, rows, k):
-        self.uni, self.bi = Counter(), defaultdict(Counter)
+    def __init__(self, rows, k, order):
+        self.k, self.order = k, order
+        self.uni, self.after = Counter(), [defaultdict(Counter) for _ in range(order + 1)]
         for _, t, train in rows:
             if train:
-                before = "<s>"
-                for w in [*words(t), "</s>"]:
-                    self.uni[w] += 1
-                    self.bi[before][w] += 1
-                    before = w
-        self.n, self.k = sum(self.uni.values()), k
+                seq = ["<s>"] * (order - 1) + [*words(t), "</s>"]
+                for i in range(order - 1, len(seq)):
+                    self.uni[seq[i]] += 1
+                    for n in range(2, order + 1):
+                        self.after[n][tuple(seq[i - n + 1 : i])][seq[i]] += 1
+        self.n = sum(self.uni.values())
         count = lambda c: np.array([sum(x == r for x in c) for r in range(1, k + 2)])
-        self.d1 = katz.discounts(count(self.uni.values()), k)
-        self.d2 = katz.discounts(count([x for c in self.bi.values() for x in c.values()]), k)
+        self.d = {1: katz.discounts(count(self.uni.values()), k)}
+        self.d |= {n: katz.discounts(count([x for c in self.after[n].values() for x in c.values()]), k) for n in range(2, order + 1)}
         self.den = self.n + (min(self.uni.values(), default=1) > k)
-        self.unk = 1 - sum(self.disc(self.d1, c) for c in self.uni.values()) / self.den if self.n else 1.0
+        self.unk = 1 - sum(self.disc(1, c) for c in self.uni.values()) / self.den if self.n else 1.0
 
-    def disc(self, d, c):
-        return c * (d[c - 1] if c <= self.k else 1)
-
-    def p1(self, w):
-        return self.disc(self.d1, self.uni[w]) / self.den if self.uni[w] else self.unk
+    def disc(self, n, c):
+        return c * (self.d[n][c - 1] if c <= self.k else 1)
 
     def p(self, h, w):
-        c = self.bi.get(h)
+        if not h:
+            return self.disc(1, self.uni[w]) / self.den if self.uni[w] else self.unk
+        n = len(h) + 1
+        c = self.after[n].get(h)
         if not c:
-            return self.p1(w)
-        total = sum(c.values())
-        den = total + 1 if total * katz.HOT >= self.n or min(c.values()) > self.k else total
-        if c[w]:
-            return self.disc(self.d2, c[w]) / den
-        left = 1 - sum(self.disc(self.d2, x) for x in c.values() if x) / den
-        return left / (1 - sum(self.p1(x) for x in c if c[x])) * self.p1(w)
+            return self.p(h[1:], w)
+        den = sum(c.values()) + (min(c.values()) > self.k)
+        if c.get(w):
+            return self.disc(n, c[w]) / den
+        left = 1 - sum(self.disc(n, x) for x in c.values()) / den
+        return left / (1 - sum(self.p(h[1:], x) for x in c)) * self.p(h[1:], w)
 
     def score(self, t):
-        seq = [*words(t), "</s>"]
-        return sum(math.log10(self.p(h, w)) for h, w in zip(["<s>", *seq], seq, strict=False))
+        seq = ["<s>"] * (self.order - 1) + [*words(t), "</s>"]
+        return sum(math.log10(self.p(tuple(seq[i - self.order + 1 : i]), seq[i])) for i in range(self.order - 1, len(seq)))
 
 
 def corpus(n, vocab, seed):
@@ -62,12 +62,12 @@ def corpus(n, vocab, seed):
     return rows + [(i, " ".join(r.choices(v, weights, k=r.randrange(1, 60))), r.random() < 0.8) for i in range(3, n)]
 
 
-@pytest.mark.parametrize("hot", [2000, 8])
-def test_scores_equal_brute_force(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "order"), [(2000, 2), (8, 2), (2000, 3), (20, 3), (50, 4)])
+def test_scores_equal_brute_force(spark, monkeypatch, hot, order):
     monkeypatch.setattr(katz, "HOT", hot)
     rows = corpus(200, 300, 4)
-    got = {r.doc_id: r for r in katz.score(spark.createDataFrame(rows, "doc_id long, text string, train boolean"), block_bytes=4000, tokens_a_part=500).collect()}
-    b = Brute(rows, 5)
+    got = {r.doc_id: r for r in katz.score(spark.createDataFrame(rows, "doc_id long, text string, train boolean"), order=order, block_bytes=4000, tokens_a_part=500).collect()}
+    b = Brute(rows, 5, order)
     assert len(got) == len(rows)
     for i, t, train in rows:
         seq = [*words(t), "</s>"]
@@ -79,15 +79,30 @@ def test_scores_equal_brute_force(spark, monkeypatch, hot):
 
 def test_probabilities_sum_to_one():
     rows = corpus(120, 40, 6)
-    b = Brute(rows, 5)
+    b = Brute(rows, 5, 3)
     seen = [w for w in b.uni if b.uni[w]]
-    assert sum(map(b.p1, seen)) + b.unk == pytest.approx(1)
-    for h in [*b.bi, "never"]:
+    assert sum(b.p((), w) for w in seen) + b.unk == pytest.approx(1)
+    for h in [*b.after[2], *list(b.after[3])[:300], ("never",), ("never", "never")]:
         assert sum(b.p(h, w) for w in seen) + b.p(h, "never") == pytest.approx(1)
 
 
 def test_nothing_to_learn_from_and_empty(spark):
     schema = "doc_id long, text string, train boolean, block int"
     assert katz.score(spark.createDataFrame([], schema)).collect() == []
-    got = katz.score(spark.createDataFrame([(1, "a b", False, 1), (1, "a b", False, 1), (None, None, False, None)], schema)).collect()
+    got = katz.score(spark.createDataFrame([(1, "a b", False, 1), (1, "a b", None, 1), (None, None, False, None)], schema)).collect()
     assert sorted(((r.doc_id, r.n_tokens, r.n_known, r.base_score, r.score) for r in got), key=str) == [(1, 3, 0, 0.0, 0.0), (1, 3, 0, 0.0, 0.0), (None, 1, 0, 0.0, 0.0)]
+
+
+def test_very_long_text_and_words_of_one_key(spark):
+    long = " ".join(f"w{i % 7919}" for i in range(400_000))
+    rows = [(1, long, True), (2, "w1 w2 w3 new w4", False), (3, "x" * 3_000_000, True)]
+    got = {r.doc_id: r for r in katz.score(spark.createDataFrame(rows, "doc_id long, text string, train boolean")).collect()}
+    assert (got[1].n_tokens, got[2].n_known, got[3].n_tokens) == (400_001, 5, 2)
+    b = Brute(rows, 5, 3)
+    assert got[2].score == pytest.approx(b.score(rows[1][1]))
+
+
+def test_keys_of_different_words_are_told_apart():
+    key = np.array([7, 7, 7, 7, 3], np.uint64)
+    by, new = katz.ordered(key, np.array([2, 1, 2, 1, 5]))
+    assert new.sum() == 3 and by[0] == 4
