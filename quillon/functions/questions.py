@@ -23,19 +23,21 @@ def out_of_scope(c: Column) -> Column:
 
 
 def intent(c: Column, lang: Column, word_boundary: bool = False) -> Column:
-    """Out of scope, else the intent with most keywords (ties: the first of the list), else factual."""
-    s = t.deaccent(c)
+    """Out of scope, else the intent with most keywords (ties: the first of the list), else factual.
 
-    def best(table: dict[str, list[str]]) -> Column:
+    The plain text and the counts are bound to lambda variables, so each is computed
+    once however often it is used, and generated code stays small.
+    """
+    once = lambda value, f: F.transform(F.array(value), f)[0]
+
+    def best(table: dict[str, list[str]], s: Column) -> Column:
         hit = lambda w: s.rlike(rf"(?U)\b{w}\b") if word_boundary else s.contains(w)
-        counts = [sum((hit(_plain(w)).cast("int") for w in words), F.lit(0)) for words in table.values()]
-        top = F.greatest(*counts)
-        out = F.lit("factual_query")
-        for name, n in reversed(list(zip(table, counts, strict=True))):
-            out = F.when((n == top) & (top > 0), name).otherwise(out)
-        return out
-
-    return F.when(out_of_scope(c), "out_of_scope").otherwise(F.when(lang == "en", best(K.INTENTS_EN)).otherwise(best(K.INTENTS_FR)))
+        counts = F.array(*[sum((hit(_plain(w)).cast("int") for w in words), F.lit(0)) for words in table.values()])
+        names = F.array(*map(F.lit, table))
+        return once(counts, lambda n: F.when(F.array_max(n) > 0, F.get(names, F.array_position(n, F.array_max(n)).cast("int") - 1)).otherwise("factual_query"))
+
+    found = once(t.deaccent(c), lambda s: F.when(lang == "en", best(K.INTENTS_EN, s)).otherwise(best(K.INTENTS_FR, s)))
+    return F.when(out_of_scope(c), "out_of_scope").otherwise(F.coalesce(found, F.lit("factual_query")))
 
 
 def _plain(word: str) -> str:

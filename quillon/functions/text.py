@@ -50,7 +50,9 @@ def _nfc(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def nfc(c: Column) -> Column:
-    return F.pandas_udf(_nfc, T.StringType())(c)
+    """Only texts with a character from U+0300 on, which alone can change, leave the JVM."""
+    changed = F.pandas_udf(_nfc, T.StringType())(F.when(c.rlike(r"[\x{300}-\x{10FFFF}]"), c))
+    return F.coalesce(changed, c)
 
 
 def clean(c: Column, lang: Column, normalise: bool = True) -> Column:

@@ -56,16 +56,17 @@ def sentences(c: Column) -> Column:
 
 
 def bigrams(c: Column) -> Column:
-    w = F.array_remove(F.split(F.lower(c), r"(?U)\s+"), "")
-    n = F.greatest(F.size(w) - 1, F.lit(0))
-    return F.array_distinct(F.zip_with(F.slice(w, 1, n), F.slice(w, 2, n), lambda x, y: F.concat(x, F.lit(" "), y)))
+    words = F.array_remove(F.split(F.lower(c), r"(?U)\s+"), "")
+    pairs = lambda w: F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, y: F.concat(x, F.lit(" "), y))
+    return F.array_distinct(F.transform(F.array(words), pairs)[0])
 
 
 def faithfulness(answer: Column, context: Column, least: float = 0.3) -> Column:
     """Share of the sentences of which a share least of the bigrams is in the context; 1 without sentences."""
-    ctx, s = bigrams(context), sentences(answer)
-    anchored = F.filter(s, lambda x: (F.size(bigrams(x)) > 0) & (F.size(F.array_intersect(bigrams(x), ctx)) / F.greatest(F.size(bigrams(x)), F.lit(1)) >= least))
-    return F.when(F.size(s) == 0, 1.0).otherwise(F.size(anchored) / F.size(s))
+    once = lambda value, f: F.transform(F.array(value), f)[0]  # noqa: E731  computed once, used often
+    anchored = lambda b, ctx: (F.size(b) > 0) & (F.size(F.array_intersect(b, ctx)) / F.greatest(F.size(b), F.lit(1)) >= least)
+    share = lambda s, ctx: F.size(F.filter(F.transform(s, bigrams), lambda b: anchored(b, ctx))) / F.size(s)
+    return once(sentences(answer), lambda s: F.when(F.size(s) == 0, 1.0).otherwise(once(bigrams(context), lambda ctx: share(s, ctx))))
 
 
 def hallucination(faith: Column) -> Column:

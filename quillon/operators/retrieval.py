@@ -13,7 +13,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quillon.functions import constants as K
 from quillon.functions import questions as q
@@ -82,26 +81,48 @@ def best_fields(docs: DataFrame, queries: DataFrame, analyze, k: int = K.CANDIDA
 
 # ---------------------------------------------------------------- dense
 
+HELD = 64 << 20  # bytes of questions that may be broadcast
 
-def dense_top(vectors: DataFrame, queries: DataFrame, k: int = K.CANDIDATES, filters: dict | None = None, block: int = 1024, other: bool = False) -> DataFrame:
+def dense_top(vectors: DataFrame, queries: DataFrame, k: int = K.CANDIDATES, filters: dict | None = None, block: int = 1024, other: bool = False, most_bytes: int = HELD) -> DataFrame:
     """query_id, doc_id, score, rank by cosine in double precision.
 
-    Questions come in blocks of bounded size, each broadcast as one matrix and
-    multiplied with every batch of vectors; a batch passes on its k best alone.
+    Questions come in blocks, each one matrix that is multiplied with batches of
+    vectors; a batch passes on its k best alone.  All blocks are broadcast if their
+    numbers take most_bytes at most (counted first); else blocks and batches meet as
+    rows of two tables, a pair of them at a time, and the driver sees none.
     vectors: vec_id, embedding; queries: query_id, embedding.  other: not the
-    question's own vector.  Null and zero vectors match nothing.
+    question's own vector.  Null and zero vectors, those with a null component and
+    those of another length than the questions' match nothing.
     """
-    blocks = _blocks(queries, block)
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for qid, ids, s, _ in _scored(batches, blocks, other):
-            order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
-            value = np.take_along_axis(s, order, 1)
-            keep = value > -2.0
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, order.shape[1])[keep.ravel()]), pa.array(ids[order][keep]), pa.array(value[keep])], names=["query_id", "doc_id", "score"])
+    def best(qid: np.ndarray, ids: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
+        value = np.take_along_axis(s, order, 1)
+        keep = value > -2.0
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, order.shape[1])[keep.ravel()]), pa.array(ids[order][keep]), pa.array(value[keep])], names=["query_id", "doc_id", "score"])
+
+    rows = _whole(matching(vectors, filters)).select("vec_id", "embedding")
+    n, dim = _extent(queries)
+    out = "query_id long, doc_id long, score double"
+    rows = rows.filter(F.size("embedding") == dim)
+    if n * dim * 8 <= most_bytes:
+        blocks = _blocks(queries, block, dim)
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for qid, ids, s, _ in _scored(batches, blocks, other):
+                yield best(qid, ids, s)
+
+        return top(rows.mapInArrow(search, out), k, F.desc("score"), "doc_id")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for qids, m, ids, x in zip(*(batch.column(c).to_pylist() for c in ("a_ids", "a", "b_ids", "b")), strict=True):
+                qid, v = np.frombuffer(qids, np.int64), np.frombuffer(ids, np.int64)
+                yield best(qid, v, _scores(qid, np.frombuffer(m, np.float64).reshape(len(qid), -1), v, np.frombuffer(x, np.float64).reshape(len(v), -1), other))
 
-    rows = _whole(matching(vectors, filters)).select("vec_id", "embedding").mapInArrow(search, "query_id long, doc_id long, score double")
-    return top(rows, k, F.desc("score"), "doc_id")
+    asked = _matrices(_whole(queries).filter(F.size("embedding") == dim).select("query_id", "embedding"), block, "a")
+    stored = _matrices(rows, 4 * block, "b")
+    return top(stored.crossJoin(asked).mapInArrow(meet, out), k, F.desc("score"), "doc_id")
 
 
 def dense_rerank(vectors: DataFrame, queries: DataFrame, k: int = K.TOP_K, alpha: float = K.ALPHA, beta: float = K.BETA, block: int = 1024) -> DataFrame:
@@ -110,7 +131,10 @@ def dense_rerank(vectors: DataFrame, queries: DataFrame, k: int = K.TOP_K, alpha
     vectors: vec_id, embedding, doc_type, institution.  A batch passes on whatever
     may be among its k best; SLACK is more than the rounding of two final scores.
     """
-    blocks = _blocks(queries, block)
+    n, dim = _extent(queries)
+    if n * dim * 8 > HELD:
+        raise ValueError("too many questions for one broadcast; ask them in parts")
+    blocks = _blocks(queries, block, dim)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for qid, ids, s, batch in _scored(batches, blocks, True):
@@ -120,7 +144,7 @@ def dense_rerank(vectors: DataFrame, queries: DataFrame, k: int = K.TOP_K, alpha
             yield pa.RecordBatch.from_arrays([pa.array(qid[i]), pa.array(ids[j]), pa.array(s[i, j]), batch.column("doc_type").take(pa.array(j)), batch.column("institution").take(pa.array(j))], names=["query_id", "doc_id", "score", "doc_type", "institution"])
 
     w = q.metadata_weight(F.col("doc_type"), F.col("institution")).cast("double").alias("w")
-    rows = _whole(vectors).select("vec_id", "embedding", "doc_type", "institution", w).mapInArrow(search, "query_id long, doc_id long, score double, doc_type string, institution string")
+    rows = _whole(vectors).filter(F.size("embedding") == dim).select("vec_id", "embedding", "doc_type", "institution", w).mapInArrow(search, "query_id long, doc_id long, score double, doc_type string, institution string")
     return rerank(rows, F.col("score"), k, alpha, beta)
 
 
@@ -128,21 +152,31 @@ SLACK = 2e-6
 
 
 def _whole(df: DataFrame) -> DataFrame:
-    return df.filter("embedding is not null and exists(embedding, x -> x <> 0)")
+    return df.filter("embedding is not null and exists(embedding, x -> x <> 0) and forall(embedding, x -> x is not null and not isnan(x))")
+
+
+def _extent(queries: DataFrame) -> tuple[int, int]:
+    """(number of questions, their most common length)."""
+    sizes = _whole(queries).groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n"))
+    row = sizes.agg(F.sum("n").alias("n"), F.max_by("dim", F.struct("n", -F.col("dim"))).alias("dim")).first()
+    return (row.n or 0, row.dim or 0)
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
-def _blocks(queries: DataFrame, block: int) -> list:
+def _blocks(queries: DataFrame, block: int, dim: int) -> list:
     """Broadcasts of (ids, matrix of unit rows)."""
     sc = queries.sparkSession.sparkContext
     blocks, held = [], []
 
     def close():
         if held:
-            m = np.array([r[1] for r in held], dtype=np.float64)
-            blocks.append(sc.broadcast((np.array([r[0] for r in held]), m / np.linalg.norm(m, axis=1, keepdims=True))))
+            blocks.append(sc.broadcast((np.array([r[0] for r in held]), _unit(np.array([r[1] for r in held], dtype=np.float64)))))
             held.clear()
 
-    for r in _whole(queries).select("query_id", "embedding").toLocalIterator():
+    for r in _whole(queries).filter(F.size("embedding") == dim).select("query_id", "embedding").toLocalIterator():
         held.append((r.query_id, r.embedding))
         if len(held) == block:
             close()
@@ -150,20 +184,36 @@ def _blocks(queries: DataFrame, block: int) -> list:
     return blocks
 
 
+def _matrices(rows: DataFrame, block: int, name: str) -> DataFrame:
+    """Blocks of (id, embedding) as rows of two binaries: ids, and unit vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, block):
+                part = batch.slice(at, block)
+                x = _unit(part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1))
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_numpy().astype(np.int64).tobytes()]), pa.array([x.tobytes()])], names=[f"{name}_ids", name])
+
+    return rows.mapInArrow(run, f"{name}_ids binary, {name} binary")
+
+
+def _scores(qid: np.ndarray, m: np.ndarray, ids: np.ndarray, x: np.ndarray, other: bool) -> np.ndarray:
+    s = np.round(m @ x.T, 6)
+    if other:
+        s[qid[:, None] == ids[None]] = -2.0
+    return s
+
+
 def _scored(batches: Iterator[pa.RecordBatch], blocks: list, other: bool) -> Iterator[tuple]:
     """(query ids, vector ids, scores, batch) of each batch and block; -2: the question's own vector, if other."""
     for batch in batches:
         if not batch.num_rows:
             continue
         ids = batch.column("vec_id").to_numpy()
-        x = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        x = _unit(batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1))
         for part in blocks:
             qid, m = part.value
-            s = np.round(m @ x.T, 6)
-            if other:
-                s[qid[:, None] == ids[None]] = -2.0
-            yield qid, ids, s, batch
+            yield qid, ids, _scores(qid, m, ids, x, other), batch
 
 
 # ---------------------------------------------------------------- fusion and reranking
@@ -200,13 +250,16 @@ def rerank(candidates: DataFrame, score: Column, k: int = K.TOP_K, alpha: float
 def hybrid(docs: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = K.TOP_K, candidates: int = K.CANDIDATES, filters: dict | None = None) -> DataFrame:
     """The two-stage funnel without a cross-encoder; queries: query_id, text, embedding.
 
+    filters hold for both rankings: vectors that lack the columns are cut to the
+    documents (doc_id = vec_id) that pass.
     confidence: the first hit's dense score, else its fused score, within 0 and 1.
     """
+    if filters and set(filters) <= set(vectors.columns):
+        vectors = matching(vectors, filters)
+    elif filters:
+        vectors = vectors.join(matching(docs, filters).select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
     sparse = lexical_top(docs, queries, candidates, filters)
     dense = dense_top(vectors, queries, candidates)
     fused = fuse(dense, sparse, candidates)
     first = F.max(F.when(F.col("rank") == 1, F.least(F.greatest(F.coalesce("dense_score", "rrf_score"), F.lit(0.0)), F.lit(1.0)))).over(W.partitionBy("query_id"))
     return fused.withColumn("confidence", first).filter(F.col("rank") <= k)
-
-
-SCHEMA_RANKED = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("rank", T.IntegerType())])

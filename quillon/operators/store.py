@@ -57,12 +57,24 @@ def health(checks: DataFrame) -> DataFrame:
 
 
 def publish(df: DataFrame, path: str) -> None:
-    """Written beside the place and renamed, so that readers see all of it or the old one."""
+    """Written beside the place and renamed into it; the old table is renamed aside first and comes back if that fails.
+
+    Between the two renames readers find no table; they never find a part of one.
+    A table left aside by a writer that died in between is put back by the next call.
+    """
     spark = df.sparkSession
-    df.write.mode("overwrite").parquet(f"{path}.staged")
     jvm = spark._jvm
-    staged, final = jvm.org.apache.hadoop.fs.Path(f"{path}.staged"), jvm.org.apache.hadoop.fs.Path(path)
+    staged, aside, final = (jvm.org.apache.hadoop.fs.Path(path + x) for x in (".staged", ".aside", ""))
     fs = final.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(final, True)
+    if fs.exists(aside) and not fs.exists(final):
+        fs.rename(aside, final)
+    df.write.mode("overwrite").parquet(f"{path}.staged")
+    fs.delete(aside, True)
+    had = fs.exists(final)
+    if had and not fs.rename(final, aside):
+        raise OSError(f"{path} could not be moved aside")
     if not fs.rename(staged, final):
+        if had:
+            fs.rename(aside, final)
         raise OSError(f"{path} could not be replaced")
+    fs.delete(aside, True)

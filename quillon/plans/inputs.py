@@ -67,13 +67,11 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-# The SQL still ranks within blocks of so many ids; the queries take whole tables (see README).
-SHARD = 200
-
-SHARDS = f"""s AS (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score,
+# Every twentieth vector against all others.
+SCORES = """s AS (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score,
   (e.vec_id * 7919 + q.vec_id) % 1009 AS second, q.label = e.label AS same
-  FROM embeddings q JOIN embeddings e ON q.vec_id // {SHARD} = e.vec_id // {SHARD} AND q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0)"""
-RUNS = SHARDS + """, runs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10),
+  FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0)"""
+RUNS = SCORES + """, runs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10),
 ks AS (SELECT unnest([1, 3, 5, 10]) AS k), qs AS (SELECT vec_id AS query_id FROM embeddings WHERE vec_id % 20 = 0),
 rel AS (SELECT query_id, doc_id, 1.0 + (doc_id % 2) AS rel FROM s WHERE same),
 hits AS (SELECT r.query_id, k, count(rel) AS hits, sum(coalesce(rel, 0) / log2(rank + 1)) AS dcg FROM runs r LEFT JOIN rel USING (query_id, doc_id), ks WHERE rank <= k GROUP BY ALL),

@@ -10,7 +10,7 @@ from quillon.functions import analyzers
 from quillon.functions import constants as K
 from quillon.functions import questions as q
 from quillon.operators import answers, metrics, retrieval
-from quillon.plans.inputs import RUNS, SHARDS, asked, cosine, phrase, table, terms_sql
+from quillon.plans.inputs import RUNS, SCORES, asked, cosine, phrase, table, terms_sql
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -94,12 +94,12 @@ f AS (SELECT query_id, doc_id, d.score AS dense_score, d.rank AS dense_rank, coa
 g AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, dense_rank NULLS LAST, sparse_rank NULLS LAST, doc_id)::INT AS rank FROM f) WHERE rank <= 20)"""
 
 
-@query(f"""WITH {SHARDS}, d AS ({TOP.format('SELECT query_id, doc_id, score FROM s', 20)}), t AS ({TOP.format('SELECT query_id, doc_id, second::DOUBLE AS score FROM s', 20)}), {FUSED.replace("JOIN s", "JOIN t s")} SELECT * FROM g""")
+@query(f"""WITH {SCORES}, d AS ({TOP.format('SELECT query_id, doc_id, score FROM s', 20)}), t AS ({TOP.format('SELECT query_id, doc_id, second::DOUBLE AS score FROM s', 20)}), {FUSED.replace("JOIN s", "JOIN t s")} SELECT * FROM g""")
 def rrf_fusion(spark, sf_dir):
     return retrieval.fuse(_nearest(spark, sf_dir, 20), _second(spark, sf_dir, 20, lambda c: c.cast("double")))
 
 
-@query("SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf_score FROM (" + " UNION ALL ".join(f"SELECT query_id, doc_id, rank FROM ({TOP.format(x, 10)})" for x in (f"WITH {SHARDS} SELECT query_id, doc_id, {c} AS score FROM s" for c in ("score", "second", "second % 97"))) + ") GROUP BY ALL")
+@query("SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf_score FROM (" + " UNION ALL ".join(f"SELECT query_id, doc_id, rank FROM ({TOP.format(x, 10)})" for x in (f"WITH {SCORES} SELECT query_id, doc_id, {c} AS score FROM s" for c in ("score", "second", "second % 97"))) + ") GROUP BY ALL")
 def rrf_many(spark, sf_dir):
     lists = [_nearest(spark, sf_dir, 10), _second(spark, sf_dir, 10), _second(spark, sf_dir, 10, lambda c: c % 97)]
     return retrieval.fuse_many(lists).withColumn("rrf_score", F.round("rrf_score", 9))
@@ -110,8 +110,24 @@ d AS ({TOP.format(DENSE.format(queries="(SELECT b.item_id AS vec_id, embedding F
 SELECT query_id, doc_id, dense_score, dense_rank, sparse_score, sparse_rank, rrf_score, rank,
   max(CASE WHEN rank = 1 THEN least(greatest(coalesce(dense_score, rrf_score), 0.0), 1.0) END) OVER (PARTITION BY query_id) AS confidence FROM g QUALIFY rank <= 5""")
 def hybrid_search(spark, sf_dir):
+    return _hybrid(spark, sf_dir)
+
+
+def _hybrid(spark, sf_dir, filters=None):
     asked_ = _asked(spark, sf_dir).join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding"), "query_id", "left")
-    return retrieval.hybrid(table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings"), asked_)
+    return retrieval.hybrid(table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings"), asked_, filters=filters)
+
+
+FILTERED = "lang = 'en' AND source IN ('src1', 'src2', 'src3', 'src5', 'src8')"
+
+
+@query(f"""WITH {BM25.replace("FROM documents", f"FROM documents WHERE {FILTERED}")}, s AS ({TOP.format('SELECT * FROM bm', 20)}),
+d AS ({TOP.format(DENSE.format(queries="(SELECT b.item_id AS vec_id, embedding FROM benchmark b JOIN embeddings x ON b.item_id = x.vec_id)").replace(", embeddings e", f", (SELECT * FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents WHERE {FILTERED})) e"), 20)}), {FUSED}
+SELECT query_id, doc_id, dense_score, dense_rank, sparse_score, sparse_rank, rrf_score, rank,
+  max(CASE WHEN rank = 1 THEN least(greatest(coalesce(dense_score, rrf_score), 0.0), 1.0) END) OVER (PARTITION BY query_id) AS confidence FROM g QUALIFY rank <= 5""")
+def hybrid_search_filtered(spark, sf_dir):
+    """Both sides keep to the documents that the filters allow."""
+    return _hybrid(spark, sf_dir, {"lang": "en", "source": ["src1", "src2", "src3", "src5", "src8"]})
 
 
 TYPES, HOUSES = ["constitution", "loi", "decret", "autre", ""], ["presidence", "mairie", "assemblee_nationale"]
@@ -128,7 +144,7 @@ def _reranked(spark, sf_dir, k):
     return retrieval.dense_rerank(_weighed(e, "vec_id"), asked_, k)
 
 
-@query(f"WITH {SHARDS}, {WEIGHED} SELECT * FROM (SELECT query_id, doc_id, w_meta, final_score, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, doc_id)::INT AS rank FROM (SELECT *, round(0.85::DOUBLE * score + 0.15::DOUBLE * w_meta, 6) AS final_score FROM x)) WHERE rank <= 5")
+@query(f"WITH {SCORES}, {WEIGHED} SELECT * FROM (SELECT query_id, doc_id, w_meta, final_score, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, doc_id)::INT AS rank FROM (SELECT *, round(0.85::DOUBLE * score + 0.15::DOUBLE * w_meta, 6) AS final_score FROM x)) WHERE rank <= 5")
 def rerank_meta(spark, sf_dir):
     return _reranked(spark, sf_dir, 5).select("query_id", "doc_id", "w_meta", "final_score", "rank")
 
@@ -180,7 +196,7 @@ def aggregate_metrics(spark, sf_dir):
     return metrics.aggregated(_per_query(spark, sf_dir))
 
 
-@query(f"""WITH {SHARDS}, rel AS (SELECT query_id, doc_id, 1.0 + (doc_id % 2) AS rel FROM s WHERE same), {WEIGHED},
+@query(f"""WITH {SCORES}, rel AS (SELECT query_id, doc_id, 1.0 + (doc_id % 2) AS rel FROM s WHERE same), {WEIGHED},
 pre AS ({TOP.format('SELECT query_id, doc_id, score FROM s', 10)}), post AS ({TOP.format('SELECT query_id, doc_id, round(0.85::DOUBLE * score + 0.15::DOUBLE * w_meta, 6) AS score FROM x', 10)}),
 idc AS (SELECT query_id, sum(rel / log2(r + 1)) AS idcg FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, doc_id) AS r FROM rel) WHERE r <= 5 GROUP BY ALL),
 a AS (SELECT p.query_id, sum(coalesce(rel, 0) / log2(rank + 1)) AS dcg FROM pre p LEFT JOIN rel USING (query_id, doc_id) WHERE rank <= 5 GROUP BY ALL),
@@ -219,7 +235,7 @@ def answer_questions(spark, sf_dir):
     return out.withColumn("hits", F.size("hits")).withColumn("flags", F.array_join("flags", ","))
 
 
-CONFIDENCE = f"""WITH {SHARDS}, c AS (SELECT query_id, max(score) AS score FROM s GROUP BY ALL) SELECT query_id, score, CASE WHEN score >= 0.8 THEN 'high' WHEN score >= 0.6 THEN 'medium' WHEN score >= 0.3 THEN 'low' ELSE 'insufficient' END AS level FROM c"""
+CONFIDENCE = f"""WITH {SCORES}, c AS (SELECT query_id, max(score) AS score FROM s GROUP BY ALL) SELECT query_id, score, CASE WHEN score >= 0.8 THEN 'high' WHEN score >= 0.6 THEN 'medium' WHEN score >= 0.3 THEN 'low' ELSE 'insufficient' END AS level FROM c"""
 
 
 @query(CONFIDENCE)
@@ -228,7 +244,7 @@ def confidence_level(spark, sf_dir):
     return c.withColumn("level", q.confidence_level(F.col("score")))
 
 
-@query(f"""WITH {SHARDS}, c AS (SELECT query_id, max(score) AS score FROM s GROUP BY ALL)
+@query(f"""WITH {SCORES}, c AS (SELECT query_id, max(score) AS score FROM s GROUP BY ALL)
 SELECT query_id, array_to_string(list_sort(list_distinct(list_concat(CASE WHEN score < 0.3 THEN ['escalation_recommended', 'low_confidence'] WHEN score < 0.6 THEN ['low_confidence'] ELSE [] END, CASE WHEN query_id % 40 = 0 THEN ['out_of_corpus'] ELSE ['low_confidence'] END))), ',') AS flags FROM c""")
 def verify_flags(spark, sf_dir):
     c = _nearest(spark, sf_dir, 1).select("query_id", "score")

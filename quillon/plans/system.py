@@ -124,17 +124,22 @@ def slo_check(spark, sf_dir):
     return s.select("event_type", F.round(F.col("p")[0], 6).alias("p50"), F.round(F.col("p")[1], 6).alias("p95"), F.round("e", 6).alias("errors"), metrics.meets_slo(F.col("p")[0], F.col("p")[1], F.col("e")).alias("meets"), F.round("r", 9).alias("rps"))
 
 
-@query("SELECT doc_id, round(CASE WHEN length(r) = 0 THEN CASE WHEN length(h) = 0 THEN 0.0 ELSE 1.0 END ELSE levenshtein(r, h) / length(r) END, 6) AS cer FROM (SELECT doc_id, substring(strip_accents(text), 1, 200) AS r, replace(substring(strip_accents(text), 3, 198), 'e', 'c') AS h FROM (SELECT doc_id, translate(text, 'ßœæ', 'soa') AS text FROM documents WHERE regexp_matches(text, '^[ -~\\n]*$')))")
+# Levenshtein distances are of bytes there, so each non-ASCII character becomes one control character first.
+_ONE_BYTE = "m AS (SELECT coalesce(string_agg(c, '' ORDER BY c), '') AS marks FROM (SELECT DISTINCT unnest(string_split(text, '')) AS c FROM documents) WHERE unicode(c) > 127)"
+_CODES = " || ".join(f"chr({i})" for i in (*range(1, 9), *range(14, 32), 127))
+
+
+@query(f"""WITH {_ONE_BYTE}, r AS (SELECT doc_id, length(text) AS n, translate(text, marks, {_CODES}) AS r, replace(substring(translate(text, marks, {_CODES}), 3), 'e', 'c') AS h FROM documents, m)
+SELECT doc_id, round(CASE WHEN n = 0 THEN CASE WHEN length(h) = 0 THEN 0.0 ELSE 1.0 END ELSE levenshtein(r, h) / n END, 6) AS cer FROM r""")
 def cer(spark, sf_dir):
-    """Whole texts of all documents; the SQL takes the first 200 characters of ASCII ones."""
+    """Whole texts of all documents, against themselves without two characters and with c for e."""
     d = table(spark, sf_dir, "documents")
     return d.select("doc_id", F.round(metrics.character_error_rate(F.col("text"), F.replace(F.substr("text", F.lit(3)), F.lit("e"), F.lit("c"))), 6).alias("cer"))
 
 
-@query(f"""WITH h AS (SELECT doc_id // 5 AS query_id, doc_id % 5 + 1 AS rank, CASE WHEN (doc_id // 5) % 2 = 0 THEN 'en' ELSE 'fr' END AS lang, source, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE doc_id % 7 END AS page, CASE WHEN doc_id % 4 = 0 THEN 'loi' ELSE '' END AS doc_type, (doc_id % 1000) / 1000.0 AS score, substring(text, 1, 100) AS content FROM documents)
+@query(f"""WITH h AS (SELECT doc_id // 5 AS query_id, doc_id % 5 + 1 AS rank, CASE WHEN (doc_id // 5) % 2 = 0 THEN 'en' ELSE 'fr' END AS lang, source, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE doc_id % 7 END AS page, CASE WHEN doc_id % 4 = 0 THEN 'loi' ELSE '' END AS doc_type, (doc_id % 1000) / 1000.0 AS score, text AS content FROM documents)
 SELECT query_id, md5(CASE WHEN any_value(lang) = 'en' THEN {quote(answers.HEADS['en'][0])} ELSE {quote(answers.HEADS['fr'][0])} END || chr(10) || string_agg(chr(10) || '[DOCUMENT ' || rank || '] Source: ' || source || CASE WHEN coalesce(page, 0) <> 0 THEN ', ' || CASE WHEN lang = 'en' THEN 'page' ELSE 'p.' END || ' ' || page ELSE '' END || CASE WHEN doc_type <> '' THEN ' [' || doc_type || ']' ELSE '' END || chr(10) || 'Score: ' || printf('%.3f', score::DOUBLE) || chr(10) || content, chr(10) ORDER BY rank)) AS context FROM h GROUP BY 1""")
 def prompt_context(spark, sf_dir):
-    """Whole texts; the SQL takes their first 100 characters."""
     i = F.col("doc_id")
     h = table(spark, sf_dir, "documents").select(
         F.floor(i / 5).alias("query_id"), (i % 5 + 1).alias("rank"), F.when(F.floor(i / 5) % 2 == 0, "en").otherwise("fr").alias("lang"), "source", F.when(i % 3 != 0, i % 7).alias("page"),
@@ -161,12 +166,12 @@ def sliding_count(spark, sf_dir):
     return limits.sliding_count(limits.requests(table(spark, sf_dir, "events")), 86400).select("key", "event_id", "n")
 
 
-AUDIT = "SELECT event_type, md5(user_id::VARCHAR)[1:12] AS session_id, user_id::VARCHAR AS user_id, '{\"event_id\":' || event_id || ',\"value\":' || 0 || '}' AS payload_json, event_id % 9 = 0 AS is_flagged FROM events"
+AUDIT = "SELECT event_type, md5(user_id::VARCHAR)[1:12] AS session_id, user_id::VARCHAR AS user_id, '{\"event_id\":' || event_id || ',\"value\":\"' || printf('%.3f', value) || '\"}' AS payload_json, event_id % 9 = 0 AS is_flagged FROM events"
 
 
 @query(AUDIT)
 def audit_rows(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("event_id", "event_type", F.lit(0).alias("value"), F.substring(F.md5(F.col("user_id").cast("string").cast("binary")), 1, 12).alias("session_id"), F.col("user_id").cast("string").alias("user_id"))
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", F.format_string("%.3f", "value").alias("value"), F.substring(F.md5(F.col("user_id").cast("string").cast("binary")), 1, 12).alias("session_id"), F.col("user_id").cast("string").alias("user_id"))
     flags = F.when(F.col("event_id") % 9 == 0, F.array(F.lit("prompt_injection_attempt"))).otherwise(F.array().cast("array<string>"))
     return answers.audit(e, F.col("event_type"), ["event_id", "value"], flags)
 
