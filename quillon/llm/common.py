@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -20,20 +19,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Shuffle files of an action go when it ends, not when the driver happens to collect garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Writes df to the shared checkpoint folder of the session and reads it from there: survives lost executors.
 
-    The folder is the one the cluster names in spark.checkpoint.dir; only where that is unset (tests) a temporary one is made.
+    The folder is the one the cluster names in spark.checkpoint.dir; only a local
+    session where that is unset (tests) gets a temporary one.  The shuffle files
+    that the write needed are removed with it, so cut lineage holds no disk.
     """
-    sc = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillon-checkpoint-"))
-    out = df.checkpoint(eager=True)
-    del df
-    # shuffle files of the lineage just cut off go when the driver collects its garbage; that is now
-    gc.collect()
-    sc._jvm.System.gc()
-    return out
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all nodes share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quillon-checkpoint-"))
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
+def release(*frames: DataFrame) -> None:
+    """Deletes the checkpoint files of frames that nothing will read again; what else was made from them must be written by then."""
+    for df in frames:
+        file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+        if file.isDefined():
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(df: DataFrame) -> int:
@@ -106,11 +124,3 @@ def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[object,
             rows.append(row)
     if rows:
         yield at, rows
-
-
-def bounded_batches(spark: SparkSession, mb: int = 32) -> None:
-    """Arrow batches of about so many MB at most, whatever the rows hold; a session that set a bound keeps it."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(name)
-    if now in ("-1", "-1b", "2147483647", "2147483647b"):
-        spark.conf.set(name, str(mb << 20))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import checkpoint
+from quillon.llm.common import checkpoint, release
 
 
 def components(links: DataFrame, links_a_task: int = 200_000) -> DataFrame:
@@ -22,7 +22,8 @@ def components(links: DataFrame, links_a_task: int = 200_000) -> DataFrame:
     seen = _mark(edges)
     while seen[0]:
         k = -(-seen[0] // links_a_task)
-        edges = checkpoint(_small(_large(edges.coalesce(k)).coalesce(k)).coalesce(k))
+        before, edges = edges, checkpoint(_small(_large(edges.coalesce(k)).coalesce(k)).coalesce(k))
+        release(before)
         now = _mark(edges)
         if now == seen:
             break

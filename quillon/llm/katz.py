@@ -100,7 +100,7 @@ def _table(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _blocks(docs: DataFrame, block_bytes: int, parts: int) -> DataFrame:
-    """A row of level 0 for each block: ids, training marks, lengths, words as indexes, distinct words (by part, then hash) and their training counts."""
+    """A row of level 0 for each block: ids, training marks, lengths, words by rank, the ranks' indexes, distinct words (by part, then hash) and their training counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number = TaskContext.get().partitionId(), 0
@@ -121,7 +121,10 @@ def _blocks(docs: DataFrame, block_bytes: int, parts: int) -> DataFrame:
                 u, inv = u[order], place[inv]
                 train = np.asarray(piece.column("train")).astype(bool)
                 seen = np.bincount(inv[np.repeat(train, n + 1)], minlength=len(u))
-                yield _table([((task << 32) | number, 0, None, piece.column("doc_id").to_pylist(), pack(train), varint(n + 1), varint(inv), pack(u), varint(seen))])
+                often = np.argsort(-np.bincount(inv, minlength=len(u)), kind="stable")  # tokens are stored by rank: small numbers compress well
+                rank = np.empty(len(u), np.int64)
+                rank[often] = np.arange(len(u))
+                yield _table([((task << 32) | number, 0, None, piece.column("doc_id").to_pylist(), pack(train), varint(n + 1), varint(rank[inv]), varint(often), pack(u), varint(seen))])
                 number += 1
 
     return docs.mapInArrow(run, KINDS)
@@ -135,7 +138,7 @@ def _count_words(blocks: DataFrame, parts: int, k: int) -> DataFrame:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, u, seen in zip(*(batch.column(c).to_pylist() for c in ("block", "d", "e")), strict=True):
+            for block, u, seen in zip(*(batch.column(c).to_pylist() for c in ("block", "e", "f")), strict=True):
                 u, seen = unpack(u, np.uint64), unvarint(seen)
                 cut = np.searchsorted((u % np.uint64(parts)).astype(np.int64), np.arange(parts + 1)).tolist()
                 yield _table([(block, 1, p, None, pack(u[i:j]), varint(seen[i:j])) for p, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if i < j])
@@ -155,7 +158,7 @@ def _count_words(blocks: DataFrame, parts: int, k: int) -> DataFrame:
             stats = np.concatenate(([total, int((c > 0).sum()), int(c[u == END].sum())], n, ids[hot], c[hot])).astype(np.int64)
             yield _table([*out, (None, 1, part, None, pack(stats))])
 
-    dealt = blocks.select("block", "d", "e").mapInArrow(deal, KINDS)
+    dealt = blocks.select("block", "e", "f").mapInArrow(deal, KINDS)
     return dealt.repartition(parts, "part").sortWithinPartitions("part", "block").mapInArrow(count, KINDS)
 
 
@@ -171,7 +174,15 @@ def deal_keys(context: np.ndarray, word: np.ndarray, hot: np.ndarray) -> np.ndar
     """Keys of n-grams: those of a context share their upper bits, and so a part; of a hot context none but equal n-grams do."""
     gram = tx.mix(context * np.uint64(3) + word.astype(np.uint64))
     low = np.uint64((1 << 24) - 1)
-    return np.where(np.isin(context, hot), gram, (context & ~low) | (gram & low)) if len(hot) else (context & ~low) | (gram & low)
+    return np.where(among(hot, context)[0], gram, (context & ~low) | (gram & low))
+
+
+def among(table: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether values are in the sorted table, and where."""
+    if not len(table):
+        return np.zeros(len(values), bool), np.zeros(len(values), np.int64)
+    at = np.minimum(np.searchsorted(table, values), len(table) - 1)
+    return table[at] == values, at
 
 
 def ordered(key: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -202,7 +213,7 @@ class Texts:
         first = next(r for r in rows if r["level"] == 0)
         self.ids, self.train = first["ids"], unpack(first["a"], np.bool_)
         self.n = unvarint(first["b"]).astype(np.int64)
-        word = unvarint(first["c"]).astype(np.int64)
+        word = unvarint(first["d"]).astype(np.int64)[unvarint(first["c"]).astype(np.int64)]
         counts = [r for r in rows if r["level"] == 1]
         count, name = (np.concatenate([unvarint(r[x]) for r in counts]).astype(np.int64) for x in "ab")
         self.word, self.count = name[word], count[word]
@@ -264,9 +275,7 @@ class Texts:
             mm[which], ss[which] = unvarint(row["d"]).astype(np.int64).reshape(-1, k), unpack(row["e"], np.float64)
             m[i:j], mass[i:j] = mm[of], ss[of]
         if len(known.hot):
-            h = chain(self.context)
-            where = np.minimum(np.searchsorted(known.hot, h), len(known.hot) - 1)
-            is_hot = known.hot[where] == h
+            is_hot, where = among(known.hot, chain(self.context))
             m[is_hot], mass[is_hot] = known.seen[where[is_hot]], known.mass[where[is_hot]]
             extra[is_hot] = ~known.seen[where[is_hot]].astype(bool).any(1)
         lower = self.den
@@ -315,7 +324,7 @@ def _ngrams(blocks: DataFrame, order: int, uni: Unigram, texts: int, known: list
             few = some & (r <= k)
             m = np.bincount(ctx[few] * k + r[few] - 1, minlength=len(names) * k).reshape(-1, k)
             mass = np.bincount(ctx[some], weights=discounted(below, low[some]), minlength=len(names))
-            is_hot = np.isin(names, hot)
+            is_hot, where = among(hot, names)
             extra = ~m.any(1) & ~is_hot
             out, i, i_head = [], 0, 0
             place = np.searchsorted(names, heads)
@@ -330,7 +339,7 @@ def _ngrams(blocks: DataFrame, order: int, uni: Unigram, texts: int, known: list
             spread = np.flatnonzero(is_hot)
             often = np.flatnonzero((r * HOT >= max(uni.total, 1)) & some)
             deeper = chain([*(np.repeat(c, np.concatenate(runs_of))[by][at][often] for c in columns), word[by][at][often]]) if len(often) else np.zeros(0, np.uint64)
-            yield _table([*out, (None, order, part, None, varint(n), varint(np.searchsorted(hot, names[spread])), varint(m[spread].ravel()), pack(mass[spread]), pack(deeper))])
+            yield _table([*out, (None, order, part, None, varint(n), varint(where[spread]), varint(m[spread].ravel()), pack(mass[spread]), pack(deeper))])
 
     near = blocks.repartition(partitions(blocks), "block").sortWithinPartitions("block", "level", "part").mapInArrow(send, KINDS)
     return near.repartition(parts[-1], "part").sortWithinPartitions("part", "block").mapInArrow(count, KINDS)
@@ -384,7 +393,7 @@ def score(docs: DataFrame, order: int = 3, k: int = 5, block_bytes: int = 8 << 2
     hot = chain([np.append(often[0][often[1] * HOT >= max(total, 1)], BEGIN)])
     begins = [chain([np.array([BEGIN])] * n) for n in range(2, order)]  # of higher orders
 
-    rows = blocks.select(*NAMES[:4], *"abc", *(F.lit(None).cast("binary").alias(x) for x in "defg")).union(counts.filter("block is not null"))
+    rows = blocks.select(*NAMES[:4], *"abcd", *(F.lit(None).cast("binary").alias(x) for x in "efg")).union(counts.filter("block is not null"))
     known: list[Order] = []
     parts: list[int] = []
     for level in range(2, order + 1):

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.llm import text as tx
-from quillon.llm.common import append, checkpoint
+from quillon.llm.common import append, checkpoint, release
 
 REGION = np.dtype([("bucket", "<i8"), ("content", "S16"), ("s0", "<u4"), ("n", "<u4"), ("a", "<u4")])
 _GRAM_BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -211,7 +211,7 @@ def dedup(docs: DataFrame, length: int = 400, gram: int = 32, keep: list[str] |
     kinds = kinds.withColumn("all", F.sum("copies").over(whole)).withColumn("kinds", F.count("*").over(whole)).withColumn("ones", F.min("copies").over(whole) == 1)
     kinds = checkpoint(kinds.filter("all > 1").select("bucket", "content", "copies", "kinds", (F.col("ones") & (F.col("kinds") > 1)).alias("open")))
     found = checkpoint(places.join(kinds, ["bucket", "content"]))
-    del packed, places, kinds  # their files go with them
+    release(packed, kinds)
 
     some = found.filter("open").dropDuplicates(["bucket", "content"])
     asked = some.groupBy("_key").agg(F.collect_list(F.struct("bucket", "content", "s0", "n", "a", "copies", "kinds")).alias("_asked"))
@@ -227,7 +227,7 @@ def dedup(docs: DataFrame, length: int = 400, gram: int = 32, keep: list[str] |
 
     fetched = checkpoint(keyed.select("_key", "text").join(asked, "_key").dropDuplicates(["_key"]).select("text", "_asked").mapInArrow(fetch, "bucket long, content binary, copies long, kinds long, a int, region binary"))
     marks = checkpoint(_constructed(fetched.filter(F.col("kinds") <= most), length, batch).unionByName(_counted(fetched.filter(F.col("kinds") > most), length)))
-    del fetched
+    release(fetched)
 
     # a region that stands more than once repeats whole; only single ones, unique by content, meet the marks
     whole_ = found.filter("copies > 1").select("_key", F.col("s0").alias("lo"), (F.col("s0") + F.col("n") - 1).alias("hi"))
