@@ -111,16 +111,17 @@ def unvarint(b: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[object, list[dict]]]:
-    """(key, rows) of stretches of rows with equal keys, of few and heavy rows."""
+def runs(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[tuple[object, list[dict]]]:
+    """(key, or tuple of several keys; rows) of stretches of rows with equal keys, of few and heavy rows."""
     at, rows = None, []
     for batch in batches:
         for i in range(batch.num_rows):
             row = batch.slice(i, 1).to_pylist()[0]
-            if rows and row[key] != at:
+            key = row[keys[0]] if len(keys) == 1 else tuple(row[k] for k in keys)
+            if rows and key != at:
                 yield at, rows
                 rows = []
-            at = row[key]
+            at = key
             rows.append(row)
     if rows:
         yield at, rows

@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from quillon.llm import minhash
 
 
@@ -69,3 +71,41 @@ def test_empty_table_repeats_and_clashing_columns(spark):
     rows = [(1, "a b c d e f", "x", 1, 1), (1, "a b c d e f", "x", 1, 1), (None, "a b c d e f", None, None, None), (2, "a b c d e f", "y", 2, 2)]
     got = sorted(((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, schema)).collect()), key=str)
     assert got == [(1, 1, True), (1, 1, True), (2, 1, False), (None, None, False)]
+
+
+def test_large_regions_in_blocks_and_deep_orders(spark):
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(80)]
+    rows = [(i, " ".join(x if r.random() > 0.04 else f"n{r.random()}" for x in base)) for i in range(90)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=2, small=6, leaf=2, near=1, deep=3, block=10).collect()
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == brute(rows, 2)
+
+
+def test_parts_descend_on_their_own():
+    region = np.array([1] * 6 + [2] * 2)
+    tail = np.array([[0, 0], [0, 1], [0, 2], [5, 0], [5, 0], [5, 0], [9, 9], [9, 8]])
+    wide, part, whole = minhash.descend(region, tail, small=4, leaf=2)
+    assert wide.tolist() == [True] * 6 + [False] * 2
+    assert part.tolist() == [1, 2, 3, 4, 4, 4, 5, 5]
+    assert whole.tolist() == [True] * 3 + [False] * 3 + [True] * 2
+
+
+def test_repeated_ids_with_other_texts_link_both(spark):
+    a, b = [f"a{i}" for i in range(40)], [f"b{i}" for i in range(40)]
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join([*a[:-1], "x"])), (3, " ".join([*b[:-1], "y"])), (4, "alone")]
+    got = {(r.doc_id, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=2).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 4)}
+
+
+def test_threshold_is_exact(spark):
+    same = [f"w{i}" for i in range(80)]
+    rows = [(1, " ".join([*same, *(f"a{i}" for i in range(10))])), (2, " ".join([*same, *(f"b{i}" for i in range(10))])), (3, " ".join([*(f"v{i}" for i in range(79)), *(f"c{i}" for i in range(10))])), (4, " ".join([*(f"v{i}" for i in range(79)), *(f"d{i}" for i in range(11))]))]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=1).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}  # 80 of 100, and 79 of 100
+
+
+def test_very_long_text(spark):
+    long = " ".join(f"w{i % 9973}x{i}" for i in range(200_000))
+    rows = [(1, long), (2, long + " more"), (3, "short one")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (199_996, 1), 2: (199_997, 1), 3: (1, 3)}
