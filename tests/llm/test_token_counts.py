@@ -25,14 +25,17 @@ def brute(text, scores, byte):
     return n, total
 
 
-def test_equal_viterbi(spark):
+@pytest.mark.parametrize("held", [0, 40, 200_000])
+def test_equal_viterbi(spark, held):
     r = random.Random(4)
     scores, byte = token_counts.vocabulary(token_counts.default_path())
     pieces = [p for p in scores if len(p) > 2][:3000]
+    common = ["".join(r.choices(pieces, k=2)).replace(token_counts.MARK, "") or "x" for _ in range(60)]
     rows = [(0, None), (1, ""), (2, " \n"), (3, "日本語 \U0001f600 naïve"), (4, "x" * 5000)]
-    rows += [(i, " ".join("".join(r.choices(pieces, k=2)).replace(token_counts.MARK, "") for _ in range(r.randrange(1, 40)))) for i in range(5, 60)]
+    rows += [(i, " ".join("".join(r.choices(pieces, k=2)).replace(token_counts.MARK, "") if r.random() < 0.5 else r.choice(common) for _ in range(r.randrange(1, 40)))) for i in range(5, 60)]
     df = spark.createDataFrame([*rows, rows[-1]], "doc_id long, text string")
-    got = token_counts.count_tokens(df).collect()
+    df = df.repartition(4)
+    got = token_counts.count_tokens(df, held=held).collect()
     assert len(got) == len(rows) + 1
     texts = dict(rows)
     for x in got:
@@ -50,3 +53,20 @@ def test_empty_table_and_clashing_columns(spark):
     schema = "doc_id long, text string, n_tokens string"
     assert token_counts.count_tokens(spark.createDataFrame([], schema)).collect() == []
     assert token_counts.count_tokens(spark.createDataFrame([(None, "a", "x")], schema)).first().n_pretokens == 1
+
+
+def test_stored_terminals(spark):
+    rows = [(i, "the cat" if i % 2 else "the dog zz%d" % i) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    shared = spark.sparkContext.broadcast(token_counts.vocabulary(token_counts.default_path()))
+    got = token_counts.terminals(docs, shared, 100).to_pylist()
+    words = sorted(r["word"] for r in got)
+    assert words == [token_counts.MARK + w for w in ("cat", "dog", "the")]
+    assert {r["word"]: r["n_tokens"] for r in got} == {w: brute(w[1:], *shared.value)[0] for w in words}
+    assert token_counts.terminals(docs, shared, 0).num_rows == 0
+
+
+def test_very_long_text(spark):
+    long = " ".join(f"word{i}" for i in range(300_000))
+    got = token_counts.count_tokens(spark.createDataFrame([(1, long), (2, "word1 word2")], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_pretokens for r in got} == {1: 300_000, 2: 2}
