@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import text as tx
-from quillon.llm.common import checkpoint, pack, partitions, runs, unpack, unvarint, varint
+from quillon.llm.common import checkpoint, pack, partitions, release, runs, unpack, unvarint, varint
 
 END = np.uint64(1)  # hash of the end
 UNSEEN, BEGIN, IDS = 0, 1, 2  # ids: of all unseen words, of the begin, and the first of words
@@ -258,33 +258,32 @@ class Texts:
     def take(self, rows: list[dict], order: int, known: Order, k: int) -> np.ndarray:
         """Takes the parts' answers for the n-grams found; returns log10 of the backoff weight of each token whose n-gram was not seen but whose context was, else 0."""
         spare = (1 - known.d) * np.arange(1, k + 1)
-        grams, tokens = len(self.first), len(self.word)
-        r, extra = np.zeros(grams, np.int64), np.zeros(grams, np.int64)
-        m, mass = np.zeros((grams, k)), np.zeros(grams)
+        tokens, context = len(self.word), np.cumsum(self.edge) - 1  # of each n-gram
+        heads = np.flatnonzero(self.edge)
+        r, extra, told = np.zeros(len(self.first), np.int64), np.zeros(len(heads), np.int64), np.zeros(len(heads), np.int64)
+        m, mass = [np.zeros((1, k)), known.seen], [np.zeros(1), known.mass]  # of contexts with an unseen word; told: which
+        if len(known.hot):
+            is_hot, where = among(known.hot, chain([c[heads] for c in self.context]))
+            told[is_hot] = where[is_hot] + 1
+            extra[is_hot] = ~known.seen[where[is_hot]].astype(bool).any(1)
+        size = sum(map(len, mass))
         for row in rows:
             i, j = self.cut[row["part"]], self.cut[row["part"] + 1]
             r[i:j] = unvarint(row["a"])
-            head = i + np.flatnonzero(self.edge[i:j])
-            size = np.diff(np.append(head, j))
-            of = np.repeat(np.arange(len(head)), size)
-            full = np.zeros(len(head), np.int64)
-            full[unvarint(row["b"]).astype(np.int64)] = 1
-            extra[i:j] = full[of]
-            which = unvarint(row["c"]).astype(np.int64)
-            mm, ss = np.zeros((len(head), k)), np.zeros(len(head))
-            mm[which], ss[which] = unvarint(row["d"]).astype(np.int64).reshape(-1, k), unpack(row["e"], np.float64)
-            m[i:j], mass[i:j] = mm[of], ss[of]
-        if len(known.hot):
-            is_hot, where = among(known.hot, chain(self.context))
-            m[is_hot], mass[is_hot] = known.seen[where[is_hot]], known.mass[where[is_hot]]
-            extra[is_hot] = ~known.seen[where[is_hot]].astype(bool).any(1)
+            extra[context[i] + unvarint(row["b"]).astype(np.int64)] = 1
+            which = context[i] + unvarint(row["c"]).astype(np.int64)
+            told[which] = size + np.arange(len(which))
+            m.append(unvarint(row["d"]).astype(np.int64).reshape(-1, k))
+            mass.append(unpack(row["e"], np.float64))
+            size += len(which)
+        m, mass = np.concatenate(m), np.concatenate(mass)
         lower = self.den
         self.count, self.den = np.zeros(tokens, np.int64), self.before.copy()
         self.count[self.at] = r[self.gram]
-        self.den[self.at] += extra[self.gram]
+        self.den[self.at] += extra[context][self.gram]
         alpha = np.zeros(tokens)
         open_ = r[self.gram] == 0
-        t, g = self.at[open_], self.gram[open_]
+        t, g = self.at[open_], told[context[self.gram[open_]]]
         den = self.den[t]
         alpha[t] = np.log10((den - self.before[t] + m[g] @ spare) / den / (1 - mass[g] / lower[t]))
         return alpha
@@ -380,7 +379,7 @@ def _totals(answers: DataFrame, hot: np.ndarray, k: int) -> tuple[Order, np.ndar
     return Order(discounts(n, k), hot, seen, mass), np.unique(np.concatenate([np.zeros(0, np.uint64), *deeper]))
 
 
-def score(docs: DataFrame, order: int = 3, k: int = 5, block_bytes: int = 8 << 20, tokens_a_part: int = 2_000_000) -> DataFrame:
+def score(docs: DataFrame, order: int = 3, k: int = 5, block_bytes: int = 4 << 20, tokens_a_part: int = 1_000_000) -> DataFrame:
     """doc_id, train, n_tokens, n_known, train_tokens, base_score, score of each row of docs (doc_id long, text, train boolean: learn from it)."""
     docs = docs.select("doc_id", "text", F.coalesce("train", F.lit(False)).alias("train"))
     word_parts = partitions(docs)
@@ -393,7 +392,9 @@ def score(docs: DataFrame, order: int = 3, k: int = 5, block_bytes: int = 8 << 2
     hot = chain([np.append(often[0][often[1] * HOT >= max(total, 1)], BEGIN)])
     begins = [chain([np.array([BEGIN])] * n) for n in range(2, order)]  # of higher orders
 
-    rows = blocks.select(*NAMES[:4], *"abcd", *(F.lit(None).cast("binary").alias(x) for x in "efg")).union(counts.filter("block is not null"))
+    tokens = checkpoint(blocks.select(*NAMES[:4], *"abcd", *(F.lit(None).cast("binary").alias(x) for x in "efg")))
+    release(blocks)  # what only the words' counts needed goes
+    rows = tokens.union(counts.filter("block is not null"))
     known: list[Order] = []
     parts: list[int] = []
     for level in range(2, order + 1):
