@@ -63,15 +63,16 @@ def crc_bucket(column: str, m: int) -> F.Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % m
 
 
-def append(df: DataFrame, fields: str, make: Callable[[pa.RecordBatch], list[pa.Array]], keep: list[str], column: str = "text", limit: int = tx.PIECE) -> DataFrame:
+def append(df: DataFrame, fields: str, make: Callable[[pa.RecordBatch], list[pa.Array]], keep: list[str], column: str = "text", limit: int = tx.PIECE, also: list[str] | None = None) -> DataFrame:
     """mapInArrow: of each row the columns keep and what make adds (fields, as DDL); make gets pieces of about limit bytes of text.
 
+    also: further columns that make reads.
     An input column with the name of an added one gives way to it.
     """
     fields = T.StructType.fromDDL(fields)
     names = set(fields.fieldNames())
     keep = [c for c in keep if c not in names]
-    need = list(dict.fromkeys([*keep, column]))
+    need = list(dict.fromkeys([*keep, column, *(also or [])]))
     schema = T.StructType([df.schema[c] for c in keep] + list(fields))
     out_names = [*keep, *fields.fieldNames()]
 

@@ -1,16 +1,22 @@
 """Benchmark decontamination with a generalised suffix automaton.
 
-The normalised words of the test items make one automaton per block of items
-(a block is bounded by words, so the automata are bounded whatever the number of
-items); training texts stream through it, and the longest match ending at each
-word tells which windows end there.  A window is ``window`` consecutive words of
-an item; an item of fewer words, but not none, is one window.  Only stretches
-whose neighbouring words are neighbours in some item can hold a window of two or
-more words, so a vectorised look-up of word pairs skips the rest exactly.
+The normalised words of the test items make one automaton per block of items;
+training texts stream through it, and the longest match ending at each word tells
+which windows end there.  A window is ``window`` consecutive words of an item; an
+item of fewer words, but not none, is one window.  Only stretches whose neighbouring
+words are neighbours in some item can hold a window of two or more words, so a
+vectorised look-up of word pairs skips the rest exactly.
+
+What is broadcast is word hashes, of so many items at once as have ``held_words``
+words; more items take more passes over the texts, and each pass drops the items of
+the one before.  Workers build the automaton of a block when a text first needs it
+and keep the last few, so their memory is bounded whatever the number of items.
 
 Null or empty texts: no words, no hits, not contaminated.  Items without words:
-no window.  Repeated items or documents: each counts by itself.  No items or no
-documents: no hits, or no rows.
+no window.  Repeated items or documents: each counts by itself.  Ties: windows that
+overlap count their words once.  Very long texts: whole, a piece by themselves.  No
+items or no documents: no hits, or no rows.  Other columns are kept, or ignored where
+keep leaves them out; those with the names of results give way.
 """
 
 from __future__ import annotations
@@ -24,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import text as tx
-from quillon.llm.common import append
+from quillon.llm.common import append, checkpoint, release
 
 FIELDS = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start: long, end: long>>"
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -40,15 +46,15 @@ class Automaton:
             last = 0
             for c in seq:
                 last = self._extend(last, c)
-        n = len(self.next)
-        self.items: list[set[str]] = [set() for _ in range(n)]
-        self.short: list[dict[int, set[str]]] = [{} for _ in range(n)]
+        self.items: dict[int, set[str]] = {}
+        self.short: dict[int, dict[int, set[str]]] = {}
         for name, seq in items:
             self._mark(name, seq, window)
-        # nearest state, itself included, with short windows
-        self.up = [-1] * n
-        for v in sorted(range(n), key=self.length.__getitem__):
-            self.up[v] = v if self.short[v] else self.up[self.link[v]] if v else -1
+        self.up: list[int] = []  # nearest state, itself included, with short windows
+        if self.short:
+            self.up = [-1] * len(self.next)
+            for v in sorted(range(len(self.next)), key=self.length.__getitem__):
+                self.up[v] = v if v in self.short else self.up[self.link[v]] if v else -1
         self.window = window
 
     def _extend(self, last: int, c: int) -> int:
@@ -85,9 +91,9 @@ class Automaton:
     def _mark(self, name: str, seq: list[int], window: int) -> None:
         for _, v, l in self.walk(seq):
             if l >= window:
-                self.items[self._at(v, window)].add(name)
+                self.items.setdefault(self._at(v, window), set()).add(name)
         if 0 < len(seq) < window:
-            self.short[self._at(v, len(seq))].setdefault(len(seq), set()).add(name)
+            self.short.setdefault(self._at(v, len(seq)), {}).setdefault(len(seq), set()).add(name)
 
     def _at(self, v: int, n: int) -> int:
         """The state of the last n words of v's match."""
@@ -110,7 +116,7 @@ class Automaton:
         for i, v, l in self.walk(seq):
             if l >= self.window:
                 yield i + 1 - self.window, i + 1, self.items[self._at(v, self.window)]
-            u = self.up[v]
+            u = self.up[v] if self.up else -1
             while u >= 0:
                 for n, names in self.short[u].items():
                     if n <= l:
@@ -119,14 +125,22 @@ class Automaton:
 
 
 class Block:
-    """An automaton and the sorted hashes of its words and of its pairs of neighbours."""
+    """Some items: the sorted hashes of their words, their pairs of neighbours, and an automaton made when it is needed."""
 
     def __init__(self, items: list[tuple[str, np.ndarray]], window: int):
         self.vocab = np.unique(np.concatenate([h for _, h in items]))
-        seqs = [(name, np.searchsorted(self.vocab, h)) for name, h in items]
-        self.pairs = np.unique(np.concatenate([s[:-1] * len(self.vocab) + s[1:] for _, s in seqs]))
-        self.least = min(min(len(s), window) for _, s in seqs)
-        self.automaton = Automaton([(name, s.tolist()) for name, s in seqs], window)
+        self.seqs = [(name, np.searchsorted(self.vocab, h)) for name, h in items]
+        self.pairs = np.unique(np.concatenate([s[:-1] * len(self.vocab) + s[1:] for _, s in self.seqs]))
+        self.least = min(min(len(s), window) for _, s in self.seqs)
+        self.window = window
+
+    def automaton(self) -> Automaton:
+        key = (id(self), self.window)
+        if key not in _built:
+            while len(_built) >= KEPT:
+                del _built[next(iter(_built))]
+            _built[key] = (Automaton([(name, s.tolist()) for name, s in self.seqs], self.window), self)  # the block stays while its id is a key
+        return _built[key][0]
 
     def find(self, hashes: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, set[str]]]:
         """(text, first word, one past the last, items) of all windows."""
@@ -135,84 +149,164 @@ class Block:
         at = np.minimum(np.searchsorted(self.vocab, hashes), len(self.vocab) - 1)
         known = self.vocab[at] == hashes
         if self.least > 1:
-            key = at[:-1] * len(self.vocab) + at[1:]
-            near = known[:-1] & known[1:]
-            heads = first[1:-1]
-            near[heads[(heads > 0) & (heads < len(hashes))] - 1] = False
-            if len(self.pairs):
-                p = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-                near &= self.pairs[p] == key
-            edge = np.diff(np.concatenate(([0], near.view(np.int8), [0])))
-            begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) + 1
+            begin, end = _stretches(among(self.pairs, at[:-1] * len(self.vocab) + at[1:]) & known[:-1] & known[1:], first)
         else:
-            cut = np.zeros(len(hashes) + 1, bool)
-            cut[first] = True
-            begin = np.flatnonzero(known & np.concatenate(([True], ~known[:-1] | cut[1:-1])))
-            end = np.flatnonzero(known & np.concatenate((~known[1:] | cut[1:-1], [True]))) + 1
+            begin, end = _runs(known, first)
         long = end - begin >= self.least
         begin, end = begin[long], end[long]
         docs = np.searchsorted(first, begin, side="right") - 1
         for d, b, e in zip(docs.tolist(), begin.tolist(), end.tolist(), strict=True):
             off = int(first[d])
-            for i, j, names in self.automaton.windows(at[b:e].tolist()):
+            for i, j, names in self.automaton().windows(at[b:e].tolist()):
                 yield d, b + i - off, b + j - off, names
 
 
-def blocks(items: DataFrame, window: int, block_words: int) -> list[Block]:
-    """Blocks of about block_words words at most, or of one item: the items come to the driver one after another and only a block's automaton is held at a time before it is broadcast."""
-    out, held, n = [], [], 0
-    sc = items.sparkSession.sparkContext
+KEPT = 4  # automata that a worker keeps
+_built: dict[tuple[int, int], tuple[Automaton, Block]] = {}
+
+
+def among(table: np.ndarray, values: np.ndarray) -> np.ndarray:
+    if not len(table):
+        return np.zeros(len(values), bool)
+    return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
+
+
+def _stretches(near: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of words (begin, end) within a text of which each next to another is near; near: of each pair of neighbours."""
+    heads = first[1:-1]
+    near = near.copy()
+    near[heads[(heads > 0) & (heads <= len(near))] - 1] = False
+    edge = np.diff(np.concatenate(([0], near.view(np.int8), [0])))
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) + 1
+
+
+def _runs(known: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of known words within a text."""
+    cut = np.zeros(len(known) + 1, bool)
+    cut[first] = True
+    begin = np.flatnonzero(known & np.concatenate(([True], ~known[:-1] | cut[1:-1])))
+    return begin, np.flatnonzero(known & np.concatenate((~known[1:] | cut[1:-1], [True]))) + 1
+
+
+def _pair(h: np.ndarray) -> np.ndarray:
+    return tx.mix(h[:-1] * np.uint64(0xD6E8FEB86659FD93) + h[1:])
+
+
+class Group:
+    """Blocks that are looked at in one pass, and what tells quickly which stretches of a text can hold a window of any."""
+
+    def __init__(self, blocks: list[Block], words: list[np.ndarray]):
+        self.blocks = blocks
+        self.least = min((b.least for b in blocks), default=1)
+        many = [_pair(h) for h in words] if self.least > 1 else words
+        self.table = np.unique(np.concatenate([np.zeros(0, np.uint64), *many]))
+
+    def find(self, hashes: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, set[str]]]:
+        """(text, first word, one past the last, items) of all windows."""
+        if not len(hashes) or not self.blocks:
+            return
+        begin, end = _stretches(among(self.table, _pair(hashes)), first) if self.least > 1 else _runs(among(self.table, hashes), first)
+        long = end - begin >= self.least
+        begin, end = begin[long], end[long]
+        if not len(begin):
+            return
+        size = end - begin
+        starts = np.concatenate(([0], np.cumsum(size)))
+        some = hashes[np.arange(starts[-1]) + np.repeat(begin - starts[:-1], size)]
+        docs = np.searchsorted(first, begin, side="right") - 1
+        offset = begin - first[docs]
+        for block in self.blocks:
+            for s, i, j, names in block.find(some, starts):
+                yield int(docs[s]), int(offset[s]) + i, int(offset[s]) + j, names
+
+
+def groups(items: DataFrame, window: int, block_words: int, held_words: int) -> Iterator[Group]:
+    """Groups of about held_words words at most, in blocks of about block_words, or of one item; items come to the driver one after another."""
+    blocks: list[Block] = []
+    words: list[np.ndarray] = []
+    held: list[tuple[str, np.ndarray]] = []
+    n = total = 0
     rows = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text").filter("text is not null").toLocalIterator()
     for row in rows:
         h = tx.word_hashes(tx.words(pa.array([row.text]), tx.ALNUM))
         if len(h):
             held.append((row.item, h))
+            words.append(h)
             n += len(h)
+            total += len(h)
         if n >= block_words:
-            out.append(sc.broadcast(Block(held, window)))
+            blocks.append(Block(held, window))
             held, n = [], 0
+        if total >= held_words and not held:
+            yield Group(blocks, words)
+            blocks, words, total = [], [], 0
     if held:
-        out.append(sc.broadcast(Block(held, window)))
-    return out
+        blocks.append(Block(held, window))
+    if blocks:
+        yield Group(blocks, words)
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, coverage: float = 0.05, keep: list[str] | None = None, block_words: int = 500_000) -> DataFrame:
+FOUND = "array<struct<start: long, end: long, item: string>>"
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, coverage: float = 0.05, keep: list[str] | None = None, block_words: int = 50_000, held_words: int = 4_000_000) -> DataFrame:
     """The columns keep of docs (all: None) and n_words, n_hit, n_items, items_sha256, contaminated, spans.
 
     spans: byte ranges of the text that windows cover, merged.  contaminated: some
     word is hit and the share of hit words is at least coverage.
     """
-    parts = blocks(items, window, block_words)
     per = round(1 / coverage)
+    sc = docs.sparkSession.sparkContext
+    keep = docs.columns if keep is None else keep
+    before = "__windows_found"  # windows found in earlier passes
 
-    def make(batch: pa.RecordBatch) -> list[pa.Array]:
+    def search(shared, batch: pa.RecordBatch) -> tuple[tx.Words, list[list[tuple[int, int, str]]]]:
         w = tx.words(batch.column("text"), tx.ALNUM)
-        hashes = tx.word_hashes(w)
-        found: dict[int, tuple[list[tuple[int, int]], set[str]]] = {}
-        for part in parts:
-            for d, i, j, names in part.value.find(hashes, w.first):
-                ranges, seen = found.setdefault(d, ([], set()))
-                ranges.append((i, j))
-                seen.update(names)
-        total = np.diff(w.first)
-        hit, n_items = np.zeros(len(total), np.int64), np.zeros(len(total), np.int64)
-        sha, spans = [hashlib.sha256(b"").hexdigest()] * len(total), [[] for _ in total]
-        for d, (ranges, seen) in found.items():
-            merged: list[list[int]] = []
-            for i, j in sorted(ranges):
-                if merged and i <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], j)
-                else:
-                    merged.append([i, j])
-            hit[d] = sum(j - i for i, j in merged)
-            n_items[d] = len(seen)
-            sha[d] = hashlib.sha256(",".join(sorted(seen)).encode()).hexdigest()
-            base, off = int(w.first[d]), int(w.offsets[d])
-            spans[d] = [{"start": int(w.start[base + i]) - off, "end": int(w.end[base + j - 1]) - off} for i, j in merged]
-        bad = (hit > 0) & (per * hit >= total)
-        return [pa.array(total.astype(np.int64)), pa.array(hit), pa.array(n_items), pa.array(sha), pa.array(bad), pa.array(spans, SPANS)]
-
-    return append(docs, FIELDS, make, docs.columns if keep is None else keep)
+        found = [[(x["start"], x["end"], x["item"]) for x in rows or ()] for rows in batch.column(before).to_pylist()] if before in batch.schema.names else [[] for _ in range(batch.num_rows)]
+        for d, i, j, names in shared.value.find(tx.word_hashes(w), w.first):
+            found[d] += [(i, j, name) for name in names]
+        return w, found
+
+    def gather(shared):
+        return lambda batch: [pa.array([[{"start": i, "end": j, "item": name} for i, j, name in f] for f in search(shared, batch)[1]], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("item", pa.string())])))]
+
+    def conclude(shared):
+        def make(batch: pa.RecordBatch) -> list[pa.Array]:
+            w, found = search(shared, batch)
+            total = np.diff(w.first)
+            hit, n_items = np.zeros(len(total), np.int64), np.zeros(len(total), np.int64)
+            sha, spans = [hashlib.sha256(b"").hexdigest()] * len(total), [[] for _ in total]
+            for d, rows in enumerate(found):
+                if not rows:
+                    continue
+                merged: list[list[int]] = []
+                for i, j in sorted({(i, j) for i, j, _ in rows}):
+                    if merged and i <= merged[-1][1]:
+                        merged[-1][1] = max(merged[-1][1], j)
+                    else:
+                        merged.append([i, j])
+                seen = {name for *_, name in rows}
+                hit[d] = sum(j - i for i, j in merged)
+                n_items[d] = len(seen)
+                sha[d] = hashlib.sha256(",".join(sorted(seen)).encode()).hexdigest()
+                base, off = int(w.first[d]), int(w.offsets[d])
+                spans[d] = [{"start": int(w.start[base + i]) - off, "end": int(w.end[base + j - 1]) - off} for i, j in merged]
+            bad = (hit > 0) & (per * hit >= total)
+            return [pa.array(total.astype(np.int64)), pa.array(hit), pa.array(n_items), pa.array(sha), pa.array(bad), pa.array(spans, SPANS)]
+
+        return make
+
+    rest = groups(items, window, block_words, held_words)
+    group, after = next(rest, Group([], [])), next(rest, None)
+    more: list[str] = []
+    while after is not None:
+        shared = sc.broadcast(group)
+        last, docs = docs, checkpoint(append(docs, f"{before} {FOUND}", gather(shared), list(dict.fromkeys([*keep, "text"])), also=more))
+        shared.destroy()
+        if more:
+            release(last)
+        more, group, after = [before], after, next(rest, None)
+    return append(docs, FIELDS, conclude(sc.broadcast(group)), keep, also=more)
 
 
 def remove_spans(found: DataFrame, max_words: int | None = None) -> DataFrame:

@@ -48,9 +48,9 @@ def cases(seed, short):
 
 
 def test_equal_brute_force(spark):
-    for seed, short, block in ((1, False, 10_000), (2, True, 10_000), (3, True, 20)):
+    for seed, short, block, held in ((1, False, 10_000, 10_000), (2, True, 10_000, 10_000), (3, True, 20, 10_000), (5, False, 20, 150), (6, True, 20, 150)):
         docs, items = cases(seed, short)
-        got = decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block_words=block).collect()
+        got = decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block_words=block, held_words=held).collect()
         assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got} == brute(docs, items)
 
 
@@ -73,3 +73,10 @@ def test_empty_tables_and_clashing_columns(spark):
     assert decontaminate.decontaminate(spark.createDataFrame([], schema), no).collect() == []
     got = decontaminate.decontaminate(spark.createDataFrame([(1, "a b", "x", 1), (1, "a b", "x", 1), (None, None, None, None)], schema), no).collect()
     assert sorted(((r.doc_id, r.n_words, r.n_hit) for r in got), key=str) == [(1, 2, 0), (1, 2, 0), (None, 0, 0)]
+
+
+def test_very_long_text(spark):
+    item = " ".join(f"q{i}" for i in range(20))
+    docs = [(1, "filler " * 300_000 + item + " filler" * 50_000), (2, item)]
+    got = decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.contaminated) for r in got} == {1: (350_020, 20, 1, False), 2: (20, 20, 1, True)}
