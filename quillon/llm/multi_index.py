@@ -8,15 +8,19 @@ planted neighbours at the threshold must be reached at ``recall``; the traversal
 is then bounded by that excess over the nearest cell's distance, with no cap on
 cells or candidates.  Candidates are verified by cosine in double precision.
 
-Equal vectors are one indexed vector with a count.  Vectors that are null, empty,
+The number of codewords grows with the root of the number of vectors, so cells keep
+their size, up to ``most`` in each half.
+
+Equal vectors are one indexed vector with a count and a number of its own.  Vectors that are null, empty,
 zero, or hold null or non-finite components, or have another dimension than the
 most common one's, link with nothing.  Null ids: rows of their own, not kept.
-Repeated ids: rows count as vectors of their own, one node.  No rows: no rows.
+Repeated ids: rows count as vectors of their own, each with its links; one node.  No rows: no rows.
 Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -25,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import checkpoint
+from quillon.llm.common import checkpoint, release
 from quillon.llm.components import components
 
 
@@ -92,11 +96,13 @@ def fit(sample: np.ndarray, words: int, least: float, recall: float, seed: int)
     return index._replace(slack=float(np.quantile(excess, recall)) + 1e-9)
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.95, recall: float = 0.98, words: int = 48, sample_rows: int = 20_000, block: int = 2048, seed: int = 5) -> DataFrame:
+def near_duplicates(vectors: DataFrame, least: float = 0.95, recall: float = 0.98, words: int = 48, most: int = 2048, sample_rows: int = 20_000, block: int = 2048, seed: int = 5) -> DataFrame:
     """vec_id, n_links, component_id, kept of each row of vectors (vec_id, embedding).
 
-    words: codewords of each half (words**2 cells).  The codebooks are fitted on
-    about sample_rows distinct vectors, chosen by hash.
+    words: codewords of each half (words**2 cells), at least; a fifth of the root of
+    the number of distinct vectors if that is more, ``most`` at most.  The codebooks
+    are fitted on about sample_rows distinct vectors, chosen by hash, or 32 for each
+    codeword if that is more: 32 * most bounds the sample.
     """
     spark = vectors.sparkSession
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
@@ -110,8 +116,13 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, recall: float = 0.9
     dim = dim["d"] if dim else 0
     rows = checkpoint(rows.select("vec_id", F.when(F.size("v") == dim, F.col("v")).alias("v")).withColumn("same", F.when(F.col("v").isNotNull(), F.md5(F.array_join(F.transform("v", lambda x: x.cast("string")), ",").cast("binary")))))
     classes = rows.filter("same is not null and vec_id is not null").groupBy("same").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.min("v").alias("v"))
-    classes = checkpoint(classes)
+    # a class is known by a number of its own, not by an id that other vectors may have too
+    classes = checkpoint(classes.select(F.monotonically_increasing_id().alias("id"), "same", "rep", "copies", "v"))
+    named = checkpoint(rows.select("vec_id", "same").join(classes.select("same", "id"), "same", "left").select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("id")).alias("id")))
+    release(rows)
     n = classes.count()
+    words = min(max(words, math.isqrt(n) // 5), most)
+    sample_rows = max(sample_rows, 32 * words)
     draw = F.pmod(F.xxhash64(F.lit(seed), "same"), F.lit(1 << 40)) < F.lit(int((1 << 40) * min(1.0, sample_rows / max(n, 1))))
     sample = np.array([r.v for r in classes.filter(draw).select("v").limit(2 * sample_rows).collect()], dtype=np.float64)
     if len(sample) < 2 or dim < 2:
@@ -120,13 +131,16 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, recall: float = 0.9
         sample = unit(sample)
         index = fit(sample, min(words, len(sample)), least, recall, seed)
         links = checkpoint(_links(classes, index, least, block, np.float32 if kind == "float" else np.float64))
-    comps = components(links.select("a", "b"))
+    held = named.filter("id is not null")
+    several = held.groupBy("vec_id").agg(F.min("id").alias("a"), F.max("id").alias("last")).filter("a < last")
+    same_id = held.join(several, "vec_id").filter("a <> id").select("a", F.col("id").alias("b"))
+    comps = checkpoint(components(links.select("a", "b").union(same_id)))
+    smallest = comps.join(classes.select("id", "rep"), "id").groupBy("component").agg(F.min("rep").alias("smallest"))
     counts = links.groupBy("a").agg(F.sum("n").alias("n"))
-    of = classes.join(comps, F.col("rep") == F.col("id"), "left").join(counts, F.col("rep") == F.col("a"), "left")
-    of = of.select("same", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
-    out = rows.select("vec_id", "same").join(of, "same", "left")
-    component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("vec_id").isNotNull(), component).alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    of = classes.select("id", "rep", "copies").join(comps, "id", "left").join(smallest, "component", "left").join(counts, F.col("id") == F.col("a"), "left")
+    of = of.select("id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("smallest", "rep").alias("component_id"))
+    out = named.join(of, "id", "left").withColumn("component_id", F.coalesce("component_id", "vec_id"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
 def unit(raw: np.ndarray) -> np.ndarray:
@@ -150,7 +164,7 @@ def _links(classes: DataFrame, index: Index, least: float, block: int, kind: typ
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                ids, copies = part.column("rep").to_numpy(), part.column("copies").to_numpy()
+                ids, copies = part.column("id").to_numpy(), part.column("copies").to_numpy()
                 raw = part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
                 x = unit(raw)
                 k = len(shared.value.books[1])
@@ -165,7 +179,7 @@ def _links(classes: DataFrame, index: Index, least: float, block: int, kind: typ
                     row, cell = row[before], cell[before]
                     yield _rows(cell, other, ids[row], copies[row], v[row])
 
-    placed = classes.select("rep", "copies", "v").mapInArrow(place, "cell long, role int, id long, copies long, v binary")
+    placed = classes.select("id", "copies", "v").mapInArrow(place, "cell long, role int, id long, copies long, v binary")
     # a cell's members are cut into blocks of bounded size, dealt by hash; its queries go to each block
     size = placed.filter(F.col("role") == member).groupBy("cell").agg(F.count("*").alias("size"))
     parts = size.select("cell", F.ceil(F.col("size") / block).cast("int").alias("parts"))

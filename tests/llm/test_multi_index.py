@@ -1,4 +1,7 @@
+import os
+
 import numpy as np
+import pytest
 
 from quillon.llm import multi_index
 
@@ -44,3 +47,31 @@ def test_unusable_vectors_repeats_and_empty(spark):
     assert {i: got[i] for i in range(6)} == {i: (0, i, True) for i in range(6)}
     assert got[6] == (2, 6, True) and got[7] == (2, 6, False) and got[8] == (2, 6, False) and got[9] == (0, 9, True)
     assert got[None][1:] == (None, False)
+
+
+def test_repeated_ids_keep_links_of_their_own(spark):
+    e = np.eye(8)
+    near = lambda i: (e[i] + 0.1 * e[7]).tolist()
+    rows = [(1, e[0].tolist()), (1, e[1].tolist()), (2, near(0)), (3, near(1)), (4, (e[1] - 0.05 * e[7]).tolist()), (5, e[5].tolist())]
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in multi_index.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), words=3).collect())
+    assert got == [(1, 1, 1), (1, 2, 1), (2, 1, 1), (3, 2, 1), (4, 2, 1), (5, 0, 5)]
+
+
+def test_threshold_is_inclusive(spark):
+    rows = [(1, [1.0, 0.0, 0.0, 0.0]), (2, [1.0, 1.0, 1.0, 1.0]), (3, [0.0, 0.0, -1.0, 0.0])]  # a cosine of one half, exact in binary
+    got = {r.vec_id: r.component_id for r in multi_index.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), least=0.5, words=1).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the tables")
+def test_recall_with_production_parameters(spark):
+    df = spark.read.parquet(f"{SF}/embeddings.parquet")
+    got = {r.vec_id: r for r in multi_index.near_duplicates(df).collect()}
+    rows = df.orderBy("vec_id").collect()
+    usable = [r for r in rows if r.embedding and np.isfinite(np.array(r.embedding, float)).all() and np.any(r.embedding)]
+    n, _ = brute([r.vec_id for r in usable], np.array([r.embedding for r in usable], np.float64))
+    mine = np.array([got[r.vec_id].n_links for r in usable])
+    assert (mine <= n).all() and mine.sum() >= 0.9 * n.sum() and len(got) == len(rows)
