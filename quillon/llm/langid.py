@@ -8,12 +8,19 @@ over a text's words wins (ties: first by code point); the score is its share of
 the posterior under a uniform prior.
 
 The model is fitted on a bounded sample of the labelled rows: ``max_rows`` rows a
-language, chosen by hash of doc_id, whole texts.  The bound is on rows alone;
+language, chosen by hash of id and text, whole texts.  The bound is on rows alone;
 words seen fewer than ``min_count`` times there score by n-grams.
 
-Null texts and texts without a letter: ``und``, score 0.  Null languages: not
-learned from.  Nothing learned: ``und`` for all.  No rows: no rows.  Repeated
-rows: each counts and is predicted.
+Besides the score, ``explained`` is the share of a text that the model has seen
+something of: known words count whole, unseen ones by their characters that start a
+known n-gram.  It is near 0 for a script that no learned language uses.
+
+Null texts and texts without a letter: ``und``, score 0, explained 0.  Null
+languages: not learned from.  Nothing learned: ``und`` for all.  No rows: no rows.
+Repeated rows: each counts and is predicted; equal rows are drawn together.  Ties:
+the first language by code point.  Very long texts: whole, a piece by themselves.
+Other columns are kept, or ignored where keep leaves them out; those with the names
+of results give way.
 """
 
 from __future__ import annotations
@@ -32,18 +39,26 @@ from quillon.llm.common import append, checkpoint
 # Bytes of words: a-z after lower-casing, and all of non-ASCII.
 LETTERS = tx.ALNUM.copy()
 LETTERS[0x30:0x3A] = False
+# First byte of a capital, range of its second, first byte of the small letter, distance of its second.
+CAPITALS = [
+    (0xC3, 0x80, 0x96, 0xC3, 0x20), (0xC3, 0x98, 0x9E, 0xC3, 0x20),  # U+00C0 to U+00DE
+    (0xCE, 0x91, 0x9F, 0xCE, 0x20), (0xCE, 0xA0, 0xA9, 0xCF, -0x20),  # Greek
+    (0xD0, 0x80, 0x8F, 0xD1, 0x10), (0xD0, 0x90, 0x9F, 0xD0, 0x20), (0xD0, 0xA0, 0xAF, 0xD1, -0x20),  # Cyrillic
+]
 # So many languages' row counts are broadcast; more are joined by a shuffle.
 MANY = 10_000
 
 
 def letter_words(texts: pa.Array) -> tx.Words:
-    """Words of letters, lower-cased: A-Z and, in UTF-8, the capitals U+00C0 to U+00DE."""
+    """Words of letters, lower-cased: A-Z and, in UTF-8, the capitals of two bytes in CAPITALS."""
     w = tx.words(texts, LETTERS)
     d = w.data
-    if len(d) > 1:
-        after = np.flatnonzero(d[:-1] == 0xC3) + 1
-        caps = after[(d[after] >= 0x80) & (d[after] <= 0x9E) & (d[after] != 0x97)]
-        d[caps] += 0x20
+    lead = np.flatnonzero((d[:-1] == 0xC3) | (d[:-1] == 0xCE) | (d[:-1] == 0xD0))
+    first, second = d[lead].copy(), d[lead + 1].copy()
+    for byte, least, most, to, shift in CAPITALS:
+        at = lead[(first == byte) & (second >= least) & (second <= most)]
+        d[at] = to
+        d[at + 1] += np.uint8(shift % 256)
     return w
 
 
@@ -78,7 +93,7 @@ def fit(rows: DataFrame, max_rows: int = 2000, min_count: int = 3, longest: int
     sizes = checkpoint(rows.groupBy("lang").agg(F.count("*").alias("n_rows")))
     if sizes.count() <= MANY:  # a row of two numbers for each language: no text is shuffled by language
         sizes = F.broadcast(sizes)
-    draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
     sample = rows.join(sizes, "lang").filter(draw < F.lit(float(max_rows)) / F.col("n_rows")).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,8 +158,8 @@ def find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(table[p] == keys, p, -1)
 
 
-def scores(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(texts x languages: sums of log scores, words of each text)."""
+def scores(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(texts x languages: sums of log scores, words of each text, share of them that the model explains)."""
     w = letter_words(texts)
     h = tx.word_hashes(w)
     n_lang = len(model.langs)
@@ -153,6 +168,7 @@ def scores(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     by_word = np.zeros((len(u), n_lang), np.float32)
     by_word[at >= 0] = model.word_scores[at[at >= 0]]
     new = np.flatnonzero(at < 0)
+    share = np.ones(len(u))
     if len(new):
         a1, _, of1, _ = grams(w, first[new], 1)
         open_ = np.ones(len(a1), bool)
@@ -167,24 +183,28 @@ def scores(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             s = model.gram_scores[n - 1][got[ok]] - model.penalty * (len(model.grams) - n)
             for k in range(n_lang):
                 acc[:, k] += np.bincount(of[ok], weights=s[:, k], minlength=len(new))
-        by_word[new] = acc / np.maximum(np.bincount(of1, minlength=len(new)), 1)[:, None]
+        chars = np.maximum(np.bincount(of1, minlength=len(new)), 1)
+        by_word[new] = acc / chars[:, None]
+        share[new] = 1 - np.bincount(of1, weights=open_, minlength=len(new)) / chars
     out = np.zeros((len(texts), n_lang))
     for k in range(n_lang):
         c = np.concatenate(([0.0], np.cumsum(by_word[inv, k], dtype=np.float64)))
         out[:, k] = c[w.first[1:]] - c[w.first[:-1]]
-    return out, np.diff(w.first)
+    n = np.diff(w.first)
+    c = np.concatenate(([0.0], np.cumsum(share[inv])))
+    return out, n, (c[w.first[1:]] - c[w.first[:-1]]) / np.maximum(n, 1)
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """The columns keep of docs (all: None), lang_pred and score."""
+    """The columns keep of docs (all: None), lang_pred, score and explained."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample's rows
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
         m, texts = shared.value, batch.column("text")
         n = len(texts)
         if not m.langs:
-            return [pa.array(["und"] * n), pa.array(np.zeros(n))]
-        s, _ = scores(m, texts)
+            return [pa.array(["und"] * n), pa.array(np.zeros(n)), pa.array(np.zeros(n))]
+        s, _, explained = scores(m, texts)
         best = s.argmax(1)
         p = 1.0 / np.exp(s - s.max(1, keepdims=True)).sum(1)
         data, offs = tx.buffer(texts)
@@ -192,6 +212,6 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
         letter = plain[offs[1:]] > plain[offs[:-1]]
         for i in np.flatnonzero(~letter):  # few: texts without an ASCII letter
             letter[i] = any(c.isalpha() for c in texts[int(i)].as_py() or "")
-        return [pa.array([m.langs[b] if ok else "und" for b, ok in zip(best, letter, strict=True)]), pa.array(np.where(letter, p, 0.0))]
+        return [pa.array([m.langs[b] if ok else "und" for b, ok in zip(best, letter, strict=True)]), pa.array(np.where(letter, p, 0.0)), pa.array(np.where(letter, explained, 0.0))]
 
-    return append(docs, "lang_pred string, score double", make, docs.columns if keep is None else keep)
+    return append(docs, "lang_pred string, score double, explained double", make, docs.columns if keep is None else keep)

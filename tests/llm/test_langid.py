@@ -92,3 +92,19 @@ def test_texts_without_letters_and_empty_tables(spark):
     assert langid.identify(none, langid.fit(none)).collect() == []
     assert {r.lang_pred for r in langid.identify(df, langid.fit(none)).collect()} == {"und"}
     assert unicodedata.category("日") == "Lo"
+
+
+def test_capitals_of_three_scripts():
+    import pyarrow as pa
+
+    both = ["École ÑANDÚ Ω", "ΑΒΓ ΠΡΣ Ωμέγα", "ЁЖ ПРИВЕТ Яблоко ЩУКА"]
+    got = langid.letter_words(pa.array(both))
+    want = langid.letter_words(pa.array([x.lower().replace("ς", "σ") for x in both]))
+    assert got.data.tobytes() == want.data.tobytes()
+
+
+def test_very_long_text(spark):
+    rows = [(i, "alpha beta gamma " * 5 if i % 2 else "uno dos tres " * 5, "x" if i % 2 else "y") for i in range(20)]
+    df = spark.createDataFrame([*rows, (99, "uno dos " * 500_000, None)], "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.lang_pred, r.explained) for r in langid.identify(df, langid.fit(df)).collect()}
+    assert got[99] == ("y", 1.0)

@@ -75,3 +75,36 @@ def test_one_row_of_each_group_stays_whatever_its_id(spark, tmp_path):
     assert sorted((x.doc_id or 0, x.text) for x in near.collect()) == want
     left = corpus_pipeline.suffix_array_dedup(spark, near, str(tmp_path))
     assert sorted((x.doc_id or 0, x.text) for x in left.collect()) == want
+
+
+def test_other_columns_come_out_as_they_went_in(spark, tmp_path):
+    rows, items = fixture()
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    names = ["score", "kept", "n_words", "lang_pred", "component_id", "id", "spans", "_hit", "_key", "_row2", "explained", "stamp"]
+    wide = spark.createDataFrame([(*r, *[f"{n}{r[0]}" for n in names]) for r in rows], "doc_id long, text string, lang string, source string, n_chars int, " + ", ".join(f"{n} string" for n in names))
+    wide.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == wide.columns
+        out.write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        got = docs.collect()
+        assert got and all(x[n] == f"{n}{x.doc_id}" for x in got for n in names)
+    assert corpus_pipeline.mixing_sources(spark, docs, str(tmp_path)).count() > 0
+
+
+def test_empty_tables_and_only_the_columns_needed(spark, tmp_path):
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_a_script_of_no_learned_language_goes(spark, tmp_path):
+    r = random.Random(3)
+    words = {"en": "abcdefgh", "fr": "ijklmnop"}
+    rows = [(i, " ".join("".join(r.choices(words[x], k=5)) for _ in range(40)), x, "a", 0) for i in range(40) for x in ["en" if i % 2 else "fr"]]
+    rows += [(100, "это совсем другой язык и другое письмо", None, "a", 0), (101, "日本語のテキスト", None, "b", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {x.doc_id: x.lang for x in corpus_pipeline.language_id(spark, docs, str(tmp_path)).collect()}
+    assert got == {i: x for i, _, x, *_ in rows[:40]}
