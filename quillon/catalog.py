@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.plans import retrieval, system, texts  # noqa: F401  (they register themselves)
+from quillon.plans import retrieval, stored, system, texts  # noqa: F401  (they register themselves)
 
 
 def queries() -> dict:

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 Embed = Callable[[list[str]], np.ndarray]
 Score = Callable[[list[tuple[str, str]]], list[float]]
+Generate = Callable[[list[str]], list[str | None]]
 
 
 def hashing_embedder(dim: int = 64) -> Callable[[], Embed]:
@@ -69,3 +70,23 @@ def pair_score(question: Column, passage: Column, load: Callable[[], Score], fal
                 yield pd.Series([None] * len(a), dtype=float)
 
     return F.coalesce(F.nanvl(F.pandas_udf(run, T.DoubleType())(question, passage), F.lit(None).cast("double")), fallback)
+
+
+def generate(prompt: Column, load: Callable[[], Generate], fallback: Column, batch: int = 8) -> Column:
+    """A generator's answers; where it fails or gives none, the fallback.  Null prompts are not asked."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = load()
+        for s in batches:
+            out: list[str | None] = [None] * len(s)
+            asked = [i for i, x in enumerate(s) if x is not None]
+            for at in range(0, len(asked), batch):
+                part = asked[at : at + batch]
+                try:
+                    for i, answer in zip(part, model([s.iloc[i] for i in part]), strict=True):
+                        out[i] = answer or None
+                except Exception:  # one failing batch must not end the job; its rows fall back
+                    continue
+            yield pd.Series(out, dtype=object)
+
+    return F.coalesce(F.pandas_udf(run, T.StringType())(prompt), fallback)

@@ -70,6 +70,11 @@ def valid_filename(c: Column) -> Column:
     return F.struct(bad.isNull().alias("valid"), F.coalesce(bad, F.lit("")).alias("reason"))
 
 
+def valid_upload(size: Column, most: int = K.MAX_UPLOAD) -> Column:
+    """A file of known size that is not over the limit."""
+    return F.coalesce(size <= most, F.lit(False))
+
+
 def plan(injected: Column, scope: Column) -> Column:
     return F.when(injected, "REFUSE_INJECTION").when(scope, "REFUSE_OUT_OF_SCOPE").otherwise("HYBRID_RAG")
 

@@ -101,6 +101,17 @@ def generation_summary(rows: DataFrame, *by: str) -> DataFrame:
     return out.withColumn("hallucination_rate", hallucination(F.col("faithfulness"))).withColumn("isb", isb).withColumn("meets", (F.col("citation_precision") >= K.PRECISION) & (F.col("hallucination_rate") <= K.HALLUCINATION) & (F.col("isb") >= K.PARITY))
 
 
+def constraints(run: DataFrame) -> DataFrame:
+    """Adds constraints_met, a struct of booleans, to runs (citation_precision, hallucination_rate, isb, p50_ms, p95_ms)."""
+    met = {"citation_precision_ok": F.col("citation_precision") >= K.PRECISION, "hallucination_ok": F.col("hallucination_rate") <= K.HALLUCINATION, "isb_ok": F.col("isb") >= K.PARITY, "p50_ok": F.col("p50_ms") <= K.P50_MS, "p95_ok": F.col("p95_ms") <= K.P95_MS}
+    return run.withColumn("constraints_met", F.struct(*[c.alias(n) for n, c in met.items()]))
+
+
+def latency_split(rows: DataFrame, value: str, retrieval: float = 0.6) -> DataFrame:
+    """Adds retrieval_ms and generation_ms: a fixed split of one latency, synthetic, not measured."""
+    return rows.withColumn("retrieval_ms", F.col(value) * retrieval).withColumn("generation_ms", F.col(value) * (1 - retrieval))
+
+
 def parity_gap(rows: DataFrame, lang: str, metric: str, value: str) -> DataFrame:
     """metric, fr, en, isb, gap: means by language, side by side."""
     p = rows.groupBy(metric).pivot(lang, ["fr", "en"]).agg(F.avg(value))

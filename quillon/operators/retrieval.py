@@ -37,8 +37,11 @@ def top(df: DataFrame, k: int, *order: Column, by: str = "query_id") -> DataFram
 
 def postings(docs: DataFrame, terms: Column, id_: str = "doc_id") -> DataFrame:
     """doc_id, dl, term, tf: the index, a row for each distinct term of a document."""
-    d = _exploded(docs, terms, id_)
-    return d.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    return counted(_exploded(docs, terms, id_))
+
+
+def counted(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
 
 
 def _exploded(docs: DataFrame, terms: Column, id_: str) -> DataFrame:
@@ -50,24 +53,35 @@ def _exploded(docs: DataFrame, terms: Column, id_: str) -> DataFrame:
 def bm25(docs: DataFrame, queries: DataFrame, doc_terms: Column, query_terms: Column, k1: float = K.K1, b: float = K.B, id_: str = "doc_id") -> DataFrame:
     """query_id, doc_id, score of all pairs that share a term.
 
-    Postings are cut to the terms of the questions by a semi-join before anything
-    is shuffled wide; document frequencies are counted on what is left, lengths on
-    all documents.
+    Terms that no question has go before anything is shuffled wide; document
+    frequencies are counted on what is left, lengths on all documents.
     """
+    tf = counted(with_terms(_exploded(docs, doc_terms, id_), queries, query_terms))
+    return weighed(tf, docs.select(F.size(doc_terms).alias("dl")), queries, query_terms, k1, b)
+
+
+def with_terms(rows: DataFrame, queries: DataFrame, query_terms: Column) -> DataFrame:
+    """Rows of the terms that some question has."""
+    return rows.join(queries.select(F.explode(query_terms).alias("term")).distinct(), "term", "left_semi")
+
+
+def weighed(tf: DataFrame, lengths: DataFrame, queries: DataFrame, query_terms: Column, k1: float = K.K1, b: float = K.B) -> DataFrame:
+    """query_id, doc_id, score from postings of the questions' terms (doc_id, dl, term, tf) and the lengths of all documents (dl)."""
     asked = queries.select("query_id", F.explode(query_terms).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    tf = _exploded(docs, doc_terms, id_).join(asked.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    stats = docs.select(F.size(doc_terms).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     gain = F.col("qtf") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    weighted = asked.join(df, "term")
-    return tf.join(weighted, "term").crossJoin(F.broadcast(stats)).groupBy("query_id", "doc_id").agg(F.sum(gain).alias("score"))  # stats: one row
+    return tf.join(asked.join(df, "term"), "term").crossJoin(F.broadcast(stats)).groupBy("query_id", "doc_id").agg(F.sum(gain).alias("score"))  # stats: one row
+
+
+def ranked(scores: DataFrame, k: int) -> DataFrame:
+    return top(scores.withColumn("score", F.round("score", 6)), k, F.desc("score"), F.asc("doc_id"))
 
 
 def lexical_top(docs: DataFrame, queries: DataFrame, k: int = K.CANDIDATES, filters: dict | None = None) -> DataFrame:
     """query_id, doc_id, score, rank by BM25 over lower-cased letter and digit runs."""
-    s = bm25(matching(docs, filters), queries, t.terms(F.col("text")), t.terms(F.col("text")))
-    return top(s.withColumn("score", F.round("score", 6)), k, F.desc("score"), "doc_id")
+    return ranked(bm25(matching(docs, filters), queries, t.terms(F.col("text")), t.terms(F.col("text"))), k)
 
 
 def best_fields(docs: DataFrame, queries: DataFrame, analyze, k: int = K.CANDIDATES, boost: float = 0.5) -> DataFrame:
@@ -101,7 +115,7 @@ def dense_top(vectors: DataFrame, queries: DataFrame, k: int = K.CANDIDATES, fil
         keep = value > -2.0
         return pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, order.shape[1])[keep.ravel()]), pa.array(ids[order][keep]), pa.array(value[keep])], names=["query_id", "doc_id", "score"])
 
-    rows = _whole(matching(vectors, filters)).select("vec_id", "embedding")
+    rows = usable(matching(vectors, filters)).select("vec_id", "embedding")
     n, dim = _extent(queries)
     out = "query_id long, doc_id long, score double"
     rows = rows.filter(F.size("embedding") == dim)
@@ -120,7 +134,7 @@ def dense_top(vectors: DataFrame, queries: DataFrame, k: int = K.CANDIDATES, fil
                 qid, v = np.frombuffer(qids, np.int64), np.frombuffer(ids, np.int64)
                 yield best(qid, v, _scores(qid, np.frombuffer(m, np.float64).reshape(len(qid), -1), v, np.frombuffer(x, np.float64).reshape(len(v), -1), other))
 
-    asked = _matrices(_whole(queries).filter(F.size("embedding") == dim).select("query_id", "embedding"), block, "a")
+    asked = _matrices(usable(queries).filter(F.size("embedding") == dim).select("query_id", "embedding"), block, "a")
     stored = _matrices(rows, 4 * block, "b")
     return top(stored.crossJoin(asked).mapInArrow(meet, out), k, F.desc("score"), "doc_id")
 
@@ -144,20 +158,20 @@ def dense_rerank(vectors: DataFrame, queries: DataFrame, k: int = K.TOP_K, alpha
             yield pa.RecordBatch.from_arrays([pa.array(qid[i]), pa.array(ids[j]), pa.array(s[i, j]), batch.column("doc_type").take(pa.array(j)), batch.column("institution").take(pa.array(j))], names=["query_id", "doc_id", "score", "doc_type", "institution"])
 
     w = q.metadata_weight(F.col("doc_type"), F.col("institution")).cast("double").alias("w")
-    rows = _whole(vectors).filter(F.size("embedding") == dim).select("vec_id", "embedding", "doc_type", "institution", w).mapInArrow(search, "query_id long, doc_id long, score double, doc_type string, institution string")
+    rows = usable(vectors).filter(F.size("embedding") == dim).select("vec_id", "embedding", "doc_type", "institution", w).mapInArrow(search, "query_id long, doc_id long, score double, doc_type string, institution string")
     return rerank(rows, F.col("score"), k, alpha, beta)
 
 
 SLACK = 2e-6
 
 
-def _whole(df: DataFrame) -> DataFrame:
+def usable(df: DataFrame) -> DataFrame:
     return df.filter("embedding is not null and exists(embedding, x -> x <> 0) and forall(embedding, x -> x is not null and not isnan(x))")
 
 
 def _extent(queries: DataFrame) -> tuple[int, int]:
     """(number of questions, their most common length)."""
-    sizes = _whole(queries).groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n"))
+    sizes = usable(queries).groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n"))
     row = sizes.agg(F.sum("n").alias("n"), F.max_by("dim", F.struct("n", -F.col("dim"))).alias("dim")).first()
     return (row.n or 0, row.dim or 0)
 
@@ -176,7 +190,7 @@ def _blocks(queries: DataFrame, block: int, dim: int) -> list:
             blocks.append(sc.broadcast((np.array([r[0] for r in held]), _unit(np.array([r[1] for r in held], dtype=np.float64)))))
             held.clear()
 
-    for r in _whole(queries).filter(F.size("embedding") == dim).select("query_id", "embedding").toLocalIterator():
+    for r in usable(queries).filter(F.size("embedding") == dim).select("query_id", "embedding").toLocalIterator():
         held.append((r.query_id, r.embedding))
         if len(held) == block:
             close()
