@@ -155,7 +155,12 @@ def session_context(spark, sf_dir):
     return answers.session_context(table(spark, sf_dir, "conversations"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id AS key, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+s AS (SELECT key, n, event_id, us, [us] AS times, '' AS reason FROM e WHERE n = 1
+  UNION ALL SELECT key, n, event_id, us, CASE WHEN reason = '' THEN list_append(held, us) ELSE held END, reason
+  FROM (SELECT *, CASE WHEN len(list_filter(held, lambda x: x >= us - 60000000)) >= 1 THEN 'minute' WHEN len(held) >= 2 THEN 'hour' ELSE '' END AS reason
+    FROM (SELECT e.key, e.n, e.event_id, e.us, list_filter(s.times, lambda x: x >= e.us - 3600000000) AS held FROM s JOIN e ON e.key = s.key AND e.n = s.n + 1)))
+SELECT key, event_id, us / 1e6 AS at, reason = '' AS allowed, reason FROM s""")
 def rate_limit(spark, sf_dir):
     """Small limits, so that some requests are refused."""
     return limits.limit_batch(limits.requests(table(spark, sf_dir, "events")), 1, 2)

@@ -8,7 +8,7 @@ from quillon.functions import constants as K
 from quillon.functions import questions as q
 from quillon.functions import text as t
 from quillon.operators import chunking, store
-from quillon.plans.inputs import LAWS, QUESTIONS, asked, laws, quote, table, word_sql
+from quillon.plans.inputs import LAWS, QUESTIONS, asked, laws, quote, table, terms_sql, word_sql
 from quillon.plans.retrieval import query
 
 STRIP = r"regexp_replace({0}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
@@ -75,20 +75,49 @@ def article_ref(spark, sf_dir):
     return laws(spark, sf_dir).select("doc_id", t.article_number(F.col("text")).alias("article"), t.is_separator(F.col("text")).alias("separator"))
 
 
-def _chunk_query(strategy):
+_MOST, _OVERLAP = K.CHUNK_TOKENS * K.CHARS_A_TOKEN, K.OVERLAP_TOKENS * K.CHARS_A_TOKEN
+_STOP = f"CASE WHEN {{0}} + {_MOST} >= length(text) THEN {{0}} + {_MOST} ELSE {{0}} + CASE WHEN length(regexp_extract(substring(text, {{0}} + {_OVERLAP + 1}, {_MOST - _OVERLAP}), '^(?s:.*)[ \n]')) >= 2 THEN {_OVERLAP - 1} + length(regexp_extract(substring(text, {{0}} + {_OVERLAP + 1}, {_MOST - _OVERLAP}), '^(?s:.*)[ \n]')) ELSE {_MOST} END END"
+_FIXED = f"""WITH RECURSIVE {LAWS}, o AS (SELECT doc_id, text FROM l WHERE {STRIP.format('text')} <> ''),
+w AS (SELECT doc_id, 0 AS start, {_STOP.format('0')} AS stop FROM o WHERE length(text) > {_MOST}
+  UNION ALL SELECT doc_id, start, {_STOP.format('start')} AS stop FROM (SELECT w.doc_id, o.text, greatest(w.stop - {_OVERLAP}, w.start + 1) AS start FROM w JOIN o USING (doc_id) WHERE w.stop < length(o.text))),
+p AS (SELECT doc_id, start, {STRIP.format('substring(text, start + 1, stop - start)')} AS content FROM w JOIN o USING (doc_id) UNION ALL SELECT doc_id, 0, text FROM o WHERE length(text) <= {_MOST}),
+c AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS chunk_index, content FROM p WHERE content <> '')
+SELECT doc_id, chunk_index, sha256(doc_id || '||' || chunk_index || '|' || content) AS chunk_id, length(content)::BIGINT AS n_chars, 'fixed_size' AS strategy, NULL::VARCHAR AS article_ref, greatest(1, length(content) // {K.CHARS_A_TOKEN})::INT AS token_count FROM c"""
+
+
+_HEAD = K.STRUCTURE.replace("\\d", "[0-9]")
+_REF = r"CASE WHEN regexp_matches({0}, '(?i)^(Article|Section)\s+[0-9]') THEN CASE lower(regexp_extract({0}, '(?i)^(Article|Section)', 1)) WHEN 'article' THEN 'Article ' ELSE 'Section ' END || regexp_extract({0}, '(?i)^(Article|Section)\s+([0-9]+)', 2) END"
+# o: doc_id, text; segments between headings, long ones cut by windows; h: the chunks.
+_SEGMENTS = f"""g AS (SELECT doc_id, text, CASE WHEN parts[1] = '' THEN parts[2:] ELSE parts END AS parts FROM (SELECT doc_id, text, string_split(regexp_replace(text, '(?im)^({_HEAD})', chr(1) || '\\1', 'g'), chr(1)) AS parts FROM o)),
+u AS (SELECT doc_id, k, text, CASE WHEN length(text) // {K.CHARS_A_TOKEN} * {K.CHARS_A_TOKEN} <= {_MOST} THEN 'structural' ELSE 'hybrid' END AS strategy FROM (SELECT doc_id, k, {STRIP.format('parts[k]')} AS text FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS k FROM g WHERE len(parts) > 1)) WHERE text <> ''
+  UNION ALL SELECT doc_id, 0, text, 'fixed_size' FROM g WHERE len(parts) <= 1),
+w AS (SELECT doc_id, k, 0 AS start, {_STOP.format('0')} AS stop FROM u WHERE length(text) > {_MOST} AND strategy <> 'structural'
+  UNION ALL SELECT doc_id, k, start, {_STOP.format('start')} AS stop FROM (SELECT w.doc_id, w.k, u.text, greatest(w.stop - {_OVERLAP}, w.start + 1) AS start FROM w JOIN u USING (doc_id, k) WHERE w.stop < length(u.text))),
+p AS (SELECT doc_id, k, start, {STRIP.format('substring(text, start + 1, stop - start)')} AS content, strategy, text FROM w JOIN u USING (doc_id, k) UNION ALL SELECT doc_id, k, 0, text, strategy, text FROM u WHERE length(text) <= {_MOST} OR strategy = 'structural'),
+h AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k, start) - 1 AS chunk_index, content, strategy, CASE WHEN strategy = 'fixed_size' THEN {_REF.format('content')} ELSE {_REF.format('text')} END AS article_ref FROM p WHERE content <> '')"""
+_HYBRID = f"""WITH RECURSIVE {LAWS}, o AS (SELECT doc_id, text FROM l WHERE {STRIP.format('text')} <> ''), {_SEGMENTS}
+SELECT doc_id, chunk_index, sha256(doc_id || '||' || chunk_index || '|' || content) AS chunk_id, length(content)::BIGINT AS n_chars, strategy, article_ref, greatest(1, length(content) // {K.CHARS_A_TOKEN})::INT AS token_count FROM h"""
+
+
+def _chunk_query(strategy, sql=None):
     def run(spark, sf_dir):
         rows = chunking.chunks(laws(spark, sf_dir), strategy)
         return rows.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "chunk_id", F.length("content").cast("long").alias("n_chars"), "strategy", "article_ref", "token_count")
 
     run.__name__ = f"chunk_{strategy.split('_')[0]}"
-    query()(run)
+    query(sql)(run)
 
 
-for _s in ("fixed_size", "structural", "hybrid"):
-    _chunk_query(_s)
+for _s, _q in (("fixed_size", _FIXED), ("structural", _HYBRID), ("hybrid", _HYBRID)):
+    _chunk_query(_s, _q)
 
 
-@query()
+@query(f"""WITH RECURSIVE {LAWS}, o AS (SELECT doc_id, lang, {CLEAN} AS text FROM l WHERE {STRIP.format(CLEAN)} <> ''), {_SEGMENTS},
+m AS (SELECT doc_id, lang, text, lower(substring(text, 1, 2000)) AS low, substring(text, 1, 5000) AS s FROM o)
+SELECT doc_id, lang, {_first_sql('substring(text, 1, 500)', K.DOC_TYPES)} AS doc_type, {_first_sql('substring(text, 1, 1000)', K.INSTITUTIONS)} AS institution,
+CASE WHEN {_any_sql('low', K.COMMON_LAW)} THEN 'common_law' WHEN contains(low, 'ohada') THEN 'ohada' WHEN {_any_sql('low', K.CIVIL_LAW)} THEN 'civil_law' END AS jurisdiction,
+CASE WHEN regexp_matches(s, '{_NUM}') THEN regexp_extract(s, '{_NUM}', 3) || '-' || lpad(regexp_extract(s, '{_NUM}', 2), 2, '0') || '-' || lpad(regexp_extract(s, '{_NUM}', 1), 2, '0') {_MONTHS} END AS date_document,
+length(s)::INT AS char_count, n_chunks FROM m JOIN (SELECT doc_id, count(*) AS n_chunks FROM h GROUP BY 1) USING (doc_id)""")
 def ingest_documents(spark, sf_dir):
     """Clean, describe, cut: chunks of each document with its metadata."""
     about, chunks = chunking.ingest(laws(spark, sf_dir))
@@ -175,7 +204,13 @@ def lang_heuristic(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", t.language_heuristic(F.col("text")).alias("language"))
 
 
-@query()
+def _share_sql(lang):
+    return f"len(list_filter(w, lambda x: x IN ({', '.join(map(quote, t.FUNCTION_WORDS[lang]))})))"
+
+
+@query(f"""WITH w AS (SELECT doc_id, length(text) >= 20 AS long, {terms_sql('text')} AS w FROM documents), n AS (SELECT doc_id, long, {_share_sql('fr')} AS nf, {_share_sql('en')} AS ne FROM w),
+s AS (SELECT doc_id, long, CASE WHEN nf + ne > 0 THEN nf::DOUBLE / (nf + ne) ELSE 0.0 END AS fr, CASE WHEN nf + ne > 0 THEN ne::DOUBLE / (nf + ne) ELSE 0.0 END AS en FROM n)
+SELECT doc_id, CASE WHEN long AND en > fr THEN 'en' ELSE 'fr' END AS language, CASE WHEN long THEN greatest(fr, en) ELSE 0.0 END AS confidence, long AND fr >= 0.3 AND en >= 0.3 AS bilingual FROM s""")
 def lang_detect(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", t.detect_language(F.col("text")).alias("d")).select("doc_id", "d.*")
 
