@@ -209,7 +209,16 @@ def reranker_gain(spark, sf_dir):
     return both.select("query_id", F.round(F.col("after") - F.col("before"), 6).alias("gain"))
 
 
-@query()
+@query(f"""WITH {SCORES}, d AS ({TOP.format('SELECT query_id, doc_id, score FROM s', 20)}), t AS ({TOP.format('SELECT query_id, doc_id, second::DOUBLE AS score FROM s', 20)}), {FUSED.replace("JOIN s", "JOIN t s")},
+x AS (SELECT g.query_id, g.doc_id, s.score, least(1.0::DOUBLE, ([1.0::DOUBLE, 0.8, 0.7, 0.5, 0.5])[(g.doc_id % 5 + 1)::INT] + CASE WHEN g.doc_id % 3 <> 1 THEN 0.1::DOUBLE ELSE 0.0 END) AS w_meta FROM g JOIN s USING (query_id, doc_id)),
+r AS (SELECT 'B0' AS baseline, query_id, doc_id, rank FROM t UNION ALL SELECT 'B1', query_id, doc_id, rank FROM d UNION ALL SELECT 'B2', query_id, doc_id, rank FROM g
+  UNION ALL SELECT 'B3', query_id, doc_id, rank FROM ({TOP.format('SELECT query_id, doc_id, score FROM x', 10)}) UNION ALL SELECT 'B4', query_id, doc_id, rank FROM ({TOP.format('SELECT query_id, doc_id, round(0.85::DOUBLE * score + 0.15::DOUBLE * w_meta, 6) AS score FROM x', 10)})),
+rel AS (SELECT query_id, doc_id, 1.0 + (doc_id % 2) AS rel FROM s WHERE same), ks AS (SELECT unnest([1, 3, 5, 10]) AS k), qs AS (SELECT DISTINCT query_id, baseline FROM (SELECT vec_id AS query_id FROM embeddings WHERE vec_id % 20 = 0), (SELECT DISTINCT baseline FROM r)),
+hits AS (SELECT baseline, query_id, k, count(rel) AS hits, sum(coalesce(rel, 0) / log2(rank + 1)) AS dcg FROM r LEFT JOIN rel USING (query_id, doc_id), ks WHERE rank <= k GROUP BY ALL),
+ideal AS (SELECT query_id, k, sum(rel / log2(n + 1)) AS idcg FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, doc_id) AS n FROM rel), ks WHERE n <= k GROUP BY ALL),
+total AS (SELECT query_id, count(*) AS relevant FROM rel GROUP BY ALL), first AS (SELECT baseline, query_id, min(rank) AS first FROM r JOIN rel USING (query_id, doc_id) GROUP BY ALL)
+SELECT baseline, k, count(*) AS n_queries, round(avg(coalesce(hits / k, 0)), 4) AS precision, round(avg(coalesce(hits / relevant, 0)), 4) AS recall, round(avg(CASE WHEN hits > 0 THEN 1.0::DOUBLE ELSE 0.0 END), 4) AS hit, round(avg(coalesce(dcg / idcg, 0)), 4) AS ndcg, round(avg(coalesce(1.0 / first, 0)), 4) AS mrr
+FROM qs CROSS JOIN ks LEFT JOIN hits USING (baseline, query_id, k) LEFT JOIN ideal USING (query_id, k) LEFT JOIN total USING (query_id) LEFT JOIN first USING (baseline, query_id) GROUP BY ALL""")
 def ablations(spark, sf_dir):
     """All five baselines in one job: sparse, dense, both, reranked, with metadata."""
     e, asked_ = _vectors(spark, sf_dir)
