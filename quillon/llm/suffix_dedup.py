@@ -12,11 +12,13 @@ column-wise multi-document construction, the shared core standing as one symbol:
 each round inserts one more symbol of every document, from the ends, and updates
 the collection's Burrows-Wheeler transform and its longest common prefixes in one
 sequential sweep; windows whose common prefix with a neighbour spans a window
-repeat.  Collections hold ``batch`` documents and a bucket's last, ``most`` at the
-most beyond, so the sequential files of the method are arrays; a bucket with more than ``most`` distinct regions is decided by
-counting its windows by 128-bit hash, pre-aggregated, exactly as well.
+repeat.  A collection holds about ``batch`` documents, so the sequential files of the
+method are arrays.  The more distinct regions a bucket has (over ``most``), the
+shorter its chunks are cut and the longer, and so the rarer, are their cores, down
+to cores of a whole window; chunks with equal bytes are told as they stream by, so no
+collection grows with a bucket.
 
-Null and empty texts: no bytes, nothing removed.  Texts shorter than length: kept
+Null and empty texts: no bytes, nothing removed.  Ties: windows are equal or not.  Texts shorter than length: kept
 whole.  Repeated rows: every row counts as a document of its own.  Null ids: rows
 like others.  Very long texts: whole; memory grows with one text.  No rows: no
 rows.  Other columns are ignored, or kept where asked for.
@@ -31,7 +33,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -109,7 +110,7 @@ class Columns:
     def __init__(self, rows: np.ndarray):
         m = len(rows)
         self.rows, self.lens = rows, (rows > 0).sum(1)
-        self.bwt = np.zeros(m, np.uint16)  # of the empty suffixes, text by text
+        self.bwt = np.zeros(m, rows.dtype)  # of the empty suffixes, text by text
         self.lcp = np.zeros(m, np.int32)  # with the suffix before
         self.owner = np.arange(m, dtype=np.int32)  # text of each suffix
         self.size = np.zeros(m, np.int32)  # its length
@@ -148,7 +149,7 @@ class Columns:
         size = n + len(live)
         old = np.ones(size, bool)
         old[dest] = False
-        for name, new in (("bwt", np.zeros(len(live), np.uint16)), ("lcp", mine[order]), ("owner", live[order].astype(np.int32)), ("size", np.full(len(live), j, np.int32))):
+        for name, new in (("bwt", np.zeros(len(live), self.rows.dtype)), ("lcp", mine[order]), ("owner", live[order].astype(np.int32)), ("size", np.full(len(live), j, np.int32))):
             have = getattr(self, name)
             out = np.empty(size, have.dtype)
             out[old] = have
@@ -206,12 +207,15 @@ def dedup(docs: DataFrame, length: int = 400, gram: int = 32, keep: list[str] |
                 yield pa.RecordBatch.from_arrays([pa.array(r["bucket"]), content, key, *(pa.array(r[c].astype(np.int32)) for c in ("s0", "n", "a"))], names=["bucket", "content", "_key", "s0", "n", "a"])
 
     places = packed.mapInArrow(spread, "bucket long, content binary, _key binary, s0 int, n int, a int")
-    kinds = places.groupBy("bucket", "content").agg(F.count("*").alias("copies"))
-    whole = W.partitionBy("bucket")
-    kinds = kinds.withColumn("all", F.sum("copies").over(whole)).withColumn("kinds", F.count("*").over(whole)).withColumn("ones", F.min("copies").over(whole) == 1)
-    kinds = checkpoint(kinds.filter("all > 1").select("bucket", "content", "copies", "kinds", (F.col("ones") & (F.col("kinds") > 1)).alias("open")))
-    found = checkpoint(places.join(kinds, ["bucket", "content"]))
-    release(packed, kinds)
+    # most buckets have one region: they go first, by counts that are summed before they move
+    several = places.groupBy("bucket").agg(F.count("*").alias("all")).filter("all > 1").select("bucket")
+    shared = checkpoint(places.join(several, "bucket", "left_semi"))
+    release(packed)
+    kinds = shared.groupBy("bucket", "content").agg(F.count("*").alias("copies"))
+    whole = kinds.groupBy("bucket").agg(F.count("*").alias("kinds"), (F.min("copies") == 1).alias("ones"))
+    kinds = kinds.join(whole, "bucket").select("bucket", "content", "copies", "kinds", (F.col("ones") & (F.col("kinds") > 1)).alias("open"))
+    found = checkpoint(shared.join(kinds, ["bucket", "content"]).filter("copies > 1 or open"))
+    release(shared)
 
     some = found.filter("open").dropDuplicates(["bucket", "content"])
     asked = some.groupBy("_key").agg(F.collect_list(F.struct("bucket", "content", "s0", "n", "a", "copies", "kinds")).alias("_asked"))
@@ -226,7 +230,7 @@ def dedup(docs: DataFrame, length: int = 400, gram: int = 32, keep: list[str] |
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["bucket", "content", "copies", "kinds", "a", "region"])
 
     fetched = checkpoint(keyed.select("_key", "text").join(asked, "_key").dropDuplicates(["_key"]).select("text", "_asked").mapInArrow(fetch, "bucket long, content binary, copies long, kinds long, a int, region binary"))
-    marks = checkpoint(_constructed(fetched.filter(F.col("kinds") <= most), length, batch).unionByName(_counted(fetched.filter(F.col("kinds") > most), length)))
+    marks = checkpoint(_constructed(fetched, length, most, batch))
     release(fetched)
 
     # a region that stands more than once repeats whole; only single ones, unique by content, meet the marks
@@ -279,90 +283,81 @@ def _append_hit(joined: DataFrame, fields: str, finish, keep: list[str]) -> Data
     return joined.select(*dict.fromkeys([*keep, "text", "_hit"])).mapInArrow(run, schema)
 
 
-def _constructed(fetched: DataFrame, length: int, batch_: int) -> DataFrame:
+def _constructed(fetched: DataFrame, length: int, most: int, batch_: int) -> DataFrame:
     """bucket, content, marks: repeated windows of each region that stands once, by the column-wise construction over chunks of equal core."""
-    chunk = max(1, length // 6)
-    core = length - chunk + 1
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = xxhash.xxh3_128_digest
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
+            for at in range(0, batch.num_rows, 500):
                 out = []
-                for bucket, content, copies, a, r in zip(*(batch.column(c).slice(at, 2000).to_pylist() for c in ("bucket", "content", "copies", "a", "region")), strict=True):
-                    last = len(r) - length
-                    i = 0
+                for bucket, content, copies, kinds, a, r in zip(*(batch.column(c).slice(at, 500).to_pylist() for c in ("bucket", "content", "copies", "kinds", "a", "region")), strict=True):
+                    chunk = max(1, length // 6 >> max(0, (kinds - 1) // most).bit_length())
+                    core, last, i = length - chunk + 1, len(r) - length, 0
                     while i <= last:
                         q = (a - i) // chunk  # the windows i to j have the minimiser at offsets of one chunk
                         j = min(last, a - q * chunk)
                         c = a - q * chunk
-                        out.append((key(r[c : c + core], seed=q), bucket, content, copies, i, r[i:c], r[c + core : j + length]))
+                        out.append((chunk, key(r[c : c + core], seed=q), r[i:c], r[c + core : j + length], bucket, content, copies, i))
                         i = j + 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["core", "bucket", "content", "copies", "first", "left", "right"])
-
-    def build(groups: list[list[tuple]]) -> Iterator[tuple[int, bytes, int, int]]:
-        """(bucket, content, first and last repeated window) of groups of equal core."""
-        open_: list[tuple[int, bytes, bytes, list[tuple]]] = []
-        for g, members in enumerate(groups):
-            same: dict[tuple[bytes, bytes], list[tuple]] = {}
-            for m in members:
-                same.setdefault((m[5], m[6]), []).append(m)
-            for (left, right), ms in same.items():
-                if sum(m[3] for m in ms) > 1:
-                    last = len(left) + len(right) + 1 - chunk
-                    yield from ((m[1], m[2], m[4], m[4] + last) for m in ms if m[3] == 1)
-            if len(same) > 1:
-                open_ += [(g, *k, ms) for k, ms in same.items()]
-        if not open_:
-            return
-        rows = np.zeros((len(open_), max(len(x) + len(y) for _, x, y, _ in open_) + 1), np.uint16)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int32()), strict=True)], names=["chunk", "core", "left", "right", "bucket", "content", "copies", "first"])
+
+    def build(chunk: int, groups: list[list[tuple]]) -> Iterator[tuple[int, bytes, int, int]]:
+        """(bucket, content, first and last repeated window) of the single members of groups of equal core; a member: left, right, (bucket, content, first) if single."""
+        open_ = [(g, *m) for g, members in enumerate(groups) for m in members]
+        rows = np.zeros((len(open_), max(len(x) + len(y) for _, x, y, _ in open_) + 1), np.uint32)
         for row, (g, left, right, _) in zip(rows, open_, strict=True):
-            row[len(row) - len(right) :] = np.frombuffer(right, np.uint8).astype(np.uint16) + 1
+            row[len(row) - len(right) :] = np.frombuffer(right, np.uint8).astype(np.uint32) + 1
             row[len(row) - len(right) - 1] = 257 + g
-            row[len(row) - len(right) - 1 - len(left) : len(row) - len(right) - 1] = np.frombuffer(left, np.uint8).astype(np.uint16) + 1
-        for (*_, ms), starts in zip(open_, Columns(rows).repeats(chunk), strict=True):
-            if len(ms) == 1 and ms[0][3] == 1:
-                yield from ((ms[0][1], ms[0][2], ms[0][4] + i, ms[0][4] + j) for i, j in ranges(starts))
+            row[len(row) - len(right) - 1 - len(left) : len(row) - len(right) - 1] = np.frombuffer(left, np.uint8).astype(np.uint32) + 1
+        for (*_, single), starts in zip(open_, Columns(rows).repeats(chunk), strict=True):
+            if single:
+                yield from ((single[0], single[1], single[2] + i, single[2] + j) for i, j in ranges(starts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[tuple]] = []  # complete groups of two members or more
-        now: list[tuple] = []
+        held: list[list[tuple]] = []  # complete groups of two distinct members or more
+        group: list[tuple] = []  # distinct members of the core at hand
         size = 0
+        at = last = None  # (chunk, core), and the member before: left, right, bucket, content, copies, first, whether it repeats
+        out: list[tuple] = []
+
+        def close(single: bool) -> None:
+            """The member before is complete."""
+            if last is not None:
+                group.append((last[0], last[1], (last[2], last[3], last[5]) if single and last[4] == 1 else None))
 
         def flush() -> pa.RecordBatch:
-            out = list(zip(*build(held), strict=True)) or [(), (), (), ()]
-            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32())], names=["bucket", "content", "lo", "hi"])
+            nonlocal held, size, out
+            rows, held, size, out = [*out, *(build(at[0], held) if held else ())], [], 0, []
+            cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.int32(), pa.int32()), strict=True)], names=["bucket", "content", "lo", "hi"])
 
+        single = True
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("core", "bucket", "content", "copies", "first", "left", "right")), strict=True):
-                if now and now[0][0] != row[0]:
-                    if len(now) > 1:
-                        held.append(now)
-                        size += len(now)
-                    now = []
-                    if size > batch_:
+            for chunk, core, left, right, *member in zip(*(batch.column(c).to_pylist() for c in ("chunk", "core", "left", "right", "bucket", "content", "copies", "first")), strict=True):
+                if at == (chunk, core) and last[:2] == (left, right):
+                    # equal chunks: all their windows repeat
+                    end = len(left) + len(right) + 1 - chunk
+                    out += [(m[0], m[1], m[3], m[3] + end) for m in ((last[2:], member) if single else (member,)) if m[2] == 1]
+                    single = False
+                    continue
+                close(single)
+                if at != (chunk, core):
+                    if len(group) > 1:
+                        held.append(group)
+                        size += len(group)
+                    group = []
+                    if held and (size > batch_ or at[0] != chunk):
                         yield flush()
-                        held, size = [], 0
-                now.append(row)
-        if len(now) > 1:
-            held.append(now)
+                    at = (chunk, core)
+                last, single = (left, right, *member), True
+            if len(out) > 10_000:
+                yield flush()
+        close(single)
+        if len(group) > 1:
+            held.append(group)
         yield flush()
 
-    dealt = fetched.mapInArrow(deal, "core binary, bucket long, content binary, copies long, first int, left binary, right binary")
-    found = dealt.repartition("core").sortWithinPartitions("core").mapInArrow(run, "bucket long, content binary, lo int, hi int")
+    dealt = fetched.mapInArrow(deal, "chunk int, core binary, left binary, right binary, bucket long, content binary, copies long, first int")
+    found = dealt.repartition("core").sortWithinPartitions("chunk", "core", "left", "right").mapInArrow(run, "bucket long, content binary, lo int, hi int")
     return found.groupBy("bucket", "content").agg(F.collect_list(F.struct("lo", "hi")).alias("marks"))
-
-
-def _counted(fetched: DataFrame, length: int) -> DataFrame:
-    """The same of buckets with more distinct regions than a collection holds, by counting windows."""
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                out = [(b, c, i, xxhash.xxh3_128_digest(r[i : i + length]), n) for b, c, r, n in zip(*(part.column(x).to_pylist() for x in ("bucket", "content", "region", "copies")), strict=True) for i in range(len(r) - length + 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.int64()), strict=True)], names=["bucket", "content", "lo", "window", "copies"])
-
-    w = fetched.mapInArrow(windows, "bucket long, content binary, lo int, window binary, copies long")
-    again = w.groupBy("bucket", "window").agg(F.sum("copies").alias("n")).filter("n > 1")
-    return w.join(again, ["bucket", "window"], "left_semi").groupBy("bucket", "content").agg(F.collect_list(F.struct("lo", F.col("lo").alias("hi"))).alias("marks"))

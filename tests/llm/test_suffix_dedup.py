@@ -56,8 +56,24 @@ def test_equal_brute_force(spark):
     check(spark, [*texts(2), *texts(2)[:12]], 100, gram=32)
 
 
-def test_large_buckets_by_counting(spark):
-    check(spark, texts(3), 60, gram=16, most=2)
+def test_large_buckets_have_shorter_chunks(spark):
+    for most in (1, 2, 5):
+        check(spark, texts(3), 60, gram=16, most=most)
+
+
+def test_one_hot_bucket(spark):
+    r = random.Random(6)
+    hot = "=" * 40  # the same bytes in every text, other ones around them
+    rows = [(i, "".join(r.choices("abc", k=r.randrange(20, 60))) + hot + "".join(r.choices("xy", k=r.randrange(0, 30)))) for i in range(150)]
+    check(spark, [*rows, *((1000 + i, t) for i, t in rows[:20])], 60, gram=16, most=10, batch=30)
+
+
+def test_very_long_text(spark):
+    r = random.Random(2)
+    long = "".join(r.choices("abcdefghij ", k=2_300_000))
+    rows = [(1, long), (2, "start#" + long[1_048_300:1_049_000] + "#end"), (3, "z" * 300)]
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans) for x in suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), keep=["doc_id"]).collect()}
+    assert got == {1: (2_300_000, 700, 1), 2: (710, 700, 1), 3: (300, 0, 0)}
 
 
 def test_empty_table_and_clashing_columns(spark):
