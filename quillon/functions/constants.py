@@ -1,5 +1,7 @@
 """Fixed values of the domain: vocabularies, patterns, thresholds, messages."""
 
+EDGE = "{EDGE}"  # a word boundary in the patterns below
+
 # Languages, profiles and their citation modes.
 LANGUAGES = ["fr", "en"]
 PROFILES = {"citizen": "optional", "agent": "systematic", "enterprise": "systematic", "jurist": "exhaustive"}
@@ -34,10 +36,10 @@ INJECTIONS = {
 # Query expansions, first match wins.
 EXPANSIONS = [("décret", "décret présidentiel"), ("arrêté", "arrêté ministériel"), ("demande", "demande officielle formulaire"), ("permis", "permis autorisation licence")]
 
-# Document types by pattern (first match wins); W stands for a word boundary.
+# Document types by pattern (first match wins).  EDGE stands for a Unicode word boundary, which Spark's patterns and those of the SQL spell differently.
 DOC_TYPES = [
     ("constitution", "constitution"), ("loi_organique", r"loi\s+organique"), ("ordonnance", "ordonnance"), ("decret", "décret|decret"), ("arrete", "arrêté|arrête|arreted"), ("circulaire", "circulaire"),
-    ("note_de_service", r"note\s+de\s+service"), ("formulaire", "formulaire"), ("guide_procedure", r"guideW.*W(?:procédure|procedure)"), ("acte_ohada", "ohada"), ("jurisprudence", "jurisprudence|arrêt|jugement"), ("loi", "loi"),
+    ("note_de_service", r"note\s+de\s+service"), ("formulaire", "formulaire"), ("guide_procedure", r"guide{EDGE}.*{EDGE}(?:procédure|procedure)"), ("acte_ohada", "ohada"), ("jurisprudence", "jurisprudence|arrêt|jugement"), ("loi", "loi"),
 ]
 INSTITUTIONS = [
     ("presidence", r"présidence|presidence|palais\s+d.étoile"), ("primature", r"primature|premier\s+ministre"), ("assemblee_nationale", r"assemblée\s+nationale|national\s+assembly"), ("senat", "sénat|senate"),
@@ -61,6 +63,7 @@ PARITY, PRECISION, HALLUCINATION, P50_MS, P95_MS, ERRORS = 0.85, 0.95, 0.05, 500
 CHUNK_TOKENS, OVERLAP_TOKENS, CHARS_A_TOKEN = 512, 64, 4
 PER_MINUTE, PER_HOUR, MAX_UPLOAD = 60, 1000, 50 << 20
 K1, B = 1.2, 0.75
+# Elided French words, file name extensions, accented letters.
 ELISIONS = ["l", "m", "t", "qu", "n", "s", "j", "d", "c", "jusqu", "quoiqu", "lorsqu", "puisqu"]
 EXTENSIONS = ["pdf", "txt", "md", "docx"]
 ACCENTED = "àâäéèêëîïôùûüçœæÀÂÄÉÈÊËÎÏÔÙÛÜÇŒÆ"

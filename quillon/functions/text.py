@@ -113,7 +113,7 @@ def first_of(c: Column, patterns: list[tuple[str, str]]) -> Column:
     """Name of the first pattern found between word boundaries."""
     out = F.lit(None).cast("string")
     for name, p in reversed(patterns):
-        out = F.when(c.rlike(rf"(?iuU)\b(?:{p.replace('W', chr(92) + 'b')})\b"), F.lit(name)).otherwise(out)
+        out = F.when(c.rlike(rf"(?iuU)\b(?:{p.replace(K.EDGE, chr(92) + 'b')})\b"), F.lit(name)).otherwise(out)
     return out
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.functions.constants import EDGE
+
 # Phrases that the tables lack; a row's key chooses one.
 LAW = [
     "DÉCRET n° 2020/123 du 12/05/2020 de la Présidence", "Loi organique du 3 mars 2019, Assemblée nationale", "ARRÊTÉ du 45-99-2021 du ministère, Nord-Ouest", "Circulaire de la mairie, région du Littoral", "Guide sur la procédure, acte OHADA",
@@ -39,7 +41,7 @@ def terms_sql(c: str) -> str:
 
 def word_sql(c: str, pattern: str) -> str:
     """Pattern between Unicode word boundaries (RE2's are ASCII)."""
-    p = pattern.replace("W.*W", r"($|[^\pL\pN_]|[^\pL\pN_].*[^\pL\pN_])").replace("'", "''")
+    p = pattern.replace(f"{EDGE}.*{EDGE}", r"($|[^\pL\pN_]|[^\pL\pN_].*[^\pL\pN_])").replace("'", "''")
     return rf"regexp_matches({c}, '(?i)(^|[^\pL\pN_])(?:{p})($|[^\pL\pN_])')"
 
 
