@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -79,9 +80,73 @@ def ranked(scores: DataFrame, k: int) -> DataFrame:
     return top(scores.withColumn("score", F.round("score", 6)), k, F.desc("score"), F.asc("doc_id"))
 
 
-def lexical_top(docs: DataFrame, queries: DataFrame, k: int = K.CANDIDATES, filters: dict | None = None) -> DataFrame:
-    """query_id, doc_id, score, rank by BM25 over lower-cased letter and digit runs."""
-    return ranked(bm25(matching(docs, filters), queries, t.terms(F.col("text")), t.terms(F.col("text"))), k)
+def lexical_top(docs: DataFrame, queries: DataFrame, k: int = K.CANDIDATES, filters: dict | None = None, most_bytes: int | None = None) -> DataFrame:
+    """query_id, doc_id, score, rank by BM25 over lower-cased letter and digit runs.
+
+    If the questions' weights (terms x questions) take most_bytes (HELD) at most, they
+    are broadcast, documents are scored where they stand, and a batch passes on its k
+    best alone; what is shuffled does not grow with the pairs that share a term.
+    Larger sets of questions go by the join of bm25().
+    """
+    terms = t.terms(F.col("text"))
+    docs = matching(docs, filters)
+    asked = queries.select("query_id", F.explode(terms).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    size = asked.agg(F.count_distinct("query_id").alias("q"), F.count_distinct("term").alias("t")).first()
+    if size.q * size.t * 8 > (HELD if most_bytes is None else most_bytes):
+        return ranked(bm25(docs, queries, terms, terms), k)
+    held = asked.toArrow()  # of checked size
+    ids, vocab = (pc.unique(held.column(c).combine_chunks()) for c in ("query_id", "term"))
+    rows = docs.select("doc_id", terms.alias("w"))
+    stats = rows.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl")).first()
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(len(vocab), np.int64)
+        for _, doc, term, _ in _counts(batches, vocab):
+            df += np.bincount(np.unique(doc * len(vocab) + term) % max(len(vocab), 1), minlength=len(vocab))
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(df)), pa.array(df[df > 0])], names=["term", "df"])
+
+    df = np.zeros(len(vocab))
+    for r in rows.mapInArrow(frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toLocalIterator():
+        df[r.term] = r.df
+    weight = np.zeros((len(vocab), len(ids)))
+    weight[np.asarray(pc.index_in(held.column("term"), vocab)), np.asarray(pc.index_in(held.column("query_id"), ids))] = held.column("qtf").to_numpy()
+    weight *= np.log(1 + (stats.n - df + 0.5) / (df + 0.5))[:, None]
+    shared = docs.sparkSession.sparkContext.broadcast(weight)
+    avgdl = stats.avgdl or 1.0
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, doc, term, length in _counts(batches, vocab):
+            key, tf = np.unique(doc * max(len(vocab), 1) + term, return_counts=True)
+            doc, term = key // max(len(vocab), 1), key % max(len(vocab), 1)
+            gain = tf * (K.K1 + 1) / (tf + K.K1 * (1 - K.B + K.B * length[doc] / avgdl))
+            own = batch.column("doc_id")
+            order = pc.rank(own).to_numpy()
+            for at in range(0, batch.num_rows, 256):
+                i, j = np.searchsorted(doc, [at, at + 256])
+                used, col = np.unique(term[i:j], return_inverse=True)
+                g = np.zeros((min(256, batch.num_rows - at), len(used)))
+                g[doc[i:j] - at, col] = gain[i:j]
+                s = np.round((g @ shared.value[used]).T, 6)  # questions x documents
+                best = np.lexsort((np.broadcast_to(order[at : at + 256], s.shape), -s), axis=1)[:, :k]
+                value = np.take_along_axis(s, best, 1)
+                q_, d = np.nonzero(value > 0)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(q_)), own.take(pa.array(at + best[q_, d])), pa.array(value[q_, d])], names=["query_id", "doc_id", "score"])
+
+    kind = lambda frame, c: frame.schema[c].dataType.simpleString()
+    found = rows.filter(F.size("w") > 0).mapInArrow(score, f"query_id {kind(queries, 'query_id')}, doc_id {kind(docs, 'doc_id')}, score double")
+    return top(found, k, F.desc("score"), F.asc("doc_id"))
+
+
+def _counts(batches: Iterator[pa.RecordBatch], vocab: pa.Array) -> Iterator[tuple]:
+    """(batch, row and place in vocab of each of its words that is there, words of each row)."""
+    for batch in batches:
+        w = batch.column("w")
+        if not batch.num_rows:
+            continue
+        length = np.asarray(pc.fill_null(pc.list_value_length(w), 0)).astype(np.int64)
+        term = pc.fill_null(pc.index_in(w.flatten(), vocab), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        doc = np.repeat(np.arange(batch.num_rows), length)
+        yield batch, doc[term >= 0], term[term >= 0], length
 
 
 def best_fields(docs: DataFrame, queries: DataFrame, analyze, k: int = K.CANDIDATES, boost: float = 0.5) -> DataFrame:

@@ -65,3 +65,13 @@ def test_filters_and_weights(spark):
     c = spark.createDataFrame([(0, "1", "constitution", "Presidence", 0.5), (0, "2", "loi", None, 0.5), (0, "3", None, "primature", 0.5)], "query_id long, doc_id string, doc_type string, institution string, s double")
     got = retrieval.rerank(c, F.col("s")).orderBy("rank").collect()
     assert [(r.doc_id, round(r.w_meta, 6)) for r in got] == [("1", 1.0), ("2", 0.8), ("3", 0.6)]
+
+
+def test_lexical_top_by_broadcast_equals_join(spark):
+    r = random.Random(4)
+    line = lambda n: " ".join(r.choices("abcdefghij", weights=range(1, 11), k=n))
+    docs = spark.createDataFrame([(f"d{i}", line(r.randrange(0, 40))) for i in range(400)] + [("null", None)], "doc_id string, text string").repartition(3)
+    asked = spark.createDataFrame([(i, line(5)) for i in range(12)] + [(90, "zz"), (91, None)], "query_id int, text string")
+    got = [sorted(map(tuple, retrieval.lexical_top(docs, asked, 7, most_bytes=b).collect())) for b in (None, 0)]
+    assert got[0] == got[1] and len(got[0]) == 84
+    assert retrieval.lexical_top(docs.limit(0), asked, 7).collect() == [] and retrieval.lexical_top(docs, asked.limit(0), 7).collect() == []
