@@ -58,3 +58,9 @@ def test_empty_and_repeated_rows(spark):
     assert [(r.size, r.taken, r.target) for r in mixing.mix(spark.createDataFrame([(None, None, None, "x", 1)], schema)).collect()] == [(0, 0, 0.0)]
     got = mixing.mix(spark.createDataFrame([(1, "a b", "s", "x", 1)] * 2, schema)).collect()
     assert sum(r.taken for r in got) == 6
+
+
+def test_very_long_text_is_cut_at_the_budget(spark):
+    rows = [(1, "word " * 400_000, "a"), (2, "one two", "b")]
+    got = {r.doc_id: (r.size, r.taken) for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got[1][0] == 400_000 and got[2] == (2, 4) and got[1][1] == 599_999
