@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.functions import constants as K
@@ -45,20 +46,30 @@ def _decide(key, rows: pd.DataFrame, times: list[float], per_minute: int, per_ho
 
 
 def limit_batch(reqs: DataFrame, per_minute: int = K.PER_MINUTE, per_hour: int = K.PER_HOUR) -> DataFrame:
-    """Each key's requests in order of time, streamed: memory holds an hour of admitted ones, not a key's rows."""
+    """Each key's requests in order of time, streamed: memory holds an hour of admitted ones, not a key's rows.
+
+    A key is cut wherever a clock hour has no request of it: what came before is more
+    than an hour old then, so the stretches are independent and a busy key's are
+    dealt to several tasks.
+    """
+    hour = F.floor(F.col("at") / 3600)
+    hours = reqs.groupBy("key", hour.alias("hour")).agg(F.count("*").alias("n"))  # a row for each key and hour
+    fresh = F.coalesce(F.col("hour") - F.lag("hour").over(W.partitionBy("key").orderBy("hour")) > 1, F.lit(True))
+    stretches = hours.withColumn("fresh", fresh.cast("int")).select("key", "hour", F.sum("fresh").over(W.partitionBy("key").orderBy("hour")).alias("stretch"))
+    rows = reqs.withColumn("hour", hour).join(stretches.withColumnsRenamed({"key": "k", "hour": "h"}), F.col("key").eqNullSafe(F.col("k")) & F.col("hour").eqNullSafe(F.col("h")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, times = None, []
+        at_hand, times = None, []
         for b in batches:
             reasons = []
-            for k, at in zip(b["key"], b["at"], strict=True):
-                if k != key:
-                    key, times = k, []
+            for *stretch, at in zip(b["key"], b["stretch"], b["at"], strict=True):
+                if stretch != at_hand:
+                    at_hand, times = stretch, []
                 times, why = admit(times, at, per_minute, per_hour)
                 reasons.append(why)
             yield pd.DataFrame({"key": b["key"], "event_id": b["event_id"], "at": b["at"], "allowed": [not r for r in reasons], "reason": reasons})
 
-    return reqs.repartition("key").sortWithinPartitions("key", "at", "event_id").mapInPandas(run, OUT)
+    return rows.select("key", "stretch", "event_id", "at").repartition("key", "stretch").sortWithinPartitions("key", "stretch", "at", "event_id").mapInPandas(run, OUT)
 
 
 def limit_stream(reqs: DataFrame, per_minute: int = K.PER_MINUTE, per_hour: int = K.PER_HOUR) -> DataFrame:
@@ -81,8 +92,6 @@ def limit_stream(reqs: DataFrame, per_minute: int = K.PER_MINUTE, per_hour: int
 
 def sliding_count(reqs: DataFrame, seconds: int = 60) -> DataFrame:
     """Requests of the key within the last seconds, itself and ties included."""
-    from pyspark.sql import Window as W
-
     w = W.partitionBy("key").orderBy(F.round(F.col("at") * 1e6).cast("long")).rangeBetween(-seconds * 1_000_000, 0)
     return reqs.withColumn("n", F.count("*").over(w))
 
