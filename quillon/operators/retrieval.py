@@ -204,27 +204,43 @@ def dense_top(vectors: DataFrame, queries: DataFrame, k: int = K.CANDIDATES, fil
     return top(stored.crossJoin(asked).mapInArrow(meet, out), k, F.desc("score"), "doc_id")
 
 
-def dense_rerank(vectors: DataFrame, queries: DataFrame, k: int = K.TOP_K, alpha: float = K.ALPHA, beta: float = K.BETA, block: int = 1024) -> DataFrame:
+def dense_rerank(vectors: DataFrame, queries: DataFrame, k: int = K.TOP_K, alpha: float = K.ALPHA, beta: float = K.BETA, block: int = 1024, most_bytes: int = HELD) -> DataFrame:
     """rerank over all vectors but the question's own: no candidates are drawn by score first.
 
     vectors: vec_id, embedding, doc_type, institution.  A batch passes on whatever
     may be among its k best; SLACK is more than the rounding of two final scores.
+    Questions are broadcast up to most_bytes, beyond that as in dense_top.
     """
     n, dim = _extent(queries)
-    if n * dim * 8 > HELD:
-        raise ValueError("too many questions for one broadcast; ask them in parts")
-    blocks = _blocks(queries, block, dim)
+    w = q.metadata_weight(F.col("doc_type"), F.col("institution")).cast("double").alias("w")
+    rows = usable(vectors).filter(F.size("embedding") == dim).select("vec_id", "embedding", "doc_type", "institution", w)
+    out = "query_id long, doc_id long, score double, doc_type string, institution string"
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for qid, ids, s, batch in _scored(batches, blocks, True):
-            v = np.where(s > -2.0, alpha * s + beta * batch.column("w").to_numpy(), -np.inf)
-            at = max(0, v.shape[1] - k)
-            i, j = np.nonzero((v >= np.partition(v, at, axis=1)[:, at, None] - SLACK) & (s > -2.0))
-            yield pa.RecordBatch.from_arrays([pa.array(qid[i]), pa.array(ids[j]), pa.array(s[i, j]), batch.column("doc_type").take(pa.array(j)), batch.column("institution").take(pa.array(j))], names=["query_id", "doc_id", "score", "doc_type", "institution"])
+    def best(qid: np.ndarray, ids: np.ndarray, s: np.ndarray, w: np.ndarray, kinds: pa.Array, houses: pa.Array) -> pa.RecordBatch:
+        v = np.where(s > -2.0, alpha * s + beta * w, -np.inf)
+        at = max(0, v.shape[1] - k)
+        i, j = np.nonzero((v >= np.partition(v, at, axis=1)[:, at, None] - SLACK) & (s > -2.0))
+        return pa.RecordBatch.from_arrays([pa.array(qid[i]), pa.array(ids[j]), pa.array(s[i, j]), kinds.take(pa.array(j)), houses.take(pa.array(j))], names=["query_id", "doc_id", "score", "doc_type", "institution"])
 
-    w = q.metadata_weight(F.col("doc_type"), F.col("institution")).cast("double").alias("w")
-    rows = usable(vectors).filter(F.size("embedding") == dim).select("vec_id", "embedding", "doc_type", "institution", w).mapInArrow(search, "query_id long, doc_id long, score double, doc_type string, institution string")
-    return rerank(rows, F.col("score"), k, alpha, beta)
+    if n * dim * 8 <= most_bytes:
+        blocks = _blocks(queries, block, dim)
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for qid, ids, s, batch in _scored(batches, blocks, True):
+                yield best(qid, ids, s, batch.column("w").to_numpy(), batch.column("doc_type"), batch.column("institution"))
+
+        return rerank(rows.mapInArrow(search, out), F.col("score"), k, alpha, beta)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                qid, ids = np.frombuffer(r["a_ids"], np.int64), np.frombuffer(r["b_ids"], np.int64)
+                s = _scores(qid, np.frombuffer(r["a"], np.float64).reshape(len(qid), -1), ids, np.frombuffer(r["b"], np.float64).reshape(len(ids), -1), True)
+                yield best(qid, ids, s, np.array(r["w"]), pa.array(r["doc_type"], pa.string()), pa.array(r["institution"], pa.string()))
+
+    asked = _matrices(usable(queries).filter(F.size("embedding") == dim).select("query_id", "embedding"), block, "a")
+    stored = _matrices(rows, 4 * block, "b", {"w": "double", "doc_type": "string", "institution": "string"})
+    return rerank(stored.crossJoin(asked).mapInArrow(meet, out), F.col("score"), k, alpha, beta)
 
 
 SLACK = 2e-6
@@ -263,17 +279,19 @@ def _blocks(queries: DataFrame, block: int, dim: int) -> list:
     return blocks
 
 
-def _matrices(rows: DataFrame, block: int, name: str) -> DataFrame:
-    """Blocks of (id, embedding) as rows of two binaries: ids, and unit vectors."""
+def _matrices(rows: DataFrame, block: int, name: str, more: dict[str, str] | None = None) -> DataFrame:
+    """Blocks of (id, embedding) as rows of two binaries: ids, and unit vectors; and arrays of further columns (name: type)."""
+    more = more or {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, block):
                 part = batch.slice(at, block)
                 x = _unit(part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1))
-                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_numpy().astype(np.int64).tobytes()]), pa.array([x.tobytes()])], names=[f"{name}_ids", name])
+                rest = [pa.array([part.column(c).to_pylist()], pa.list_(part.column(c).type)) for c in more]
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_numpy().astype(np.int64).tobytes()]), pa.array([x.tobytes()]), *rest], names=[f"{name}_ids", name, *more])
 
-    return rows.mapInArrow(run, f"{name}_ids binary, {name} binary")
+    return rows.mapInArrow(run, ", ".join([f"{name}_ids binary", f"{name} binary", *(f"{c} array<{t_}>" for c, t_ in more.items())]))
 
 
 def _scores(qid: np.ndarray, m: np.ndarray, ids: np.ndarray, x: np.ndarray, other: bool) -> np.ndarray:

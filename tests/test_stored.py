@@ -57,6 +57,9 @@ def test_vector_index_and_many_questions(spark, tmp_path):
     asked = v.filter("vec_id % 3 = 0").withColumnRenamed("vec_id", "query_id")
     got = [sorted(map(tuple, retrieval.dense_top(v, asked, 4, block=7, most_bytes=b, other=True).collect())) for b in (1 << 20, 0)]
     assert got[0] == got[1] and len(got[0]) == 20 * 4
+    told = v.withColumn("doc_type", F.when(F.col("vec_id") % 4 == 0, "loi")).withColumn("institution", F.when(F.col("vec_id") % 5 == 0, "presidence"))
+    got = [sorted(map(str, retrieval.dense_rerank(told, asked, 3, block=7, most_bytes=b).collect())) for b in (1 << 20, 0)]
+    assert got[0] == got[1] and len(got[0]) == 20 * 3
     ingest.vector_index(v, f"file://{tmp_path}/v")
     stored = ingest.read(spark, f"file://{tmp_path}/v", "vectors")
     assert stored.count() == 61 and stored.filter("vec_id < 60 and abs(aggregate(embedding, 0D, (s, x) -> s + x * x) - 1) > 1e-5").isEmpty()
