@@ -207,15 +207,16 @@ def dedup(docs: DataFrame, length: int = 400, gram: int = 32, keep: list[str] |
                 yield pa.RecordBatch.from_arrays([pa.array(r["bucket"]), content, key, *(pa.array(r[c].astype(np.int32)) for c in ("s0", "n", "a"))], names=["bucket", "content", "_key", "s0", "n", "a"])
 
     places = packed.mapInArrow(spread, "bucket long, content binary, _key binary, s0 int, n int, a int")
-    # most buckets have one region: they go first, by counts that are summed before they move
-    several = places.groupBy("bucket").agg(F.count("*").alias("all")).filter("all > 1").select("bucket")
+    # most buckets have one region: they go first, by counts that are summed before they move.
+    # Counts are written before they are joined, so that both sides of a join are plain exchanges and a hot bucket's side is split.
+    several = checkpoint(places.groupBy("bucket").agg(F.count("*").alias("all")).filter("all > 1").select("bucket"))
     shared = checkpoint(places.join(several, "bucket", "left_semi"))
-    release(packed)
+    release(packed, several)
     kinds = shared.groupBy("bucket", "content").agg(F.count("*").alias("copies"))
     whole = kinds.groupBy("bucket").agg(F.count("*").alias("kinds"), (F.min("copies") == 1).alias("ones"))
-    kinds = kinds.join(whole, "bucket").select("bucket", "content", "copies", "kinds", (F.col("ones") & (F.col("kinds") > 1)).alias("open"))
-    found = checkpoint(shared.join(kinds, ["bucket", "content"]).filter("copies > 1 or open"))
-    release(shared)
+    kinds = checkpoint(kinds.join(whole, "bucket").select("bucket", "content", "copies", "kinds", (F.col("ones") & (F.col("kinds") > 1)).alias("open")).filter("copies > 1 or open"))
+    found = checkpoint(shared.join(kinds, ["bucket", "content"]))
+    release(shared, kinds)
 
     some = found.filter("open").dropDuplicates(["bucket", "content"])
     asked = some.groupBy("_key").agg(F.collect_list(F.struct("bucket", "content", "s0", "n", "a", "copies", "kinds")).alias("_asked"))
