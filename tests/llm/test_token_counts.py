@@ -25,7 +25,7 @@ def brute(text, scores, byte):
     return n, total
 
 
-@pytest.mark.parametrize("held", [0, 40, 200_000])
+@pytest.mark.parametrize("held", [40, 200_000])
 def test_equal_viterbi(spark, held):
     r = random.Random(4)
     scores, byte = token_counts.vocabulary(token_counts.default_path())
