@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import chat, decontaminate, katz, langid, licenses, minhash, mixing, multi_index, suffix_dedup, token_counts
+from quillon.llm import chat, decontaminate, katz, langid, licenses, minhash, mixing, multi_index, suffix_dedup, token_counts, urls
 from quillon.llm.common import crc_bucket, table
 
 
@@ -53,9 +53,20 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(urls.RULES, "host string, path string, allow boolean")
+    return urls.judge(table(spark, sf_dir, "pages"), rules)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_katz_score, op2_language_id, op3_token_counts, op4_suffix_dedup, op5_chat_format, op6_license_scan, op7_embedding_near_duplicates, op8_near_duplicates, op9_mix_sources, op10_decontaminate)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_katz_score, op2_language_id, op3_token_counts, op4_suffix_dedup, op5_chat_format, op6_license_scan, op7_embedding_near_duplicates,
+            op8_near_duplicates, op9_mix_sources, op10_decontaminate, op11_url_filter,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_format": chat.SQL, "op9_mix_sources": mixing.SQL, "op10_decontaminate": decontaminate.SQL}
+    return {"op5_chat_format": chat.SQL, "op9_mix_sources": mixing.SQL, "op10_decontaminate": decontaminate.SQL, "op11_url_filter": urls.SQL}
