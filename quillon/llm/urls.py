@@ -20,6 +20,8 @@ a null in them are none.  No rows: no rows.  Other columns of any input are igno
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,14 +37,18 @@ HREF = r"(?is)\shref\s*=\s*[\"']?([^\"'\s>]+)"
 TARGET = r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)"
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with value computed once, however often then names it: generated code stays small."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def _lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
 def _rest(url: Column) -> Column:
     """What follows the first ``://``; null without it."""
-    at = F.instr(url, "://")
-    return F.when(at > 0, F.substring(url, at + 3, F.length(url)))
+    return _let(url, lambda u: F.when(F.instr(u, "://") > 0, F.substring(u, F.instr(u, "://") + 3, F.length(u))))
 
 
 def host(url: Column) -> Column:
@@ -55,25 +61,30 @@ def path(url: Column) -> Column:
 
 def key(url: Column) -> Column:
     """The same for urls that name one page by convention; null for what is no url."""
-    query = F.regexp_extract(_rest(url), r"^[^?#]*\?([^#]*)", 1)
-    query = F.regexp_replace(F.regexp_replace(F.concat(F.lit("&"), query), "&" + TRACKING, ""), "^&", "")
-    bare = F.regexp_replace(host(url), r"^(www|m)\.", "")
-    return F.when(_rest(url).isNotNull(), F.concat(bare, F.regexp_replace(path(url), "/+$", ""), F.when(query == "", F.lit("")).otherwise(F.concat(F.lit("?"), query))))
+
+    def of(rest: Column) -> Column:
+        bare = F.regexp_replace(_lower(F.regexp_extract(rest, r"^([^/?#]*)", 1)), r"^(www|m)\.", "")
+        query = F.concat(F.lit("&"), F.regexp_extract(rest, r"^[^?#]*\?([^#]*)", 1))
+        query = F.regexp_replace(F.regexp_replace(F.regexp_replace(query, "&" + TRACKING, ""), "^&", ""), r"(?s)^(.+)$", "?$1")
+        return F.concat(bare, F.regexp_replace(F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1), "/+$", ""), query)
+
+    return _let(_rest(url), of)
 
 
 def absolute(link: Column, base: Column) -> Column:
     """link as found in the page base; null for none."""
-    link = F.replace(link, F.lit("&amp;"), F.lit("&"))
     scheme = F.substring_index(base, "://", 1)
-    site = F.concat(scheme, F.lit("://"), F.regexp_extract(_rest(base), r"^([^/?#]*)", 1))
-    folder = F.regexp_replace(F.regexp_extract(_rest(base), r"^[^/?#]*([^?#]*)", 1), "[^/]*$", "")
-    return (
-        F.when(F.coalesce(link, F.lit("")) == "", F.lit(None))
-        .when(link.contains("://"), link)
-        .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
-        .when(link.startswith("/"), F.concat(site, link))
-        .otherwise(F.concat(site, F.when(folder == "", F.lit("/")).otherwise(folder), link))
-    )
+
+    def of(x: Column) -> Column:
+        return (
+            F.when(F.coalesce(x, F.lit("")) == "", F.lit(None))
+            .when(x.contains("://"), x)
+            .when(x.startswith("//"), F.concat(scheme, F.lit(":"), x))
+            .when(x.startswith("/"), F.concat(scheme, F.lit("://"), host(base), x))
+            .otherwise(F.concat(scheme, F.lit("://"), host(base), F.regexp_replace(F.regexp_replace(path(base), "[^/]*$", ""), "^$", "/"), x))
+        )
+
+    return _let(F.replace(link, F.lit("&amp;"), F.lit("&")), of)
 
 
 def judge(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None) -> DataFrame:
