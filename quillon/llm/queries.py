@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import chat, decontaminate, katz, langid, licenses, minhash, mixing, multi_index, suffix_dedup, token_counts, urls
+from quillon.llm import chat, decontaminate, divergence, hard_negatives, katz, langid, licenses, minhash, mixing, multi_index, suffix_dedup, token_counts, urls
 from quillon.llm.common import crc_bucket, table
 
 
@@ -58,15 +58,24 @@ def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), rules)
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         f.__name__: f
         for f in (
             op1_katz_score, op2_language_id, op3_token_counts, op4_suffix_dedup, op5_chat_format, op6_license_scan, op7_embedding_near_duplicates,
-            op8_near_duplicates, op9_mix_sources, op10_decontaminate, op11_url_filter,
+            op8_near_duplicates, op9_mix_sources, op10_decontaminate, op11_url_filter, op12_hard_negatives, op13_source_divergence,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_format": chat.SQL, "op9_mix_sources": mixing.SQL, "op10_decontaminate": decontaminate.SQL, "op11_url_filter": urls.SQL}
+    return {"op5_chat_format": chat.SQL, "op9_mix_sources": mixing.SQL, "op10_decontaminate": decontaminate.SQL, "op11_url_filter": urls.SQL, "op12_hard_negatives": hard_negatives.SQL, "op13_source_divergence": divergence.SQL}
