@@ -1,16 +1,17 @@
 """Benchmark decontamination with a generalised suffix automaton.
 
-The normalised words of the test items make one automaton per block of items;
-training texts stream through it, and the longest match ending at each word tells
-which windows end there.  A window is ``window`` consecutive words of an item; an
-item of fewer words, but not none, is one window.  Only stretches whose neighbouring
-words are neighbours in some item can hold a window of two or more words, so a
-vectorised look-up of word pairs skips the rest exactly.
-
-What is broadcast is word hashes, of so many items at once as have ``held_words``
-words; more items take more passes over the texts, and each pass drops the items of
-the one before.  Workers build the automaton of a block when a text first needs it
-and keep the last few, so their memory is bounded whatever the number of items.
+Training texts stream through an automaton of the normalised words of the test items,
+and the longest match ending at each word tells which windows end there.  A window is
+``window`` consecutive words of an item; an item of fewer words, but not none, is one
+window.  Only stretches whose neighbouring words are neighbours in some item can hold a
+window of two or more words, so a vectorised look-up of word pairs skips the rest
+exactly.  The rarest pairs of a stretch name the items that may have a window in it;
+the automaton that a piece of text goes through holds those items, block_words of words
+at once.
+
+What is broadcast is word hashes and places of word pairs, of so many items at once as
+have ``held_words`` words; more items take more passes over the texts, and each pass
+drops the items of the one before.
 
 Null or empty texts: no words, no hits, not contaminated.  Items without words:
 no window.  Repeated items or documents: each counts by itself.  Ties: windows that
@@ -124,47 +125,6 @@ class Automaton:
                 u = self.up[self.link[u]] if u else -1
 
 
-class Block:
-    """Some items: the sorted hashes of their words, their pairs of neighbours, and an automaton made when it is needed."""
-
-    def __init__(self, items: list[tuple[str, np.ndarray]], window: int):
-        self.vocab = np.unique(np.concatenate([h for _, h in items]))
-        self.seqs = [(name, np.searchsorted(self.vocab, h)) for name, h in items]
-        self.pairs = np.unique(np.concatenate([s[:-1] * len(self.vocab) + s[1:] for _, s in self.seqs]))
-        self.least = min(min(len(s), window) for _, s in self.seqs)
-        self.window = window
-
-    def automaton(self) -> Automaton:
-        key = (id(self), self.window)
-        if key not in _built:
-            while len(_built) >= KEPT:
-                del _built[next(iter(_built))]
-            _built[key] = (Automaton([(name, s.tolist()) for name, s in self.seqs], self.window), self)  # the block stays while its id is a key
-        return _built[key][0]
-
-    def find(self, hashes: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, set[str]]]:
-        """(text, first word, one past the last, items) of all windows."""
-        if not len(hashes):
-            return
-        at = np.minimum(np.searchsorted(self.vocab, hashes), len(self.vocab) - 1)
-        known = self.vocab[at] == hashes
-        if self.least > 1:
-            begin, end = _stretches(among(self.pairs, at[:-1] * len(self.vocab) + at[1:]) & known[:-1] & known[1:], first)
-        else:
-            begin, end = _runs(known, first)
-        long = end - begin >= self.least
-        begin, end = begin[long], end[long]
-        docs = np.searchsorted(first, begin, side="right") - 1
-        for d, b, e in zip(docs.tolist(), begin.tolist(), end.tolist(), strict=True):
-            off = int(first[d])
-            for i, j, names in self.automaton().windows(at[b:e].tolist()):
-                yield d, b + i - off, b + j - off, names
-
-
-KEPT = 4  # automata that a worker keeps
-_built: dict[tuple[int, int], tuple[Automaton, Block]] = {}
-
-
 def among(table: np.ndarray, values: np.ndarray) -> np.ndarray:
     if not len(table):
         return np.zeros(len(values), bool)
@@ -192,58 +152,98 @@ def _pair(h: np.ndarray) -> np.ndarray:
     return tx.mix(h[:-1] * np.uint64(0xD6E8FEB86659FD93) + h[1:])
 
 
-class Group:
-    """Blocks that are looked at in one pass, and what tells quickly which stretches of a text can hold a window of any."""
+class Part:
+    """Items whose windows have like lengths, and where their units stand: neighbouring words, or single words if a window may be one.
+
+    A window of ``least`` words or more holds any least - 1 units in a row, so an item
+    with a window in a stretch has the rarest unit of one of the stretch's runs of so
+    many.  Only those items come into an automaton, some block_words words of them at a
+    time, so neither its size nor the work on a text grows with the number of items.
+    """
 
-    def __init__(self, blocks: list[Block], words: list[np.ndarray]):
-        self.blocks = blocks
-        self.least = min((b.least for b in blocks), default=1)
-        many = [_pair(h) for h in words] if self.least > 1 else words
-        self.table = np.unique(np.concatenate([np.zeros(0, np.uint64), *many]))
+    def __init__(self, items: list[tuple[str, np.ndarray]], window: int, block_words: int):
+        self.names = [name for name, _ in items]
+        self.words = np.concatenate([h for _, h in items])
+        self.first = np.concatenate(([0], np.cumsum([len(h) for _, h in items])))
+        self.window, self.block_words = window, block_words
+        self.least = min(min(len(h), window) for _, h in items)
+        units = [self._units(h) for _, h in items]
+        of = np.repeat(np.arange(len(items), dtype=np.int32), [len(u) for u in units])
+        units = np.concatenate(units)
+        order = np.lexsort((of, units))
+        units, of = units[order], of[order]
+        new = np.concatenate(([True], (units[1:] != units[:-1]) | (of[1:] != of[:-1])))
+        units, self.of = units[new], of[new]
+        self.units, at = np.unique(units, return_index=True)
+        self.at = np.append(at, len(units))
+
+    def _units(self, h: np.ndarray) -> np.ndarray:
+        return _pair(h) if self.least > 1 else h
 
     def find(self, hashes: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, set[str]]]:
         """(text, first word, one past the last, items) of all windows."""
-        if not len(hashes) or not self.blocks:
+        if not len(hashes):
             return
-        begin, end = _stretches(among(self.table, _pair(hashes)), first) if self.least > 1 else _runs(among(self.table, hashes), first)
+        units = self._units(hashes)
+        known = among(self.units, units)
+        begin, end = _stretches(known, first) if self.least > 1 else _runs(known, first)
         long = end - begin >= self.least
         begin, end = begin[long], end[long]
-        if not len(begin):
-            return
-        size = end - begin
-        starts = np.concatenate(([0], np.cumsum(size)))
-        some = hashes[np.arange(starts[-1]) + np.repeat(begin - starts[:-1], size)]
         docs = np.searchsorted(first, begin, side="right") - 1
-        offset = begin - first[docs]
-        for block in self.blocks:
-            for s, i, j, names in block.find(some, starts):
-                yield int(docs[s]), int(offset[s]) + i, int(offset[s]) + j, names
+        step = max(self.least - 1, 1)
+        asked = []
+        for b, e in zip(begin.tolist(), end.tolist(), strict=True):
+            at = np.searchsorted(self.units, units[b : e - (self.least > 1)])
+            size = self.at[at + 1] - self.at[at]
+            rare = np.unique(np.lib.stride_tricks.sliding_window_view(size, step).argmin(1) + np.arange(len(size) - step + 1))
+            asked.append(np.unique(np.concatenate([self.of[self.at[u] : self.at[u + 1]] for u in np.unique(at[rare])])))
+        if not asked:
+            return
+        items = np.unique(np.concatenate(asked))
+        blocks = np.cumsum(self.first[items + 1] - self.first[items]) // self.block_words
+        for k in np.unique(blocks):
+            some = items[blocks == k]
+            held = Automaton([(self.names[i], self.words[self.first[i] : self.first[i + 1]].tolist()) for i in some.tolist()], self.window)
+            for d, b, e, want in zip(docs.tolist(), begin.tolist(), end.tolist(), asked, strict=True):
+                if among(some, want).any():
+                    off = int(first[d])
+                    for i, j, names in held.windows(hashes[b:e].tolist()):
+                        yield d, b + i - off, b + j - off, names
+
+
+class Group:
+    """Items that are looked for in one pass: those of whole windows, and the shorter ones by themselves, as a short window says little."""
+
+    def __init__(self, items: list[tuple[str, np.ndarray]], window: int, block_words: int):
+        kinds = [x for x in items if len(x[1]) >= window], [x for x in items if len(x[1]) < window]
+        self.parts = [Part(x, window, block_words) for x in kinds if x]
+
+    def find(self, hashes: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, set[str]]]:
+        for part in self.parts:
+            yield from part.find(hashes, first)
 
 
 def groups(items: DataFrame, window: int, block_words: int, held_words: int) -> Iterator[Group]:
-    """Groups of about held_words words at most, in blocks of about block_words, or of one item; items come to the driver one after another."""
-    blocks: list[Block] = []
-    words: list[np.ndarray] = []
+    """Groups of about held_words words at most, or of one item; tasks hash the items, which come to the driver one after another."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in tx.slices(batch, "text"):
+                w = tx.words(piece.column("text"), tx.ALNUM)
+                h = tx.word_hashes(w)
+                yield pa.RecordBatch.from_arrays([piece.column("item"), pa.array([h[a:b].tobytes() for a, b in zip(w.first[:-1], w.first[1:], strict=True)], pa.binary())], names=["item", "words"])
+
     held: list[tuple[str, np.ndarray]] = []
-    n = total = 0
-    rows = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text").filter("text is not null").toLocalIterator()
-    for row in rows:
-        h = tx.word_hashes(tx.words(pa.array([row.text]), tx.ALNUM))
-        if len(h):
-            held.append((row.item, h))
-            words.append(h)
-            n += len(h)
-            total += len(h)
-        if n >= block_words:
-            blocks.append(Block(held, window))
-            held, n = [], 0
-        if total >= held_words and not held:
-            yield Group(blocks, words)
-            blocks, words, total = [], [], 0
+    total = 0
+    named = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text").filter("text is not null")
+    for row in named.mapInArrow(hashed, "item string, words binary").filter(F.length("words") > 0).toLocalIterator():
+        held.append((row.item, np.frombuffer(bytes(row.words), np.uint64)))
+        total += len(held[-1][1])
+        if total >= held_words:
+            yield Group(held, window, block_words)
+            held, total = [], 0
     if held:
-        blocks.append(Block(held, window))
-    if blocks:
-        yield Group(blocks, words)
+        yield Group(held, window, block_words)
 
 
 FOUND = "array<struct<start: long, end: long, item: string>>"
@@ -258,7 +258,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, coverage:
     per = round(1 / coverage)
     sc = docs.sparkSession.sparkContext
     keep = docs.columns if keep is None else keep
-    before = "__windows_found"  # windows found in earlier passes
+    before = "__windows_found"  # windows found in earlier passes, under a name that no column has
+    while before in docs.columns:
+        before += "_"
 
     def search(shared, batch: pa.RecordBatch) -> tuple[tx.Words, list[list[tuple[int, int, str]]]]:
         w = tx.words(batch.column("text"), tx.ALNUM)
@@ -297,7 +299,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, coverage:
         return make
 
     rest = groups(items, window, block_words, held_words)
-    group, after = next(rest, Group([], [])), next(rest, None)
+    group, after = next(rest, Group([], window, block_words)), next(rest, None)
     more: list[str] = []
     while after is not None:
         shared = sc.broadcast(group)

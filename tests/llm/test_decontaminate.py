@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from quillon.llm import decontaminate
 
@@ -80,3 +81,26 @@ def test_very_long_text(spark):
     docs = [(1, "filler " * 300_000 + item + " filler" * 50_000), (2, item)]
     got = decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
     assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.contaminated) for r in got} == {1: (350_020, 20, 1, False), 2: (20, 20, 1, True)}
+
+
+def test_pieces_that_hit_items_of_many_blocks_stay_fast(spark):
+    r = random.Random(12)
+    common = [f"c{i}" for i in range(300)]
+    items = [(i, " ".join(r.choices(common, k=5) + [f"u{i}x{k}" for k in range(40)] + r.choices(common, k=100))) for i in range(4000)]
+    docs = [(d, " ".join(items[(d * 37 + k * 211) % 4000][1][:250] for k in range(20))) for d in range(40)]
+    group = decontaminate.Group([(str(i), decontaminate.tx.word_hashes(decontaminate.tx.words(decontaminate.pa.array([t]), decontaminate.tx.ALNUM))) for i, t in items], 13, 50_000)
+    began = time.perf_counter()
+    for _, t in docs:
+        w = decontaminate.tx.words(decontaminate.pa.array([t]), decontaminate.tx.ALNUM)
+        assert len({x for *_, names in group.find(decontaminate.tx.word_hashes(w), w.first) for x in names}) == 20
+    assert time.perf_counter() - began < 8  # 600,000 words of items are twelve blocks, and every text has items of most of them
+    got = decontaminate.decontaminate(spark.createDataFrame(docs[:8], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), held_words=150_000).collect()
+    assert {x.n_items for x in got} == {20}
+
+
+def test_columns_named_as_what_passes_hand_on(spark):
+    docs, items = cases(7, True)
+    df = spark.createDataFrame([(*d, "mine") for d in docs], "doc_id long, text string, __windows_found string")
+    got = decontaminate.decontaminate(df, spark.createDataFrame(items, "item_id long, text string"), block_words=20, held_words=150).collect()
+    assert {x.doc_id: (x.n_words, x.n_hit, x.n_items, x.items_sha256, x.contaminated) for x in got} == brute(docs, items)
+    assert {x["__windows_found"] for x in got} == {"mine"}
