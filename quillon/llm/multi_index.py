@@ -9,11 +9,13 @@ is then bounded by that excess over the nearest cell's distance, with no cap on
 cells or candidates.  Candidates are verified by cosine in double precision.
 
 The number of codewords grows with the root of the number of vectors, so cells keep
-their size, up to ``most`` in each half.
+their size, up to ``most`` in each half.  Vectors of each length have an index of their
+own; those of a length with ``block`` distinct vectors at most are one cell and all
+compared, so there are as many indexes as one for each ``block`` vectors at most.
 
 Equal vectors are one indexed vector with a count and a number of its own.  Vectors that are null, empty,
-zero, or hold null or non-finite components, or have another dimension than the
-most common one's, link with nothing.  Null ids: rows of their own, not kept.
+zero, or hold null or non-finite components link with nothing, and vectors of different
+lengths with each other.  Null ids: rows of their own, not kept.
 Repeated ids: rows count as vectors of their own, each with its links; one node.  No rows: no rows.
 Other columns are ignored.
 """
@@ -33,6 +35,9 @@ from quillon.llm.common import checkpoint, release
 from quillon.llm.components import components
 
 
+CELL_BITS = 24  # words**2 cells of a length at most
+
+
 class Index(NamedTuple):
     books: tuple[np.ndarray, np.ndarray]
     slack: float  # visited cells cost the nearest one's distance and this at most
@@ -96,13 +101,13 @@ def fit(sample: np.ndarray, words: int, least: float, recall: float, seed: int)
     return index._replace(slack=float(np.quantile(excess, recall)) + 1e-9)
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.95, recall: float = 0.98, words: int = 48, most: int = 2048, sample_rows: int = 20_000, block: int = 2048, seed: int = 5) -> DataFrame:
+def near_duplicates(vectors: DataFrame, least: float = 0.95, recall: float = 0.98, words: int = 48, most: int = 2048, sample_rows: int = 20_000, sample_bytes: int = 1 << 27, block: int = 2048, seed: int = 5) -> DataFrame:
     """vec_id, n_links, component_id, kept of each row of vectors (vec_id, embedding).
 
     words: codewords of each half (words**2 cells), at least; a fifth of the root of
     the number of distinct vectors if that is more, ``most`` at most.  The codebooks
     are fitted on about sample_rows distinct vectors, chosen by hash, or 32 for each
-    codeword if that is more: 32 * most bounds the sample.
+    codeword if that is more, sample_bytes of them at most.
     """
     spark = vectors.sparkSession
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
@@ -112,25 +117,22 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, recall: float = 0.9
     # -0.0 and 0.0 are the same component
     usable = F.when(F.coalesce(finite & some, F.lit(False)), F.transform("embedding", lambda x: x + F.lit(0.0).cast(kind)))
     rows = rows.select("vec_id", usable.alias("v"))
-    dim = rows.filter("v is not null").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    dim = dim["d"] if dim else 0
-    rows = checkpoint(rows.select("vec_id", F.when(F.size("v") == dim, F.col("v")).alias("v")).withColumn("same", F.when(F.col("v").isNotNull(), F.md5(F.array_join(F.transform("v", lambda x: x.cast("string")), ",").cast("binary")))))
+    rows = checkpoint(rows.withColumn("same", F.when(F.col("v").isNotNull(), F.md5(F.array_join(F.transform("v", lambda x: x.cast("string")), ",").cast("binary")))))
     classes = rows.filter("same is not null and vec_id is not null").groupBy("same").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.min("v").alias("v"))
     # a class is known by a number of its own, not by an id that other vectors may have too
     classes = checkpoint(classes.select(F.monotonically_increasing_id().alias("id"), "same", "rep", "copies", "v"))
     named = checkpoint(rows.select("vec_id", "same").join(classes.select("same", "id"), "same", "left").select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("id")).alias("id")))
     release(rows)
-    n = classes.count()
-    words = min(max(words, math.isqrt(n) // 5), most)
-    sample_rows = max(sample_rows, 32 * words)
-    draw = F.pmod(F.xxhash64(F.lit(seed), "same"), F.lit(1 << 40)) < F.lit(int((1 << 40) * min(1.0, sample_rows / max(n, 1))))
-    sample = np.array([r.v for r in classes.filter(draw).select("v").limit(2 * sample_rows).collect()], dtype=np.float64)
-    if len(sample) < 2 or dim < 2:
-        links = spark.createDataFrame([], "a long, b long, n long")
-    else:
-        sample = unit(sample)
-        index = fit(sample, min(words, len(sample)), least, recall, seed)
-        links = checkpoint(_links(classes, index, least, block, np.float32 if kind == "float" else np.float64))
+    indexes: dict[int, Index] = {}
+    for dim, n in sorted(map(tuple, classes.groupBy(F.size("v")).count().filter(F.col("count") > block).collect())):
+        k = min(max(words, math.isqrt(n) // 5), most)
+        take = min(max(sample_rows, 32 * k), sample_bytes // (dim * (4 if kind == "float" else 8)))
+        draw = F.pmod(F.xxhash64(F.lit(seed), "same"), F.lit(1 << 40)) < F.lit(int((1 << 40) * min(1.0, take / n)))
+        drawn = classes.filter((F.size("v") == dim) & draw).select("v").limit(2 * take).toArrow().column("v").combine_chunks()
+        sample = drawn.flatten().to_numpy().reshape(len(drawn), dim)
+        if len(sample) >= 2 and dim >= 2:
+            indexes[dim] = fit(unit(sample), min(k, len(sample)), least, recall, seed)
+    links = checkpoint(_links(classes, indexes, least, block, np.float32 if kind == "float" else np.float64))
     held = named.filter("id is not null")
     several = held.groupBy("vec_id").agg(F.min("id").alias("a"), F.max("id").alias("last")).filter("a < last")
     same_id = held.join(several, "vec_id").filter("a <> id").select("a", F.col("id").alias("b"))
@@ -149,7 +151,7 @@ def unit(raw: np.ndarray) -> np.ndarray:
     return raw / np.linalg.norm(raw, axis=1, keepdims=True)
 
 
-def _links(classes: DataFrame, index: Index, least: float, block: int, kind: type) -> DataFrame:
+def _links(classes: DataFrame, indexes: dict[int, Index], least: float, block: int, kind: type) -> DataFrame:
     """a, b, n: b connects a with what a is linked with in one block, or is a itself; n: vectors (with copies) linked with a there.
 
     A pair is looked at once: in one cell the larger id is the query, across cells
@@ -157,27 +159,36 @@ def _links(classes: DataFrame, index: Index, least: float, block: int, kind: typ
     its members in one matrix product; what leaves is a row for each linked vector,
     not the pairs.
     """
-    shared = classes.sparkSession.sparkContext.broadcast(index)  # 2 * words * dim / 2 numbers
+    shared = classes.sparkSession.sparkContext.broadcast(indexes)  # of each length words * dim numbers
     member, own, other = 0, 1, 2
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                ids, copies = part.column("id").to_numpy(), part.column("copies").to_numpy()
-                raw = part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
-                x = unit(raw)
-                k = len(shared.value.books[1])
-                d1, d2 = cell_costs(shared.value, x)
-                home = d1.argmin(1) * k + d2.argmin(1)
-                v = np.array([r.tobytes() for r in raw.astype(kind)], dtype=object)
-                yield _rows(home, member, ids, copies, v)
-                yield _rows(home, own, ids, copies, v)
-                for row, i, j in visit(shared.value, x):
-                    cell = i * k + j
-                    before = cell < home[row]
-                    row, cell = row[before], cell[before]
-                    yield _rows(cell, other, ids[row], copies[row], v[row])
+                size = part.column("v").value_lengths().to_numpy()
+                for dim in np.unique(size).tolist():
+                    yield from of_length(part.take(pa.array(np.flatnonzero(size == dim))), dim)
+
+    def of_length(part: pa.RecordBatch, dim: int) -> Iterator[pa.RecordBatch]:
+        ids, copies = part.column("id").to_numpy(), part.column("copies").to_numpy()
+        raw = part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, dim)
+        v = np.array([r.tobytes() for r in raw.astype(kind)], dtype=object)
+        base, index = dim << CELL_BITS, shared.value.get(dim)  # cells of one length are apart from those of others
+        if index is None:
+            home = np.full(len(ids), base)
+        else:
+            x, k = unit(raw), len(index.books[1])
+            d1, d2 = cell_costs(index, x)
+            home = base + d1.argmin(1) * k + d2.argmin(1)
+        yield _rows(home, member, ids, copies, v)
+        yield _rows(home, own, ids, copies, v)
+        if index is not None:
+            for row, i, j in visit(index, x):
+                cell = base + i * k + j
+                before = cell < home[row]
+                row, cell = row[before], cell[before]
+                yield _rows(cell, other, ids[row], copies[row], v[row])
 
     placed = classes.select("id", "copies", "v").mapInArrow(place, "cell long, role int, id long, copies long, v binary")
     # a cell's members are cut into blocks of bounded size, dealt by hash; its queries go to each block

@@ -57,6 +57,19 @@ def test_repeated_ids_keep_links_of_their_own(spark):
     assert got == [(1, 1, 1), (1, 2, 1), (2, 1, 1), (3, 2, 1), (4, 2, 1), (5, 0, 5)]
 
 
+def test_vectors_of_every_length_are_linked(spark):
+    rows = [(i, v.tolist()) for i, v in enumerate(clustered(2, 300, 8))] + [(1000 + i, v.tolist()) for i, v in enumerate(clustered(3, 260, 6))]
+    rows += [(2000, [1.0, 2.0]), (2001, [1.0, 2.0]), (2002, [2.0, 4.1]), (2003, [3.0]), (2004, [5.0]), (2005, [-5.0]), (2006, [0.1] * 3000), (2007, [0.1] * 2999 + [0.2])]
+    got = {r.vec_id: r for r in multi_index.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), words=4, block=100).collect()}
+    for dim in {len(v) for _, v in rows}:
+        mine = [(i, v) for i, v in rows if len(v) == dim]
+        n, comp = brute([i for i, _ in mine], np.array([v for _, v in mine], np.float32).astype(np.float64))
+        found = np.array([got[i].n_links for i, _ in mine])
+        assert (found <= n).all() and found.sum() >= 0.9 * n.sum()
+        if dim not in (8, 6):
+            assert found.tolist() == n.tolist() and [got[i].component_id for i, _ in mine] == comp.tolist()
+
+
 def test_threshold_is_inclusive(spark):
     rows = [(1, [1.0, 0.0, 0.0, 0.0]), (2, [1.0, 1.0, 1.0, 1.0]), (3, [0.0, 0.0, -1.0, 0.0])]  # a cosine of one half, exact in binary
     got = {r.vec_id: r.component_id for r in multi_index.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), least=0.5, words=1).collect()}
