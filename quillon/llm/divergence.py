@@ -49,7 +49,8 @@ def audit(docs: DataFrame, least: int = 30, top: int = 50, groups_a_block: int =
     size = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("lang_n").alias("lang_total"))
     chunks = size.select("lang", F.shiftright(F.col("v"), CHUNK_BITS).alias("last"))
     kept = kept.join(chunks, "lang").withColumn("chunk", F.pmod(F.xxhash64("term"), F.col("last") + 1)).drop("last")
-    # a chunk has some thousand terms, whatever the table's size
+    # a chunk has some thousand terms, whatever the table's size; it is dealt by itself, not with its lang
+    kept = kept.repartition(partitions(docs), "lang", "chunk")
     kept = checkpoint(kept.withColumn("at", F.row_number().over(W.partitionBy("lang", "chunk").orderBy("term")) - 1))
     held = checkpoint(counts.join(kept, ["lang", "term"]).select("lang", "source", "term", "n", "lang_n", "chunk", "at"))
     total = held.groupBy("lang", "source").agg(F.sum("n").alias("total"))
