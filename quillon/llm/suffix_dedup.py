@@ -185,13 +185,21 @@ RANGES = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
 RANGES_DDL = "array<struct<lo: int, hi: int>>"
 
 
-def dedup(docs: DataFrame, length: int = 400, gram: int = 32, keep: list[str] | None = None, most: int = 20_000, batch: int = 2000, out: str = "") -> DataFrame:
-    """The columns keep of docs (all: None), n_bytes, n_removed, n_spans, kept_sha256; and kept, the remaining bytes (out "bytes") or their text without broken characters ("text")."""
+def dedup(docs: DataFrame, length: int = 400, gram: int = 32, keep: list[str] | None = None, most: int = 20_000, batch: int = 2000, out: str = "", unit: str = "byte") -> DataFrame:
+    """The columns keep of docs (all: None), n_bytes, n_removed, n_spans, kept_sha256; and kept, the remaining bytes (out "bytes") or their text without broken characters ("text").
+
+    unit "word": length counts words (A-Z as a-z, parted by whitespace) instead of bytes,
+    and what is removed are runs of words.  A text's words then stand for it as codes of
+    CODE bytes; counts and what is kept are still bytes of the text.
+    """
     keep = docs.columns if keep is None else keep
+    by_word = unit == "word"
+    seen = codes if by_word else tx.buffer
+    length *= CODE if by_word else 1
     keyed = docs.withColumn("_key", F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("?")), F.lit(":"), F.coalesce("text", F.lit(""))).cast("binary"))))
 
     def cut(batch: pa.RecordBatch) -> list[pa.Array]:
-        out, first = regions(*tx.buffer(batch.column("text")), length, gram)
+        out, first = regions(*seen(batch.column("text")), length, gram)
         raw, at = out.tobytes(), (first * REGION.itemsize).tolist()
         return [pa.array([raw[i:j] for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())]
 
@@ -225,8 +233,9 @@ def dedup(docs: DataFrame, length: int = 400, gram: int = 32, keep: list[str] |
         for batch in batches:
             for piece in tx.slices(batch, "text"):
                 out = []
-                for t, want in zip(piece.column("text").to_pylist(), piece.column("_asked").to_pylist(), strict=True):
-                    raw = t.encode()
+                data, at = seen(piece.column("text"))
+                for i, j, want in zip(at[:-1].tolist(), at[1:].tolist(), piece.column("_asked").to_pylist(), strict=True):
+                    raw = data[i:j].tobytes()
                     out += [(x["bucket"], x["content"], x["copies"], x["kinds"], x["a"], raw[x["s0"] : x["s0"] + x["n"] + length - 1]) for x in want]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["bucket", "content", "copies", "kinds", "a", "region"])
 
@@ -245,10 +254,14 @@ def dedup(docs: DataFrame, length: int = 400, gram: int = 32, keep: list[str] |
 
     def finish(batch: pa.RecordBatch) -> list[pa.Array]:
         rows = []
-        for t, r in zip(batch.column("text").to_pylist(), batch.column("_hit").to_pylist(), strict=True):
+        w = tx.words(batch.column("text")) if by_word else None
+        for d, (t, r) in enumerate(zip(batch.column("text").to_pylist(), batch.column("_hit").to_pylist(), strict=True)):
             raw = (t or "").encode()
             parts, end, at, removed, spans = [], -1, 0, 0, 0
-            for lo, hi in sorted((x["lo"], x["hi"] + length) for x in r or ()):
+            hits = [(x["lo"], x["hi"] + length) for x in r or ()]
+            if by_word:
+                hits = _of_words(hits, w, d, length)
+            for lo, hi in sorted(hits):
                 if lo > end:
                     if spans:
                         removed += end - begin
@@ -270,6 +283,30 @@ def dedup(docs: DataFrame, length: int = 400, gram: int = 32, keep: list[str] |
     return _append_hit(joined, fields, finish, keep)
 
 
+CODE = 4  # bytes that a word is known by
+
+
+def codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of texts as codes of their words: 24 bits of a word's hash, by six bits, the first byte unlike the others."""
+    w = tx.words(texts)
+    h = tx.word_hashes(w)
+    out = np.empty((len(h), CODE), np.uint8)
+    for k in range(CODE):
+        out[:, k] = (h >> np.uint64(58 - 6 * k)).astype(np.uint8) & 0x3F | (0x80 if k else 0x40)
+    return out.ravel(), w.first.astype(np.int64) * CODE
+
+
+def _of_words(hits: list[tuple[int, int]], w: tx.Words, d: int, length: int) -> list[tuple[int, int]]:
+    """Ranges of the text's bytes for ranges of its codes (of windows of length) that begin with a word."""
+    out = []
+    for lo, hi in hits:
+        a, b = -(-lo // CODE), (hi - length) // CODE  # first and last window that begin with a word
+        if a <= b:
+            base, off = int(w.first[d]), int(w.offsets[d])
+            out.append((int(w.start[base + a]) - off, int(w.end[base + b + length // CODE - 1]) - off))
+    return out
+
+
 def _append_hit(joined: DataFrame, fields: str, finish, keep: list[str]) -> DataFrame:
     added = T.StructType.fromDDL(fields)
     keep = [c for c in keep if c not in added.fieldNames()]

@@ -46,9 +46,8 @@ def test_stages_equal_brute_force(spark, tmp_path):
     assert {r.doc_id for r in near} == {i for i, (_, c) in comp.items() if i == c}
     assert len(near) < len(language)
 
-    cut = {b[0]: b for b in test_suffix_dedup.brute_kept([(r.doc_id, r.text.encode()) for r in near], corpus_pipeline.PASSAGE_BYTES)}
-    assert sum(b[2] for b in cut.values()) > 0
-    left = {i: b[4].decode("utf-8", "ignore") for i, b in cut.items()}  # a cut may break a character
+    left = test_suffix_dedup.brute_words([(r.doc_id, r.text) for r in near], corpus_pipeline.PASSAGE_WORDS)
+    assert sum(left[r.doc_id] != r.text for r in near) > 0
     assert {r.doc_id: r.text for r in suffix} == {i: t for i, t in left.items() if t.strip()}
     assert all(r.n_chars == len(r.text) for r in suffix)
 
@@ -108,3 +107,26 @@ def test_a_script_of_no_learned_language_goes(spark, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = {x.doc_id: x.lang for x in corpus_pipeline.language_id(spark, docs, str(tmp_path)).collect()}
     assert got == {i: x for i, _, x, *_ in rows[:40]}
+
+
+def test_passages_are_counted_in_words(spark, tmp_path):
+    r = random.Random(10)
+    own = lambda n: " ".join("".join(r.choices("klmnop", k=9)) for _ in range(n))
+    short = " ".join(r.choice("abcdefghij") + r.choice(["", "x"]) for _ in range(51))  # some 130 bytes
+    long = " ".join("".join(r.choices("qrstuv", k=12)) for _ in range(40))  # over 500 bytes
+    rows = [(i, f"{own(30)} {'([' [i % 2]}{p}{')]' [i % 2]} {own(30)}", "en", "a", 0) for i, p in enumerate([short, short, long, long])]
+    left = {x.doc_id: x.text for x in corpus_pipeline.suffix_array_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), str(tmp_path)).collect()}
+    assert all(short[3:-3] not in left[i] and len(left[i].split()) == 62 for i in (0, 1)) and all(left[i] == rows[i][1] for i in (2, 3))
+
+
+def test_very_long_text(spark, tmp_path):
+    r = random.Random(11)
+    lexicon = ["".join(r.choices("abcdefgh", k=6)) for _ in range(5000)]
+    long = " ".join(r.choices(lexicon, k=200_000))
+    passage = " ".join(r.choices(lexicon, k=60))
+    rows = [(1, f"{long} {passage} end", "en", "a", 0), (2, f"{' '.join(r.choices(lexicon, k=50))} {passage} other", "en", "b", 0)]
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    left = {x.doc_id: x.text for x in corpus_pipeline.suffix_array_dedup(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).collect()}
+    assert {i: len(t.split()) for i, t in left.items()} == {1: 200_001, 2: 51}
+    assert {x.doc_id: x.size for x in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {1: 200_001, 2: 51}

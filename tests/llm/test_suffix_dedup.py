@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -21,6 +22,22 @@ def brute_kept(rows, length):
     return out
 
 
+def brute_words(rows, length):
+    """{id: what is left} without the windows of length words that stand more than once; texts of which no word is left are not there."""
+    placed = {i: [(m.start(), m.end(), re.sub("[A-Z]", lambda x: x[0].lower(), m[0])) for m in re.finditer("[^\x20\x09-\x0d]+", t or "")] for i, t in rows}
+    seen = Counter(tuple(x[2] for x in w[k : k + length]) for w in placed.values() for k in range(len(w) - length + 1))
+    out = {}
+    for i, t in rows:
+        w, gone = placed[i], set()
+        for k in range(len(w) - length + 1):
+            if seen[tuple(x[2] for x in w[k : k + length])] > 1:
+                gone.update(range(w[k][0], w[k + length - 1][1]))
+        left = "".join(c for k, c in enumerate(t or "") if k not in gone)
+        if left.strip("\x20\x09\x0a\x0b\x0c\x0d") or not gone:
+            out[i] = left
+    return out
+
+
 def brute(rows, length):
     return sorted(((*r[:4], hashlib.sha256(r[4]).hexdigest()) for r in brute_kept(rows, length)), key=str)
 
@@ -95,3 +112,12 @@ def test_column_construction_sorts_suffixes():
     assert order == sorted(order)
     for x, y, l in zip(order, order[1:], c.lcp[1:].tolist(), strict=False):
         assert l == next((i for i, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
+
+
+def test_repeated_words_equal_brute_force(spark):
+    rows = [(i, (t or "").replace("\n", " \n") if i % 5 else t) for i, t in texts(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.kept for x in suffix_dedup.dedup(df, length=9, keep=["doc_id"], unit="word", out="text").collect()}
+    want = brute_words(rows, 9)
+    assert {i: t for i, t in got.items() if i in want} == want and all(not t.strip() for i, t in got.items() if i not in want)
+    assert sum(want.get(i) != (t or "") for i, t in rows) > 5
