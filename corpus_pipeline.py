@@ -16,7 +16,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.llm import decontaminate, langid, minhash, mixing, suffix_dedup
@@ -24,7 +23,7 @@ from quillon.llm.common import checkpoint, table
 
 LEAST_POSTERIOR = 0.3  # under this share no language is told from the others
 LEAST_EXPLAINED = 0.5  # under this share of known words and n-grams the text is in none of the languages
-PASSAGE_BYTES = 250  # some forty words
+PASSAGE_WORDS = 49  # passages of over fifty words, and those of which a word at each end differs by what it touches
 ROW = "_row"  # key of a row within a stage
 HIT_WORDS = 50  # longer benchmark passages go whatever their share
 OWN = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -60,16 +59,17 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     keyed = docs.withColumn(ROW, F.monotonically_increasing_id())
     found = minhash.near_duplicates(keyed.select(F.col(ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(ROW), "component_id")
-    first = W.partitionBy("component_id").orderBy(F.asc_nulls_last("doc_id"), ROW)
-    gone = found.join(keyed.select(ROW, "doc_id"), ROW).withColumn("n", F.row_number().over(first)).filter("n > 1").select(ROW)
-    return keyed.join(gone, ROW, "left_anti").select(docs.columns)
+    # sums of what each task has meet, not the rows of a group
+    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", ROW)
+    stays = found.join(keyed.select(ROW, "doc_id"), ROW).groupBy("component_id").agg(F.min(order).alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
+    return keyed.join(stays, ROW, "left_semi").select(docs.columns)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of PASSAGE_BYTES that stand elsewhere too are cut out, all copies of them; documents of which nothing is left go."""
+    """Passages of PASSAGE_WORDS words that stand elsewhere too are cut out, all copies of them; documents of which nothing is left go."""
 
     def stage(df: DataFrame) -> DataFrame:
-        cut = suffix_dedup.dedup(df, length=PASSAGE_BYTES, out="text")
+        cut = suffix_dedup.dedup(df, length=PASSAGE_WORDS, out="text", unit="word")
         left = cut.filter((F.col("n_removed") == 0) | F.col("kept").rlike(r"[^\x20\x09-\x0D]"))
         return _with_text(left, F.col("n_removed") > 0, F.col("kept"))
 
