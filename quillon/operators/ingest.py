@@ -1,160 +1,144 @@
-"""Ingestion that persists: a batch's documents, chunks, vectors and postings, visible together.
+"""Ingestion that persists: documents, chunks, vectors and postings of a batch, visible together, and search over them.
 
-A commit writes every table into the folder of a new version and then replaces one
-pointer file; readers see all tables of a version, or all of the one before.  A
-writer that dies leaves a folder that nothing points to.  One writer at a time.
+All tables live in one versioned store (``versions``): a batch adds segments and takes
+older rows of its documents away, so its bytes follow the batch, not the store.  Chunks
+are known by dense numbers, given in order of document and place; vectors, postings and
+chunks meet by them, and the chunks table is the dictionary between numbers and keys.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillon.functions import constants as K
 from quillon.functions import models
 from quillon.functions import text as t
-from quillon.operators import chunking, retrieval, store
+from quillon.operators import chunking, retrieval, versions
 
-POINTER = "CURRENT"
+TABLES = ("documents", "chunks", "vectors", "postings")
+ORDER = {"documents": ["doc_id"], "chunks": ["chunk_no"], "vectors": ["chunk_no"], "postings": ["term", "chunk_no"]}
 
 
-def _path(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+def version(spark: SparkSession, root: str) -> int | None:
+    return versions.version(spark, root)
 
 
-def version(spark: SparkSession, root: str) -> str | None:
-    """Folder of the tables that readers see; None before the first commit."""
-    p, fs = _path(spark, f"{root}/{POINTER}")
-    return f"{root}/{spark.read.text(p.toString()).first()[0]}" if fs.exists(p) else None
+def read(spark: SparkSession, root: str, name: str, at: int | None = None) -> DataFrame:
+    return versions.read(spark, root, name, at)
 
 
-def read(spark: SparkSession, root: str, name: str) -> DataFrame:
-    at = version(spark, root)
-    if at is None:
-        raise FileNotFoundError(f"nothing was committed to {root}")
-    return spark.read.parquet(f"{at}/{name}")
+def expire(spark: SparkSession, root: str, keep: int = 1) -> int:
+    return versions.expire(spark, root, keep)
 
 
-def commit(spark: SparkSession, root: str, tables: dict[str, DataFrame | Callable[[str], DataFrame]]) -> str:
-    """Writes the tables as the next version, in order, and makes it the one that is read; a table may be made from the folder of those before it."""
-    name = f"version-{uuid.uuid4().hex}"
-    for table, df in tables.items():
-        (df if isinstance(df, DataFrame) else df(f"{root}/{name}")).write.parquet(f"{root}/{name}/{table}")
-    staged, fs = _path(spark, f"{root}/{POINTER}.{name}")
-    out = fs.create(staged, True)
-    out.write(bytearray(name.encode()))
-    out.close()
-    final, _ = _path(spark, f"{root}/{POINTER}")
-    jvm = spark._jvm
-    how = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), spark._jsc.hadoopConfiguration()).rename(staged, final, how)
-    return f"{root}/{name}"
+def compact(spark: SparkSession, root: str, least: int = 2) -> list[int]:
+    """Makes one segment of each table that has least of them; returns the versions that did."""
+    return [n for name in TABLES if (n := versions.compact(spark, root, name, least, ORDER[name])) is not None]
 
 
-def expire(spark: SparkSession, root: str) -> int:
-    """Deletes the folders of all versions but the one that is read; returns how many."""
-    now, gone = version(spark, root), 0
-    p, fs = _path(spark, root)
-    for s in fs.listStatus(p) if fs.exists(p) else []:
-        if s.getPath().getName().startswith("version-") and not str(now).endswith(s.getPath().getName()):
-            fs.delete(s.getPath(), True)
-            gone += 1
-    return gone
-
-
-def _merged(spark: SparkSession, root: str, name: str, new: DataFrame, ids: DataFrame) -> DataFrame:
-    """The table's rows of other documents and the new ones."""
-    if version(spark, root) is None:
-        return new
-    return store.delete(read(spark, root, name), ids).unionByName(new)
-
-
-def persist(docs: DataFrame, root: str, strategy: str = "hybrid", load: Callable | None = None) -> str:
+def persist(docs: DataFrame, root: str, strategy: str = "hybrid", load: Callable | None = None) -> int:
     """Cleans, describes and cuts docs (doc_id, text, lang) and commits four tables; documents ingested before are replaced.
 
-    documents: metadata, ingested_at.  chunks: chunk_id, doc_id, content and place,
-    ingested_at.  vectors: chunk_id, doc_id, embedding (none for chunks without
-    words).  postings: chunk_id, doc_id, dl, term, tf.  Vectors and postings are made
-    from the chunks as written.  Blank and null texts leave no document.
+    documents: metadata, ingested_at.  chunks: chunk_no, chunk_id, doc_id, content and
+    place, n_terms, ingested_at.  vectors: chunk_no, doc_id, embedding (none for chunks
+    without words).  postings: chunk_no, doc_id, dl, term, tf.  Vectors and postings are
+    made from the chunks as written.  Blank and null texts leave no document.  Returns
+    the version.  Any number of writers may commit at once; of two batches with one
+    document the later version's stays.
     """
     spark = docs.sparkSession
     now = F.current_timestamp().alias("ingested_at")
     about, cut = chunking.ingest(docs, strategy)
-    ids = docs.select("doc_id").distinct()
-    written = lambda folder: spark.read.parquet(f"{folder}/fresh")
-    merged = lambda name, make: lambda folder: _merged(spark, root, name, make(folder), ids)
-    at = commit(
-        spark, root,
-        {
-            "fresh": cut.withColumn("ingested_at", now),
-            "documents": merged("documents", lambda _: about.withColumn("ingested_at", now)),
-            "chunks": merged("chunks", written),
-            "vectors": merged("vectors", lambda folder: written(folder).select("chunk_id", "doc_id", models.embed(F.col("content"), load).alias("embedding")).filter("embedding is not null")),
-            "postings": merged("postings", lambda folder: _postings(written(folder))),
-        },
-    )
-    p, fs = _path(spark, f"{at}/fresh")
-    fs.delete(p, True)
-    return at
-
-
-def _postings(chunks: DataFrame) -> DataFrame:
-    named = retrieval.postings(chunks, t.terms(F.col("content")), "chunk_id").withColumnRenamed("doc_id", "chunk_id")
-    return named.join(chunks.select("chunk_id", "doc_id"), "chunk_id")
-
-
-def forget(spark: SparkSession, root: str, ids: DataFrame) -> str:
-    """Commits all four tables without the documents ids (doc_id)."""
-    return commit(spark, root, {name: store.delete(read(spark, root, name), ids) for name in ("documents", "chunks", "vectors", "postings")})
-
-
-def lexical_index(docs: DataFrame, root: str, id_: str = "doc_id") -> str:
-    """Commits postings (doc_id, dl, term, tf) and lengths (doc_id, dl of every document, without terms too): texts are cut into terms once."""
+    cut = cut.withColumn("n_terms", F.size(t.terms(F.col("content")))).withColumn("ingested_at", now)
+    # in an order that a rerun would give too; the low bits of the row's id count a task's rows
+    cut = cut.repartitionByRange("doc_id", "chunk_index").sortWithinPartitions("doc_id", "chunk_index").withColumn("row", F.monotonically_increasing_id())
+    with versions.staged(cut, root) as rows:
+        rows = rows.withColumn("task", F.shiftright("row", 33))
+        sizes = rows.groupBy("task").agg(F.count("*").alias("n"))  # a row for each task
+        first = versions.reserve(spark, root, "chunks", sizes.agg(F.sum("n")).first()[0] or 0)
+        before = sizes.select("task", (F.sum("n").over(W.orderBy("task")) - F.col("n") + first).alias("first"))
+        numbered = rows.join(F.broadcast(before), "task").withColumn("chunk_no", F.col("first") + F.col("row").bitwiseAND((1 << 33) - 1))
+        segments = [versions.write(numbered.drop("row", "task", "first"), root, "chunks"), versions.write(about.withColumn("ingested_at", now), root, "documents")]
+    written = versions.rows(spark, root, segments[0])
+    vectors = written.select("chunk_no", "doc_id", models.embed(F.col("content"), load).alias("embedding")).filter("embedding is not null")
+    posted = written.select("chunk_no", "doc_id", F.col("n_terms").alias("dl"), F.explode(t.terms(F.col("content"))).alias("term")).groupBy("chunk_no", "doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    segments += [versions.write(vectors, root, "vectors"), versions.write(posted.sortWithinPartitions("term", "chunk_no"), root, "postings")]
+    return versions.commit(spark, root, segments, docs.select("doc_id"))
+
+
+def forget(spark: SparkSession, root: str, ids: DataFrame) -> int:
+    """Commits a version without the documents ids (doc_id) in any table."""
+    return versions.commit(spark, root, [], ids)
+
+
+def search(spark: SparkSession, root: str, queries: DataFrame, k: int = K.TOP_K, candidates: int = K.CANDIDATES, filters: dict | None = None, load: Callable | None = None, at: int | None = None) -> DataFrame:
+    """Hybrid search over what was ingested: the columns of retrieval.hybrid with chunk_no as its id, and of the chunk doc_id, chunk_id, chunk_index, content.
+
+    queries: query_id, text.  filters: on the documents' columns, for both rankings.
+    load: the embedder that persist() was given.  at: a version, else the latest.
+    """
+    at = version(spark, root) if at is None else at
+    documents, chunks, vectors, postings = (read(spark, root, name, at) for name in TABLES)
+    if filters:
+        ids = retrieval.matching(documents, filters).select("doc_id")
+        chunks, vectors, postings = (df.join(ids, "doc_id", "left_semi") for df in (chunks, vectors, postings))
+    terms = t.terms(F.col("text"))
+    tf = retrieval.with_terms(postings.select(F.col("chunk_no").alias("doc_id"), "dl", "term", "tf"), queries, terms)
+    sparse = retrieval.ranked(retrieval.weighed(tf, chunks.select(F.col("n_terms").alias("dl")), queries, terms), candidates)
+    asked = queries.select("query_id", models.embed(F.col("text"), load).alias("embedding"))
+    dense = retrieval.dense_top(vectors.select(F.col("chunk_no").alias("vec_id"), "embedding"), asked, candidates)
+    found = retrieval.confident(retrieval.fuse(dense, sparse, candidates), k).withColumnRenamed("doc_id", "chunk_no")
+    return found.join(chunks.select("chunk_no", "doc_id", "chunk_id", "chunk_index", "content"), "chunk_no")
+
+
+def lexical_index(docs: DataFrame, root: str, id_: str = "doc_id") -> int:
+    """Commits postings (doc_id, row, dl, term, tf) and lengths (doc_id, dl of every document, without terms too); what had the same ids is replaced.  Texts are cut into terms once."""
     spark = docs.sparkSession
-    cut = docs.select(F.col(id_).alias("doc_id"), t.terms(F.col("text")).alias("w"))
-    kept = lambda folder: spark.read.parquet(f"{folder}/terms")
-    at = commit(
-        spark, root,
-        {
-            "terms": cut,
-            "lengths": lambda folder: kept(folder).select("doc_id", F.size("w").alias("dl")),
-            "postings": lambda folder: retrieval.counted(kept(folder).select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term"))).sortWithinPartitions("term"),
-        },
-    )
-    p, fs = _path(spark, f"{at}/terms")
-    fs.delete(p, True)
-    return at
+    with versions.staged(docs.select(F.col(id_).alias("doc_id"), F.monotonically_increasing_id().alias("row"), t.terms(F.col("text")).alias("w")), root) as rows:
+        sized = rows.select("doc_id", "row", F.size("w").alias("dl"), "w")
+        posted = retrieval.counted(sized.select("doc_id", "row", "dl", F.explode("w").alias("term")))
+        segments = [versions.write(sized.select("doc_id", "dl"), root, "lengths"), versions.write(posted.sortWithinPartitions("term"), root, "postings")]
+    return versions.commit(spark, root, segments, docs.select(F.col(id_).alias("doc_id")))
 
 
 def lexical_top(spark: SparkSession, root: str, queries: DataFrame, k: int) -> DataFrame:
     """retrieval.lexical_top from a stored index: only the questions' terms are read from it."""
-    terms = t.terms(F.col("text"))
-    return retrieval.ranked(retrieval.weighed(retrieval.with_terms(read(spark, root, "postings"), queries, terms), read(spark, root, "lengths"), queries, terms), k)
-
+    terms, at = t.terms(F.col("text")), version(spark, root)
+    postings, lengths = (read(spark, root, name, at) for name in ("postings", "lengths"))
+    return retrieval.ranked(retrieval.weighed(retrieval.with_terms(postings, queries, terms), lengths, queries, terms), k)
 
-def vector_index(vectors: DataFrame, root: str) -> str:
-    """Commits the unit vectors (vec_id, embedding and what stands beside them); null, zero and broken ones are left out."""
-    return commit(vectors.sparkSession, root, {"vectors": retrieval.usable(vectors).withColumn("embedding", models.normalised(F.col("embedding"))).filter("embedding is not null")})
 
+def save_files(files: DataFrame, root: str) -> DataFrame:
+    """A file store: commits doc_id, filename, content with sizes and hashes, and returns doc_id, filename, path, size, content_hash.
 
-def save_files(files: DataFrame, root: str) -> str:
-    """A file store: commits doc_id, filename, content with their sizes and hashes; a file of the same document and name is replaced."""
+    path is the stored file that holds the content.  A save writes its own files only; a
+    file of the same document and name is replaced, of several in one batch the one with
+    the greatest hash stays.  Null documents or names are names like others.
+    """
     spark = files.sparkSession
-    new = files.select("doc_id", "filename", "content", F.octet_length("content").cast("long").alias("size"), F.sha2("content", 256).alias("content_hash"))
-    if version(spark, root) is not None:
-        new = read(spark, root, "files").join(new.select("doc_id", "filename").distinct(), ["doc_id", "filename"], "left_anti").unionByName(new)
-    return commit(spark, root, {"files": new})
+    new = files.select("doc_id", "filename", "content", F.octet_length("content").cast("long").alias("size"), F.sha2("content", 256).alias("content_hash"), _file_key().alias("file_key"))
+    best = new.select("file_key", "content_hash").groupBy("file_key").agg(F.max("content_hash").alias("content_hash"))
+    one = new.join(best, ["file_key", "content_hash"], "left_semi").dropDuplicates(["file_key"])
+    part = versions.write(one, root, "files")
+    versions.commit(spark, root, [part], files.select(_file_key().alias("file_key")), "file_key")
+    return versions.rows(spark, root, part, path=True).select("doc_id", "filename", "path", "size", "content_hash")
+
+
+def _file_key() -> F.Column:
+    return F.sha2(F.to_json(F.struct(F.col("doc_id").cast("string").alias("d"), F.col("filename").alias("f"))), 256)
 
 
 def locate_files(spark: SparkSession, root: str, wanted: DataFrame) -> DataFrame:
-    """doc_id, filename, path of the wanted (doc_id, filename); path is null where there is no such file."""
-    there = read(spark, root, "files").select("doc_id", "filename", F.concat_ws("/", F.lit(root), F.col("doc_id").cast("string"), "filename").alias("path"))
-    return wanted.select("doc_id", "filename").join(there, ["doc_id", "filename"], "left")
+    """doc_id, filename, path of the wanted (doc_id, filename); path, the stored file with the content, is null where there is no such file."""
+    there = versions.read(spark, root, "files", path=True).select("file_key", "path")
+    return wanted.select("doc_id", "filename").withColumn("file_key", _file_key()).join(there, "file_key", "left").drop("file_key")
 
 
-def delete_files(spark: SparkSession, root: str, ids: DataFrame) -> str:
-    return commit(spark, root, {"files": store.delete(read(spark, root, "files"), ids)})
+def delete_files(spark: SparkSession, root: str, ids: DataFrame) -> int:
+    """Commits a version without the files of the documents ids (doc_id)."""
+    gone = read(spark, root, "files").select("doc_id", "file_key").join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
+    return versions.commit(spark, root, [], gone, "file_key")

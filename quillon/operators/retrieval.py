@@ -37,22 +37,22 @@ def top(df: DataFrame, k: int, *order: Column, by: str = "query_id") -> DataFram
 
 
 def postings(docs: DataFrame, terms: Column, id_: str = "doc_id") -> DataFrame:
-    """doc_id, dl, term, tf: the index, a row for each distinct term of a document."""
+    """doc_id, row, dl, term, tf: the index, a row for each distinct term of a document.  Rows with one doc_id are documents of their own, told apart by row."""
     return counted(_exploded(docs, terms, id_))
 
 
 def counted(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    return rows.groupBy("doc_id", "row", "dl", "term").agg(F.count("*").alias("tf"))
 
 
 def _exploded(docs: DataFrame, terms: Column, id_: str) -> DataFrame:
-    """doc_id, dl, term; the length is settled before the terms are dealt out, not once for each of them."""
-    d = docs.select(F.col(id_).alias("doc_id"), terms.alias("w")).select("doc_id", F.size("w").alias("dl"), "w")
-    return d.select("doc_id", "dl", F.explode("w").alias("term"))
+    """doc_id, row, dl, term; the length is settled before the terms are dealt out, not once for each of them."""
+    d = docs.select(F.col(id_).alias("doc_id"), F.monotonically_increasing_id().alias("row"), terms.alias("w")).select("doc_id", "row", F.size("w").alias("dl"), "w")
+    return d.select("doc_id", "row", "dl", F.explode("w").alias("term"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, doc_terms: Column, query_terms: Column, k1: float = K.K1, b: float = K.B, id_: str = "doc_id") -> DataFrame:
-    """query_id, doc_id, score of all pairs that share a term.
+    """query_id, doc_id, score of all pairs that share a term; of a repeated doc_id its best row's score.
 
     Terms that no question has go before anything is shuffled wide; document
     frequencies are counted on what is left, lengths on all documents.
@@ -67,13 +67,15 @@ def with_terms(rows: DataFrame, queries: DataFrame, query_terms: Column) -> Data
 
 
 def weighed(tf: DataFrame, lengths: DataFrame, queries: DataFrame, query_terms: Column, k1: float = K.K1, b: float = K.B) -> DataFrame:
-    """query_id, doc_id, score from postings of the questions' terms (doc_id, dl, term, tf) and the lengths of all documents (dl)."""
+    """query_id, doc_id, score from postings of the questions' terms (doc_id, dl, term, tf; and row, if ids may repeat) and the lengths of all documents (dl)."""
     asked = queries.select("query_id", F.explode(query_terms).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     gain = F.col("qtf") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return tf.join(asked.join(df, "term"), "term").crossJoin(F.broadcast(stats)).groupBy("query_id", "doc_id").agg(F.sum(gain).alias("score"))  # stats: one row
+    rows = ["query_id", "doc_id", *(["row"] if "row" in tf.columns else [])]
+    scores = tf.join(asked.join(df, "term"), "term").crossJoin(F.broadcast(stats)).groupBy(*rows).agg(F.sum(gain).alias("score"))  # stats: one row
+    return scores.groupBy("query_id", "doc_id").agg(F.max("score").alias("score")) if "row" in rows else scores
 
 
 def ranked(scores: DataFrame, k: int) -> DataFrame:
@@ -83,10 +85,12 @@ def ranked(scores: DataFrame, k: int) -> DataFrame:
 def lexical_top(docs: DataFrame, queries: DataFrame, k: int = K.CANDIDATES, filters: dict | None = None, most_bytes: int | None = None) -> DataFrame:
     """query_id, doc_id, score, rank by BM25 over lower-cased letter and digit runs.
 
+    Every row of docs is a document; an id that stands in several is ranked once, by its
+    best row.  Pairs that share a term are ranked even where the score rounds to zero.
     If the questions' weights (terms x questions) take most_bytes (HELD) at most, they
-    are broadcast, documents are scored where they stand, and a batch passes on its k
+    are broadcast, documents are scored where they stand, and a task passes on its k
     best alone; what is shuffled does not grow with the pairs that share a term.
-    Larger sets of questions go by the join of bm25().
+    Larger sets of questions go by the join of bm25(), to the same answer.
     """
     terms = t.terms(F.col("text"))
     docs = matching(docs, filters)
@@ -97,44 +101,84 @@ def lexical_top(docs: DataFrame, queries: DataFrame, k: int = K.CANDIDATES, filt
     held = asked.toArrow()  # of checked size
     ids, vocab = (pc.unique(held.column(c).combine_chunks()) for c in ("query_id", "term"))
     rows = docs.select("doc_id", terms.alias("w"))
-    stats = rows.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl")).first()
+    count, texts, words = (len(vocab) + i for i in range(3))  # places after the frequencies: documents, those with a text, and their words
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df = np.zeros(len(vocab), np.int64)
-        for _, doc, term, _ in _counts(batches, vocab):
-            df += np.bincount(np.unique(doc * len(vocab) + term) % max(len(vocab), 1), minlength=len(vocab))
+        df = np.zeros(len(vocab) + 3, np.int64)
+        for batch, doc, term, length in _counts(batches, vocab):
+            df[:count] += np.bincount(np.unique(doc * len(vocab) + term) % max(len(vocab), 1), minlength=len(vocab))[:count]
+            df[count] += batch.num_rows
+            df[texts] += batch.num_rows - batch.column("w").null_count
+            df[words] += length.sum()
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(df)), pa.array(df[df > 0])], names=["term", "df"])
 
-    df = np.zeros(len(vocab))
+    df = np.zeros(len(vocab) + 3)
     for r in rows.mapInArrow(frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toLocalIterator():
         df[r.term] = r.df
     weight = np.zeros((len(vocab), len(ids)))
     weight[np.asarray(pc.index_in(held.column("term"), vocab)), np.asarray(pc.index_in(held.column("query_id"), ids))] = held.column("qtf").to_numpy()
-    weight *= np.log(1 + (stats.n - df + 0.5) / (df + 0.5))[:, None]
+    weight *= np.log(1 + (df[count] - df[:count] + 0.5) / (df[:count] + 0.5))[:, None]
     shared = docs.sparkSession.sparkContext.broadcast(weight)
-    avgdl = stats.avgdl or 1.0
+    avgdl = df[words] / df[texts] if df[words] else 1.0
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = Best(k)
         for batch, doc, term, length in _counts(batches, vocab):
             key, tf = np.unique(doc * max(len(vocab), 1) + term, return_counts=True)
             doc, term = key // max(len(vocab), 1), key % max(len(vocab), 1)
             gain = tf * (K.K1 + 1) / (tf + K.K1 * (1 - K.B + K.B * length[doc] / avgdl))
-            own = batch.column("doc_id")
-            order = pc.rank(own).to_numpy()
             for at in range(0, batch.num_rows, 256):
                 i, j = np.searchsorted(doc, [at, at + 256])
                 used, col = np.unique(term[i:j], return_inverse=True)
                 g = np.zeros((min(256, batch.num_rows - at), len(used)))
                 g[doc[i:j] - at, col] = gain[i:j]
-                s = np.round((g @ shared.value[used]).T, 6)  # questions x documents
-                best = np.lexsort((np.broadcast_to(order[at : at + 256], s.shape), -s), axis=1)[:, :k]
-                value = np.take_along_axis(s, best, 1)
-                q_, d = np.nonzero(value > 0)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(q_)), own.take(pa.array(at + best[q_, d])), pa.array(value[q_, d])], names=["query_id", "doc_id", "score"])
+                best.add(batch.column("doc_id").slice(at, 256), (g @ shared.value[used]).T)
+        yield from best.rows(ids)
 
     kind = lambda frame, c: frame.schema[c].dataType.simpleString()
     found = rows.filter(F.size("w") > 0).mapInArrow(score, f"query_id {kind(queries, 'query_id')}, doc_id {kind(docs, 'doc_id')}, score double")
-    return top(found, k, F.desc("score"), F.asc("doc_id"))
+    return top(found.groupBy("query_id", "doc_id").agg(F.max("score").alias("score")), k, F.desc("score"), F.asc("doc_id"))
+
+
+class Best:
+    """The k best ids of each question among all that a task adds: at most some blocks of candidates are held."""
+
+    def __init__(self, k: int):
+        self.k, self.held, self.n = k, [], 0
+
+    def add(self, own: pa.Array, scores: np.ndarray) -> None:
+        """scores: questions x rows; the ids own may repeat.  Scores of zero are no hits."""
+        value = np.round(scores, 6)
+        first = np.lexsort((np.broadcast_to(_ranks(own), value.shape), -value), axis=1)
+        if len(pc.unique(own)) == len(own):
+            first = first[:, : self.k]
+        q, d = np.nonzero(np.take_along_axis(scores, first, 1) > 0)
+        d = first[q, d]
+        self.held.append((q, own.take(pa.array(d)), value[q, d]))
+        self.n += len(q)
+        if self.n > max(1 << 18, 4 * self.k * len(scores)):
+            self._cut()
+
+    def _cut(self) -> None:
+        q, value = (np.concatenate([h[c] for h in self.held]) for c in (0, 2))
+        own = pa.concat_arrays([h[1] for h in self.held])
+        rank = _ranks(own)
+        order = np.lexsort((rank, -value, q))
+        pair = np.unique(np.stack([q[order], rank[order]]), axis=1, return_index=True)[1]  # the first, so the best, of each question and id
+        order = order[np.sort(pair)]
+        order = order[np.arange(len(order)) - np.searchsorted(q[order], q[order]) < self.k]
+        self.held, self.n = [(q[order], own.take(pa.array(order)), value[order])], len(order)
+
+    def rows(self, ids: pa.Array) -> Iterator[pa.RecordBatch]:
+        if self.n:
+            self._cut()
+            q, own, value = self.held[0]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), own, pa.array(value)], names=["query_id", "doc_id", "score"])
+
+
+def _ranks(own: pa.Array) -> np.ndarray:
+    """The same for equal values, in their order; nulls first, as in an ascending order."""
+    return pc.rank(own, sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy().astype(np.int64)
 
 
 def _counts(batches: Iterator[pa.RecordBatch], vocab: pa.Array) -> Iterator[tuple]:
@@ -243,6 +287,12 @@ def dense_rerank(vectors: DataFrame, queries: DataFrame, k: int = K.TOP_K, alpha
     return rerank(stored.crossJoin(asked).mapInArrow(meet, out), F.col("score"), k, alpha, beta)
 
 
+def cosine(a: Column, b: Column) -> Column:
+    """Cosine in double precision, to six places."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, r: p.cast("double") * r.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    return F.round(dot(a, b) / F.sqrt(dot(a, a) * dot(b, b)), 6)
+
+
 SLACK = 2e-6
 
 
@@ -349,7 +399,6 @@ def hybrid(docs: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = K.T
 
     filters hold for both rankings: vectors that lack the columns are cut to the
     documents (doc_id = vec_id) that pass.
-    confidence: the first hit's dense score, else its fused score, within 0 and 1.
     """
     if filters and set(filters) <= set(vectors.columns):
         vectors = matching(vectors, filters)
@@ -357,6 +406,10 @@ def hybrid(docs: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = K.T
         vectors = vectors.join(matching(docs, filters).select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
     sparse = lexical_top(docs, queries, candidates, filters)
     dense = dense_top(vectors, queries, candidates)
-    fused = fuse(dense, sparse, candidates)
+    return confident(fuse(dense, sparse, candidates), k)
+
+
+def confident(fused: DataFrame, k: int) -> DataFrame:
+    """The first k of fuse()'s rows with the question's confidence: the first hit's dense score, else its fused score, within 0 and 1."""
     first = F.max(F.when(F.col("rank") == 1, F.least(F.greatest(F.coalesce("dense_score", "rrf_score"), F.lit(0.0)), F.lit(1.0)))).over(W.partitionBy("query_id"))
     return fused.withColumn("confidence", first).filter(F.col("rank") <= k)

@@ -2,49 +2,129 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+from contextlib import contextmanager
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from quillon.functions import constants as K
 from quillon.functions import questions as q
-from quillon.operators import answers, ingest, metrics
-from quillon.plans.inputs import laws, table
-from quillon.plans.retrieval import BM25, TOP, query
-from quillon.plans.texts import CLEAN, STRIP
+from quillon.operators import ann, answers, blockmax, ingest, metrics, versions
+from quillon.plans.inputs import LAWS, laws, table, terms_sql
+from quillon.plans.retrieval import BM25, FUSED, TOP, query
+from quillon.plans.texts import CLEAN, SEGMENTS, STRIP
+from quillon.operators.versions import kept
 from quillon.sources import files
 
 
-def scratch(spark) -> str:
-    """A new folder that all nodes share."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')}/quillon-{uuid.uuid4().hex}"
+@contextmanager
+def scratch(spark):
+    """A new folder that all nodes share, gone afterwards."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all nodes share")
+    path = f"{shared or tempfile.gettempdir()}/quillon-{uuid.uuid4().hex}"
+    try:
+        yield path
+    finally:
+        versions.remove(spark, path)
 
 
 @query(f"WITH {BM25} {TOP.format('SELECT * FROM bm', 20)}")
 def bm25_stored(spark, sf_dir):
     """The ranking of bm25_topk from a stored index."""
-    root = scratch(spark)
-    ingest.lexical_index(table(spark, sf_dir, "documents"), root)
-    return ingest.lexical_top(spark, root, table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), K.CANDIDATES)
+    with scratch(spark) as root:
+        ingest.lexical_index(table(spark, sf_dir, "documents"), root)
+        return kept(ingest.lexical_top(spark, root, table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), K.CANDIDATES))
 
 
-@query(f"""SELECT count(*) AS n_documents, 0 AS unstamped, 0 AS without_chunks, 0 AS without_document, 0 AS without_vector, 0 AS without_postings, 0 AS repeated
-FROM (SELECT {CLEAN.replace('text', 't')} AS c FROM (SELECT lang, text AS t FROM documents)) WHERE {STRIP.format('c')} <> ''""")
+@query(f"WITH {BM25} {TOP.format('SELECT * FROM bm', 20)}")
+def bm25_blockmax(spark, sf_dir):
+    """The ranking of bm25_topk from block-max postings."""
+    with scratch(spark) as root:
+        blockmax.build(table(spark, sf_dir, "documents"), root)
+        return kept(blockmax.top(spark, root, table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")))
+
+
+@query()
+def ann_topk(spark, sf_dir):
+    """dense_topk from a stored vector index, half of the vectors committed after it was built."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    with scratch(spark) as root:
+        ann.build(e.filter("vec_id % 2 = 0"), root)
+        ann.add(e.filter("vec_id % 2 = 1"), root)
+        return kept(ann.top(spark, root, e.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")))
+
+
+INGESTED = f"WITH RECURSIVE {LAWS}, o AS (SELECT doc_id, lang, {CLEAN} AS text FROM l WHERE {STRIP.format(CLEAN)} <> ''), {SEGMENTS}"
+
+
+@query(f"""{INGESTED}, x AS (SELECT doc_id, chunk_index, content, {terms_sql('content')} AS w FROM h)
+SELECT doc_id, chunk_index, sha256(doc_id || '||' || chunk_index || '|' || content) AS chunk_id, len(w)::INT AS n_terms, len(list_distinct(w)) AS n_postings, len(w) > 0 AS has_vector, 1 AS copies FROM x""")
 def persist_ingest(spark, sf_dir):
-    """Two commits, the second of documents that the first has too; then what is missing or stands twice."""
-    root, docs = scratch(spark), laws(spark, sf_dir)
-    ingest.persist(docs.filter("doc_id % 2 = 0"), root)
-    ingest.persist(docs.filter("doc_id % 2 = 1 or doc_id % 10 = 0"), root)
-    d, c, v, p = (ingest.read(spark, root, x) for x in ("documents", "chunks", "vectors", "postings"))
-    number = lambda df, name: df.agg(F.count("*").alias(name))
-    out = number(d, "n_documents")
-    for name, df in {
-        "unstamped": d.filter("ingested_at is null"), "without_chunks": d.join(c, "doc_id", "left_anti"), "without_document": c.join(d, "doc_id", "left_anti"),
-        "without_vector": c.filter(r"content rlike '[\\p{L}\\p{N}]'").join(v, "chunk_id", "left_anti"), "without_postings": c.filter(r"content rlike '[\\p{L}\\p{N}]'").join(p, "chunk_id", "left_anti"),
-        "repeated": c.groupBy("chunk_id").count().filter("count > 1"),
-    }.items():
-        out = out.crossJoin(number(df, name))  # one row each
-    return out
+    """Two commits, the second of documents that the first has too: every chunk with its postings and its vector."""
+    docs = laws(spark, sf_dir)
+    with scratch(spark) as root:
+        ingest.persist(docs.filter("doc_id % 2 = 0"), root)
+        ingest.persist(docs.filter("doc_id % 2 = 1 or doc_id % 10 = 0"), root)
+        c, v, p = (ingest.read(spark, root, x) for x in ("chunks", "vectors", "postings"))
+        n = p.groupBy("chunk_no").agg(F.count("*").alias("n_postings"))
+        copies = c.groupBy("doc_id", "chunk_index").agg(F.count("*").cast("int").alias("copies"))
+        out = c.join(n, "chunk_no", "left").join(v.select("chunk_no", F.lit(True).alias("has_vector")), "chunk_no", "left").join(copies, ["doc_id", "chunk_index"])
+        return kept(out.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "chunk_id", "n_terms", F.coalesce("n_postings", F.lit(0)).alias("n_postings"), F.coalesce("has_vector", F.lit(False)).alias("has_vector"), "copies"))
+
+
+def letters():
+    """An embedder: how often a text has each letter from a to z."""
+
+    def embed(texts):
+        return np.array([[x.lower().count(chr(97 + i)) for i in range(26)] for x in texts], dtype=float).reshape(-1, 26)
+
+    return embed
+
+
+def _letters_sql(c: str) -> str:
+    counts = f"list_transform(range(26), lambda i: (length(lower({c})) - length(replace(lower({c}), chr((97 + i)::INT), '')))::DOUBLE)"
+    return f"list_transform({counts}, lambda x: (x / sqrt(list_sum(list_transform({counts}, lambda y: y * y))))::FLOAT)"
+
+
+def _search_sql(where: str) -> str:
+    """Search over chunks; a chunk's number follows its commit, document and place."""
+    return f"""{INGESTED},
+n AS (SELECT h.doc_id, chunk_index, content, sha256(h.doc_id || '||' || chunk_index || '|' || content) AS chunk_id, row_number() OVER (ORDER BY NOT (h.doc_id % 2 = 0 AND h.doc_id % 10 <> 0), h.doc_id, chunk_index) AS no FROM h JOIN o USING (doc_id) WHERE h.doc_id % 9 <> 0 AND ({where})),
+e AS (SELECT no, v FROM (SELECT no, {_letters_sql('content')} AS v FROM n WHERE regexp_matches(lower(content), '[a-z]'))),
+b AS (SELECT item_id AS query_id, text FROM benchmark), qe AS (SELECT query_id, {_letters_sql('text')} AS v FROM b WHERE regexp_matches(lower(text), '[a-z]')),
+dt AS (SELECT no AS doc_id, {terms_sql('content')} AS w FROM n), st AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM dt),
+qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({terms_sql('text')}) AS term FROM b) GROUP BY ALL),
+tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM dt) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL),
+bm AS (SELECT query_id, doc_id, round(sum(qtf * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS score FROM qt JOIN df USING (term) JOIN tf USING (term), st GROUP BY ALL),
+s AS ({TOP.format('SELECT * FROM bm', 20)}),
+d AS ({TOP.format('SELECT query_id, no AS doc_id, round(list_cosine_similarity(qe.v::DOUBLE[], e.v::DOUBLE[]), 6) AS score FROM qe, e', 20)}), {FUSED.replace('g AS (', 'hits AS (')}
+SELECT query_id, n.doc_id, chunk_index, chunk_id, dense_score, dense_rank, sparse_score, sparse_rank, rrf_score, rank, confidence FROM (
+  SELECT *, max(CASE WHEN rank = 1 THEN least(greatest(coalesce(dense_score, rrf_score), 0.0), 1.0) END) OVER (PARTITION BY query_id) AS confidence FROM hits QUALIFY rank <= 5) g JOIN n ON n.no = g.doc_id"""
+
+
+def _persisted_search(spark, sf_dir, filters=None):
+    docs, asked = laws(spark, sf_dir), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    with scratch(spark) as root:
+        ingest.persist(docs.filter("doc_id % 2 = 0"), root, load=letters)
+        ingest.persist(docs.filter("doc_id % 2 = 1 or doc_id % 10 = 0"), root, load=letters)
+        ingest.forget(spark, root, docs.filter("doc_id % 9 = 0"))
+        found = ingest.search(spark, root, asked, filters=filters, load=letters)
+        return kept(found.withColumn("chunk_index", F.col("chunk_index").cast("long")).drop("chunk_no", "content"))
+
+
+@query(_search_sql("true"))
+def persist_hybrid(spark, sf_dir):
+    """Hybrid search over the chunks of two commits, one of which replaces documents of the other, without forgotten ones."""
+    return _persisted_search(spark, sf_dir)
+
+
+@query(_search_sql("lang IN ('fr', 'en')"))
+def persist_hybrid_filtered(spark, sf_dir):
+    return _persisted_search(spark, sf_dir, {"lang": ["fr", "en"]})
 
 
 @query("SELECT s.conv_id AS session_id, count(l.turn) AS n_queries, max(l.turn)::INT AS last FROM (SELECT DISTINCT conv_id FROM conversations) s LEFT JOIN (SELECT * FROM conversations WHERE role = 'user' AND conv_id % 7 <> 0) l USING (conv_id) GROUP BY 1")

@@ -88,14 +88,14 @@ SELECT doc_id, chunk_index, sha256(doc_id || '||' || chunk_index || '|' || conte
 _HEAD = K.STRUCTURE.replace("\\d", "[0-9]")
 _REF = r"CASE WHEN regexp_matches({0}, '(?i)^(Article|Section)\s+[0-9]') THEN CASE lower(regexp_extract({0}, '(?i)^(Article|Section)', 1)) WHEN 'article' THEN 'Article ' ELSE 'Section ' END || regexp_extract({0}, '(?i)^(Article|Section)\s+([0-9]+)', 2) END"
 # o: doc_id, text; segments between headings, long ones cut by windows; h: the chunks.
-_SEGMENTS = f"""g AS (SELECT doc_id, text, CASE WHEN parts[1] = '' THEN parts[2:] ELSE parts END AS parts FROM (SELECT doc_id, text, string_split(regexp_replace(text, '(?im)^({_HEAD})', chr(1) || '\\1', 'g'), chr(1)) AS parts FROM o)),
+SEGMENTS = f"""g AS (SELECT doc_id, text, CASE WHEN parts[1] = '' THEN parts[2:] ELSE parts END AS parts FROM (SELECT doc_id, text, string_split(regexp_replace(text, '(?im)^({_HEAD})', chr(1) || '\\1', 'g'), chr(1)) AS parts FROM o)),
 u AS (SELECT doc_id, k, text, CASE WHEN length(text) // {K.CHARS_A_TOKEN} * {K.CHARS_A_TOKEN} <= {_MOST} THEN 'structural' ELSE 'hybrid' END AS strategy FROM (SELECT doc_id, k, {STRIP.format('parts[k]')} AS text FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS k FROM g WHERE len(parts) > 1)) WHERE text <> ''
   UNION ALL SELECT doc_id, 0, text, 'fixed_size' FROM g WHERE len(parts) <= 1),
 w AS (SELECT doc_id, k, 0 AS start, {_STOP.format('0')} AS stop FROM u WHERE length(text) > {_MOST} AND strategy <> 'structural'
   UNION ALL SELECT doc_id, k, start, {_STOP.format('start')} AS stop FROM (SELECT w.doc_id, w.k, u.text, greatest(w.stop - {_OVERLAP}, w.start + 1) AS start FROM w JOIN u USING (doc_id, k) WHERE w.stop < length(u.text))),
 p AS (SELECT doc_id, k, start, {STRIP.format('substring(text, start + 1, stop - start)')} AS content, strategy, text FROM w JOIN u USING (doc_id, k) UNION ALL SELECT doc_id, k, 0, text, strategy, text FROM u WHERE length(text) <= {_MOST} OR strategy = 'structural'),
 h AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k, start) - 1 AS chunk_index, content, strategy, CASE WHEN strategy = 'fixed_size' THEN {_REF.format('content')} ELSE {_REF.format('text')} END AS article_ref FROM p WHERE content <> '')"""
-_HYBRID = f"""WITH RECURSIVE {LAWS}, o AS (SELECT doc_id, text FROM l WHERE {STRIP.format('text')} <> ''), {_SEGMENTS}
+_HYBRID = f"""WITH RECURSIVE {LAWS}, o AS (SELECT doc_id, text FROM l WHERE {STRIP.format('text')} <> ''), {SEGMENTS}
 SELECT doc_id, chunk_index, sha256(doc_id || '||' || chunk_index || '|' || content) AS chunk_id, length(content)::BIGINT AS n_chars, strategy, article_ref, greatest(1, length(content) // {K.CHARS_A_TOKEN})::INT AS token_count FROM h"""
 
 
@@ -112,7 +112,7 @@ for _s, _q in (("fixed_size", _FIXED), ("structural", _HYBRID), ("hybrid", _HYBR
     _chunk_query(_s, _q)
 
 
-@query(f"""WITH RECURSIVE {LAWS}, o AS (SELECT doc_id, lang, {CLEAN} AS text FROM l WHERE {STRIP.format(CLEAN)} <> ''), {_SEGMENTS},
+@query(f"""WITH RECURSIVE {LAWS}, o AS (SELECT doc_id, lang, {CLEAN} AS text FROM l WHERE {STRIP.format(CLEAN)} <> ''), {SEGMENTS},
 m AS (SELECT doc_id, lang, text, lower(substring(text, 1, 2000)) AS low, substring(text, 1, 5000) AS s FROM o)
 SELECT doc_id, lang, {_first_sql('substring(text, 1, 500)', K.DOC_TYPES)} AS doc_type, {_first_sql('substring(text, 1, 1000)', K.INSTITUTIONS)} AS institution,
 CASE WHEN {_any_sql('low', K.COMMON_LAW)} THEN 'common_law' WHEN contains(low, 'ohada') THEN 'ohada' WHEN {_any_sql('low', K.CIVIL_LAW)} THEN 'civil_law' END AS jurisdiction,

@@ -75,3 +75,31 @@ def test_lexical_top_by_broadcast_equals_join(spark):
     got = [sorted(map(tuple, retrieval.lexical_top(docs, asked, 7, most_bytes=b).collect())) for b in (None, 0)]
     assert got[0] == got[1] and len(got[0]) == 84
     assert retrieval.lexical_top(docs.limit(0), asked, 7).collect() == [] and retrieval.lexical_top(docs, asked.limit(0), 7).collect() == []
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_one_lexical_answer_at_any_size(spark, kind):
+    r = random.Random(4)
+    rows = [(r.choice([None, *range(12)]), " ".join(["all", *r.choices("abcdefg", k=r.randrange(0, 9))])) for _ in range(60)] + [(3, ""), (4, None), (99, "all")]
+    rows = [(i if i is None or kind == "long" else f"d{i}", x) for i, x in rows]
+    docs = spark.createDataFrame(rows, f"doc_id {kind}, text string").repartition(5)
+    asked = spark.createDataFrame([(0, "a b all"), (1, "c c d"), (2, "none"), (3, None), (4, "all")], "query_id long, text string")
+    got = [sorted(map(tuple, retrieval.lexical_top(docs, asked, 5, most_bytes=b).collect()), key=str) for b in (1 << 20, 0)]
+    assert got[0] == got[1] and len({x[:2] for x in got[0]}) == len(got[0])
+    n, avg = len(rows), sum(len((x or "").split()) for _, x in rows) / sum(x is not None for _, x in rows)
+    df = {t: sum(t in (x or "").split() for _, x in rows) for t in "abcdefg"} | {"all": sum("all" in (x or "").split() for _, x in rows)}
+    best = {}
+    for i, x in rows:
+        c = Counter((x or "").split())
+        s = sum(math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * c[t] * 2.2 / (c[t] + 1.2 * (0.25 + 0.75 * sum(c.values()) / avg)) for t in ("a", "b", "all") if c[t])
+        best[i] = max(best.get(i, 0), round(s, 6))
+    want = sorted(best.items(), key=lambda x: (-x[1], x[0] is not None, x[0]))[:5]
+    mine = [(x[1], x[2]) for x in sorted((x for x in got[0] if x[0] == 0), key=lambda x: x[3])]
+    assert mine == [(i, pytest.approx(s, abs=2e-6)) for i, s in want]
+
+
+def test_scores_that_round_to_zero_are_ranked_on_both_paths(spark):
+    docs = spark.range(1_200_000).select(F.col("id").alias("doc_id"), F.lit("same").alias("text"))
+    asked = spark.createDataFrame([(0, "same")], "query_id long, text string")
+    got = [[tuple(x) for x in retrieval.lexical_top(docs, asked, 3, most_bytes=b).orderBy("rank").collect()] for b in (1 << 20, 0)]
+    assert got[0] == got[1] == [(0, i, got[0][0][2], i + 1) for i in range(3)] and got[0][0][2] == 0.0
