@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from quillon.functions import constants as K
 from quillon.functions import questions as q
 from quillon.functions import text as t
+from quillon.operators import containment
+from quillon.operators.versions import kept
 
 
 def judged(runs: DataFrame, qrels: DataFrame) -> DataFrame:
@@ -90,6 +92,18 @@ def citation_precision(answer: Column, names: Column) -> Column:
     return F.when(F.size(cited) == 0, 0.0).otherwise(F.size(ok) / F.greatest(F.size(cited), F.lit(1)))
 
 
+def citation_precision_among(answers: DataFrame, sources: DataFrame, key: list[str], text: str = "answer", name: str = "name") -> DataFrame:
+    """key, n_cited, n_verified, precision of every answer against any number of source names: citation_precision() without an array of all of them."""
+    cited = answers.select(*key, F.monotonically_increasing_id().alias("_row"), cited_sources(F.col(text)).alias("cited"))
+    each = cited.select("_row", F.explode("cited").alias("name"))
+    # an empty citation stands in every name, as in citation_precision()
+    some = sources.filter(F.col(name) != "").limit(1).select(F.lit("").alias("name"))
+    known = containment.related(each, sources, other=name).union(some)
+    n = each.join(known, "name").groupBy("_row").agg(F.count("*").alias("n"))
+    out = cited.join(n, "_row", "left").select(*key, F.coalesce(F.size("cited"), F.lit(0)).alias("n_cited"), F.coalesce("n", F.lit(0)).cast("int").alias("n_verified"))
+    return out.withColumn("precision", F.when(F.col("n_cited") <= 0, 0.0).otherwise(F.col("n_verified") / F.greatest("n_cited", F.lit(1))))
+
+
 def generation_summary(rows: DataFrame, *by: str) -> DataFrame:
     """rows: lang, is_refusal, citation_precision, faithfulness.  Refusals count in their rate alone."""
     ok = lambda c, more=F.lit(True): F.avg(F.when(~F.col("is_refusal") & more, F.col(c)))
@@ -122,10 +136,53 @@ def parity_gap(rows: DataFrame, lang: str, metric: str, value: str) -> DataFrame
 # ---------------------------------------------------------------- latencies
 
 
+def percentiles(rows: DataFrame, value: str, by: list[str], shares: list[float]) -> DataFrame:
+    """by, n, p (an array): exact percentiles of each group by linear interpolation on n - 1, without a group in one task.
+
+    Distinct values and their counts are dealt out by range of (group, value), so a group
+    is a run of partitions.  Prefix sums over these (one row for a partition and group)
+    tell in which of them a percentile lies; only such partitions are searched, each by
+    itself.  Nulls and NaN do not count; groups without a value have n 0 and nulls.
+    """
+    v = F.col(value).cast("double")
+    counts = rows.select(*by, v.alias("_v")).filter("_v is not null and not isnan(_v)").groupBy(*by, "_v").agg(F.count("*").alias("_n"))
+    at = kept(counts.repartitionByRange(*by, "_v").withColumn("_part", F.spark_partition_id()))
+    group = W.partitionBy(*by)
+    parts = at.groupBy("_part", *by).agg(F.sum("_n").alias("_in"))
+    parts = parts.withColumn("_before", F.sum("_in").over(group.orderBy("_part")) - F.col("_in")).withColumn("n", F.sum("_in").over(group))
+    ranks = F.array(*[F.struct(F.lit(i).alias("i"), (F.lit(float(s)) * (F.col("n") - 1)).alias("at")) for i, s in enumerate(shares)])
+    asked = parts.withColumn("_r", F.explode(ranks)).withColumn("_k", F.explode(F.array_distinct(F.array(F.floor("_r.at"), F.ceil("_r.at")))))
+    asked = asked.filter((F.col("_k") >= F.col("_before")) & (F.col("_k") < F.col("_before") + F.col("_in")))
+    asked = asked.groupBy("_part", *by).agg(F.first("_before").alias("_before"), F.first("n").alias("n"), F.collect_list(F.struct("_r.i", "_r.at", "_k")).alias("_asked"))
+    names = {c: f"_by{i}" for i, c in enumerate(by)}
+    same = F.col("_part") == F.col("_at")
+    for c, other in names.items():
+        same = same & F.col(c).eqNullSafe(F.col(other))
+    held = at.join(asked.withColumnsRenamed({**names, "_part": "_at"}), same)
+    upto = F.sum("_n").over(W.partitionBy("_part", *by).orderBy("_v")) + F.col("_before")
+    held = held.withColumn("_upto", upto).withColumn("_a", F.explode(F.filter("_asked", lambda a: (a["_k"] < F.col("_upto")) & (a["_k"] >= F.col("_upto") - F.col("_n")))))
+    share = F.col("_a.at") - F.floor("_a.at")
+    part = F.col("_v") * F.when(F.col("_a._k") == F.floor("_a.at"), 1 - share).otherwise(share)
+    found = held.groupBy(*by, F.col("_a.i").alias("_i")).agg(F.max("n").alias("n"), F.sum(part).alias("_p"))
+    out = found.groupBy(*by).agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("_i", "_p"))), lambda x: x["_p"]).alias("p"))
+    if not by:
+        return out.filter("n is not null").union(out.filter("n is null").select(F.lit(0).cast("long"), F.lit(None).cast("array<double>")))
+    every = rows.select(*by).distinct()
+    same = F.lit(True)
+    for c, other in names.items():
+        same = same & F.col(c).eqNullSafe(F.col(other))
+    return every.join(out.withColumnsRenamed(names), same, "left").select(*by, F.coalesce("n", F.lit(0)).alias("n"), "p")
+
+
 def latency(rows: DataFrame, value: str, *by: str) -> DataFrame:
     """Percentiles by linear interpolation on n - 1, mean, extremes, count."""
-    p = F.percentile(value, F.array(*map(F.lit, (0.5, 0.75, 0.95, 0.99))))
-    out = rows.groupBy(*by).agg(p.alias("p"), F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"), F.count(value).alias("n"))
+    p = percentiles(rows, value, list(by), [0.5, 0.75, 0.95, 0.99])
+    rest = rows.groupBy(*by).agg(F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"), F.count(value).alias("n"))
+    names = {c: f"_own{i}" for i, c in enumerate(by)}
+    same = F.lit(True)
+    for c, other in names.items():
+        same = same & F.col(c).eqNullSafe(F.col(other))
+    out = rest.join(p.drop("n").withColumnsRenamed(names), same, "left")
     return out.select(*by, *[F.col("p")[i].alias(name) for i, name in enumerate(("p50", "p75", "p95", "p99"))], "mean", "least", "most", "n")
 
 

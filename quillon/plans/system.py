@@ -41,6 +41,19 @@ def citation_precision(spark, sf_dir):
     return _answered(spark, sf_dir).select("conv_id", "turn", F.round(metrics.citation_precision(F.col("answer"), names), 6).alias("precision"))
 
 
+@query(r"""WITH a AS (SELECT conv_id, turn, lower(trim(regexp_extract(text, '^[^,\[\]]*?([^ ,\[\]]+ [^ ,\[\]]+)', 1))) AS c FROM conversations WHERE role = 'assistant'),
+n AS (SELECT DISTINCT c FROM a WHERE c <> ''), s AS (SELECT DISTINCT lower(array_to_string(string_split(text, ' ')[1:8], ' ')) AS s FROM documents WHERE text <> ''),
+k AS (SELECT c FROM n WHERE EXISTS (SELECT 1 FROM s WHERE s <> '' AND (contains(s, c) OR contains(c, s))))
+SELECT conv_id, turn, (c <> '')::INT AS n_cited, (k.c IS NOT NULL)::INT AS n_verified, (k.c IS NOT NULL)::INT::DOUBLE AS precision FROM a LEFT JOIN k USING (c)""")
+def citation_sources(spark, sf_dir):
+    """Every answer cites its first two words; which of them stand in the head of some document, or the other way round."""
+    a = table(spark, sf_dir, "conversations").filter("role = 'assistant'")
+    cited = F.regexp_extract("text", r"^[^,\[\]]*?([^ ,\[\]]+ [^ ,\[\]]+)", 1)
+    a = a.select("conv_id", "turn", F.when(cited != "", F.concat(F.lit("[Source: "), cited, F.lit(", p. 1]"))).otherwise("").alias("answer"))
+    heads = table(spark, sf_dir, "documents").select(F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("name"))
+    return metrics.citation_precision_among(a, heads, ["conv_id", "turn"])
+
+
 SENT = r"list_filter(list_transform(regexp_split_to_array(answer, '[.!?]\s+'), lambda s: trim(s, chr(32) || chr(9) || chr(10) || chr(13))), lambda s: length(s) > 20)"
 
 
