@@ -2,10 +2,6 @@
 
 EDGE = "{EDGE}"  # a word boundary in the patterns below
 
-# Languages, profiles and their citation modes.
-LANGUAGES = ["fr", "en"]
-PROFILES = {"citizen": "optional", "agent": "systematic", "enterprise": "systematic", "jurist": "exhaustive"}
-
 # Intent keywords by language, in priority order.
 INTENTS_FR = {
     "procedural_query": ["comment", "procédure", "démarche", "étapes", "formulaire", "obtenir", "demander", "faire", "créer", "enregistrer", "immatriculer"],

@@ -45,14 +45,19 @@ def normalised(v: Column) -> Column:
 
 
 def embed(text: Column, load: Callable[[], Embed] | None = None, batch: int = 32) -> Column:
-    """Vectors of unit length; the model is loaded once for each worker and sees batches of at most batch texts."""
+    """Vectors of unit length; the model is loaded once for each worker and sees batches of at most batch texts.
+
+    A vector of zeros has no direction and is null; a model that gives an empty vector, or none, for a text is an error.
+    """
     load = load or hashing_embedder()
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load()
         for s in batches:
             texts = s.fillna("").tolist()
-            rows = [v for i in range(0, len(texts), batch) for v in model(texts[i : i + batch]).astype(float)]
+            rows = [v for i in range(0, len(texts), batch) for v in np.asarray(model(texts[i : i + batch]), dtype=float)]
+            if len(rows) != len(texts) or any(not len(v) for v in rows):
+                raise ValueError("the embedder gave no vector for some text")
             yield pd.Series([(v / n).tolist() if (n := np.linalg.norm(v)) > 0 else None for v in rows])
 
     return F.pandas_udf(run, T.ArrayType(T.FloatType()))(text)

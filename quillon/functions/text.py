@@ -75,8 +75,25 @@ def sufficient(c: Column, least: int = 50) -> Column:
     return (F.length(s) >= least) & ~s.rlike(r"(?U)^[\W\d\s]+$")
 
 
+def _bases() -> tuple[str, str]:
+    """Letters with marks and their bases, of the Latin blocks, and after them the marks by themselves, which have none."""
+    whole = [chr(i) for i in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))]
+    parts = [(x, unicodedata.normalize("NFD", x)) for x in whole]
+    pairs = [(x, d[0]) for x, d in parts if len(d) > 1 and all(unicodedata.category(m) == "Mn" for m in d[1:])]
+    return "".join(x for x, _ in pairs) + "".join(map(chr, range(0x300, 0x370))), "".join(b for _, b in pairs)
+
+
+WITH_MARKS, WITHOUT = _bases()
+
+
 def deaccent(c: Column) -> Column:
-    return F.translate(F.lower(c), K.MARKED, K.PLAIN)
+    """Lower-cased, letters without their marks: canonical decomposition less the marks, for Latin letters."""
+    return F.translate(F.lower(c), WITH_MARKS, WITHOUT)
+
+
+def percent(c: Column, places: int = 1) -> Column:
+    """A share as text, 0.123 as 12.3%; a dash for null."""
+    return F.when(c.isNotNull(), F.format_string(f"%.{places}f%%", F.round(c * 100, places))).otherwise("—")
 
 
 def sanitize(c: Column) -> Column:

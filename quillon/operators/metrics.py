@@ -191,8 +191,65 @@ def meets_slo(p50: Column, p95: Column, errors: Column) -> Column:
 
 
 def edit_distance(a: str, b: str) -> int:
-    """Levenshtein distance in code points, exact: a column of the table is two bit vectors (Myers), one long integer each."""
+    """Levenshtein distance in code points, exact.
+
+    Diagonals first: with one edit more a round, how far each diagonal of the table
+    reaches, which costs the texts' length and the square of the distance.  Once that
+    has cost as much as bit vectors would over the whole table, these go on instead.
+    """
     p, t = (np.frombuffer(x.encode("utf-32-le"), np.uint32) for x in (a, b))
+    found = _by_diagonals(p, t, len(p) * len(t) // 4000)
+    return _by_bits(p, t) if found is None else found
+
+
+def _by_diagonals(p: np.ndarray, t: np.ndarray, most: int) -> int | None:
+    """The distance; None if the rounds have looked at most diagonals before it was found."""
+    n, m = len(p), len(t)
+    # reach[k]: how many of p's characters diagonal k - e (place in t less place in p) covers with e edits
+    reach = np.array([_slide(p, t, np.zeros(1, np.int64), np.zeros(1, np.int64))[0]])
+    e = looked = 0
+    while not (abs(m - n) <= e and reach[m - n + e] >= n):
+        e += 1
+        looked += 2 * e + 1
+        if looked > max(most, 4096):
+            return None
+        k = np.arange(-e, e + 1)
+        wide = np.full(2 * e + 3, -2, np.int64)
+        wide[2:-2] = reach
+        i = np.maximum(np.maximum(wide[1:-1] + 1, wide[2:] + 1), wide[:-2])  # substituted, p's left out, t's put in
+        i = np.minimum(np.minimum(i, n), m - k)
+        ok = (i >= 0) & (i + k >= 0)
+        reach = np.where(ok, i, -2)
+        reach[ok] = _slide(p, t, i[ok], i[ok] + k[ok])
+    return e
+
+
+def _slide(p: np.ndarray, t: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How far p from i and t from j are equal, as the place in p: all pairs at once, by steps that grow where they succeed."""
+    i, j = i.copy(), j.copy()
+    live = np.flatnonzero((i < len(p)) & (j < len(t)))
+    while len(live) > 4:
+        live = live[p[i[live]] == t[j[live]]]
+        i[live] += 1
+        j[live] += 1
+        live = live[(i[live] < len(p)) & (j[live] < len(t))]
+    for k in live:
+        step = 64
+        while True:
+            x, y = p[i[k] : i[k] + step], t[j[k] : j[k] + step]
+            size = min(len(x), len(y))
+            other = np.flatnonzero(x[:size] != y[:size])
+            same = int(other[0]) if len(other) else size
+            i[k] += same
+            j[k] += same
+            if same < step:
+                break
+            step = min(2 * step, 1 << 20)
+    return i
+
+
+def _by_bits(p: np.ndarray, t: np.ndarray) -> int:
+    """A column of the table is two bit vectors (Myers), one long integer each."""
     where = {int(c): int.from_bytes(np.packbits(p == c, bitorder="little").tobytes(), "little") for c in np.intersect1d(p, t)}
     full = (1 << len(p)) - 1
     up, down = full, 0  # where the column rises by one from row to row, and where it falls

@@ -253,3 +253,10 @@ def refusals(spark, sf_dir):
     return r.groupBy("reason", "lang", F.size("r.flags").alias("n_flags")).agg(F.count("*").alias("n"))
 
 
+@query("""WITH s AS (SELECT event_id // 2 AS trace_id, epoch_us(ts) AS a FROM events WHERE event_id % 2 = 0), e AS (SELECT event_id // 2 AS trace_id, min(epoch_us(ts)) AS b FROM events WHERE event_id % 2 = 1 GROUP BY 1)
+SELECT s.trace_id, a / 1e6 AS started, (b - a) / 1000.0 AS latency_ms, b IS NULL AS timed_out FROM s LEFT JOIN e ON s.trace_id = e.trace_id AND b BETWEEN a AND a + 3600000000""")
+def request_latency(spark, sf_dir):
+    """Events of even and odd number as starts and ends of requests, an hour apart at most."""
+    e = table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 2).alias("trace_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    found = limits.request_latency(e.filter("event_id % 2 = 0"), e.filter("event_id % 2 = 1"), timeout="1 hour")
+    return found.select("trace_id", (F.unix_micros("started") / 1e6).alias("started"), "latency_ms", "timed_out")

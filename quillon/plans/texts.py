@@ -165,20 +165,20 @@ def out_of_scope(spark, sf_dir):
     return asked(spark, sf_dir).select("conv_id", "turn", q.out_of_scope(F.col("text")).alias("out_of_scope"))
 
 
-_EXPAND = "CASE " + " ".join(f"WHEN contains(lower(phrase), '{a}') AND NOT contains(lower(phrase), '{b}') THEN phrase || ' {b}'" for a, b in K.EXPANSIONS) + " ELSE phrase END"
+_EXPAND = "CASE " + " ".join(f"WHEN contains(lower(text), '{a}') AND NOT contains(lower(text), '{b}') THEN text || ' {b}'" for a, b in K.EXPANSIONS) + " ELSE text END"
 
 
 @query(f"WITH {QUESTIONS} SELECT conv_id, turn, {_EXPAND} AS expanded FROM u")
 def query_expand(spark, sf_dir):
-    return asked(spark, sf_dir).select("conv_id", "turn", q.expand(F.col("phrase")).alias("expanded"))
+    return asked(spark, sf_dir).select("conv_id", "turn", q.expand(F.col("text")).alias("expanded"))
 
 
 _ENTITIES = [r"(?:^|[^\pL\pN_])(artice?l[e]?\s+[0-9]+)", r"(?:^|[^\pL\pN_])((?:loi|décret|arrêté|ordonnance|code)\s+(?:n[°o°]\s*)?[\pL\pN_/-]+)", r"(?:^|[^\pL\pN_])(Nord-Ouest|Sud-Ouest|Northwest|Southwest|NW|SW|Centre|Littoral|Ouest|Nord|Adamaoua|Est|Sud)(?:$|[^\pL\pN_])"]
 
 
-@query(f"WITH {QUESTIONS} SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_concat(" + ", ".join(f"regexp_extract_all(phrase, '(?i){p}', 1)" for p in _ENTITIES) + ")))[1:10], '|') AS entities FROM u")
+@query(f"WITH {QUESTIONS} SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_concat(" + ", ".join(f"regexp_extract_all(text, '(?i){p}', 1)" for p in _ENTITIES) + ")))[1:10], '|') AS entities FROM u")
 def entities(spark, sf_dir):
-    return asked(spark, sf_dir).select("conv_id", "turn", F.array_join(q.entities(F.col("phrase")), "|").alias("entities"))
+    return asked(spark, sf_dir).select("conv_id", "turn", F.array_join(q.entities(F.col("text")), "|").alias("entities"))
 
 
 @query(f"WITH {QUESTIONS} SELECT conv_id, turn, length(text) BETWEEN 3 AND 2000 AS valid, CASE WHEN length(text) < 3 THEN 'too short' WHEN length(text) > 2000 THEN 'too long' ELSE '' END AS reason FROM u")

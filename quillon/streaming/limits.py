@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from quillon.functions import constants as K
 
@@ -90,6 +91,78 @@ def limit_stream(reqs: DataFrame, per_minute: int = K.PER_MINUTE, per_hour: int
     return reqs.groupBy("key").applyInPandasWithState(run, OUT, "times array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+def limit_event_time(reqs: DataFrame, per_minute: int = K.PER_MINUTE, per_hour: int = K.PER_HOUR, delay: str = "10 minutes", ts: str = "ts") -> DataFrame:
+    """limit_batch over a stream whose rows come in any order within delay: reqs has also the event time ts.
+
+    A key's rows wait until the watermark is past them and are then decided in the order
+    of their time, by a timer of the key; state goes when an hour without rows is past.
+    Rows that come later than delay are left out by Spark.  Rows are decided with the
+    batch that moves the watermark past them.  Needs the RocksDB state store.
+    """
+    rows = reqs.withWatermark(ts, delay).select("key", "event_id", "at", F.col(ts).alias("ts"))
+    return rows.groupBy("key").transformWithStateInPandas(_Ordered(per_minute, per_hour), OUT, "append", "EventTime")
+
+
+class _Ordered(StatefulProcessor):
+    """Of each key the rows that the watermark has not passed, and the admitted ones of the last hour."""
+
+    def __init__(self, per_minute: int, per_hour: int):
+        self.per_minute, self.per_hour = per_minute, per_hour
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "event_id long, at double")
+        self.times = handle.getListState("times", "at double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows))
+        self.waiting.appendList([(int(i), float(at)) for i, at in zip(new["event_id"], new["at"], strict=True)])
+        self._wake(float(new["at"].min()))
+        return iter(())
+
+    def _wake(self, at: float) -> None:
+        """A timer for when the watermark is past at."""
+        self.handle.registerTimer(int(at * 1000) + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        past = timerValues.getCurrentWatermarkInMs() / 1000
+        waiting = sorted((at, i) for i, at in self.waiting.get())
+        ripe, rest = [x for x in waiting if x[0] < past], [x for x in waiting if x[0] >= past]
+        times = [x[0] for x in self.times.get()]
+        reasons = []
+        for at, _ in ripe:
+            times, why = admit(times, at, self.per_minute, self.per_hour)
+            reasons.append(why)
+        times = [x for x in times if x >= past - 3600 or rest and x >= rest[0][0] - 3600]
+        for state, values in ((self.waiting, [(i, at) for at, i in rest]), (self.times, [(x,) for x in times])):
+            state.put(values) if values else state.clear()
+        if rest:
+            self._wake(rest[0][0])
+        elif times:
+            self._wake(times[-1] + 3600)  # then nothing of it counts any more
+        yield pd.DataFrame({"key": [key[0]] * len(ripe), "event_id": [i for _, i in ripe], "at": [at for at, _ in ripe], "allowed": [not r for r in reasons], "reason": pd.Series(reasons, dtype=object)})
+
+    def close(self) -> None:
+        pass
+
+
+def request_latency(starts: DataFrame, ends: DataFrame, timeout: str = "5 minutes", delay: str = "1 minute") -> DataFrame:
+    """trace_id, started, ended, latency_ms, timed_out of each start; starts, ends: trace_id, ts, both streams or both tables.
+
+    The first end of the trace within timeout counts; a start without one is reported as
+    timed out once the watermarks say that none can come.
+    """
+    a = starts.select("trace_id", F.col("ts").alias("started")).withWatermark("started", delay)
+    b = ends.select(F.col("trace_id").alias("of"), F.col("ts").alias("ended")).withWatermark("ended", delay)
+    if ends.isStreaming:
+        b = b.dropDuplicatesWithinWatermark(["of"])
+    else:
+        b = b.groupBy("of").agg(F.min("ended").alias("ended"))
+    met = a.join(b, F.expr(f"trace_id = of and ended >= started and ended <= started + interval {timeout}"), "left")
+    ms = (F.unix_micros("ended") - F.unix_micros("started")) / 1000
+    return met.select("trace_id", "started", "ended", ms.alias("latency_ms"), F.col("ended").isNull().alias("timed_out"))
+
+
 def sliding_count(reqs: DataFrame, seconds: int = 60) -> DataFrame:
     """Requests of the key within the last seconds, itself and ties included."""
     w = W.partitionBy("key").orderBy(F.round(F.col("at") * 1e6).cast("long")).rangeBetween(-seconds * 1_000_000, 0)

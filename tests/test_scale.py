@@ -1,6 +1,7 @@
 """Joins and selections that no task or group holds whole."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -47,3 +48,32 @@ def test_percentiles_equal_numpy(spark):
     assert metrics.percentiles(df.filter("v > 1e300"), "v", [], shares).collect()[0].n == 0
     one = metrics.latency(df, "v", "g").filter("g = 'b'").first()
     assert (one.p50, one.n) == (np.median(groups["b"]), 900)
+
+
+def test_edit_distance_by_diagonals_and_bits_equals_the_table():
+    r = random.Random(5)
+    points = lambda x: np.frombuffer(x.encode("utf-32-le"), np.uint32)
+
+    def table(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    for _ in range(300):
+        a = "".join(r.choices("abé", k=r.randrange(30)))
+        b = "".join(r.choices("abé", k=r.randrange(30))) if r.random() < 0.5 else a[: r.randrange(len(a) + 1)] + r.choice(["", "x", "yy"]) + a[r.randrange(len(a) + 1) :]
+        assert metrics.edit_distance(a, b) == table(a, b) == metrics._by_bits(points(a), points(b)) == metrics._by_diagonals(points(a), points(b), 10**9)
+
+
+def test_edit_distance_of_long_texts_costs_by_their_distance():
+    r = random.Random(6)
+    a = "".join(r.choices("abcdefgh ", k=10_000_000))
+    b = list(a)
+    for k, i in enumerate(r.sample(range(len(a)), 100)):
+        b[i] = "Z" if k % 3 == 0 else b[i] + "Q" if k % 3 == 1 else ""
+    began = time.perf_counter()
+    assert metrics.edit_distance(a, "".join(b)) == 100
+    assert time.perf_counter() - began < 10
