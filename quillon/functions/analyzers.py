@@ -7,13 +7,13 @@ Porter's first steps; ranks, not the stems of some server, are the contract.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quillon.functions import constants as K
 
@@ -35,23 +35,36 @@ def stem(word: str, lang: str) -> str:
     return word
 
 
+def term(word: str, lang: str | None) -> str | None:
+    """What a word is indexed as; None for a stop word."""
+    head, _, tail = word.replace("’", "'").partition("'")
+    if tail:
+        word = tail if lang == "fr" and head in K.ELISIONS else head if tail == "s" else head + tail
+    if lang not in STOP:
+        return word
+    return None if word in STOP[lang] else stem(word, lang)
+
+
 def tokens(text: str | None, lang: str | None) -> list[str]:
-    out = []
-    for w in WORD.findall((text or "").lower()):
-        head, _, tail = w.replace("’", "'").partition("'")
-        if tail:
-            w = tail if lang == "fr" and head in K.ELISIONS else head if tail == "s" else head + tail
-        if lang not in STOP:
-            out.append(w)
-        elif w not in STOP[lang]:
-            out.append(stem(w, lang))
-    return out
+    """The terms of one text: the definition that analyze() is tested against."""
+    return [x for w in WORD.findall((text or "").lower()) if (x := term(w, lang)) is not None]
 
 
-def _analyze(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for texts, langs in batches:
-        yield pd.Series([tokens(t, l) for t, l in zip(texts, langs, strict=True)])
+def _terms(words: pa.Array, langs: pa.Array) -> pa.Array:
+    """Each distinct word of a batch is analysed once; all else is done on arrays."""
+    flat, size = words.flatten().dictionary_encode(), np.asarray(pc.fill_null(pc.list_value_length(words), 0)).astype(np.int64)
+    names = langs.dictionary_encode()
+    kinds = [*names.dictionary.to_pylist(), None]
+    lang = np.repeat(np.asarray(pc.fill_null(names.indices, len(kinds) - 1)).astype(np.int64), size)
+    pair, where = np.unique(np.asarray(flat.indices).astype(np.int64) * len(kinds) + lang, return_inverse=True)
+    held = flat.dictionary.to_pylist()
+    found = pa.array([term(held[p // len(kinds)], kinds[p % len(kinds)]) for p in pair.tolist()], pa.string()).take(pa.array(where))
+    some = np.asarray(found.is_valid())
+    ends = np.concatenate(([0], np.cumsum(some)))[np.concatenate(([0], np.cumsum(size)))]
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), found.filter(pa.array(some)))
 
 
 def analyze(text: Column, lang: Column) -> Column:
-    return F.pandas_udf(_analyze, T.ArrayType(T.StringType()))(text, lang)
+    """Terms of texts; words are cut in the JVM, null texts have none."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+(?:['’][\p{L}\p{N}]+)*"), F.lit(0))
+    return F.arrow_udf(_terms, "array<string>")(words, lang)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from quillon.functions import constants as K
 from quillon.functions import questions as q
 from quillon.functions import text as t
+from quillon.operators import versions
 
 
 def matching(df: DataFrame, filters: dict | None) -> DataFrame:
@@ -194,11 +195,26 @@ def _counts(batches: Iterator[pa.RecordBatch], vocab: pa.Array) -> Iterator[tupl
 
 
 def best_fields(docs: DataFrame, queries: DataFrame, analyze, k: int = K.CANDIDATES, boost: float = 0.5) -> DataFrame:
-    """Larger of BM25 over the analysed field of the text's language and boost times BM25 over the folded field."""
-    folded = t.terms(t.deaccent(F.col("text")))
-    a = bm25(docs, queries, analyze(F.col("text"), F.col("lang")), analyze(F.col("text"), F.col("lang")))
-    b = bm25(docs, queries, folded, folded).withColumn("score", F.col("score") * boost)
-    both = a.unionByName(b).groupBy("query_id", "doc_id").agg(F.round(F.max("score"), 6).alias("score"))
+    """Larger of BM25 over the analysed field of the text's language and boost times BM25 over the folded field.
+
+    docs and queries: an id, text, lang.  Both fields of the documents are cut into terms in
+    one scan; what is kept of it are lengths and the postings of the questions' terms.
+    """
+    fields = lambda df: df.withColumns({"analysed": analyze(F.col("text"), F.col("lang")), "folded": t.terms(t.deaccent(F.col("text")))})
+    asked = versions.kept(fields(queries).select("query_id", "analysed", "folded"))
+    names = {"analysed": 1.0, "folded": boost}
+    wanted = asked.select(F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.col(n).alias("w")) for n in names])).alias("f")).select("f.field", F.explode("f.w").alias("term")).distinct().withColumn("asked", F.lit(True))
+    cut = fields(docs).select("doc_id", F.monotonically_increasing_id().alias("row"), F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.col(n).alias("w")) for n in names])).alias("f"))
+    # a row without a term keeps the lengths of each field
+    terms = cut.select("doc_id", "row", "f.field", F.size("f.w").alias("dl"), F.explode(F.concat(F.coalesce("f.w", F.array().cast("array<string>")), F.array(F.lit(None).cast("string")))).alias("term"))
+    held = terms.join(wanted, ["field", "term"], "left").filter("asked or term is null").groupBy("field", "doc_id", "row", "dl", "term").agg(F.count("*").alias("tf"))
+    held = versions.kept(held)
+    scores = None
+    for name, factor in names.items():
+        own = held.filter(F.col("field") == name)
+        s = weighed(own.filter("term is not null").select("doc_id", "row", "dl", "term", "tf"), own.filter("term is null").select("dl"), asked, F.col(name)).withColumn("score", F.col("score") * factor)
+        scores = s if scores is None else scores.unionByName(s)
+    both = scores.groupBy("query_id", "doc_id").agg(F.round(F.max("score"), 6).alias("score"))
     return top(both, k, F.desc("score"), "doc_id")
 
 

@@ -1,11 +1,13 @@
 import math
 import random
+import unicodedata
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quillon.functions import analyzers
 from quillon.operators import retrieval
 
 RANKED = "query_id long, doc_id string, score double, rank int"
@@ -103,3 +105,39 @@ def test_scores_that_round_to_zero_are_ranked_on_both_paths(spark):
     asked = spark.createDataFrame([(0, "same")], "query_id long, text string")
     got = [[tuple(x) for x in retrieval.lexical_top(docs, asked, 3, most_bytes=b).orderBy("rank").collect()] for b in (1 << 20, 0)]
     assert got[0] == got[1] == [(0, i, got[0][0][2], i + 1) for i in range(3)] and got[0][0][2] == 0.0
+
+
+def test_analysed_terms_equal_their_definition(spark):
+    texts = ["L'article de la loi n’est pas applicable aux décisions", "The laws' sections were amended; nations", None, "", "d'eau Straße ÉTÉ’s o'clock _x_ 12b", "Gesetze und Verordnungen", "mot"]
+    rows = [(i, x, lang) for i, x in enumerate(texts) for lang in ("fr", "en", "de", None)]
+    got = {(r.i, r.lang): r.w for r in spark.createDataFrame(rows, "i int, text string, lang string").coalesce(2).select("i", "lang", analyzers.analyze(F.col("text"), F.col("lang")).alias("w")).collect()}
+    assert got == {(i, lang): analyzers.tokens(x, lang) for i, x, lang in rows}
+
+
+def test_best_fields_equals_brute_force(spark):
+    r = random.Random(7)
+    words = ["lois", "loi", "décisions", "decision", "laws", "law", "the", "de", "sections", "nation"]
+    docs = [(i, r.choice([None, " ".join(r.choices(words, k=r.randrange(0, 9)))]) if i % 9 == 0 else " ".join(r.choices(words, k=r.randrange(1, 9))), r.choice(["fr", "en", "de", None])) for i in range(50)]
+    asked = [(0, "the law decision", "en"), (1, "lois de nation", "fr"), (2, "", "en"), (3, None, None)]
+    df = lambda x, i: spark.createDataFrame(x, f"{i} long, text string, lang string")
+    got = [(x.query_id, x.doc_id, x.score) for x in retrieval.best_fields(df(docs, "doc_id"), df(asked, "query_id"), analyzers.analyze, 10).orderBy("query_id", "rank").collect()]
+    plain = lambda x: ["".join(c for c in unicodedata.normalize("NFD", w) if not unicodedata.combining(c)) for w in (x or "").lower().split()]
+
+    def bm25(cut, none):
+        d = {i: cut(x, lang) for i, x, lang in docs}
+        lengths = [len(w) for i, w in d.items() if not (none and docs[i][1] is None)]
+        avg, n = sum(lengths) / len(lengths), len(docs)
+        out = {}
+        for q, x, lang in asked:
+            for term, times in Counter(cut(x, lang)).items():
+                df_ = sum(term in w for w in d.values())
+                for i, w in d.items():
+                    tf = w.count(term)
+                    if tf:
+                        out[q, i] = out.get((q, i), 0) + times * math.log(1 + (n - df_ + 0.5) / (df_ + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / avg))
+        return out
+
+    a, b = bm25(analyzers.tokens, False), bm25(lambda x, _: plain(x), True)
+    best = {p: round(max(a.get(p, 0), 0.5 * b.get(p, 0)), 6) for p in {*a, *b}}
+    want = [(q, i, s) for q, *_ in asked for (_, i), s in sorted(((p, s) for p, s in best.items() if p[0] == q), key=lambda x: (-x[1], x[0][1]))[:10]]
+    assert [x[:2] for x in got] == [x[:2] for x in want] and [x[2] for x in got] == pytest.approx([x[2] for x in want], abs=2e-6)
