@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import constants as K
 from quillon.functions import questions as q
-from quillon.operators import ann, answers, blockmax, ingest, metrics, versions
+from quillon.operators import ann, answers, blockmax, detector, ingest, metrics, versions
 from quillon.plans.inputs import LAWS, laws, table, terms_sql
 from quillon.plans.retrieval import BM25, FUSED, TOP, query
 from quillon.plans.texts import CLEAN, SEGMENTS, STRIP
@@ -48,6 +48,15 @@ def bm25_blockmax(spark, sf_dir):
         return kept(blockmax.top(spark, root, table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")))
 
 
+@query()
+def lang_detect_trained(spark, sf_dir):
+    """Languages and switches of all documents by a model of two thirds of them."""
+    d = table(spark, sf_dir, "documents")
+    with scratch(spark) as root:
+        detector.fit(d.filter("crc32(cast(cast(doc_id as string) as binary)) % 3 <> 1"), root)
+        return detector.detect(d, detector.load(spark, root), ["doc_id"])
+
+
 @query()
 def ann_topk(spark, sf_dir):
     """dense_topk from a stored vector index, half of the vectors committed after it was built."""
