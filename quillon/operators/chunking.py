@@ -91,9 +91,18 @@ def chunk_id(doc_id: Column, page: Column, index: Column, content: Column) -> Co
     return F.sha2(F.concat_ws("|", doc_id.cast("string"), F.coalesce(page.cast("string"), F.lit("")), index.cast("string"), content), 256)
 
 
+def cleaned(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text, lang) with clean texts, without blank ones."""
+    return docs.select("doc_id", "lang", t.clean(F.col("text"), F.col("lang")).alias("text")).filter(t.strip(F.col("text")) != "")
+
+
+def described(clean: DataFrame) -> DataFrame:
+    """doc_id, lang and the metadata of clean texts."""
+    none = F.lit(None).cast("string")
+    return clean.select("doc_id", "lang", t.metadata(F.col("text"), none, none, none).alias("m")).select("doc_id", "lang", "m.*")
+
+
 def ingest(docs: DataFrame, strategy: str = "hybrid") -> tuple[DataFrame, DataFrame]:
     """(documents with metadata, chunks) of raw texts (doc_id, text, lang): clean, gate, describe, cut."""
-    clean = docs.withColumn("text", t.clean(F.col("text"), F.col("lang"))).filter(t.strip(F.col("text")) != "")
-    none = F.lit(None).cast("string")
-    about = clean.select("doc_id", "lang", t.metadata(F.col("text"), none, none, none).alias("m")).select("doc_id", "lang", "m.*")
-    return about, chunks(clean, strategy)
+    clean = cleaned(docs)
+    return described(clean), chunks(clean, strategy)

@@ -46,28 +46,29 @@ def persist(docs: DataFrame, root: str, strategy: str = "hybrid", load: Callable
     documents: metadata, ingested_at.  chunks: chunk_no, chunk_id, doc_id, content and
     place, n_terms, ingested_at.  vectors: chunk_no, doc_id, embedding (none for chunks
     without words).  postings: chunk_no, doc_id, dl, term, tf.  Vectors and postings are
-    made from the chunks as written.  Blank and null texts leave no document.  Returns
+    made from the chunks as numbered.  Blank and null texts leave no document.  Returns
     the version.  Any number of writers may commit at once; of two batches with one
     document the later version's stays.
     """
     spark = docs.sparkSession
     now = F.current_timestamp().alias("ingested_at")
-    about, cut = chunking.ingest(docs, strategy)
-    cut = cut.withColumn("n_terms", F.size(t.terms(F.col("content")))).withColumn("ingested_at", now)
-    # in an order that a rerun would give too; the low bits of the row's id count a task's rows
-    cut = cut.repartitionByRange("doc_id", "chunk_index").sortWithinPartitions("doc_id", "chunk_index").withColumn("row", F.monotonically_increasing_id())
-    with versions.staged(cut, root) as rows:
-        rows = rows.withColumn("task", F.shiftright("row", 33))
-        sizes = rows.groupBy("task").agg(F.count("*").alias("n"))  # a row for each task
-        first = versions.reserve(spark, root, "chunks", sizes.agg(F.sum("n")).first()[0] or 0)
-        before = sizes.select("task", (F.sum("n").over(W.orderBy("task")) - F.col("n") + first).alias("first"))
-        numbered = rows.join(F.broadcast(before), "task").withColumn("chunk_no", F.col("first") + F.col("row").bitwiseAND((1 << 33) - 1))
-        segments = [versions.write(numbered.drop("row", "task", "first"), root, "chunks"), versions.write(about.withColumn("ingested_at", now), root, "documents")]
-    written = versions.rows(spark, root, segments[0])
-    vectors = written.select("chunk_no", "doc_id", models.embed(F.col("content"), load).alias("embedding")).filter("embedding is not null")
-    posted = written.select("chunk_no", "doc_id", F.col("n_terms").alias("dl"), F.explode(t.terms(F.col("content"))).alias("term")).groupBy("chunk_no", "doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    segments += [versions.write(vectors, root, "vectors"), versions.write(posted.sortWithinPartitions("term", "chunk_no"), root, "postings")]
-    return versions.commit(spark, root, segments, docs.select("doc_id"))
+    with versions.staged(chunking.cleaned(docs), root) as clean:  # cleaning is the dearest step and done once
+        about = versions.write(chunking.described(clean).withColumn("ingested_at", now), root, "documents")
+        cut = chunking.chunks(clean, strategy).withColumn("ingested_at", now)
+        # in an order that a rerun would give too; the low bits of the row's id count a task's rows
+        cut = cut.repartitionByRange("doc_id", "chunk_index").sortWithinPartitions("doc_id", "chunk_index").withColumn("row", F.monotonically_increasing_id())
+        with versions.staged(cut.withColumn("w", t.terms(F.col("content"))), root) as rows:
+            rows = rows.withColumn("task", F.shiftright("row", 33)).withColumn("n_terms", F.size("w"))
+            sizes = rows.groupBy("task").agg(F.count("*").alias("n"))  # a row for each task
+            first = versions.reserve(spark, root, "chunks", sizes.agg(F.sum("n")).first()[0] or 0)
+            before = sizes.select("task", (F.sum("n").over(W.orderBy("task")) - F.col("n") + first).alias("first"))
+            numbered = rows.join(F.broadcast(before), "task").withColumn("chunk_no", F.col("first") + F.col("row").bitwiseAND((1 << 33) - 1)).drop("row", "task", "first")
+            chunks = versions.write(numbered.drop("w"), root, "chunks")
+            vectors = numbered.select("chunk_no", "doc_id", models.embed(F.col("content"), load).alias("embedding")).filter("embedding is not null")
+            vectors = versions.write(vectors, root, "vectors")
+            posted = retrieval.in_place(numbered.select("chunk_no", "doc_id", F.col("n_terms").alias("dl"), "w"), ["chunk_no", "doc_id", "dl"])
+            posted = versions.write(posted.sortWithinPartitions("term", "chunk_no"), root, "postings")
+    return versions.commit(spark, root, [about, chunks, vectors, posted], docs.select("doc_id"))
 
 
 def forget(spark: SparkSession, root: str, ids: DataFrame) -> int:

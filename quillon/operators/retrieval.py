@@ -14,6 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillon.functions import constants as K
 from quillon.functions import questions as q
@@ -46,6 +47,25 @@ def counted(rows: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", "row", "dl", "term").agg(F.count("*").alias("tf"))
 
 
+def in_place(rows: DataFrame, keep: list[str], words: str = "w") -> DataFrame:
+    """The columns keep, term, tf: a row for each distinct term of rows, counted where the rows stand; rows without terms give none."""
+    out = T.StructType([rows.schema[c] for c in keep] + list(T.StructType.fromDDL("term string, tf long")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                w = part.column(words)
+                flat = w.flatten().dictionary_encode()
+                size = np.asarray(pc.fill_null(pc.list_value_length(w), 0)).astype(np.int64)
+                n = max(len(flat.dictionary), 1)
+                key, tf = np.unique(np.repeat(np.arange(part.num_rows), size) * n + np.asarray(flat.indices).astype(np.int64), return_counts=True)
+                of = pa.array(key // n)
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(of) for c in keep), flat.dictionary.take(pa.array(key % n)), pa.array(tf)], names=out.fieldNames())
+
+    return rows.select(*keep, words).mapInArrow(run, out)
+
+
 def _exploded(docs: DataFrame, terms: Column, id_: str) -> DataFrame:
     """doc_id, row, dl, term; the length is settled before the terms are dealt out, not once for each of them."""
     d = docs.select(F.col(id_).alias("doc_id"), F.monotonically_increasing_id().alias("row"), terms.alias("w")).select("doc_id", "row", F.size("w").alias("dl"), "w")
