@@ -169,9 +169,11 @@ def top(spark: SparkSession, root: str, queries: DataFrame, k: int = K.CANDIDATE
     codes = stored.select("cell", "vec_id", "code").mapInArrow(_packed(vid), f"cell int, ids array<{vid}>, codes binary")
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = _Survivors(survivors + other)  # the question's own vector may be among them
         for batch in batches:
             for cell, ids, packed, questions in zip(batch.column("cell").to_pylist(), batch.column("ids"), batch.column("codes").to_pylist(), batch.column("asked"), strict=True):
-                yield from _near(shared.value, cell, ids.values, packed, questions.values, survivors)
+                best.add(shared.value, cell, ids.values, packed, questions.values)
+        yield from best.rows()
 
     met = codes.join(blocks, "cell").select("cell", "ids", "codes", "asked").mapInArrow(rank, f"query_id {qid}, cell int, vec_id {vid}, distance double")
     if other:
@@ -198,16 +200,50 @@ def _packed(vid: str, most: int = 16_384):
     return run
 
 
-def _near(index: Index, cell: int, ids: pa.Array, packed: bytes, asked: pa.StructArray, most: int) -> Iterator[pa.RecordBatch]:
-    """The most nearest of one cell's codes for each question: distances of a code are sums over its parts, looked up in a table of the question's."""
-    code = np.frombuffer(packed, np.uint8).reshape(len(ids), len(index.books))
-    q = retrieval._unit(asked.field("question").flatten().to_numpy().reshape(len(asked), -1))
-    rest = _parts(q - index.centroids[cell], len(index.books))
-    out = []
-    for i in range(len(q)):
-        table = ((rest[i][:, None] - index.books) ** 2).sum(2)
-        d = table[np.arange(len(table)), code].sum(1)
-        near = np.flatnonzero(d <= np.partition(d, most - 1)[most - 1]) if len(d) > most else np.arange(len(d))
-        out.append((np.full(len(near), i), near, d[near]))
-    row, near, d = (np.concatenate([o[c] for o in out]) for c in range(3))
-    yield pa.RecordBatch.from_arrays([asked.field("query_id").take(pa.array(row)), pa.array(np.full(len(row), cell, np.int32)), ids.take(pa.array(near)), pa.array(d)], names=["query_id", "cell", "vec_id", "distance"])
+class _Survivors:
+    """The nearest of all codes that a task meets, for each question: so many at most, and some more until they are sorted out."""
+
+    def __init__(self, most: int):
+        self.most, self.held, self.size = most, [], 0
+        self.place: dict = {}  # of each question
+        self.ids: list = []
+        self.reach = np.zeros(0)  # beyond it a question has enough
+
+    def add(self, index: Index, cell: int, ids: pa.Array, packed: bytes, asked: pa.StructArray) -> None:
+        """One cell's codes; a code's distance is a sum over its parts, looked up in a table of the question's."""
+        code = np.frombuffer(packed, np.uint8).reshape(len(ids), len(index.books))
+        q = retrieval._unit(asked.field("question").flatten().to_numpy().reshape(len(asked), -1))
+        rest = _parts(q - index.centroids[cell], len(index.books))
+        for i, name in enumerate(asked.field("query_id").to_pylist()):
+            at = self.place.setdefault(name, len(self.place))
+            if at == len(self.ids):
+                self.ids.append(name)
+                if at >= len(self.reach):
+                    self.reach = np.concatenate((self.reach, np.full(max(64, at), np.inf)))
+            table = ((rest[i][:, None] - index.books) ** 2).sum(2)
+            d = table[np.arange(len(table)), code].sum(1)
+            near = np.flatnonzero(d <= self.reach[at])
+            if len(near) > self.most:
+                near = near[d[near] <= np.partition(d[near], self.most - 1)[self.most - 1]]
+            if len(near):
+                self.held.append((np.full(len(near), at), np.full(len(near), cell, np.int32), ids.take(pa.array(near)), d[near]))
+                self.size += len(near)
+        self.kind = asked.field("query_id").type
+        if self.size > max(1 << 18, 3 * self.most * len(self.ids)):
+            self._cut()
+
+    def _cut(self) -> None:
+        q, cell, d = (np.concatenate([h[c] for h in self.held]) for c in (0, 1, 3))
+        ids = pa.concat_arrays([h[2] for h in self.held])
+        order = np.lexsort((d, q))
+        place = np.arange(len(order)) - np.searchsorted(q[order], q[order])
+        last = order[place == self.most - 1]
+        self.reach[q[last]] = d[last]
+        order = order[d[order] <= self.reach[q[order]]]  # equal distances stay, ids tell them apart later
+        self.held, self.size = [(q[order], cell[order], ids.take(pa.array(order)), d[order])], len(order)
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        if self.size:
+            self._cut()
+            q, cell, ids, d = self.held[0]
+            yield pa.RecordBatch.from_arrays([pa.array(self.ids, self.kind).take(pa.array(q)), pa.array(cell), ids, pa.array(d)], names=["query_id", "cell", "vec_id", "distance"])
