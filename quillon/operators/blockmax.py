@@ -43,8 +43,7 @@ def build(docs: DataFrame, root: str, block: int = 128) -> int:
         ids = versions.write(rows.select("doc_no", "doc_id", F.size("w").alias("dl")), root, "ids")
         avgdl = float(versions.rows(spark, root, ids).agg(F.avg("dl")).first()[0] or 1.0)
         shard = F.shiftright("doc_no", SHARD_BITS)
-        posted = rows.filter(F.size("w") > 0).select(shard.alias("shard"), "doc_no", F.size("w").alias("dl"), F.explode("w").alias("term"))
-        posted = posted.groupBy("term", "shard", "doc_no", "dl").agg(F.count("*").cast("int").alias("tf"))
+        posted = retrieval.in_place(rows.filter(F.size("w") > 0).select(shard.alias("shard"), "doc_no", F.size("w").alias("dl"), "w"), ["shard", "doc_no", "dl"]).withColumn("tf", F.col("tf").cast("int"))
         # a term of many documents is as many groups as shards
         cut = posted.repartition("term", "shard").sortWithinPartitions("term", "shard", "doc_no").mapInArrow(_blocks(block, avgdl), BLOCKS)
         blocks = versions.write(cut.sortWithinPartitions("term", "shard", "block"), root, "blocks")

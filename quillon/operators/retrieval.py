@@ -220,19 +220,23 @@ def best_fields(docs: DataFrame, queries: DataFrame, analyze, k: int = K.CANDIDA
     docs and queries: an id, text, lang.  Both fields of the documents are cut into terms in
     one scan; what is kept of it are lengths and the postings of the questions' terms.
     """
+    spark = docs.sparkSession
     fields = lambda df: df.withColumns({"analysed": analyze(F.col("text"), F.col("lang")), "folded": t.terms(t.deaccent(F.col("text")))})
     asked = versions.kept(fields(queries).select("query_id", "analysed", "folded"))
     names = {"analysed": 1.0, "folded": boost}
     wanted = asked.select(F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.col(n).alias("w")) for n in names])).alias("f")).select("f.field", F.explode("f.w").alias("term")).distinct().withColumn("asked", F.lit(True))
+    # a term that no text has stands in every row of a field, so that lengths come with the same scan
+    mark = spark.createDataFrame([(n, "", True) for n in names], "field string, term string, asked boolean")
+    size = wanted.agg(F.sum(F.octet_length("term") + 32)).first()[0] or 0
+    wanted = wanted.union(mark.select(wanted.columns))
     cut = fields(docs).select("doc_id", F.monotonically_increasing_id().alias("row"), F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.col(n).alias("w")) for n in names])).alias("f"))
-    # a row without a term keeps the lengths of each field
-    terms = cut.select("doc_id", "row", "f.field", F.size("f.w").alias("dl"), F.explode(F.concat(F.coalesce("f.w", F.array().cast("array<string>")), F.array(F.lit(None).cast("string")))).alias("term"))
-    held = terms.join(wanted, ["field", "term"], "left").filter("asked or term is null").groupBy("field", "doc_id", "row", "dl", "term").agg(F.count("*").alias("tf"))
-    held = versions.kept(held)
+    cut = cut.select("f.field", "doc_id", "row", F.size("f.w").alias("dl"), F.concat(F.coalesce("f.w", F.array().cast("array<string>")), F.array(F.lit(""))).alias("w"))
+    # terms that no question has go where the texts stand, if the questions' are few enough to be everywhere
+    held = versions.kept(in_place(cut, ["field", "doc_id", "row", "dl"]).join(F.broadcast(wanted) if size <= HELD else wanted, ["field", "term"]))
     scores = None
     for name, factor in names.items():
         own = held.filter(F.col("field") == name)
-        s = weighed(own.filter("term is not null").select("doc_id", "row", "dl", "term", "tf"), own.filter("term is null").select("dl"), asked, F.col(name)).withColumn("score", F.col("score") * factor)
+        s = weighed(own.filter("term <> ''").select("doc_id", "row", "dl", "term", "tf"), own.filter("term = ''").select("dl"), asked, F.col(name)).withColumn("score", F.col("score") * factor)
         scores = s if scores is None else scores.unionByName(s)
     both = scores.groupBy("query_id", "doc_id").agg(F.round(F.max("score"), 6).alias("score"))
     return top(both, k, F.desc("score"), "doc_id")
