@@ -25,9 +25,10 @@ def _grams(c: Column, size: int) -> Column:
     return F.when(F.length(c) >= size, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (size - 1)), lambda i: F.substring(c, i, F.lit(size)))))
 
 
-def _inverted(names: DataFrame) -> DataFrame:
-    """gram, name: all grams of up to GRAM characters."""
-    every = F.concat(*[F.coalesce(_grams(F.col("name"), n), F.array().cast("array<string>")) for n in range(1, GRAM + 1)])
+def _inverted(names: DataFrame, inner: DataFrame) -> DataFrame:
+    """gram, name: all grams of the sizes by which the inner names are looked up."""
+    sizes = sorted(r.n for r in inner.select(F.least(F.length("name"), F.lit(GRAM)).alias("n")).distinct().collect())  # GRAM values at most
+    every = F.concat(F.array().cast("array<string>"), *[F.coalesce(_grams(F.col("name"), n), F.array().cast("array<string>")) for n in sizes])
     return names.select(F.explode(every).alias("gram"), "name")
 
 
@@ -45,7 +46,7 @@ def _rarest(names: DataFrame, inverted: DataFrame) -> DataFrame:
 def related(names: DataFrame, others: DataFrame, name: str = "name", other: str = "name") -> DataFrame:
     """name: the distinct lower-cased names that contain, or are contained in, one of others."""
     a, b = _names(names, name), _names(others, other)
-    a_grams, b_grams = _inverted(a), _inverted(b)
+    a_grams, b_grams = _inverted(a, b), _inverted(b, a)
     inner = _rarest(a, b_grams).alias("x").join(b_grams.alias("y"), (F.col("x.gram") == F.col("y.gram")) & F.col("y.name").contains(F.col("x.name")), "left_semi")
     outer = a_grams.alias("x").join(_rarest(b, a_grams).alias("y"), (F.col("x.gram") == F.col("y.gram")) & F.col("x.name").contains(F.col("y.name")), "left_semi")
     return inner.select("name").union(outer.select("name")).distinct()
@@ -54,7 +55,7 @@ def related(names: DataFrame, others: DataFrame, name: str = "name", other: str
 def pairs(names: DataFrame, others: DataFrame, name: str = "name", other: str = "name") -> DataFrame:
     """name, other: the distinct lower-cased pairs of which one contains the other."""
     a, b = _names(names, name), _names(others, other)
-    a_grams, b_grams = _inverted(a), _inverted(b)
+    a_grams, b_grams = _inverted(a, b), _inverted(b, a)
     flip = lambda df: df.withColumnRenamed("name", "other")
     inner = _rarest(a, b_grams).join(flip(b_grams), "gram").filter(F.col("other").contains(F.col("name")))
     outer = a_grams.join(flip(_rarest(b, a_grams)), "gram").filter(F.col("name").contains(F.col("other")))
