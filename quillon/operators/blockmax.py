@@ -106,7 +106,7 @@ def top(spark: SparkSession, root: str, queries: DataFrame, k: int = K.CANDIDATE
     """
     at = versions.version(spark, root) if at is None else at
     ids, blocks = versions.read(spark, root, "ids", at), versions.read(spark, root, "blocks", at)
-    bounds = bounded(blocks, ids, queries)
+    bounds = versions.kept(bounded(blocks, ids, queries))  # looked at twice
     left = surviving(bounds, least(blocks, bounds, k, first))
     best = scored(blocks, left, k)
     named = best.join(ids.select("doc_no", "doc_id"), "doc_no").select("query_id", "doc_id", "score")
