@@ -46,8 +46,8 @@ def _plain(word: str) -> str:
 
 def entities(c: Column, most: int = 10) -> Column:
     """Legal references and regions, distinct, sorted, the first ten."""
-    found = F.concat(*[F.regexp_extract_all(c, F.lit(f"(?iuU)({p})"), F.lit(1)) for p in K.ENTITY_PATTERNS])
-    return F.slice(F.array_sort(F.array_distinct(F.transform(found, t.strip))), 1, most)
+    found = F.concat(*[F.regexp_extract_all(c, F.lit(f"(?iu){p}"), F.lit(1)) for p in K.ENTITY_PATTERNS])
+    return F.slice(F.array_sort(F.array_distinct(found)), 1, most)
 
 
 def expand(c: Column) -> Column:

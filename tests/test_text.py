@@ -61,6 +61,21 @@ def test_analysis():
     assert analyzers.tokens("The minister's laws", "en") == [analyzers.stem("minister", "en"), "law"]
 
 
+def test_entities_as_in_sql(spark):
+    import duckdb
+
+    from quillon import catalog
+
+    rows = [(1, "région de l'Est est un Sud, Nord Sud Nord"), (2, "Article 3bis, article 4 article 5 du décret n° 2020/12 loi-x"), (3, "Nord-Ouest-Est\n"), (4, "loi\u00a0y code civil_1"), (5, "")]
+    df = spark.createDataFrame(rows, "conv_id long, text string")
+    got = [(r.conv_id, r.e) for r in df.select("conv_id", F.array_join(q.entities(F.col("text")), "|").alias("e")).orderBy("conv_id").collect()]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE u (conv_id BIGINT, turn BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO u VALUES (?, 0, ?)", rows)
+    sql = catalog.oracle_sql()["entities"]
+    assert got == con.execute("SELECT conv_id, entities FROM (" + sql[sql.index("SELECT conv_id, turn, array_to_string") :] + ") ORDER BY 1").fetchall()
+
+
 def test_chunks(spark):
     law = "Préambule\nArticle 1 : un\nArticle 2 : " + "y " * 2000 + "\nTITRE I\nSection 3 fin"
     df = spark.createDataFrame([(1, law), (2, None), (3, " \n"), (4, "court"), (5, "x" * 3000)], "doc_id long, text string")
