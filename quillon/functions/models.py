@@ -16,7 +16,7 @@ Generate = Callable[[list[str]], list[str | None]]
 
 
 def hashing_embedder(dim: int = 64) -> Callable[[], Embed]:
-    """Signed word hashing: the same text has the same vector anywhere."""
+    """Signed word hashing: the same text has the same vector anywhere.  Where a text's words cancel out, they are counted without signs, so every text with a word has a direction."""
 
     def load() -> Embed:
         import re
@@ -27,9 +27,12 @@ def hashing_embedder(dim: int = 64) -> Callable[[], Embed]:
         def embed(texts: list[str]) -> np.ndarray:
             out = np.zeros((len(texts), dim), np.float32)
             for row, text in zip(out, texts, strict=True):
-                for w in word.findall(text.lower()):
-                    h = zlib.crc32(w.encode())
+                hashes = [zlib.crc32(w.encode()) for w in word.findall(text.lower())]
+                for h in hashes:
                     row[h % dim] += 1.0 if h >> 31 else -1.0
+                if not row.any():
+                    for h in hashes:
+                        row[h % dim] += 1.0
             return out
 
         return embed

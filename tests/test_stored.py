@@ -42,6 +42,19 @@ def test_ingestion_replaces_forgets_compacts_and_expires(spark, tmp_path):
     assert len(list(tmp_path.glob("store/data/chunks/segment=*"))) == 1 and not list(tmp_path.glob("store/staged/*"))
 
 
+def test_words_that_cancel_out_have_a_vector(spark, tmp_path):
+    import zlib
+
+    h = {}
+    for i in range(10_000):  # two words of one place and opposite signs
+        v = zlib.crc32(f"mot{i}".encode())
+        h.setdefault((v % 64, v >> 31), f"mot{i}")
+    place = next(p for p, _ in h if (p, 0) in h and (p, 1) in h)
+    root = f"file://{tmp_path}/store"
+    ingest.persist(spark.createDataFrame([(1, f"{h[place, 0]} {h[place, 1]}", "fr"), (2, "--", "fr")], DOCS), root)
+    assert [r.doc_id for r in ingest.read(spark, root, "vectors").collect()] == [1]
+
+
 def test_a_failed_commit_leaves_the_version_before(spark, tmp_path):
     root = f"file://{tmp_path}/store"
     versions.commit(spark, root, [versions.write(spark.range(3), root, "t")])
