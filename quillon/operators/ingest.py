@@ -83,17 +83,22 @@ def search(spark: SparkSession, root: str, queries: DataFrame, k: int = K.TOP_K,
     load: the embedder that persist() was given.  at: a version, else the latest.
     """
     at = version(spark, root) if at is None else at
-    documents, chunks, vectors, postings = (read(spark, root, name, at) for name in TABLES)
+    terms = t.terms(F.col("text"))
+    documents, chunks, vectors = (read(spark, root, name, at) for name in TABLES[:3])
+    # other terms go before deletes and filters are looked up
+    postings = versions.read(spark, root, "postings", at, where=lambda df: retrieval.with_terms(df, queries, terms))
     if filters:
         ids = retrieval.matching(documents, filters).select("doc_id")
         chunks, vectors, postings = (df.join(ids, "doc_id", "left_semi") for df in (chunks, vectors, postings))
-    terms = t.terms(F.col("text"))
-    tf = retrieval.with_terms(postings.select(F.col("chunk_no").alias("doc_id"), "dl", "term", "tf"), queries, terms)
-    sparse = retrieval.ranked(retrieval.weighed(tf, chunks.select(F.col("n_terms").alias("dl")), queries, terms), candidates)
+    tf = postings.select(F.col("chunk_no").alias("doc_id"), "dl", "term", "tf")
+    sparse = retrieval.posted_top(tf, chunks.select(F.col("n_terms").alias("dl")), retrieval.asked_terms(queries, terms), candidates)
     asked = queries.select("query_id", models.embed(F.col("text"), load).alias("embedding"))
     dense = retrieval.dense_top(vectors.select(F.col("chunk_no").alias("vec_id"), "embedding"), asked, candidates)
-    found = retrieval.confident(retrieval.fuse(dense, sparse, candidates), k).withColumnRenamed("doc_id", "chunk_no")
-    return found.join(chunks.select("chunk_no", "doc_id", "chunk_id", "chunk_index", "content"), "chunk_no")
+    found = versions.kept(retrieval.confident(retrieval.fuse(dense, sparse, candidates), k).withColumnRenamed("doc_id", "chunk_no"))
+    few = F.broadcast(found) if found.count() <= 100_000 else found
+    # of the chunks, whose texts are wide, only those found are read on
+    hit = versions.read(spark, root, "chunks", at, where=lambda df: df.join(few.select("chunk_no"), "chunk_no", "left_semi"))
+    return few.join(hit.select("chunk_no", "doc_id", "chunk_id", "chunk_index", "content"), "chunk_no")
 
 
 def lexical_index(docs: DataFrame, root: str, id_: str = "doc_id") -> int:
@@ -101,7 +106,7 @@ def lexical_index(docs: DataFrame, root: str, id_: str = "doc_id") -> int:
     spark = docs.sparkSession
     with versions.staged(docs.select(F.col(id_).alias("doc_id"), F.monotonically_increasing_id().alias("row"), t.terms(F.col("text")).alias("w")), root) as rows:
         sized = rows.select("doc_id", "row", F.size("w").alias("dl"), "w")
-        posted = retrieval.counted(sized.select("doc_id", "row", "dl", F.explode("w").alias("term")))
+        posted = retrieval.in_place(sized, ["doc_id", "row", "dl"])
         segments = [versions.write(sized.select("doc_id", "dl"), root, "lengths"), versions.write(posted.sortWithinPartitions("term"), root, "postings")]
     return versions.commit(spark, root, segments, docs.select(F.col(id_).alias("doc_id")))
 
@@ -109,8 +114,8 @@ def lexical_index(docs: DataFrame, root: str, id_: str = "doc_id") -> int:
 def lexical_top(spark: SparkSession, root: str, queries: DataFrame, k: int) -> DataFrame:
     """retrieval.lexical_top from a stored index: only the questions' terms are read from it."""
     terms, at = t.terms(F.col("text")), version(spark, root)
-    postings, lengths = (read(spark, root, name, at) for name in ("postings", "lengths"))
-    return retrieval.ranked(retrieval.weighed(retrieval.with_terms(postings, queries, terms), lengths, queries, terms), k)
+    postings = versions.read(spark, root, "postings", at, where=lambda df: retrieval.with_terms(df, queries, terms))
+    return retrieval.posted_top(postings, read(spark, root, "lengths", at).select("dl"), retrieval.asked_terms(queries, terms), k)
 
 
 def save_files(files: DataFrame, root: str) -> DataFrame:

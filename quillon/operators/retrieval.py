@@ -79,7 +79,12 @@ def bm25(docs: DataFrame, queries: DataFrame, doc_terms: Column, query_terms: Co
     frequencies are counted on what is left, lengths on all documents.
     """
     tf = counted(with_terms(_exploded(docs, doc_terms, id_), queries, query_terms))
-    return weighed(tf, docs.select(F.size(doc_terms).alias("dl")), queries, query_terms, k1, b)
+    return weighed(tf, docs.select(F.size(doc_terms).alias("dl")), asked_terms(queries, query_terms), k1, b)
+
+
+def asked_terms(queries: DataFrame, query_terms: Column) -> DataFrame:
+    """query_id, term, qtf."""
+    return queries.select("query_id", F.explode(query_terms).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
 def with_terms(rows: DataFrame, queries: DataFrame, query_terms: Column) -> DataFrame:
@@ -87,9 +92,8 @@ def with_terms(rows: DataFrame, queries: DataFrame, query_terms: Column) -> Data
     return rows.join(queries.select(F.explode(query_terms).alias("term")).distinct(), "term", "left_semi")
 
 
-def weighed(tf: DataFrame, lengths: DataFrame, queries: DataFrame, query_terms: Column, k1: float = K.K1, b: float = K.B) -> DataFrame:
-    """query_id, doc_id, score from postings of the questions' terms (doc_id, dl, term, tf; and row, if ids may repeat) and the lengths of all documents (dl)."""
-    asked = queries.select("query_id", F.explode(query_terms).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+def weighed(tf: DataFrame, lengths: DataFrame, asked: DataFrame, k1: float = K.K1, b: float = K.B) -> DataFrame:
+    """query_id, doc_id, score from postings of the questions' terms (doc_id, dl, term, tf; and row, if ids may repeat), the lengths of all documents (dl) and asked_terms()."""
     stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -103,6 +107,75 @@ def ranked(scores: DataFrame, k: int) -> DataFrame:
     return top(scores.withColumn("score", F.round("score", 6)), k, F.desc("score"), F.asc("doc_id"))
 
 
+def posted_top(tf: DataFrame, lengths: DataFrame, asked: DataFrame, k: int, boosts: dict[str, float] | None = None, most_bytes: int | None = None) -> DataFrame:
+    """query_id, doc_id, score, rank by BM25 from postings; of several fields each document has its best field's score times the field's boost.
+
+    tf: postings of the questions' terms (doc_id, dl, term, tf; and row, if ids may repeat).
+    lengths: dl of all documents.  asked: query_id, term, qtf.  With boosts (field: factor) all
+    three have a column field too.  If the questions' weights (terms x questions) take most_bytes
+    (HELD) at most, they are broadcast, the postings of a document come together once, as
+    numbers, and a task passes on its k best alone: pairs of question and document are never
+    shuffled, and no task holds a term.  Larger sets of questions go by the join of weighed().
+    """
+    if boosts is None:
+        boosts = {"": 1.0}
+        tf, lengths, asked = (x.withColumn("field", F.lit("")) for x in (tf, lengths, asked))
+    size = asked.agg(F.count_distinct("query_id").alias("q"), F.count_distinct("field", "term").alias("t")).first()
+    if size.q * size.t * 8 > (HELD if most_bytes is None else most_bytes):
+        scores = None
+        for name, factor in boosts.items():
+            own = lambda x: x.filter(F.col("field") == name).drop("field")  # noqa: B023, E731
+            s = weighed(own(tf), own(lengths), own(asked)).withColumn("score", F.col("score") * factor)
+            scores = s if scores is None else scores.unionByName(s)
+        return ranked(scores.groupBy("query_id", "doc_id").agg(F.max("score").alias("score")), k)
+    spark = tf.sparkSession
+    held = asked.select("query_id", "field", "term", "qtf").collect()  # of checked size
+    vocab = {x: i for i, x in enumerate(dict.fromkeys((r.field, r.term) for r in held))}
+    place = {x: i for i, x in enumerate(dict.fromkeys(r.query_id for r in held))}
+    ids = pa.array(list(place))
+    about = {r.field: r for r in lengths.groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).collect()}  # a row for each field
+    mean = F.create_map(*[F.lit(x) for f in boosts for x in (f, float((about[f].avgdl if f in about else None) or 1.0))])[F.col("field")]
+    words = spark.createDataFrame([(f, t_, i) for (f, t_), i in vocab.items()], "field string, term string, t long")
+    keys = ["doc_id", *(["row"] if "row" in tf.columns else []), "field", "dl"]
+    # a posting is one number: place of the term, and how often it stands there
+    rows = tf.join(F.broadcast(words), ["field", "term"]).groupBy(*keys).agg(F.collect_list(F.shiftleft("t", 32) + F.col("tf")).alias("p"))
+    rows = versions.kept(rows.select("doc_id", (F.col("dl") / mean).alias("length"), "p"))
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(len(vocab), np.int64)
+        for batch in batches:
+            df += np.bincount(batch.column("p").flatten().to_numpy() >> 32, minlength=len(vocab))
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(df)), pa.array(df[df > 0])], names=["term", "df"])
+
+    df = np.zeros(len(vocab))
+    for r in rows.select("p").mapInArrow(frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toLocalIterator():
+        df[r.term] = r.df
+    n = np.array([about[f].n if f in about else 0 for f, _ in vocab], dtype=float)
+    weight = np.zeros((len(vocab), len(place)))
+    for r in held:
+        weight[vocab[r.field, r.term], place[r.query_id]] = r.qtf * boosts[r.field]
+    weight *= np.log(1 + (n - df + 0.5) / (df + 0.5))[:, None]
+    shared = spark.sparkContext.broadcast(weight)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = Best(k)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                p = part.column("p").flatten().to_numpy()
+                doc = np.repeat(np.arange(part.num_rows), part.column("p").value_lengths().to_numpy())
+                tf_, length = (p & 0xFFFFFFFF).astype(np.float64), part.column("length").to_numpy()
+                used, col = np.unique(p >> 32, return_inverse=True)
+                g = np.zeros((part.num_rows, len(used)))
+                g[doc, col] = tf_ * (K.K1 + 1) / (tf_ + K.K1 * (1 - K.B + K.B * length[doc]))
+                best.add(part.column("doc_id"), (g @ shared.value[used]).T)
+        yield from best.rows(ids)
+
+    kind = lambda frame, c: frame.schema[c].dataType.simpleString()
+    found = rows.mapInArrow(score, f"query_id {kind(asked, 'query_id')}, doc_id {kind(tf, 'doc_id')}, score double")
+    return top(found.groupBy("query_id", "doc_id").agg(F.max("score").alias("score")), k, F.desc("score"), F.asc("doc_id"))
+
+
 def lexical_top(docs: DataFrame, queries: DataFrame, k: int = K.CANDIDATES, filters: dict | None = None, most_bytes: int | None = None) -> DataFrame:
     """query_id, doc_id, score, rank by BM25 over lower-cased letter and digit runs.
 
@@ -233,13 +306,9 @@ def best_fields(docs: DataFrame, queries: DataFrame, analyze, k: int = K.CANDIDA
     cut = cut.select("f.field", "doc_id", "row", F.size("f.w").alias("dl"), F.concat(F.coalesce("f.w", F.array().cast("array<string>")), F.array(F.lit(""))).alias("w"))
     # terms that no question has go where the texts stand, if the questions' are few enough to be everywhere
     held = versions.kept(in_place(cut, ["field", "doc_id", "row", "dl"]).join(F.broadcast(wanted) if size <= HELD else wanted, ["field", "term"]))
-    scores = None
-    for name, factor in names.items():
-        own = held.filter(F.col("field") == name)
-        s = weighed(own.filter("term <> ''").select("doc_id", "row", "dl", "term", "tf"), own.filter("term = ''").select("dl"), asked, F.col(name)).withColumn("score", F.col("score") * factor)
-        scores = s if scores is None else scores.unionByName(s)
-    both = scores.groupBy("query_id", "doc_id").agg(F.round(F.max("score"), 6).alias("score"))
-    return top(both, k, F.desc("score"), "doc_id")
+    asked = asked.select("query_id", F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.col(n).alias("w")) for n in names])).alias("f")).select("query_id", "f.field", F.explode("f.w").alias("term"))
+    asked = asked.groupBy("query_id", "field", "term").agg(F.count("*").alias("qtf"))
+    return posted_top(held.filter("term <> ''").select("field", "doc_id", "row", "dl", "term", "tf"), held.filter("term = ''").select("field", "dl"), asked, k, names)
 
 
 # ---------------------------------------------------------------- dense

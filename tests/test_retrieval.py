@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions import analyzers
+from quillon.functions import text as t
 from quillon.operators import retrieval
 
 RANKED = "query_id long, doc_id string, score double, rank int"
@@ -114,6 +115,21 @@ def test_analysed_terms_equal_their_definition(spark):
     assert got == {(i, lang): analyzers.tokens(x, lang) for i, x, lang in rows}
 
 
+@pytest.mark.parametrize("rows", [True, False])  # ids that repeat, ids that do not
+def test_scores_from_postings_equal_the_join_and_pass_on_the_best_alone(spark, rows):
+    r = random.Random(5)
+    text = lambda n: " ".join(r.choices("abcdefgh", k=n))
+    docs = spark.createDataFrame([(i % 90, text(r.randrange(12))) for i in range(100 if rows else 90)], "doc_id long, text string")
+    asked = spark.createDataFrame([(i, text(4)) for i in range(12)], "query_id long, text string")
+    words = t.terms(F.col("text"))
+    tf = retrieval.postings(docs, words) if rows else retrieval.postings(docs, words).drop("row")
+    lengths, terms = docs.select(F.size(words).alias("dl")), retrieval.asked_terms(asked, words)
+    found = [retrieval.posted_top(retrieval.with_terms(tf, asked, words), lengths, terms, 7, most_bytes=m) for m in (None, 0)]
+    few, all_ = ([tuple(x) for x in f.select("query_id", "doc_id", "score", "rank").orderBy("query_id", "rank").collect()] for f in found)
+    assert few == all_ and len(few) > 50
+    assert "Join" not in found[0]._jdf.queryExecution().executedPlan().toString()  # no pairs of questions and documents
+
+
 def test_best_fields_equals_brute_force(spark):
     r = random.Random(7)
     words = ["lois", "loi", "décisions", "decision", "laws", "law", "the", "de", "sections", "nation"]
