@@ -276,11 +276,9 @@ def _ranks(own: pa.Array) -> np.ndarray:
 
 
 def _counts(batches: Iterator[pa.RecordBatch], vocab: pa.Array) -> Iterator[tuple]:
-    """(batch, row and place in vocab of each of its words that is there, words of each row)."""
-    for batch in batches:
+    """(some rows of a batch, row and place in vocab of each of their words that is there, words of each row)."""
+    for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
         w = batch.column("w")
-        if not batch.num_rows:
-            continue
         length = np.asarray(pc.fill_null(pc.list_value_length(w), 0)).astype(np.int64)
         term = pc.fill_null(pc.index_in(w.flatten(), vocab), -1).to_numpy(zero_copy_only=False).astype(np.int64)
         doc = np.repeat(np.arange(batch.num_rows), length)
@@ -314,6 +312,7 @@ def best_fields(docs: DataFrame, queries: DataFrame, analyze, k: int = K.CANDIDA
 # ---------------------------------------------------------------- dense
 
 HELD = 64 << 20  # bytes of questions that may be broadcast
+AT_ONCE = 128  # questions of a block that a batch is scored for at a time
 
 def dense_top(vectors: DataFrame, queries: DataFrame, k: int = K.CANDIDATES, filters: dict | None = None, block: int = 1024, other: bool = False, most_bytes: int = HELD) -> DataFrame:
     """query_id, doc_id, score, rank by cosine in double precision.
@@ -468,8 +467,9 @@ def _scored(batches: Iterator[pa.RecordBatch], blocks: list, other: bool) -> Ite
         ids = batch.column("vec_id").to_numpy()
         x = _unit(batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1))
         for part in blocks:
-            qid, m = part.value
-            yield qid, ids, _scores(qid, m, ids, x, other), batch
+            for at in range(0, len(part.value[0]), AT_ONCE):  # a matrix of scores has at most so many rows, however many questions and vectors meet
+                qid, m = (v[at : at + AT_ONCE] for v in part.value)
+                yield qid, ids, _scores(qid, m, ids, x, other), batch
 
 
 # ---------------------------------------------------------------- fusion and reranking

@@ -130,6 +130,22 @@ def test_scores_from_postings_equal_the_join_and_pass_on_the_best_alone(spark, r
     assert "Join" not in found[0]._jdf.queryExecution().executedPlan().toString()  # no pairs of questions and documents
 
 
+def test_batches_of_any_size_are_scored_in_bounded_pieces():
+    import pyarrow as pa
+
+    class Block:
+        value = (np.arange(1000), np.ones((1000, 4)))
+
+    n = 3000
+    vectors = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([[1.0] * 4] * n)], names=["vec_id", "embedding"])
+    got = [(len(qid), s.shape) for qid, _, s, _ in retrieval._scored([vectors], [Block()], False)]
+    assert sum(q for q, _ in got) == 1000 and max(s[0] * s[1] for _, s in got) <= retrieval.AT_ONCE * n
+    texts = pa.RecordBatch.from_arrays([pa.array([["a", "b", "a"], None, []] * 1000)], names=["w"])
+    parts = list(retrieval._counts([texts], pa.array(["a"])))
+    assert max(b.num_rows for b, *_ in parts) <= 512 and sum(b.num_rows for b, *_ in parts) == n
+    assert sum(len(term) for _, _, term, _ in parts) == 2000 and sum(length.sum() for *_, length in parts) == 3000
+
+
 def test_best_fields_equals_brute_force(spark):
     r = random.Random(7)
     words = ["lois", "loi", "décisions", "decision", "laws", "law", "the", "de", "sections", "nation"]
