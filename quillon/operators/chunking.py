@@ -9,12 +9,13 @@ overlap's end, the window is cut hard.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillon.functions import constants as K
 from quillon.functions import text as t
@@ -63,6 +64,18 @@ def _ref(segment: str) -> str | None:
     return f"{m[1].capitalize()} {m[2]}" if m else None
 
 
+def pieces(batches: Iterator[pa.RecordBatch], cut: Callable[[str], list[tuple]], at_once: int = 64) -> Iterator[pa.RecordBatch]:
+    """doc_id, page, local, content, strategy, article_ref of batches of (doc_id, page, text); at most at_once texts are held cut."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, at_once):
+            part = batch.slice(at, at_once)
+            found = [(i, local, *c) for i, x in enumerate(part.column(2).to_pylist()) if x is not None and x.strip() for local, c in enumerate(cut(x))]
+            of, local, content, strategy, ref = zip(*found, strict=True) if found else ((),) * 5
+            of = pa.array(of, pa.int64())
+            columns = [part.column(0).take(of), part.column(1).take(of), pa.array(local, pa.int32()), *(pa.array(c, pa.string()) for c in (content, strategy, ref))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "page", "local", "content", "strategy", "article_ref"])
+
+
 def chunks(docs: DataFrame, strategy: str = "hybrid", max_tokens: int = K.CHUNK_TOKENS, overlap_tokens: int = K.OVERLAP_TOKENS, page: str | None = None) -> DataFrame:
     """doc_id, page, chunk_index (over all pages), chunk_id, content, strategy, article_ref, token_count.
 
@@ -73,16 +86,16 @@ def chunks(docs: DataFrame, strategy: str = "hybrid", max_tokens: int = K.CHUNK_
     most, overlap = max_tokens * K.CHARS_A_TOKEN, overlap_tokens * K.CHARS_A_TOKEN
     plain = strategy.lower() == "fixed_size"
 
-    @F.pandas_udf("array<struct<content: string, strategy: string, article_ref: string>>")
-    def cut(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in texts:
-            yield s.map(lambda x: [] if x is None or not x.strip() else [(c, "fixed_size", None) for c in fixed(x, most, overlap)] if plain else structural(x, most, overlap))
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return pieces(batches, lambda x: [(c, "fixed_size", None) for c in fixed(x, most, overlap)] if plain else structural(x, most, overlap))
 
     at = F.col(page) if page else F.lit(None).cast("int")
-    rows = docs.select("doc_id", at.alias("page"), F.posexplode(cut("text")).alias("local", "c"))
-    # without pages the place in the document is the place in the array, and nothing is shuffled
+    rows = docs.select("doc_id", at.alias("page"), "text")
+    out = T.StructType([*rows.schema.fields[:2], *T.StructType.fromDDL("local int, content string, strategy string, article_ref string").fields])
+    rows = rows.mapInArrow(cut, out)
+    # without pages the place in the document is the place in its list, and nothing is shuffled
     index = F.row_number().over(W.partitionBy("doc_id").orderBy("page", "local")) - 1 if page else F.col("local")
-    rows = rows.select("doc_id", "page", index.alias("chunk_index"), "c.*")
+    rows = rows.select("doc_id", "page", index.alias("chunk_index"), "content", "strategy", "article_ref")
     return rows.withColumn("token_count", t.token_count(F.col("content"))).withColumn("chunk_id", chunk_id(F.col("doc_id"), F.col("page"), F.col("chunk_index"), F.col("content")))
 
 

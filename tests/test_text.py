@@ -89,6 +89,17 @@ def test_chunks(spark):
         chunking.chunks(df, max_tokens=4, overlap_tokens=4)
 
 
+def test_texts_are_cut_a_few_at_a_time():
+    import pyarrow as pa
+
+    n = 1000
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([None] * n, pa.int32()), pa.array(["a b", None, " ", "c"] * (n // 4))], names=["doc_id", "page", "text"])
+    got = list(chunking.pieces([batch], lambda x: [(c, "s", None) for c in x.split()], 64))
+    assert max(len(set(b.column("doc_id").to_pylist())) for b in got) <= 64
+    rows = [(r["doc_id"], r["local"], r["content"]) for b in got for r in b.to_pylist()]
+    assert rows == [x for i in range(0, n, 4) for x in ((i, 0, "a"), (i, 1, "b"), (i + 3, 0, "c"))]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text("ab \n", max_size=300), st.integers(2, 40), st.data())
 def test_fixed_windows_end_and_cover(text, most, data):
