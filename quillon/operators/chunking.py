@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from quillon.functions import constants as K
 from quillon.functions import text as t
+from quillon.operators import versions
 
 _HEADS = re.compile(rf"^{K.STRUCTURE}", re.I | re.M)
 _REF = re.compile(r"^(Article|Section)\s+(\d+)", re.I)
@@ -116,6 +117,6 @@ def described(clean: DataFrame) -> DataFrame:
 
 
 def ingest(docs: DataFrame, strategy: str = "hybrid") -> tuple[DataFrame, DataFrame]:
-    """(documents with metadata, chunks) of raw texts (doc_id, text, lang): clean, gate, describe, cut."""
-    clean = cleaned(docs)
+    """(documents with metadata, chunks) of raw texts (doc_id, text, lang): clean, gate, describe, cut.  Cleaning is the dearest step and done once for both."""
+    clean = versions.kept(cleaned(docs))
     return described(clean), chunks(clean, strategy)

@@ -89,6 +89,12 @@ def test_chunks(spark):
         chunking.chunks(df, max_tokens=4, overlap_tokens=4)
 
 
+def test_texts_are_cleaned_once_for_metadata_and_chunks(spark):
+    about, cut = chunking.ingest(spark.createDataFrame([(1, "Article 1\u200b un", "fr"), (2, " ", "en")], "doc_id long, text string, lang string"))
+    assert "regexp_replace" not in cut._jdf.queryExecution().executedPlan().toString()
+    assert [r.content for r in cut.collect()] == ["Article 1 un"] and [r.doc_id for r in about.collect()] == [1]
+
+
 def test_texts_are_cut_a_few_at_a_time():
     import pyarrow as pa
 
