@@ -193,15 +193,97 @@ def meets_slo(p50: Column, p95: Column, errors: Column) -> Column:
 def edit_distance(a: str, b: str) -> int:
     """Levenshtein distance in code points, exact.
 
-    Diagonals first: with one edit more a round, how far each diagonal of the table
+    Bounds first, which cost the texts' length: characters that one text has more often
+    than the other must go or come, and the way along the table's two ends is as short as
+    it is.  Where these meet they are the distance.  Else they say how many characters a
+    shorter way can put in and leave out: if it has but few diagonals, these alone are
+    followed.
+
+    Otherwise diagonals: with one edit more a round, how far each diagonal of the table
     reaches, which costs the texts' length and the square of the distance.  Once that
     has cost as much as bit vectors would over the whole table, these go on instead.
     """
-    p, t = (np.frombuffer(x.encode("utf-32-le"), np.uint32) for x in (a, b))
-    found = _by_diagonals(p, t, len(p) * len(t) // 4000)
+    p, t = _unlike(*(np.frombuffer(x.encode("utf-32-le"), np.uint32) for x in (a, b)))
+    n, m = len(p), len(t)
+    if not n or not m:
+        return n + m
+    gone, come = _surplus(p, t)
+    least, most = max(gone, come), _along_the_ends(p, t)
+    if least == most:
+        return most
+    # a way with fewer than most edits puts in most - 1 - gone at most, as gone of the others are substituted or left out
+    low, high = come + 1 - most, most - 1 - gone
+    width = high - low + 1
+    if most * width <= 4 * max(n, m) and n * width <= 1 << 22:
+        return _by_band(p, t, low, high, most)
+    found = _by_diagonals(p, t, n * m // 4000)
     return _by_bits(p, t) if found is None else found
 
 
+def _unlike(p: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both without the start and the end that they share."""
+    for step in (1, -1):
+        size = min(len(p), len(t))
+        x, y = (p[:size], t[:size]) if step == 1 else (p[len(p) - size :][::-1], t[len(t) - size :][::-1])
+        other = x != y
+        same = int(other.argmax()) if other.any() else size
+        p, t = (p[same:], t[same:]) if step == 1 else (p[: len(p) - same], t[: len(t) - same])
+    return p, t
+
+
+def _surplus(p: np.ndarray, t: np.ndarray) -> tuple[int, int]:
+    """How many of p's characters are more than t has of them, and the other way round."""
+    size = int(max(p.max(), t.max())) + 1
+    if size > 1 << 16:
+        code = np.unique(np.concatenate((p, t)), return_inverse=True)[1]
+        p, t, size = code[: len(p)], code[len(p) :], int(code.max()) + 1
+    more = np.bincount(p, minlength=size) - np.bincount(t, minlength=size)
+    return int(more[more > 0].sum()), int(-more[more < 0].sum())
+
+
+def _along_the_ends(p: np.ndarray, t: np.ndarray) -> int:
+    """Edits of the best way that keeps to the diagonal of the starts up to one place, and to that of the ends from there on."""
+    size = min(len(p), len(t))
+    start = np.cumsum(p[:size] != t[:size])
+    end = np.cumsum(p[len(p) - size :] != t[len(t) - size :])
+    return abs(len(p) - len(t)) + int(end[-1]) + min(0, int((start - end).min()))
+
+
+def _by_band(p: np.ndarray, t: np.ndarray, low: int, high: int, most: int) -> int:
+    """The distance, or most, if no way of fewer edits keeps to the diagonals from low to high."""
+    n, m = len(p), len(t)
+    ends = [min(n, m - k) for k in range(low, high + 1)]
+    stops = []  # of each diagonal, the places in p where it is not equal, and its end
+    for k, end in zip(range(low, high + 1), ends, strict=True):
+        first = max(0, -k)
+        other = np.flatnonzero(p[first:end] != t[first + k : end + k]) + first if end > first else np.zeros(0, np.int64)
+        stops.append([*other.tolist(), end])
+    width, at = len(ends), [0] * len(ends)
+    none = -2 - most  # not reached, however many edits more
+    reach = [none] * (width + 2)
+    reach[1 - low] = stops[-low][0]
+    goal = m - n - low + 1
+    for e in range(most):
+        if reach[goal] >= n:
+            return e
+        new = [none] * (width + 2)
+        for d in range(width):
+            i = max(reach[d + 1] + 1, reach[d + 2] + 1, reach[d])  # substituted, p's left out, t's put in
+            if i < 0:
+                continue
+            if i < ends[d]:
+                stop, x = stops[d], at[d]
+                while stop[x] < i:
+                    x += 1
+                at[d] = x
+                i = stop[x]
+            else:
+                i = ends[d]
+            new[d + 1] = i
+        reach = new
+    return most
+
+
 def _by_diagonals(p: np.ndarray, t: np.ndarray, most: int) -> int | None:
     """The distance; None if the rounds have looked at most diagonals before it was found."""
     n, m = len(p), len(t)
@@ -263,7 +345,8 @@ def _by_bits(p: np.ndarray, t: np.ndarray) -> int:
 
 
 def _distances(a: pa.Array, b: pa.Array) -> pa.Array:
-    return pa.array([None if x is None or y is None else edit_distance(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.int64())
+    # one pair of texts at a time
+    return pa.array([edit_distance(x.as_py(), y.as_py()) if x.is_valid and y.is_valid else None for x, y in zip(a, b, strict=True)], pa.int64())
 
 
 def character_error_rate(reference: Column, hypothesis: Column) -> Column:

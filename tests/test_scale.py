@@ -77,3 +77,17 @@ def test_edit_distance_of_long_texts_costs_by_their_distance():
     began = time.perf_counter()
     assert metrics.edit_distance(a, "".join(b)) == 100
     assert time.perf_counter() - began < 10
+
+
+def test_edit_distance_of_many_substitutions_costs_by_the_length():
+    r = random.Random(7)
+    began = time.perf_counter()
+    for head in ("ab", "cd", "ce"):  # bounds meet, or leave one or some diagonals
+        a = head + "".join(r.choices("abcde fghé", k=200_000))
+        distance = metrics.edit_distance(a, a[2:].replace("e", "c"))
+        assert a.count("e", 2) <= distance <= a.count("e", 2) + 2
+    assert time.perf_counter() - began < 10
+    for _ in range(400):
+        a = "".join(r.choices("aceé", k=r.randrange(60)))
+        b = a[r.randrange(3) :].replace("e", "c") + r.choice(["", "x", "ca"])
+        assert metrics.edit_distance(a, b) == metrics._by_bits(*(np.frombuffer(x.encode("utf-32-le"), np.uint32) for x in (a, b)))
