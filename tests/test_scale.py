@@ -24,6 +24,40 @@ def test_containment_equals_all_pairs(spark, seed):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_containment_in_many_partitions_equals_all_pairs(spark, seed):
+    r = random.Random(seed)
+    word = lambda most: "".join(r.choices("abÉ😀", (4, 3, 1, 1), k=r.randrange(most)))
+    df = lambda x: spark.createDataFrame([(s,) for s in x], "name string")
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        for most_a, most_b in ((8, 12), (12, 8)):
+            # in the second, names are long and hold few of the others
+            a, b = [word(most_a) for _ in range(150)], ["ba" * seed + word(most_b) for _ in range(60)]
+            want = {x.lower() for x in a for y in b if x and (x.lower() in y.lower() or y.lower() in x.lower())}
+            got = [x.name for x in containment.related(df(a), df(b)).collect()]
+            assert sorted(got) == sorted(want)
+        assert containment.related(df(["a", None]), df([])).collect() == containment.related(df([""]), df(["a"])).collect() == []
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_containment_of_names_that_share_all_grams(spark):
+    """Eight grams in all: by its rarest gram a name would meet an eighth of the others at least."""
+    letters = lambda c, size: F.translate(F.lpad(F.bin(c), size, "0"), "01", "ab")
+    a = spark.range(0, 1 << 18, 3).select(letters(F.col("id") * 4 + 1, 20).alias("name"))
+    b = spark.range(0, 1 << 18, 5).select(F.concat(letters(F.col("id") * 4 + 1, 20), F.lit("b")).alias("name"))
+    began = time.perf_counter()
+    got = {x.name for x in containment.related(a, b).collect()}
+    assert time.perf_counter() - began < 60
+    held = {x.name for x in a.collect()}
+    assert got == {x.name[i : i + 20] for x in b.collect() for i in (0, 1)} & held
+
+
 def test_citation_precision_among_equals_the_one_with_an_array(spark):
     answers = ["As stated [Source: src1, p. 3].", "See [Ref: SRC12] and [Src: unknown, Article 4].", "Nothing.", "[source: src, p. 1] [Source: ]", None, "[Source: src3, p. 2][Source: other]"]
     names = ["src1", "SRC12", "other", ""]
