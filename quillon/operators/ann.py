@@ -24,6 +24,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -138,17 +139,19 @@ def encode(index: Index, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return cell, np.stack([_square(rest[:, j], book).argmin(1) for j, book in enumerate(index.books)], 1).astype(np.uint8)
 
 
-def top(spark: SparkSession, root: str, queries: DataFrame, k: int = K.CANDIDATES, probes: int | None = None, survivors: int | None = None, other: bool = False, block: int = 512, at: int | None = None) -> DataFrame:
+def top(spark: SparkSession, root: str, queries: DataFrame, k: int = K.CANDIDATES, probes: int | None = None, survivors: int | None = None, other: bool = False, block: int = 1024, at: int | None = None) -> DataFrame:
     """query_id, doc_id, score, rank: of each question (query_id, embedding) the k nearest found, by cosine.
 
     probes: cells that a question looks into (the index's own number); survivors: rows
     that are scored by their vectors (ten times k).  other: not the question's own id.
+    block: questions of a part; a task holds the survivors of one part at a time.
     """
     at = versions.version(spark, root) if at is None else at
     index = load(spark, root, at)
     dim, probes, survivors = index.centroids.shape[1], min(probes or index.probes, len(index.centroids)), survivors or 10 * k
     shared = spark.sparkContext.broadcast(index)
     asked = retrieval.usable(queries).filter(F.size("embedding") == dim).select("query_id", F.col("embedding").cast("array<double>").alias("question"))
+    parts = max(1, -(-asked.count() // block))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,19 +166,13 @@ def top(spark: SparkSession, root: str, queries: DataFrame, k: int = K.CANDIDATE
     wanted = asked.mapInArrow(probe, f"cell int, query_id {qid}, question array<double>")
     cells = sorted(r.cell for r in wanted.select("cell").distinct().collect())  # MOST_CELLS at most
     stored = versions.read(spark, root, "codes", at).filter(F.col("cell").isin(cells) if cells else F.lit(False))
-    # a cell's questions come in blocks, dealt by hash
-    sizes = wanted.groupBy("cell").agg(F.ceil(F.count("*") / block).alias("blocks"))  # MOST_CELLS rows at most
-    blocks = wanted.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("blocks"))).groupBy("cell", "part").agg(F.collect_list(F.struct("query_id", "question")).alias("asked"))
-    codes = stored.select("cell", "vec_id", "code").mapInArrow(_packed(vid), f"cell int, ids array<{vid}>, codes binary")
-
-    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = _Survivors(survivors + other)  # the question's own vector may be among them
-        for batch in batches:
-            for cell, ids, packed, questions in zip(batch.column("cell").to_pylist(), batch.column("ids"), batch.column("codes").to_pylist(), batch.column("asked"), strict=True):
-                best.add(shared.value, cell, ids.values, packed, questions.values)
-        yield from best.rows()
-
-    met = codes.join(blocks, "cell").select("cell", "ids", "codes", "asked").mapInArrow(rank, f"query_id {qid}, cell int, vec_id {vid}, distance double")
+    # questions are dealt into parts by hash, and each cell's codes meet one part after another
+    part = F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int").alias("part")
+    blocks = wanted.select("cell", part, "query_id", "question").groupBy("part", "cell").agg(F.collect_list(F.struct("query_id", "question")).alias("asked"))
+    codes = stored.select("cell", "vec_id", "code").mapInArrow(_packed(vid), f"cell int, ids array<{vid}>, codes binary").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    rows = codes.join(blocks, ["part", "cell"]).sortWithinPartitions("part", "cell").select("part", "cell", "ids", "codes", "asked")
+    # the question's own vector may be among them
+    met = rows.mapInArrow(_ranked(shared, survivors + other), f"query_id {qid}, cell int, vec_id {vid}, distance double")
     if other:
         met = met.filter("query_id <> vec_id")
     best = retrieval.top(met, survivors, F.asc("distance"), F.asc("vec_id")).select("query_id", "cell", "vec_id")
@@ -200,6 +197,25 @@ def _packed(vid: str, most: int = 16_384):
     return run
 
 
+def _ranked(shared: Broadcast, most: int):
+    """The nearest codes of all that a task meets, for each question.  A part's go on before the next part's first row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, best = None, None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                at, cell, packed = (batch.column(c)[i].as_py() for c in ("part", "cell", "codes"))
+                if at != part:
+                    if best is not None:
+                        yield from best.rows()
+                    part, best = at, _Survivors(most)
+                best.add(shared.value, cell, batch.column("ids")[i].values, packed, batch.column("asked")[i].values)
+        if best is not None:
+            yield from best.rows()
+
+    return run
+
+
 class _Survivors:
     """The nearest of all codes that a task meets, for each question: so many at most, and some more until they are sorted out."""
 

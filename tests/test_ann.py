@@ -1,6 +1,8 @@
 import os
+import types
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,6 +72,30 @@ def test_replaced_forgotten_broken_and_strange(spark, tmp_path):
     assert ann.top(spark, root, asked.filter("query_id = 'c'"), 2).collect() == []
 
 
+def test_a_task_holds_the_survivors_of_one_part_alone():
+    x = retrieval._unit(clustered(400).astype(float))
+    index = ann.fit(x, len(x), 8, 10, 0.97, 3)
+    cell, code = ann.encode(index, x)
+    read = []
+
+    def batches():
+        for part in range(5):
+            read.append(part)
+            for c in np.unique(cell):
+                ids = np.flatnonzero(cell == c)
+                asked = pa.array([[{"query_id": q, "question": x[q].tolist()} for q in range(part * 8, part * 8 + 8)]])
+                columns = [pa.array([part], pa.int32()), pa.array([int(c)], pa.int32()), pa.array([ids.tolist()]), pa.array([code[ids].tobytes()]), asked]
+                yield pa.RecordBatch.from_arrays(columns, names=["part", "cell", "ids", "codes", "asked"])
+
+    seen = {}
+    for out in ann._ranked(types.SimpleNamespace(value=index), 5)(batches()):
+        q = set(out.column("query_id").to_pylist())
+        assert out.num_rows < 8 * 10 and max(q) // 8 >= max(read) - 1  # the part before the one that is read
+        for a, d in zip(out.column("query_id").to_pylist(), out.column("vec_id").to_pylist(), strict=True):
+            seen.setdefault(a, []).append(d)
+    assert set(seen) == set(range(40)) and sum(q in ids for q, ids in seen.items()) > 30 and all(len(ids) >= 5 for ids in seen.values())
+
+
 def test_no_vectors_and_few(spark, tmp_path):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     ann.build(none, f"file://{tmp_path}/none")
