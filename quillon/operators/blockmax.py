@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -46,59 +47,50 @@ def build(docs: DataFrame, root: str, block: int = 128) -> int:
         posted = retrieval.in_place(rows.filter(F.size("w") > 0).select(shard.alias("shard"), "doc_no", F.size("w").alias("dl"), "w"), ["shard", "doc_no", "dl"]).withColumn("tf", F.col("tf").cast("int"))
         # a term of many documents is as many groups as shards
         cut = posted.repartition("term", "shard").sortWithinPartitions("term", "shard", "doc_no").mapInArrow(_blocks(block, avgdl), BLOCKS)
-        blocks = versions.write(cut.sortWithinPartitions("term", "shard", "block"), root, "blocks")
+        blocks = versions.write(cut, root, "blocks")  # in that order
     return versions.replace(spark, root, [ids, blocks])
 
 
 def _blocks(block: int, avgdl: float):
-    def row(key: tuple, k: int, doc: np.ndarray, tf: np.ndarray, dl: np.ndarray) -> tuple:
-        return (*key, k, len(doc), int(doc[0]), int(doc[-1]), float(_gain(tf.astype(np.float64), dl, avgdl).max()), doc.tobytes(), tf.tobytes(), dl.tobytes())
+    """Rows of BLOCKS from postings in order of term, shard and document, all blocks of a batch at once."""
+    names = [x.split(" ")[0] for x in BLOCKS.split(", ")]
+    packed = lambda x, edge: pa.Array.from_buffers(pa.binary(), len(edge) - 1, [None, pa.py_buffer((edge * x.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
+
+    def rows(batch: pa.RecordBatch, edge: np.ndarray, k: np.ndarray) -> pa.RecordBatch:
+        """Blocks from each edge to the next."""
+        batch, at = batch.slice(0, int(edge[-1])), edge[:-1]
+        doc, tf, dl = (batch.column(c).to_numpy() for c in ("doc_no", "tf", "dl"))
+        gain = np.maximum.reduceat(_gain(tf.astype(np.float64), dl, avgdl), at)
+        n = np.diff(edge)
+        values = [batch.column("term").take(pa.array(at)), batch.column("shard").take(pa.array(at)), pa.array(k.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(doc[at]), pa.array(doc[edge[1:] - 1]), pa.array(gain)]
+        return pa.RecordBatch.from_arrays([*values, *(packed(x, edge) for x in (doc, tf, dl))], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, k, held = None, 0, []
-
-        def close(all_: bool) -> Iterator[tuple]:
-            nonlocal k, held
-            if not held:
-                return
-            doc, tf, dl = (np.concatenate([h[c] for h in held]) for c in range(3))
-            whole = len(doc) if all_ else len(doc) // block * block
-            for s in range(0, whole, block):
-                e = min(s + block, whole)
-                yield row(key, k, doc[s:e], tf[s:e], dl[s:e])
-                k += 1
-            held = [(doc[whole:], tf[whole:], dl[whole:])] if whole < len(doc) else []
-
+        rest, done = None, 0  # the last term's postings that are in no block yet, one at least, and its blocks before
         for batch in batches:
-            out = []
-            term, shard = batch.column("term").to_pylist(), batch.column("shard").to_numpy()
-            doc, tf, dl = batch.column("doc_no").to_numpy(), batch.column("tf").to_numpy(), batch.column("dl").to_numpy()
-            i = 0
-            while i < len(term):
-                j = i + 1
-                while j < len(term) and term[j] == term[i] and shard[j] == shard[i]:
-                    j += 1
-                if (term[i], int(shard[i])) != key:
-                    out += close(True)
-                    key, k = (term[i], int(shard[i])), 0
-                held.append((doc[i:j], tf[i:j], dl[i:j]))
-                i = j
-            out += close(False)
-            if out:
-                yield _batch(out)
-        out = list(close(True))
-        if out:
-            yield _batch(out)
+            if not batch.num_rows:
+                continue
+            if rest is not None:
+                batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+            term, shard = batch.column("term"), batch.column("shard").to_numpy()
+            new = np.asarray(pc.not_equal(term.slice(1), term.slice(0, len(term) - 1))) | (shard[1:] != shard[:-1])
+            start = np.concatenate(([0], np.flatnonzero(new) + 1))
+            size = np.diff(np.append(start, len(shard)))
+            blocks = -(-size // block)
+            blocks[-1] -= 1  # its last one may go on in the next batch
+            of = np.repeat(np.arange(len(start)), blocks)
+            k = np.arange(len(of)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+            end = start[-1] + blocks[-1] * block
+            if len(of):
+                yield rows(batch, np.append(start[of] + k * block, end), k + np.where(of == 0, done, 0))
+            done = int(blocks[-1]) + (done if len(start) == 1 else 0)
+            rest = batch.slice(int(end))
+        if rest is not None:
+            yield rows(rest, np.array([0, rest.num_rows]), np.array([done]))
 
     return run
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary()}
-    fields = [x.split(" ") for x in BLOCKS.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(c, kinds[kind]) for c, (_, kind) in zip(zip(*rows, strict=True), fields, strict=True)], names=[f for f, _ in fields])
-
-
 def top(spark: SparkSession, root: str, queries: DataFrame, k: int = K.CANDIDATES, at: int | None = None, first: int = 2) -> DataFrame:
     """query_id, doc_id, score, rank of the k best documents of each question (query_id, text).
 
