@@ -15,7 +15,8 @@ sequential sweep; windows whose common prefix with a neighbour spans a window
 repeat.  A collection holds about ``batch`` documents, so the sequential files of the
 method are arrays.  The more distinct regions a bucket has (over ``most``), the
 shorter its chunks are cut and the longer, and so the rarer, are their cores, down
-to cores of a whole window; chunks with equal bytes are told as they stream by, so no
+to cores of a whole window; chunks with equal bytes are told as they stream by.  A core
+that still has over ``batch`` distinct chunks is parted in the same way, so no
 collection grows with a bucket.
 
 Null and empty texts: no bytes, nothing removed.  Ties: windows are equal or not.  Texts shorter than length: kept
@@ -27,6 +28,7 @@ rows.  Other columns are ignored, or kept where asked for.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -101,6 +103,15 @@ def regions(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
     return out, np.searchsorted(d, np.arange(len(offsets)))
 
 
+def least(a: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Least of a[lo:hi] for each pair (lo < hi), in place: the ranges may overlap and be long."""
+    order = np.argsort(lo)
+    out = np.empty(len(lo), a.dtype)
+    # between two ranges stands what parts them, or one value; the last range may end with a
+    out[order] = np.minimum.reduceat(np.append(a, a[:1]), np.column_stack((lo[order], hi[order])).ravel())[::2]
+    return out
+
+
 class Columns:
     """Burrows-Wheeler transform and longest common prefixes of many texts, grown by one symbol of each text a round.
 
@@ -138,11 +149,7 @@ class Columns:
         same = ok & (self.bwt[hi] == self.bwt[lo])
         value = np.zeros(len(ends), np.int32)
         if same.any():
-            lo, hi = lo[same] + 1, hi[same] + 1
-            span = hi - lo
-            begin = np.cumsum(span) - span
-            idx = np.arange(int(span.sum())) - np.repeat(begin, span) + np.repeat(lo, span)
-            value[same] = np.minimum.reduceat(self.lcp[idx], begin) + 1
+            value[same] = least(self.lcp, lo[same] + 1, hi[same] + 1) + 1
         mine, after = value[: len(live)], value[len(live) :]
         order = np.argsort(final)
         dest = final[order]
@@ -321,6 +328,41 @@ def _append_hit(joined: DataFrame, fields: str, finish, keep: list[str]) -> Data
     return joined.select(*dict.fromkeys([*keep, "text", "_hit"])).mapInArrow(run, schema)
 
 
+def narrow(chunk: int, group: list[tuple], most: int) -> Iterator[tuple[int, list[tuple], list[tuple]]]:
+    """(chunk, members, windows that repeat) of groups of at most ``most`` distinct members, for a group of equal core that has more.
+
+    A member: left, right, and (bucket, content, first window) if single.  Its windows
+    are halved by how much of the left they hold: those of a half share a longer core,
+    so a group falls apart by it, and members that are equal then repeat whole.
+    """
+    if len(group) <= most:
+        yield chunk, group, []
+        return
+    h = (chunk + 1) // 2
+    for more in (True, False):  # windows with h symbols of the left or more; with fewer
+        parts: dict[bytes, dict[tuple[bytes, bytes], list]] = {}
+        for left, right, single in group:
+            if more and len(left) >= h:
+                core, rest, skip = left[-h:], (left[:-h], right[: chunk - 1 - h]), 0
+            elif not more and len(right) >= chunk - h:
+                skip = max(0, len(left) - h + 1)
+                core, rest = right[: chunk - h], (left[skip:], right[chunk - h :])
+            else:
+                continue
+            parts.setdefault(core, {}).setdefault(rest, []).append(single and (*single[:2], single[2] + skip))
+        size = chunk - h if more else h
+        while parts:
+            members, equal = [], []
+            for (left, right), singles in parts.popitem()[1].items():
+                alone = len(singles) == 1
+                members.append((left, right, singles[0] if alone else None))
+                last = len(left) + len(right) + 1 - size
+                equal += [] if alone else [(*x[:2], x[2], x[2] + last) for x in singles if x]
+            if equal:
+                yield size, [], equal
+            yield from narrow(size, members, most)
+
+
 def _constructed(fetched: DataFrame, length: int, most: int, batch_: int) -> DataFrame:
     """bucket, content, marks: repeated windows of each region that stands once, by the column-wise construction over chunks of equal core."""
 
@@ -359,14 +401,39 @@ def _constructed(fetched: DataFrame, length: int, most: int, batch_: int) -> Dat
         at = last = None  # (chunk, core), and the member before: left, right, bucket, content, copies, first, whether it repeats
         out: list[tuple] = []
 
+        def hold(chunk: int) -> Iterator[pa.RecordBatch]:
+            """The group is complete: it waits for others of its chunk, or is parted and built."""
+            nonlocal held, size
+            if len(group) > batch_:
+                if held:
+                    yield flush(chunk)
+                waiting: dict[int, list[list[tuple]]] = {}
+                sizes: Counter[int] = Counter()
+                for c, part, equal in narrow(chunk, group, batch_):
+                    out.extend(equal)
+                    if len(part) > 1:
+                        if c in waiting and sizes[c] + len(part) > batch_:
+                            held = waiting.pop(c)
+                            sizes[c] = 0
+                            yield flush(c)
+                        waiting.setdefault(c, []).append(part)
+                        sizes[c] += len(part)
+                for c, held in waiting.items():
+                    yield flush(c)
+            elif len(group) > 1:
+                if held and size + len(group) > batch_:
+                    yield flush(chunk)
+                held.append(group)
+                size += len(group)
+
         def close(single: bool) -> None:
             """The member before is complete."""
             if last is not None:
                 group.append((last[0], last[1], (last[2], last[3], last[5]) if single and last[4] == 1 else None))
 
-        def flush() -> pa.RecordBatch:
+        def flush(chunk: int) -> pa.RecordBatch:
             nonlocal held, size, out
-            rows, held, size, out = [*out, *(build(at[0], held) if held else ())], [], 0, []
+            rows, held, size, out = [*out, *(build(chunk, held) if held else ())], [], 0, []
             cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.int32(), pa.int32()), strict=True)], names=["bucket", "content", "lo", "hi"])
 
@@ -381,20 +448,19 @@ def _constructed(fetched: DataFrame, length: int, most: int, batch_: int) -> Dat
                     continue
                 close(single)
                 if at != (chunk, core):
-                    if len(group) > 1:
-                        held.append(group)
-                        size += len(group)
+                    if group:
+                        yield from hold(at[0])
                     group = []
-                    if held and (size > batch_ or at[0] != chunk):
-                        yield flush()
+                    if held and at[0] != chunk:
+                        yield flush(at[0])
                     at = (chunk, core)
                 last, single = (left, right, *member), True
             if len(out) > 10_000:
-                yield flush()
+                yield flush(at[0])
         close(single)
-        if len(group) > 1:
-            held.append(group)
-        yield flush()
+        if group:
+            yield from hold(at[0])
+        yield flush(at[0] if at else 0)
 
     dealt = fetched.mapInArrow(deal, "chunk int, core binary, left binary, right binary, bucket long, content binary, copies long, first int")
     found = dealt.repartition("core").sortWithinPartitions("chunk", "core", "left", "right").mapInArrow(run, "bucket long, content binary, lo int, hi int")

@@ -78,6 +78,37 @@ def test_large_buckets_have_shorter_chunks(spark):
         check(spark, texts(3), 60, gram=16, most=most)
 
 
+def test_cores_with_many_chunks_are_parted(spark):
+    r = random.Random(9)
+    passage = "".join(r.choice("abcd") for _ in range(70))
+    around = lambda: "".join(r.choice("xy") for _ in range(40))
+    rows = [*texts(4), *enumerate((around() + passage[r.randrange(8) :] + around() for _ in range(80)), 1000)]
+    for batch in (1, 2, 3, 20):
+        check(spark, rows, 60, gram=16, batch=batch)
+
+
+def test_no_collection_is_larger_than_its_bound():
+    # a passage that 4,000 texts go on from in ways of their own: before, one collection of all of them
+    r = random.Random(10)
+    group = {(r.randbytes(60), r.randbytes(60)): None for _ in range(4000)}
+    parts = list(suffix_dedup.narrow(66, [(a, b, (0, b"", 0)) for a, b in group], 50))
+    assert max(len(p) for _, p, _ in parts) <= 50
+
+
+def test_least_of_long_ranges_takes_no_memory_for_them():
+    import tracemalloc
+
+    a = np.arange(200_000, dtype=np.int32)[::-1].copy()
+    lo = np.random.default_rng(1).integers(0, 1000, 2000)
+    hi = np.random.default_rng(2).integers(199_000, 200_001, 2000)
+    tracemalloc.start()
+    got = suffix_dedup.least(a, lo, hi)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.tolist() == [int(a[i:j].min()) for i, j in zip(lo, hi, strict=True)]
+    assert peak < 4e6  # before, 8 bytes for each place of each range: 3 GB
+
+
 def test_one_hot_bucket(spark):
     r = random.Random(6)
     hot = "=" * 40  # the same bytes in every text, other ones around them
