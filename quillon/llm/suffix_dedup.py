@@ -29,7 +29,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -192,18 +192,62 @@ RANGES = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
 RANGES_DDL = "array<struct<lo: int, hi: int>>"
 
 
-def dedup(docs: DataFrame, length: int = 400, gram: int = 32, keep: list[str] | None = None, most: int = 20_000, batch: int = 2000, out: str = "", unit: str = "byte") -> DataFrame:
+def dedup(docs: DataFrame, length: int = 400, gram: int = 32, keep: list[str] | None = None, most: int = 20_000, batch: int = 2000, out: str = "", unit: str = "byte", passage: int = 0) -> DataFrame:
     """The columns keep of docs (all: None), n_bytes, n_removed, n_spans, kept_sha256; and kept, the remaining bytes (out "bytes") or their text without broken characters ("text").
 
     unit "word": length counts words (A-Z as a-z, parted by whitespace) instead of bytes,
     and what is removed are runs of words.  A text's words then stand for it as codes of
     CODE bytes; counts and what is kept are still bytes of the text.
+
+    passage: adds n_passage_words, the words of a text in runs of so many words (of the
+    kind above) that also start elsewhere; nothing is removed for them.
     """
     keep = docs.columns if keep is None else keep
     by_word = unit == "word"
     seen = codes if by_word else tx.buffer
     length *= CODE if by_word else 1
     keyed = docs.withColumn("_key", F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("?")), F.lit(":"), F.coalesce("text", F.lit(""))).cast("binary"))))
+    hit = _repeats(keyed, seen, length, gram, most, batch)
+    if passage:
+        again = _repeats(keyed, codes, passage * CODE, gram, most, batch).withColumnRenamed("_hit", "_passages")
+        hit = hit.join(again, "_key", "full")
+
+    fields = "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + {"": "", "bytes": ", kept binary", "text": ", kept string"}[out] + ", n_passage_words long" * bool(passage)
+
+    def finish(batch: pa.RecordBatch) -> list[pa.Array]:
+        rows = []
+        w = tx.words(batch.column("text")) if by_word else None
+        for d, (t, r) in enumerate(zip(batch.column("text").to_pylist(), batch.column("_hit").to_pylist(), strict=True)):
+            raw = (t or "").encode()
+            parts, end, at, removed, spans = [], -1, 0, 0, 0
+            hits = [(x["lo"], x["hi"] + length) for x in r or ()]
+            if by_word:
+                hits = _of_words(hits, w, d, length)
+            for lo, hi in sorted(hits):
+                if lo > end:
+                    if spans:
+                        removed += end - begin
+                        parts.append(raw[at:begin])
+                        at = end
+                    begin, spans = lo, spans + 1
+                end = max(end, hi)
+            if spans:
+                removed += end - begin
+                parts.append(raw[at:begin])
+                at = end
+            parts.append(raw[at:])
+            kept = b"".join(parts)
+            rows.append((len(raw), removed, spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if out == "text" else kept))
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string() if out == "text" else pa.binary())[: 4 + bool(out)]
+        made = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=False)]
+        return made + ([pa.array([_covered(r or (), passage) for r in batch.column("_passages").to_pylist()], pa.int64())] if passage else [])
+
+    joined = keyed.select(*dict.fromkeys([*keep, "text", "_key"])).join(hit, "_key", "left")
+    return _append_hit(joined, fields, finish, keep)
+
+
+def _repeats(keyed: DataFrame, seen: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], length: int, gram: int, most: int, batch: int) -> DataFrame:
+    """_key, _hit: of texts (_key, text), as bytes by seen, the runs (lo, hi) of starts of windows that stand elsewhere too; texts without any are not there."""
 
     def cut(batch: pa.RecordBatch) -> list[pa.Array]:
         out, first = regions(*seen(batch.column("text")), length, gram)
@@ -255,39 +299,7 @@ def dedup(docs: DataFrame, length: int = 400, gram: int = 32, keep: list[str] |
     single = found.filter("copies = 1").join(marks, ["bucket", "content"]).select("_key", "s0", F.explode("marks").alias("m"))
     single = single.select("_key", (F.col("m.lo") + F.col("s0")).alias("lo"), (F.col("m.hi") + F.col("s0")).alias("hi"))
     hit = whole_.union(single).select("_key", F.struct("lo", "hi").alias("r"))
-    hit = hit.distinct().groupBy("_key").agg(F.collect_list("r").alias("_hit"))
-
-    fields = "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + {"": "", "bytes": ", kept binary", "text": ", kept string"}[out]
-
-    def finish(batch: pa.RecordBatch) -> list[pa.Array]:
-        rows = []
-        w = tx.words(batch.column("text")) if by_word else None
-        for d, (t, r) in enumerate(zip(batch.column("text").to_pylist(), batch.column("_hit").to_pylist(), strict=True)):
-            raw = (t or "").encode()
-            parts, end, at, removed, spans = [], -1, 0, 0, 0
-            hits = [(x["lo"], x["hi"] + length) for x in r or ()]
-            if by_word:
-                hits = _of_words(hits, w, d, length)
-            for lo, hi in sorted(hits):
-                if lo > end:
-                    if spans:
-                        removed += end - begin
-                        parts.append(raw[at:begin])
-                        at = end
-                    begin, spans = lo, spans + 1
-                end = max(end, hi)
-            if spans:
-                removed += end - begin
-                parts.append(raw[at:begin])
-                at = end
-            parts.append(raw[at:])
-            kept = b"".join(parts)
-            rows.append((len(raw), removed, spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if out == "text" else kept))
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string() if out == "text" else pa.binary())[: 4 + bool(out)]
-        return [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=False)]
-
-    joined = keyed.select(*dict.fromkeys([*keep, "text", "_key"])).join(hit, "_key", "left")
-    return _append_hit(joined, fields, finish, keep)
+    return hit.distinct().groupBy("_key").agg(F.collect_list("r").alias("_hit"))
 
 
 CODE = 4  # bytes that a word is known by
@@ -314,6 +326,16 @@ def _of_words(hits: list[tuple[int, int]], w: tx.Words, d: int, length: int) ->
     return out
 
 
+def _covered(hits: list[dict], passage: int) -> int:
+    """Words in the windows of passage words that hits (of codes) have."""
+    end = n = 0
+    for lo, hi in sorted((-(-x["lo"] // CODE), x["hi"] // CODE + passage) for x in hits):
+        if lo + passage <= hi:  # a window begins with a word
+            n += max(0, hi - max(lo, end))
+            end = max(end, hi)
+    return n
+
+
 def _append_hit(joined: DataFrame, fields: str, finish, keep: list[str]) -> DataFrame:
     added = T.StructType.fromDDL(fields)
     keep = [c for c in keep if c not in added.fieldNames()]
@@ -325,7 +347,7 @@ def _append_hit(joined: DataFrame, fields: str, finish, keep: list[str]) -> Data
             for piece in tx.slices(batch, "text"):
                 yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in keep), *finish(piece)], names=names)
 
-    return joined.select(*dict.fromkeys([*keep, "text", "_hit"])).mapInArrow(run, schema)
+    return joined.select(*dict.fromkeys([*keep, "text", "_hit", *(["_passages"] if "_passages" in joined.columns else [])])).mapInArrow(run, schema)
 
 
 def narrow(chunk: int, group: list[tuple], most: int) -> Iterator[tuple[int, list[tuple], list[tuple]]]:

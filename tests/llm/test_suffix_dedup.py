@@ -109,6 +109,20 @@ def test_least_of_long_ranges_takes_no_memory_for_them():
     assert peak < 4e6  # before, 8 bytes for each place of each range: 3 GB
 
 
+def test_passages_under_the_length_are_counted(spark):
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randrange(1, 5)))
+    passages = [" ".join(word() for _ in range(52)) for _ in range(3)]
+    rows = [(i, " ".join([*(word() for _ in range(r.randrange(80))), *r.sample(passages, i % 3), word(), word()])) for i in range(12)]
+    rows += [(20, None), (21, ""), (22, "one"), (23, rows[1][1])]
+    words = {i: (t or "").split() for i, t in rows}
+    seen = Counter(tuple(w[k : k + 49]) for w in words.values() for k in range(len(w) - 48))
+    want = {i: len({j for k in range(len(w) - 48) if seen[tuple(w[k : k + 49])] > 1 for j in range(k, k + 49)}) for i, w in words.items()}
+    got = suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), keep=["doc_id"], passage=49).collect()
+    assert {x.doc_id: x.n_passage_words for x in got} == want and 0 < sum(n > 0 for n in want.values()) < 13
+    assert sorted(map(str, (tuple(x)[:5] for x in got))) == sorted(map(str, brute([(i, (t or "").encode()) for i, t in rows], 400)))
+
+
 def test_one_hot_bucket(spark):
     r = random.Random(6)
     hot = "=" * 40  # the same bytes in every text, other ones around them
