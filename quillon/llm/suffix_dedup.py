@@ -407,11 +407,11 @@ def _constructed(fetched: DataFrame, length: int, most: int, batch_: int) -> Dat
     def build(chunk: int, groups: list[list[tuple]]) -> Iterator[tuple[int, bytes, int, int]]:
         """(bucket, content, first and last repeated window) of the single members of groups of equal core; a member: left, right, (bucket, content, first) if single."""
         open_ = [(g, *m) for g, members in enumerate(groups) for m in members]
-        rows = np.zeros((len(open_), max(len(x) + len(y) for _, x, y, _ in open_) + 1), np.uint32)
+        rows = np.zeros((len(open_), max(len(x) + len(y) for _, x, y, _ in open_) + 1), np.uint16 if len(groups) < 60_000 else np.uint32)  # two bytes sort much faster
         for row, (g, left, right, _) in zip(rows, open_, strict=True):
-            row[len(row) - len(right) :] = np.frombuffer(right, np.uint8).astype(np.uint32) + 1
+            row[len(row) - len(right) :] = np.frombuffer(right, np.uint8).astype(rows.dtype) + 1
             row[len(row) - len(right) - 1] = 257 + g
-            row[len(row) - len(right) - 1 - len(left) : len(row) - len(right) - 1] = np.frombuffer(left, np.uint8).astype(np.uint32) + 1
+            row[len(row) - len(right) - 1 - len(left) : len(row) - len(right) - 1] = np.frombuffer(left, np.uint8).astype(rows.dtype) + 1
         for (*_, single), starts in zip(open_, Columns(rows).repeats(chunk), strict=True):
             if single:
                 yield from ((single[0], single[1], single[2] + i, single[2] + j) for i, j in ranges(starts))
