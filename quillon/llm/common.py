@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import struct
 import tempfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -87,14 +88,22 @@ def append(df: DataFrame, fields: str, make: Callable[[pa.RecordBatch], list[pa.
 _packer: dict[str, object] = {}
 
 
-def pack(a: np.ndarray) -> bytes:
+def compress(b: bytes) -> bytes:
     c = _packer.get("c") or _packer.setdefault("c", zstandard.ZstdCompressor(level=1))
-    return c.compress(np.ascontiguousarray(a).tobytes())
+    return c.compress(b)
 
 
-def unpack(b: bytes, dtype) -> np.ndarray:
+def decompress(b: bytes) -> bytes:
     d = _packer.get("d") or _packer.setdefault("d", zstandard.ZstdDecompressor())
-    return np.frombuffer(d.decompress(b), dtype=dtype)
+    return d.decompress(b)
+
+
+def pack(a: np.ndarray) -> bytes:
+    return compress(np.ascontiguousarray(a).tobytes())
+
+
+def unpack(b: bytes, dtype) -> np.ndarray:
+    return np.frombuffer(decompress(b), dtype=dtype)
 
 
 def varint(n: np.ndarray) -> bytes:
@@ -112,12 +121,68 @@ def unvarint(b: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
+SMALL = 1 << 12  # bytes of a bundle that are compressed as one
+
+
+def planes(a: np.ndarray) -> np.ndarray:
+    """Numbers of 8 bytes (or fewer; integers not negative) as the planes of their bytes: small ones compress to little, and planes can be cut."""
+    a = np.ascontiguousarray(a)
+    a = a.view(np.uint64) if a.dtype.itemsize == 8 else a.astype(np.uint64)
+    wide = max(1, (int(a.max()).bit_length() + 7) // 8) if len(a) else 1
+    return np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8)[:, :wide].T)
+
+
+def bundle(*parts: np.ndarray) -> bytes:
+    """The planes of several arrays as one value; short ones are compressed together."""
+    raw = [b"".join(plane.tobytes() for plane in p) for p in parts]
+    if sum(map(len, raw)) <= SMALL:
+        raw = [b"".join(raw)]
+    raw = [compress(x) for x in raw]
+    return struct.pack(f"<BB{2 * len(parts) + len(raw)}I", len(parts), len(raw), *(n for p in parts for n in p.shape), *map(len, raw)) + b"".join(raw)
+
+
+def unbundle(b: bytes) -> list[np.ndarray]:
+    """The planes of each array of a bundle."""
+    n, frames = b[0], b[1]
+    form = f"<{2 * n + frames}I"
+    sizes, at, raw = struct.unpack_from(form, b, 2), 2 + struct.calcsize(form), []
+    for size in sizes[2 * n :]:
+        raw.append(decompress(b[at : at + size]))
+        at += size
+    raw, at, out = b"".join(raw), 0, []
+    for wide, long in zip(sizes[: 2 * n : 2], sizes[1 : 2 * n : 2], strict=True):
+        out.append(np.frombuffer(raw, np.uint8, wide * long, at).reshape(wide, long))
+        at += wide * long
+    return out
+
+
+def numbers(parts: Sequence[np.ndarray]) -> np.ndarray:
+    """The numbers that planes stand for, one array's after the other's."""
+    out = np.zeros(sum(p.shape[1] for p in parts), np.uint64)
+    at = 0
+    for p in parts:
+        mine = out[at : at + p.shape[1]]
+        at += p.shape[1]
+        if len(p) > 4:
+            mine.view(np.uint8).reshape(-1, 8)[:, : len(p)] = p.T
+            continue
+        mine[:] = p[0]
+        for i in range(1, len(p)):
+            mine |= p[i].astype(np.uint64) << np.uint64(8 * i)
+    return out
+
+
+def integers(parts: Sequence[np.ndarray]) -> np.ndarray:
+    return numbers(parts).view(np.int64)
+
+
 def runs(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[tuple[object, list[dict]]]:
     """(key, or tuple of several keys; rows) of stretches of rows with equal keys, of few and heavy rows."""
     at, rows = None, []
     for batch in batches:
+        names, columns = batch.schema.names, batch.columns
         for i in range(batch.num_rows):
-            row = batch.slice(i, 1).to_pylist()[0]
+            row = {name: c[i].as_py() for name, c in zip(names, columns, strict=True)}
             key = row[keys[0]] if len(keys) == 1 else tuple(row[k] for k in keys)
             if rows and key != at:
                 yield at, rows

@@ -14,7 +14,9 @@ discounts.  A text is its words (A-Z lower-cased) and an end; before it stand be
 How it runs: texts are cut into blocks of some MB; a block knows its distinct
 words once and the rest as indexes into them.  Words go to partitions by hash,
 where they are counted, and blocks get the counts and small ids back.  Then one
-loop over the orders: a block sends its n-grams, distinct, to partitions by
+loop over the orders: a block numbers its distinct n-grams (an n-gram is the number
+of its context, which is one of the order before, and that of its last word, so one
+sort of plain numbers finds them) and sends them to partitions by
 context (those of hot contexts by n-gram, so no partition gets a hot context alone),
 with the count of the n-gram without its first word.  All of a context's n-grams
 meet there; the block gets back how often each was seen in training, and of
@@ -44,10 +46,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import text as tx
-from quillon.llm.common import checkpoint, pack, partitions, release, runs, unpack, unvarint, varint
+from quillon.llm.common import bundle, checkpoint, integers, numbers, partitions, planes, release, runs, unbundle
 
 END = np.uint64(1)  # hash of the end
 UNSEEN, BEGIN, IDS = 0, 1, 2  # ids: of all unseen words, of the begin, and the first of words
+ROOM = 63  # bits in which an n-gram's numbers and its place are sorted as one number
 HOT = 2000  # contexts with 1/HOT of all tokens are dealt by whole n-grams; there are HOT at most
 
 
@@ -88,14 +91,14 @@ class Unigram:
         return np.log10((c.astype(np.float64) + 1) / (self.total + self.kinds + 1))
 
 
-KINDS = "block long, level int, part int, ids array<long>, a binary, b binary, c binary, d binary, e binary, f binary, g binary"
+KINDS = "block long, level int, part int, ids array<long>, a binary, b binary"
 NAMES = [x.split()[0] for x in KINDS.split(", ")]
 
 
 def _table(rows: list[tuple]) -> pa.RecordBatch:
-    """Rows (block, level, part, ids, up to seven binaries) as a batch of KINDS."""
+    """Rows (block, level, part, ids, up to two bundles) as a batch of KINDS."""
     cols = list(zip(*((*r, *[None] * (len(NAMES) - len(r))) for r in rows), strict=True)) or [()] * len(NAMES)
-    types = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), *[pa.binary()] * 7)
+    types = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=NAMES)
 
 
@@ -114,17 +117,17 @@ def _blocks(docs: DataFrame, block_bytes: int, parts: int) -> DataFrame:
                 at = np.ones(len(toks), bool)
                 at[ends] = False
                 toks[at], toks[ends] = h, END
-                u, inv = np.unique(toks, return_inverse=True)
-                order = np.argsort(u % np.uint64(parts), kind="stable")
-                place = np.empty(len(u), np.int64)
-                place[order] = np.arange(len(u))
-                u, inv = u[order], place[inv]
+                by, new = ordered(toks, toks)
+                inv = np.empty(len(toks), np.int64)
+                inv[by] = np.cumsum(new) - 1
+                u = toks[by[new]]
+                order, _ = dealt((u % np.uint64(parts)).astype(np.int64), parts)
                 train = np.asarray(piece.column("train")).astype(bool)
                 seen = np.bincount(inv[np.repeat(train, n + 1)], minlength=len(u))
-                often = np.argsort(-np.bincount(inv, minlength=len(u)), kind="stable")  # tokens are stored by rank: small numbers compress well
+                often = np.argsort(-np.bincount(inv, minlength=len(u))[order], kind="stable")  # tokens are stored by rank: small numbers compress well
                 rank = np.empty(len(u), np.int64)
-                rank[often] = np.arange(len(u))
-                yield _table([((task << 32) | number, 0, None, piece.column("doc_id").to_pylist(), pack(train), varint(n + 1), varint(rank[inv]), varint(often), pack(u), varint(seen))])
+                rank[order[often]] = np.arange(len(u))
+                yield _table([((task << 32) | number, 0, None, piece.column("doc_id").to_pylist(), bundle(*map(planes, (train, n + 1, rank[inv], often))), bundle(planes(u[order]), planes(seen[order])))])
                 number += 1
 
     return docs.mapInArrow(run, KINDS)
@@ -138,65 +141,88 @@ def _count_words(blocks: DataFrame, parts: int, k: int) -> DataFrame:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, u, seen in zip(*(batch.column(c).to_pylist() for c in ("block", "e", "f")), strict=True):
-                u, seen = unpack(u, np.uint64), unvarint(seen)
-                cut = np.searchsorted((u % np.uint64(parts)).astype(np.int64), np.arange(parts + 1)).tolist()
-                yield _table([(block, 1, p, None, pack(u[i:j]), varint(seen[i:j])) for p, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if i < j])
+            for block, held in zip(*(batch.column(c).to_pylist() for c in ("block", "b")), strict=True):
+                u, seen = unbundle(held)
+                cut = np.searchsorted((numbers([u]) % np.uint64(parts)).astype(np.int64), np.arange(parts + 1)).tolist()
+                yield _table([(block, 1, p, None, bundle(u[:, i:j], seen[:, i:j])) for p, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if i < j])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, rows in runs(batches, "part"):
-            words = [unpack(r["a"], np.uint64) for r in rows]
-            u, inv = np.unique(np.concatenate(words), return_inverse=True)
-            c = np.bincount(inv, weights=np.concatenate([unvarint(r["b"]) for r in rows])).astype(np.int64)
-            total, cut = int(c.sum()), np.cumsum([0, *map(len, words)])
+            words, seen = zip(*(unbundle(r["a"]) for r in rows), strict=True)
+            u, inv = np.unique(numbers(words), return_inverse=True)
+            c = np.bincount(inv, weights=integers(seen)).astype(np.int64)
+            total, cut = int(c.sum()), np.cumsum([0, *(x.shape[1] for x in words)])
             ids = np.empty(len(u), np.int64)
             ids[np.lexsort((u, -c))] = np.arange(len(u))
             ids = np.where(c > 0, ids * parts + part + IDS, UNSEEN)
-            out = [(r["block"], 1, part, None, varint(c[inv[i:j]]), varint(ids[inv[i:j]])) for r, i, j in zip(rows, cut[:-1], cut[1:], strict=True)]
+            told = planes(c[inv]), planes(ids[inv])
+            out = [(r["block"], 1, part, None, bundle(*(x[:, i:j] for x in told))) for r, i, j in zip(rows, cut[:-1], cut[1:], strict=True)]
             n = np.bincount(np.minimum(c, k + 2), minlength=k + 3)[1 : k + 2]
             hot = np.flatnonzero((c * HOT >= max(total, 1)) & (c > 0))
             stats = np.concatenate(([total, int((c > 0).sum()), int(c[u == END].sum())], n, ids[hot], c[hot])).astype(np.int64)
-            yield _table([*out, (None, 1, part, None, pack(stats))])
+            yield _table([*out, (None, 1, part, None, bundle(planes(stats)))])
 
-    dealt = blocks.select("block", "e", "f").mapInArrow(deal, KINDS)
-    return dealt.repartition(parts, "part").sortWithinPartitions("part", "block").mapInArrow(count, KINDS)
+    sent = blocks.select("block", "b").mapInArrow(deal, KINDS)
+    return sent.repartition(parts, "part").sortWithinPartitions("part", "block").mapInArrow(count, KINDS)
 
 
-def chain(columns: list[np.ndarray]) -> np.ndarray:
-    """64-bit hashes of the words (ids, first to last) of many contexts."""
-    h = np.full(len(columns[0]), 0x2545F4914F6CDD1D, np.uint64)
+def chain(columns: list[np.ndarray], h: np.ndarray | None = None) -> np.ndarray:
+    """64-bit hashes of the words (ids, first to last) of many contexts; h: of the words before them."""
+    if h is None:
+        h = np.full(len(columns[0]), 0x2545F4914F6CDD1D, np.uint64)
     for c in columns:
         h = tx.mix(h * np.uint64(0xD6E8FEB86659FD93) + c.astype(np.uint64) + np.uint64(1))
     return h
 
 
-def deal_keys(context: np.ndarray, word: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """Keys of n-grams: those of a context share their upper bits, and so a part; of a hot context none but equal n-grams do."""
-    gram = tx.mix(context * np.uint64(3) + word.astype(np.uint64))
-    low = np.uint64((1 << 24) - 1)
-    return np.where(among(hot, context)[0], gram, (context & ~low) | (gram & low))
-
-
 def among(table: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whether values are in the sorted table, and where."""
+    """Whether hashes are in the sorted table of hashes, and where."""
     if not len(table):
         return np.zeros(len(values), bool), np.zeros(len(values), np.int64)
-    at = np.minimum(np.searchsorted(table, values), len(table) - 1)
+    far = np.uint64(48)
+    start = np.searchsorted((table >> far).astype(np.int64), np.arange((1 << 16) + 1))  # by the upper bits
+    at = np.minimum(start[(values >> far).astype(np.int64)], len(table) - 1)
+    for _ in range(int(np.diff(start).max()) - 1):
+        at = np.minimum(at + (table[at] < values), len(table) - 1)
     return table[at] == values, at
 
 
+def sorted_places(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of keys by all but their lower bits, which must have room for the places; the keys so ordered, shifted."""
+    s = key >> np.uint64(bits) << np.uint64(bits) | np.arange(len(key), dtype=np.uint64)
+    s.sort()  # of plain numbers: several times faster than an argsort
+    return (s & np.uint64((1 << bits) - 1)).view(np.int64), s >> np.uint64(bits)
+
+
 def ordered(key: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The order of n-grams by key, and by word where keys of different words are equal; where a new one begins."""
-    by = np.argsort(key)
-    k, w = key[by], word[by]
-    if ((k[1:] == k[:-1]) & (w[1:] != w[:-1])).any():
-        again = np.lexsort((w, k))
-        by, k, w = by[again], k[again], w[again]
+    by, top = sorted_places(key, len(key).bit_length())
     new = np.ones(len(by), bool)
-    new[1:] = (k[1:] != k[:-1]) | (w[1:] != w[:-1])
+    new[1:] = top[1:] != top[:-1]
+    same = np.flatnonzero(~new)
+    differ = same[(word[by[same]] != word[by[same - 1]]) | (key[by[same]] != key[by[same - 1]])]
+    if len(differ):  # stretches of equal upper bits that hold different n-grams
+        stretch = np.cumsum(new) - 1
+        mixed = np.zeros(stretch[-1] + 1, bool)
+        mixed[stretch[differ]] = True
+        at = np.flatnonzero(mixed[stretch])
+        them = by[at]
+        by[at] = them[np.lexsort((word[them], key[them], stretch[at]))]
+        at = at[1:]
+        new[at] |= (word[by[at]] != word[by[at - 1]]) | (key[by[at]] != key[by[at - 1]])
     return by, new
 
 
+def part_of(h: np.ndarray, parts: int) -> np.ndarray:
+    return ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def dealt(part: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order by part, otherwise as they stand, and where each part begins."""
+    order = np.argsort(part.astype(np.uint16 if parts <= 1 << 16 else np.uint32), kind="stable")  # small numbers are sorted by radix
+    return order, np.append(0, np.cumsum(np.bincount(part, minlength=parts)))
+
+
 class Order(NamedTuple):
     """What is known of the n-grams of one order, and small: discounts and hot contexts (at most HOT)."""
 
@@ -207,86 +233,115 @@ class Order(NamedTuple):
 
 
 class Texts:
-    """The tokens of one block: words, and the counts of the n-grams that end at each, order by order."""
+    """The tokens of one block: words, and the counts of the n-grams that end at each, order by order.
+
+    Words are numbered within the block, and so are the n-grams of an order: the
+    number of the one that ends before a token is its context in the next order.
+    """
 
     def __init__(self, rows: list[dict], uni: Unigram, texts: int):
         first = next(r for r in rows if r["level"] == 0)
-        self.ids, self.train = first["ids"], unpack(first["a"], np.bool_)
-        self.n = unvarint(first["b"]).astype(np.int64)
-        word = unvarint(first["d"]).astype(np.int64)[unvarint(first["c"]).astype(np.int64)]
-        counts = [r for r in rows if r["level"] == 1]
-        count, name = (np.concatenate([unvarint(r[x]) for r in counts]).astype(np.int64) for x in "ab")
-        self.word, self.count = name[word], count[word]
-        self.doc = np.repeat(np.arange(len(self.n)), self.n)
-        self.place = np.arange(len(word)) - np.repeat(np.cumsum(self.n) - self.n, self.n)
-        self.den = np.full(len(word), uni.den)
-        self.texts, self.uni = texts, uni
-
-    def columns(self, order: int, at: np.ndarray) -> list[np.ndarray]:
-        """The context's words of the tokens at, first to last; begins stand before a text."""
-        return [np.where(self.place[at] >= j, self.word[at - j], BEGIN) for j in range(order - 1, 0, -1)]
+        train, n, rank, often = (integers([x]) for x in unbundle(first["a"]))
+        self.ids, self.train, self.n = first["ids"], train.astype(bool), n
+        told = zip(*(unbundle(r["a"]) for r in rows if r["level"] == 1), strict=True)
+        count, self.name = (integers(x)[often] for x in told)  # of words by rank
+        unseen = np.flatnonzero(count == 0)
+        one = np.arange(len(count))
+        one[unseen] = unseen[:1]  # unseen words are one
+        self.word, self.count = one[rank], count[rank]
+        self.found, self.base, self.p = (x[rank] for x in (count > 0, uni.base(count), np.log10(uni.p(count))))
+        self.start = np.cumsum(n) - n
+        self.den = np.full(len(rank), uni.den)
+        self.texts = texts
+        self.of = self.word  # the n-gram that ends at each token
+        self.hash = chain([self.name])  # of the words of each n-gram
 
     def climb(self, order: int, hot: np.ndarray, parts: int) -> None:
-        """Finds the distinct n-grams of an order whose contexts were seen, sorted by key."""
-        self.before = np.where(self.place > 0, np.roll(self.count, 1), self.texts)  # the context's count
-        at = np.flatnonzero(self.before > 0)
-        key = deal_keys(chain(self.columns(order, at)), self.word[at], hot)
-        by, new = ordered(key, self.word[at])
-        key, self.at = key[by], at[by]
-        self.gram = np.cumsum(new) - 1  # of the tokens at
-        self.first = np.flatnonzero(new)
-        lead = self.at[self.first]
-        self.context = self.columns(order, lead)
-        part = ((key[self.first] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-        self.cut = np.searchsorted(part, np.arange(parts + 1))
-        edge = np.ones(len(lead), bool)
-        edge[1:] = part[1:] != part[:-1]
-        for c in self.context:
-            edge[1:] |= c[1:] != c[:-1]
-        self.edge = edge  # where another context begins
+        """Finds the distinct n-grams of an order whose contexts were seen, by part and context."""
+        hashes = np.append(self.hash, chain([np.array([BEGIN])] * (order - 1)))
+        context, self.before = np.empty_like(self.of), np.empty_like(self.count)
+        context[1:], self.before[1:] = self.of[:-1], self.count[:-1]
+        context[self.start], self.before[self.start] = len(hashes) - 1, self.texts  # the context's count
+        self.at = at = np.flatnonzero(self.before > 0)
+        wide, bits = len(self.name).bit_length(), len(at).bit_length()
+        key = context[at] << wide | self.word[at]
+        if len(hashes).bit_length() + wide + bits <= ROOM:
+            by, key = sorted_places(key.view(np.uint64) << np.uint64(bits), bits)
+            key = key.view(np.int64)
+        else:
+            by = np.argsort(key)
+            key = key[by]
+        new = np.ones(len(by), bool)
+        new[1:] = key[1:] != key[:-1]
+        first = np.flatnonzero(new)
+        key = key[first]
+        part = part_of(hashes, parts)
+        part[among(hot, hashes)[0]] = -1
+        part = part[key >> wide]
+        spread = np.flatnonzero(part < 0)  # n-grams of hot contexts are dealt one by one
+        part[spread] = part_of(tx.mix(hashes[key[spread] >> wide] * np.uint64(3) + self.name[key[spread] & ((1 << wide) - 1)].astype(np.uint64)), parts)
+        turn, self.cut = dealt(part, parts)
+        place = np.empty(len(turn), np.int64)
+        place[turn] = np.arange(len(turn))
+        self.gram = np.empty(len(by), np.int64)  # of the tokens at
+        self.gram[by] = place[np.cumsum(new) - 1]
+        self.of = np.zeros(len(self.of), np.int64)
+        self.of[at] = self.gram
+        key = key[turn]
+        self.context, self.last, self.lower = key >> wide, key & ((1 << wide) - 1), hashes  # of each n-gram: its context, and its last word; the contexts' hashes
+        self.edge = np.ones(len(key), bool)  # where another context begins
+        self.edge[1:] = self.context[1:] != self.context[:-1]
+        self.edge[self.cut[self.cut < len(key)]] = True
+
+    def rise(self) -> None:
+        """The n-grams become contexts."""
+        self.hash = chain([self.name[self.last]], self.lower[self.context])
 
     def messages(self, block: int, order: int) -> Iterator[tuple]:
         """To each part: its contexts' words, how many words follow each, those words, their lower counts and training counts."""
-        lead = self.at[self.first]
-        seen = np.add.reduceat(self.train[self.doc[self.at]].astype(np.int64), self.first) if len(lead) else np.zeros(0, np.int64)
+        lead = np.empty(len(self.last), np.int64)
+        lead[self.gram] = self.at  # a token of each n-gram
+        seen = np.bincount(self.gram[np.repeat(self.train, self.n)[self.at]], minlength=len(lead))
+        head = np.flatnonzero(self.edge)
+        at, place = lead[head], np.arange(len(self.word)) - np.repeat(self.start, self.n)
+        words = (np.where(place[at] >= j, self.name[self.word[at - j]], BEGIN) for j in range(order - 1, 0, -1))
+        contexts = [planes(c) for c in (*words, np.diff(np.append(head, len(lead))))]
+        grams = [planes(x) for x in (self.name[self.last], self.count[lead], seen)]
+        cut, head_cut = self.cut.tolist(), np.searchsorted(head, self.cut).tolist()
         for p in np.flatnonzero(np.diff(self.cut)).tolist():
-            i, j = self.cut[p], self.cut[p + 1]
-            head = np.flatnonzero(self.edge[i:j])
-            words = np.concatenate([c[i:j][head] for c in self.context])
-            yield block, order, p, None, varint(words), varint(np.diff(np.append(head, j - i))), varint(self.word[lead[i:j]]), varint(self.count[lead[i:j]]), varint(seen[i:j])
-
-    def take(self, rows: list[dict], order: int, known: Order, k: int) -> np.ndarray:
-        """Takes the parts' answers for the n-grams found; returns log10 of the backoff weight of each token whose n-gram was not seen but whose context was, else 0."""
+            yield block, order, p, None, bundle(*(c[:, head_cut[p] : head_cut[p + 1]] for c in contexts), *(g[:, cut[p] : cut[p + 1]] for g in grams))
+
+    def take(self, rows: list[dict], known: Order, k: int, weigh: bool) -> None:
+        """Takes the parts' answers for the n-grams found; weigh: p, too, goes up to this order, by the backoff weight where a token's n-gram was not seen but its context was."""
+        tokens = len(self.word)
+        rows = sorted(rows, key=lambda r: r["part"])
+        answers = list(zip(*(unbundle(r["a"]) for r in rows), strict=True)) or [[]] * 5
+        r = integers(answers[0])
+        lower, self.count, self.den = self.den, np.zeros(tokens, np.int64), self.before
+        self.count[self.at] = r[self.gram]
+        if not weigh:
+            return
         spare = (1 - known.d) * np.arange(1, k + 1)
-        tokens, context = len(self.word), np.cumsum(self.edge) - 1  # of each n-gram
-        heads = np.flatnonzero(self.edge)
-        r, extra, told = np.zeros(len(self.first), np.int64), np.zeros(len(heads), np.int64), np.zeros(len(heads), np.int64)
-        m, mass = [np.zeros((1, k)), known.seen], [np.zeros(1), known.mass]  # of contexts with an unseen word; told: which
+        head = np.flatnonzero(self.edge)
+        extra, told = np.zeros(len(head), np.int64), np.zeros(len(head), np.int64)  # of contexts; told: which of those with an unseen word
+        m = np.concatenate([np.zeros((1, k)), known.seen, integers(answers[3]).reshape(-1, k)])
+        mass = np.concatenate([np.zeros(1), known.mass, numbers(answers[4]).view(np.float64)])
         if len(known.hot):
-            is_hot, where = among(known.hot, chain([c[heads] for c in self.context]))
+            is_hot, where = among(known.hot, self.lower[self.context[head]])
             told[is_hot] = where[is_hot] + 1
             extra[is_hot] = ~known.seen[where[is_hot]].astype(bool).any(1)
-        size = sum(map(len, mass))
-        for row in rows:
-            i, j = self.cut[row["part"]], self.cut[row["part"] + 1]
-            r[i:j] = unvarint(row["a"])
-            extra[context[i] + unvarint(row["b"]).astype(np.int64)] = 1
-            which = context[i] + unvarint(row["c"]).astype(np.int64)
-            told[which] = size + np.arange(len(which))
-            m.append(unvarint(row["d"]).astype(np.int64).reshape(-1, k))
-            mass.append(unpack(row["e"], np.float64))
-            size += len(which)
-        m, mass = np.concatenate(m), np.concatenate(mass)
-        lower = self.den
-        self.count, self.den = np.zeros(tokens, np.int64), self.before.copy()
-        self.count[self.at] = r[self.gram]
-        self.den[self.at] += extra[context][self.gram]
-        alpha = np.zeros(tokens)
-        open_ = r[self.gram] == 0
-        t, g = self.at[open_], told[context[self.gram[open_]]]
+        lead = np.searchsorted(head, self.cut[[row["part"] for row in rows]])
+        more, which = (np.repeat(lead, np.array([x.shape[1] for x in a], np.int64)) + integers(a) for a in answers[1:3])
+        extra[more] = 1
+        told[which] = 1 + len(known.hot) + np.arange(len(which))
+        if extra.any():
+            self.den = self.before.copy()
+            self.den[self.at] += extra[np.cumsum(self.edge) - 1][self.gram]
+        seen, t = np.flatnonzero(self.count), self.at[r[self.gram] == 0]
+        g = told[np.searchsorted(head, self.of[t], side="right") - 1]
         den = self.den[t]
-        alpha[t] = np.log10((den - self.before[t] + m[g] @ spare) / den / (1 - mass[g] / lower[t]))
-        return alpha
+        self.p[t] += np.log10((den - self.before[t] + m[g] @ spare) / den / (1 - mass[g] / lower[t]))
+        self.p[seen] = np.log10(discounted(known.d, self.count[seen]) / self.den[seen])
 
 
 def _ngrams(blocks: DataFrame, order: int, uni: Unigram, texts: int, known: list[Order], hot: np.ndarray, parts: list[int], k: int) -> DataFrame:
@@ -301,57 +356,67 @@ def _ngrams(blocks: DataFrame, order: int, uni: Unigram, texts: int, known: list
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, rows in runs(batches, "block"):
-            t = _restored(rows, uni, texts, known, parts, k)[0]
+            t = _climbed(rows, uni, texts, known, parts, k, False)
+            if known:
+                t.rise()
             t.climb(order, hot, parts[-1])
             yield _table(list(t.messages(block, order)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, rows in runs(batches, "part"):
-            runs_of = [unvarint(r["b"]).astype(np.int64) for r in rows]
-            columns = [np.concatenate(x) for x in zip(*(unvarint(r["a"]).reshape(order - 1, -1) for r in rows), strict=True)]
+            held = list(zip(*(unbundle(r["a"]) for r in rows), strict=True))
+            columns = [integers(x) for x in held[: order - 1]]
+            follow, word, lower, seen = (integers(x) for x in held[order - 1 :])
+            start = np.cumsum(follow) - follow  # first n-gram of each context of each block
             heads = chain(columns)
-            context = np.repeat(heads, np.concatenate(runs_of))
-            word, lower, seen = (np.concatenate([unvarint(r[x]) for r in rows]).astype(np.int64) for x in "cde")
-            key = deal_keys(context, word, hot)
-            by, new = ordered(key, word)
+            by, new = ordered(heads, heads)
+            own, names = np.empty(len(heads), np.int64), heads[by[new]]
+            own[by] = np.cumsum(new) - 1
+            left = 64 - len(names).bit_length()
+            context = np.repeat(own, follow)
+            by, new = ordered(context.view(np.uint64) << np.uint64(left) | tx.mix(word.view(np.uint64)) >> np.uint64(64 - left), word)
             at = np.flatnonzero(new)
-            r, low = np.add.reduceat(seen[by], at), lower[by][at]  # of distinct n-grams
-            gram = np.empty(len(by), np.int64)
-            gram[by] = np.cumsum(new) - 1
-            names, ctx = np.unique(context[by][at], return_inverse=True)
+            lead = by[at]
+            r, low, ctx = np.add.reduceat(seen[by], at), lower[lead], context[lead]  # of distinct n-grams
             some = r > 0
             few = some & (r <= k)
             m = np.bincount(ctx[few] * k + r[few] - 1, minlength=len(names) * k).reshape(-1, k)
             mass = np.bincount(ctx[some], weights=discounted(below, low[some]), minlength=len(names))
             is_hot, where = among(hot, names)
             extra = ~m.any(1) & ~is_hot
-            out, i, i_head = [], 0, 0
-            place = np.searchsorted(names, heads)
-            for row, size in zip(rows, runs_of, strict=True):
-                j, j_head = i + int(size.sum()), i_head + len(size)
-                mine, own = r[gram[i:j]], place[i_head:j_head]
-                unseen = np.add.reduceat(mine == 0, np.cumsum(size) - size) > 0
-                which = np.flatnonzero(unseen & ~is_hot[own])
-                out.append((row["block"], order, part, None, varint(mine), varint(np.flatnonzero(extra[own])), varint(which), varint(m[own[which]].ravel()), pack(mass[own[which]])))
-                i, i_head = j, j_head
+            mine = np.empty(len(by), np.int64)
+            mine[by] = r[np.cumsum(new) - 1]
+            more = np.flatnonzero(extra[own])
+            which = np.flatnonzero((np.add.reduceat(mine == 0, start, dtype=np.int64) > 0) & ~is_hot[own])
+            # of each block: its n-grams, contexts, those with one event more, and those with an unseen word
+            ends = [np.cumsum([0, *(x.shape[1] for x in held[i])]) for i in (order, 0)]
+            ends += [np.searchsorted(x, ends[1]) for x in (more, which)]
+            first = np.repeat(ends[1][:-1], np.diff(ends[1]))
+            told = [planes(x) for x in (mine, more - first[more], which - first[which], m[own[which]].ravel(), mass[own[which]])]
+            out = [
+                (row["block"], order, part, None, bundle(*(x[:, n * e[i] : n * e[i + 1]] for x, e, n in zip(told, (ends[0], ends[2], ends[3], ends[3], ends[3]), (1, 1, 1, k, 1), strict=True))))
+                for i, row in enumerate(rows)
+            ]
             n = np.bincount(np.minimum(r, k + 2), minlength=k + 3)[1 : k + 2]
             spread = np.flatnonzero(is_hot)
-            often = np.flatnonzero((r * HOT >= max(uni.total, 1)) & some)
-            deeper = chain([*(np.repeat(c, np.concatenate(runs_of))[by][at][often] for c in columns), word[by][at][often]]) if len(often) else np.zeros(0, np.uint64)
-            yield _table([*out, (None, order, part, None, varint(n), varint(where[spread]), varint(m[spread].ravel()), pack(mass[spread]), pack(deeper))])
+            often = lead[(r * HOT >= max(uni.total, 1)) & some]
+            of = np.searchsorted(start, often, side="right") - 1
+            deeper = chain([*(c[of] for c in columns), word[often]])
+            yield _table([*out, (None, order, part, None, bundle(*map(planes, (n, where[spread], m[spread].ravel(), mass[spread]))), bundle(planes(deeper)))])
 
-    near = blocks.repartition(partitions(blocks), "block").sortWithinPartitions("block", "level", "part").mapInArrow(send, KINDS)
+    near = blocks.repartition(partitions(blocks), "block").sortWithinPartitions("block", "level", "part").mapInArrow(send, KINDS).select("block", "part", "a")
     return near.repartition(parts[-1], "part").sortWithinPartitions("part", "block").mapInArrow(count, KINDS)
 
 
-def _restored(rows: list[dict], uni: Unigram, texts: int, known: list[Order], parts: list[int], k: int) -> tuple[Texts, list[tuple]]:
-    """A block's tokens with what all counted orders say of them, and for each order (counts, denominators, backoff weights) by token."""
-    t, said = Texts(rows, uni, texts), []
+def _climbed(rows: list[dict], uni: Unigram, texts: int, known: list[Order], parts: list[int], k: int, weigh: bool) -> Texts:
+    """A block's tokens with what all counted orders say of them; weigh: their log10 probabilities as well."""
+    t = Texts(rows, uni, texts)
     for order, (o, p) in enumerate(zip(known, parts, strict=False), 2):
+        if order > 2:
+            t.rise()
         t.climb(order, o.hot, p)
-        alpha = t.take([r for r in rows if r["level"] == order], order, o, k)
-        said.append((t.count, t.den, t.before, alpha))
-    return t, said
+        t.take([r for r in rows if r["level"] == order], o, k, weigh)
+    return t
 
 
 def _totals(answers: DataFrame, hot: np.ndarray, k: int) -> tuple[Order, np.ndarray]:
@@ -359,23 +424,24 @@ def _totals(answers: DataFrame, hot: np.ndarray, k: int) -> tuple[Order, np.ndar
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for n, at, m, mass in zip(*(batch.column(c).to_pylist() for c in "abcd"), strict=True):
-                at = unvarint(at).astype(np.int64)
+            for sums in batch.column("a").to_pylist():
+                n, at, m, mass = unbundle(sums)
+                at = integers([at])
                 where = np.concatenate((np.full(k + 1, -1), np.repeat(at, k), at))
                 which = np.concatenate((np.arange(k + 1), np.tile(np.arange(k), len(at)), np.full(len(at), k)))
-                value = np.concatenate((unvarint(n), unvarint(m), unpack(mass, np.float64))).astype(np.float64)
+                value = np.concatenate((integers([n]), integers([m]), numbers([mass]).view(np.float64)))
                 yield pa.RecordBatch.from_arrays([pa.array(where), pa.array(which), pa.array(value)], names=["at", "which", "value"])
 
     totals = answers.filter("block is null")
     n, seen, mass = np.zeros(k + 1, np.int64), np.zeros((len(hot), k)), np.zeros(len(hot))
-    for r in totals.select(*"abcd").mapInArrow(spread, "at long, which long, value double").groupBy("at", "which").agg(F.sum("value").alias("value")).collect():
+    for r in totals.select("a").mapInArrow(spread, "at long, which long, value double").groupBy("at", "which").agg(F.sum("value").alias("value")).collect():
         if r["at"] < 0:
             n[r.which] = int(r.value)
         elif r.which < k:
             seen[r["at"], r.which] = r.value
         else:
             mass[r["at"]] = r.value
-    deeper = [unpack(r.e, np.uint64) for r in totals.select("e").toLocalIterator()]  # HOT of them at most, over all parts
+    deeper = [numbers(unbundle(r.b)) for r in totals.select("b").toLocalIterator()]  # HOT of them at most, over all parts
     return Order(discounts(n, k), hot, seen, mass), np.unique(np.concatenate([np.zeros(0, np.uint64), *deeper]))
 
 
@@ -385,14 +451,14 @@ def score(docs: DataFrame, order: int = 3, k: int = 5, block_bytes: int = 4 << 2
     word_parts = partitions(docs)
     blocks = checkpoint(_blocks(docs, block_bytes, word_parts))
     counts = checkpoint(_count_words(blocks, word_parts, k))
-    stats = [unpack(r.a, np.int64) for r in counts.filter("block is null").select("a").toLocalIterator()]
+    stats = [integers(unbundle(r.a)) for r in counts.filter("block is null").select("a").toLocalIterator()]
     total, kinds, texts = (sum(int(s[i]) for s in stats) for i in range(3))  # as many texts begin as end
     uni = Unigram(total, kinds, sum((s[3 : k + 4] for s in stats), np.zeros(k + 1, np.int64)), k)
     often = np.concatenate([np.zeros((2, 0), np.int64), *(s[k + 4 :].reshape(2, -1) for s in stats)], 1)
     hot = chain([np.append(often[0][often[1] * HOT >= max(total, 1)], BEGIN)])
     begins = [chain([np.array([BEGIN])] * n) for n in range(2, order)]  # of higher orders
 
-    tokens = checkpoint(blocks.select(*NAMES[:4], *"abcd", *(F.lit(None).cast("binary").alias(x) for x in "efg")))
+    tokens = checkpoint(blocks.withColumn("b", F.lit(None).cast("binary")))
     release(blocks)  # what only the words' counts needed goes
     rows = tokens.union(counts.filter("block is not null"))
     known: list[Order] = []
@@ -408,16 +474,10 @@ def score(docs: DataFrame, order: int = 3, k: int = 5, block_bytes: int = 4 << 2
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, held in runs(batches, "block"):
-            t = Texts(held, uni, texts)
-            found, base, p = t.count > 0, uni.base(t.count), np.log10(uni.p(t.count))
-            t, said = _restored(held, uni, texts, known, parts, k)
-            for o, (r, den, before, alpha) in zip(known, said, strict=True):  # from the words up to the whole order
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    p = np.where(r > 0, np.log10(discounted(o.d, r) / den), np.where(before > 0, alpha + p, p))
-            docs_ = len(t.n)
-            known_ = np.bincount(t.doc, weights=found, minlength=docs_).astype(np.int64)
-            sums = (np.bincount(t.doc, weights=x, minlength=docs_) for x in (base, p))
-            yield pa.RecordBatch.from_arrays([pa.array(t.ids, pa.int64()), pa.array(t.train), pa.array(t.n), pa.array(known_), pa.array(np.full(docs_, total, np.int64)), *map(pa.array, sums)], names=["doc_id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            t = _climbed(held, uni, texts, known, parts, k, True)
+            doc = np.repeat(np.arange(len(t.n)), t.n)
+            known_, *sums = (np.bincount(doc, weights=x, minlength=len(t.n)) for x in (t.found, t.base, t.p))
+            yield pa.RecordBatch.from_arrays([pa.array(t.ids, pa.int64()), pa.array(t.train), pa.array(t.n), pa.array(known_.astype(np.int64)), pa.array(np.full(len(t.n), total, np.int64)), *map(pa.array, sums)], names=["doc_id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     both = rows.repartition(partitions(docs), "block").sortWithinPartitions("block", "level", "part")
     return both.mapInArrow(finish, "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
