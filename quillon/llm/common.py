@@ -134,10 +134,10 @@ def planes(a: np.ndarray) -> np.ndarray:
 
 def bundle(*parts: np.ndarray) -> bytes:
     """The planes of several arrays as one value; short ones are compressed together."""
-    raw = [b"".join(plane.tobytes() for plane in p) for p in parts]
-    if sum(map(len, raw)) <= SMALL:
-        raw = [b"".join(raw)]
-    raw = [compress(x) for x in raw]
+    if sum(p.size for p in parts) <= SMALL:
+        raw = [compress(b"".join([p.tobytes() for p in parts]))]
+    else:
+        raw = [compress(b"".join([plane.tobytes() for plane in p])) for p in parts]  # a plane is copied at once, a cut table byte by byte
     return struct.pack(f"<BB{2 * len(parts) + len(raw)}I", len(parts), len(raw), *(n for p in parts for n in p.shape), *map(len, raw)) + b"".join(raw)
 
 
@@ -158,17 +158,15 @@ def unbundle(b: bytes) -> list[np.ndarray]:
 
 def numbers(parts: Sequence[np.ndarray]) -> np.ndarray:
     """The numbers that planes stand for, one array's after the other's."""
-    out = np.zeros(sum(p.shape[1] for p in parts), np.uint64)
-    at = 0
-    for p in parts:
-        mine = out[at : at + p.shape[1]]
-        at += p.shape[1]
-        if len(p) > 4:
-            mine.view(np.uint8).reshape(-1, 8)[:, : len(p)] = p.T
-            continue
-        mine[:] = p[0]
-        for i in range(1, len(p)):
-            mine |= p[i].astype(np.uint64) << np.uint64(8 * i)
+    joined = [np.concatenate([p[i] if i < len(p) else np.zeros(p.shape[1], np.uint8) for p in parts]) for i in range(max(map(len, parts), default=0))]
+    if len(joined) > 4:
+        out = np.zeros((len(joined[0]), 8), np.uint8)
+        for i, plane in enumerate(joined):
+            out[:, i] = plane
+        return out.view(np.uint64).ravel()
+    out = joined[0].astype(np.uint64) if joined else np.zeros(0, np.uint64)
+    for i, plane in enumerate(joined[1:], 1):
+        out |= plane.astype(np.uint64) << np.uint64(8 * i)
     return out
 
 
